@@ -206,6 +206,197 @@ def q_ask_default(spark, sf):
                    ["o_orderkey"]).frame
 
 
+def q_standard_scale(spark, sf):
+    return _round(api.standard_scale(_t(spark, sf, "customer"), ["c_acctbal", "c_nationkey"],
+                                     keep=["c_custkey"]), 6)
+
+
+def q_kmeans(spark, sf):
+    return api.kmeans(_t(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], k=3,
+                      keep=["c_custkey"]).assignments.select("c_custkey", "cluster")
+
+
+def q_cluster_sizes(spark, sf):
+    res = api.kmeans(_t(spark, sf, "part"), ["p_size", "p_retailprice"], k=4,
+                     keep=["p_partkey"])
+    return api.cluster_sizes(res.assignments)
+
+
+def q_cluster_feature_importance(spark, sf):
+    res = api.kmeans(_t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
+                     k=3)
+    return api.feature_importance(res)
+
+
+def q_cluster_insights(spark, sf):
+    res = api.kmeans(_t(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], k=3)
+    return api.cluster_insights(res)
+
+
+def q_pca_projection(spark, sf):
+    proj, _ = api.pca_projection(_t(spark, sf, "part"), ["p_size", "p_retailprice", "p_partkey"],
+                                 keep=["p_partkey"])
+    return proj
+
+
+def q_clustering(spark, sf):
+    rep = api.clustering_report(_t(spark, sf, "lineitem"),
+                                ["l_quantity", "l_extendedprice", "l_discount"])
+    return rep["points"]
+
+
+def q_dbscan(spark, sf):
+    res = api.dbscan(_t(spark, sf, "supplier"), ["s_acctbal", "s_nationkey"], eps=0.5,
+                     min_samples=5, id_cols=["s_suppkey"])
+    return res.assignments.select("s_suppkey", F.col("cluster").cast("int").alias("cluster"))
+
+
+def q_dbscan_customer(spark, sf):
+    res = api.dbscan(_t(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], eps=0.08,
+                     min_samples=6, id_cols=["c_custkey"])
+    return res.assignments.select("c_custkey", F.col("cluster").cast("int").alias("cluster"))
+
+
+def q_dbscan_cluster_sizes(spark, sf):
+    res = api.dbscan(_t(spark, sf, "supplier"), ["s_acctbal", "s_nationkey"], eps=0.3,
+                     min_samples=5, id_cols=["s_suppkey"])
+    return api.cluster_sizes(res.assignments.withColumn("cluster", F.col("cluster").cast("int")))
+
+
+ORDERS_IO = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+def _round_trip(spark, sf, fmt):
+    folder = api.scratch_folder(spark, f"io-{fmt}")
+    src = _t(spark, sf, "orders").select(*ORDERS_IO)
+    if fmt == "feather":
+        api.write_feather(src, folder)
+        path = folder
+    else:
+        api.write_result(src, folder, "csv" if fmt == "csv" else fmt)
+        path = folder
+    return api.read_table(spark, path, fmt)
+
+
+def q_scan_csv(spark, sf):
+    return _round_trip(spark, sf, "csv")
+
+
+def q_scan_json(spark, sf):
+    return _round_trip(spark, sf, "json")
+
+
+def q_scan_orc(spark, sf):
+    return _round_trip(spark, sf, "orc")
+
+
+def q_scan_parquet(spark, sf):
+    return api.read_table(spark, f"{sf}/orders.parquet").select(*ORDERS_IO)
+
+
+def q_scan_feather(spark, sf):
+    return _round_trip(spark, sf, "feather")
+
+
+def q_run_sql(spark, sf):
+    views = {n: _t(spark, sf, n) for n in ("lineitem", "orders", "customer", "nation", "region")}
+    return _round(api.run_sql(spark, STAR_SQL, views), 2)
+
+
+def q_result_json(spark, sf):
+    return api.result_json(api.describe_numeric(_t(spark, sf, "events")))
+
+
+def q_fingerprint(spark, sf):
+    return api.fingerprint(_t(spark, sf, "orders"))
+
+
+def q_column_types(spark, sf):
+    return api.column_types(_t(spark, sf, "orders"))
+
+
+def q_classification(spark, sf):
+    out = api.classification(_docs_labels(spark, sf).where(F.col("quality").isNotNull()),
+                             "quality", ["n_chars"], ["doc_id"])
+    return out["per_class"]
+
+
+def q_linear_fit(spark, sf):
+    return _round(api.linear_fit(_t(spark, sf, "lineitem"), "l_extendedprice", "l_quantity"))
+
+
+def q_regression(spark, sf):
+    return api.regression(_t(spark, sf, "lineitem"), "l_extendedprice",
+                          ["l_quantity", "l_discount", "l_tax"],
+                          ["l_orderkey", "l_linenumber"])["coefficients"]
+
+
+def q_ts_monthly(spark, sf):
+    return _round(api.ts_periodic(_t(spark, sf, "orders"), "o_orderdate", "o_totalprice"),
+                  overrides={"total": 2})
+
+
+def q_ts_moving_avg(spark, sf):
+    return _round(api.ts_moving_avg(_t(spark, sf, "orders"), "o_orderdate", "o_totalprice"), 2)
+
+
+def q_ts_trend_forecast(spark, sf):
+    return _round(api.ts_trend_forecast(_t(spark, sf, "orders"), "o_orderdate", "o_totalprice"),
+                  2)
+
+
+def q_revenue_growth(spark, sf):
+    return _round(api.revenue_growth(_t(spark, sf, "orders"), "o_orderdate", "o_totalprice"),
+                  overrides={"revenue": 2})
+
+
+def q_yoy(spark, sf):
+    return _round(api.year_over_year(_t(spark, sf, "orders"), "o_orderdate", "o_totalprice"),
+                  overrides={"revenue": 2})
+
+
+def q_avg_transaction(spark, sf):
+    return _round(api.avg_transaction(_t(spark, sf, "orders"), "o_orderdate", "o_totalprice"))
+
+
+def q_top_segments(spark, sf):
+    return _round(api.top_segments(*[_t(spark, sf, n) for n in
+                                     ("lineitem", "orders", "customer", "nation", "region")]), 2)
+
+
+def q_retention(spark, sf):
+    return _round(api.retention(_t(spark, sf, "orders"), "o_custkey", "o_orderdate"))
+
+
+def q_clean_table(spark, sf):
+    return _round(api.clean_table(_docs_labels(spark, sf).select(
+        "doc_id", "lang", "n_chars", "quality", "toxic")))
+
+
+def q_column_charts(spark, sf):
+    return api.column_charts(_t(spark, sf, "orders"))["value_counts"]
+
+
+def q_table_context(spark, sf):
+    return _round(api.table_context(_t(spark, sf, "customer"), ["c_custkey"])["describe"])
+
+
+def q_analyze_statistical(spark, sf):
+    return _round(api.analyze(_t(spark, sf, "events"), "statistical", column="value")
+                  ["dispersion"])
+
+
+STAR_SQL = """
+SELECT r.r_name AS region, c.c_mktsegment AS segment,
+       sum(l.l_extendedprice * (1 - l.l_discount)) AS revenue, count(*) AS lines
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey
+GROUP BY r.r_name, c.c_mktsegment
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items())
     if name.startswith("q_") and callable(fn)}
@@ -423,9 +614,124 @@ def _oracles() -> dict[str, str]:
         "(ORDER BY o_orderkey) - 1 AS idx, CAST(o_totalprice AS DOUBLE) AS value FROM orders) "
         "SELECT idx, value FROM r, n WHERE value IS NOT NULL AND (n.n <= 100 OR "
         "(idx % (n.n // 100) = 0 AND idx < (n.n // 100) * 100))")
+    o["standard_scale"] = (
+        "WITH s AS (SELECT avg(c_acctbal) ma, stddev_pop(c_acctbal) sa, avg(c_nationkey) mn, "
+        "stddev_pop(c_nationkey) sn FROM customer) SELECT c_custkey, "
+        "round((c_acctbal - ma) / sa, 6) AS c_acctbal, round((c_nationkey - mn) / sn, 6) "
+        "AS c_nationkey FROM customer, s")
+    o["dbscan"] = _dbscan_sql("supplier", "s_suppkey", ["s_acctbal", "s_nationkey"], 0.5, 5)
+    o["dbscan_customer"] = _dbscan_sql("customer", "c_custkey", ["c_acctbal", "c_nationkey"],
+                                       0.08, 6)
+    o["dbscan_cluster_sizes"] = (
+        "WITH q AS (" + _dbscan_sql("supplier", "s_suppkey", ["s_acctbal", "s_nationkey"], 0.3, 5)
+        + ") SELECT cluster, count(*) AS size FROM q GROUP BY cluster")
+    io = ", ".join(ORDERS_IO)
+    for k in ("scan_csv", "scan_json", "scan_orc", "scan_parquet", "scan_feather"):
+        o[k] = f"SELECT {io} FROM orders"
+    o["run_sql"] = ("SELECT region, segment, round(revenue, 2) AS revenue, lines FROM ("
+                    + STAR_SQL + ")")
+    o["column_types"] = (
+        "SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), "
+        "(2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), "
+        "(4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string')) "
+        "AS t(position, column_name, dtype)")
+    o["linear_fit"] = (
+        "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, "
+        "round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, "
+        "round(regr_r2(l_extendedprice, l_quantity), 4) AS r2, "
+        "regr_count(l_extendedprice, l_quantity) AS n FROM lineitem")
+    per = ("per AS (SELECT date_trunc('month', o_orderdate) AS period, count(*) AS n, "
+           "sum(o_totalprice) AS total, avg(o_totalprice) AS average FROM orders GROUP BY 1)")
+    o["ts_monthly"] = (f"WITH {per} SELECT period, n, round(total, 2) AS total, "
+                       "round(average, 4) AS average FROM per")
+    o["ts_moving_avg"] = (f"WITH {per} SELECT period, round(total, 2) AS total, "
+                          "round(avg(total) OVER (ORDER BY period ROWS BETWEEN 2 PRECEDING "
+                          "AND CURRENT ROW), 2) AS moving_avg FROM per")
+    o["ts_trend_forecast"] = (
+        f"WITH {per}, i AS (SELECT period, total, row_number() OVER (ORDER BY period) - 1 AS t "
+        "FROM per), f AS (SELECT regr_slope(total, t) AS slope, regr_intercept(total, t) AS "
+        "intercept, max(t) AS last_t, max(period) AS last_period FROM i) "
+        "SELECT CAST(s.step AS INTEGER) AS step, last_period + to_months(CAST(s.step AS INTEGER)) "
+        "AS period, round(intercept + slope * (last_t + s.step), 2) AS forecast "
+        "FROM f, (SELECT range AS step FROM range(1, 4)) s")
+    o["revenue_growth"] = (
+        f"WITH {per} SELECT period, round(total, 2) AS revenue, round(CASE WHEN lag(total) OVER "
+        "(ORDER BY period) <> 0 THEN (total - lag(total) OVER (ORDER BY period)) / "
+        "lag(total) OVER (ORDER BY period) * 100 END, 4) AS growth_pct FROM per")
+    o["yoy"] = (
+        "WITH y AS (SELECT date_trunc('year', o_orderdate) AS period, sum(o_totalprice) AS total "
+        "FROM orders GROUP BY 1) SELECT CAST(year(period) AS INTEGER) AS year, "
+        "round(total, 2) AS revenue, round(CASE WHEN lag(total) OVER (ORDER BY period) <> 0 THEN "
+        "(total - lag(total) OVER (ORDER BY period)) / lag(total) OVER (ORDER BY period) * 100 "
+        "END, 4) AS yoy_pct FROM y")
+    o["avg_transaction"] = f"WITH {per} SELECT period, n, round(average, 4) AS avg_value FROM per"
+    o["top_segments"] = (
+        "WITH s AS (SELECT region AS r_name, segment AS c_mktsegment, revenue FROM ("
+        + STAR_SQL + ")), k AS (SELECT *, rank() OVER (PARTITION BY r_name ORDER BY revenue DESC, "
+        "c_mktsegment) AS rank FROM s) SELECT r_name, c_mktsegment, round(revenue, 2) AS revenue,"
+        " CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3")
+    o["retention"] = (
+        "WITH a AS (SELECT DISTINCT o_custkey AS cust, date_trunc('month', o_orderdate) AS period "
+        "FROM orders), j AS (SELECT a.period, b.cust AS back FROM a LEFT JOIN a b ON "
+        "a.cust = b.cust AND b.period = a.period + INTERVAL 1 MONTH) SELECT period, "
+        "count(*) AS active, count(back) AS retained, round(count(back) * 100.0 / count(*), 4) "
+        "AS retention_pct FROM j GROUP BY period")
+    cl = ["doc_id", "n_chars", "quality", "toxic"]
+    stats_sql = ", ".join(
+        f"quantile_cont({c}, 0.5) AS med_{c}, quantile_cont({c}, 0.25) AS q1_{c}, "
+        f"quantile_cont({c}, 0.75) AS q3_{c}" for c in cl)
+    fix = lambda c: (f"round(least(greatest(coalesce(CAST({c} AS DOUBLE), med_{c}), "
+                     f"q1_{c} - 1.5 * (q3_{c} - q1_{c})), q3_{c} + 1.5 * (q3_{c} - q1_{c})), 4) "
+                     f"AS {c}")
+    o["clean_table"] = (
+        "WITH j AS (SELECT d.doc_id, trim(d.lang) AS lang, d.n_chars, l.quality, l.toxic "
+        "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), "
+        f"s AS (SELECT {stats_sql} FROM j) SELECT lang, "
+        + ", ".join(fix(c) for c in cl) + " FROM j, s")
+    ocols = ["o_orderkey", "o_custkey", "o_totalprice"]
+    o["column_charts"] = " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS v, count(*) AS count "
+        f"FROM orders GROUP BY 2 ORDER BY 2 LIMIT 20)" for c in ocols)
+    o["table_context"] = (
+        f"WITH {_unpivot('customer', ['c_custkey', 'c_nationkey', 'c_acctbal'])} SELECT "
+        "column_name, count(v) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std,"
+        " round(min(v), 4) AS min, round(quantile_cont(v, 0.25), 4) AS q1, "
+        "round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS q3, "
+        "round(max(v), 4) AS max FROM l GROUP BY column_name")
+    o["analyze_statistical"] = (
+        "SELECT 'value' AS column_name, round(quantile_cont(value, 0.5), 4) AS median, "
+        "round(max(value) - min(value), 4) AS range, round(quantile_cont(value, 0.75) - "
+        "quantile_cont(value, 0.25), 4) AS iqr, round(CASE WHEN avg(value) <> 0 THEN "
+        "stddev_samp(value) / avg(value) * 100 END, 4) AS coefficient_of_variation FROM events")
     return o
 
 
+def _dbscan_sql(table: str, key: str, feats: list[str], eps: float, ms: int) -> str:
+    """Brute-force DBSCAN: all-pairs neighbours, core counts, components by a
+    recursive walk over core-core edges, border = smallest neighbouring cluster."""
+    st = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(feats))
+    zs = ", ".join(f"CASE WHEN s{i} = 0 THEN 0.0 ELSE ({c} - m{i}) / s{i} END AS z{i}"
+                   for i, c in enumerate(feats))
+    dist = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(feats)))
+    nn = " AND ".join(f"{c} IS NOT NULL" for c in feats)
+    return (
+        f"WITH RECURSIVE st AS (SELECT {st} FROM {table} WHERE {nn}), "
+        f"p AS (SELECT {key} AS id, {zs} FROM {table}, st WHERE {nn}), "
+        f"nb AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON 0.0 + {dist} <= {eps * eps!r}), "
+        f"core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {ms}), "
+        "ce AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON nb.a = c1.id JOIN core c2 ON nb.b = c2.id), "
+        "reach(id, r) AS (SELECT id, id FROM core UNION SELECT reach.id, ce.b FROM reach "
+        "JOIN ce ON reach.r = ce.a), "
+        "comp AS (SELECT id, min(r) AS lab FROM reach GROUP BY id), "
+        "cid AS (SELECT lab, dense_rank() OVER (ORDER BY lab) - 1 AS cluster "
+        "FROM (SELECT DISTINCT lab FROM comp)), "
+        "corel AS (SELECT comp.id, cid.cluster FROM comp JOIN cid USING (lab)), "
+        "border AS (SELECT nb.a AS id, min(corel.cluster) AS cluster FROM nb JOIN corel "
+        "ON nb.b = corel.id WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a) "
+        f"SELECT p.id AS {key}, CAST(coalesce(corel.cluster, border.cluster, -1) AS INTEGER) "
+        "AS cluster FROM p LEFT JOIN corel ON p.id = corel.id LEFT JOIN border ON p.id = border.id")
+
+
 _ORACLES: dict[str, str] | None = None
 
 

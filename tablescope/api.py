@@ -17,3 +17,16 @@ from .operators.stats import (adjacent_correlations, column_moments,  # noqa: F4
                               dispersion, fingerprint, kurtosis_by_column, missing_report,
                               mode_by_column, profile_columns, question_stats, shape,
                               skewness_by_column)
+from .operators.cluster import (cluster_insights, cluster_sizes, clustering_report,  # noqa: F401
+                                feature_importance, kmeans, pca_projection, standard_scale)
+from .operators.dbscan import dbscan  # noqa: F401
+from .operators.extras import (avg_transaction, classification, clean_table,  # noqa: F401
+                               linear_fit, regression, retention, revenue_growth, top_segments,
+                               ts_moving_avg, ts_periodic, ts_trend_forecast, year_over_year)
+from .plans.analyze import analyze, column_charts, statistical, table_context  # noqa: F401
+from .plans.sql import run_sql  # noqa: F401
+from .session import cut_lineage, get_spark, scratch_folder  # noqa: F401
+from .sources.feather import scan_feather, write_feather  # noqa: F401
+from .sources.files import (detect_format, read_table, result_json, scan_csv,  # noqa: F401
+                            scan_json, write_result)
+from .sources.jdbc import jdbc_preview, jdbc_query, jdbc_table, jdbc_tables  # noqa: F401

@@ -16,6 +16,8 @@ BATCHES_PER_PARTITION = 8
 
 
 def _files(path: str) -> list[str]:
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
     if os.path.isdir(path):
         return sorted(os.path.join(path, f) for f in os.listdir(path)
                       if f.endswith((".feather", ".arrow", ".ipc")))
@@ -70,3 +72,43 @@ class _FeatherReader(DataSourceReader):
 def scan_feather(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(FeatherDataSource)
     return spark.read.format("feather").option("path", path).load()
+
+
+def write_feather(df: DataFrame, folder: str) -> str:
+    """Write one Arrow IPC (Feather v2) file per partition into ``folder``.
+
+    Each task streams its own record batches to its own file; nothing passes
+    through the driver.  ``folder`` must be a shared path (file: or a
+    filesystem URI pyarrow understands).
+    """
+    import uuid
+
+    tag = uuid.uuid4().hex
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+        from pyspark import TaskContext
+        if folder.startswith("file:"):
+            fs, root = pafs.LocalFileSystem(), folder[5:].replace("///", "/")
+        else:
+            fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        path = f"{root}/part-{TaskContext.get().partitionId():05d}-{tag}.feather"
+        writer = None
+        n = 0
+        with fs.open_output_stream(path) as sink:
+            for b in batches:
+                if writer is None:
+                    writer = pa.ipc.new_file(sink, b.schema)
+                writer.write_batch(b)
+                n += b.num_rows
+            if writer is not None:
+                writer.close()
+        if writer is None:
+            fs.delete_file(path)
+        yield pa.RecordBatch.from_pydict({"path": [path], "rows": [n]})
+
+    # One small row per written file comes back (paths, not data).
+    df.mapInArrow(write, "path string, rows long").collect()
+    return folder
