@@ -13,6 +13,21 @@ from pyspark.sql import DataFrame
 from ..operators import cluster, distribution, extras, insights, questions, schema, stats
 from ..operators.frames import numeric_columns
 
+class LazyResults(dict):
+    """Named results built on first access (building some of them runs small
+    summary jobs, so unused outputs cost nothing)."""
+
+    def __getitem__(self, key):
+        value = super().__getitem__(key)
+        if callable(value):
+            value = value()
+            super().__setitem__(key, value)
+        return value
+
+    def get(self, key, default=None):
+        return self[key] if key in self else default
+
+
 KINDS = ("quick_ai", "clustering", "statistical", "custom", "classification", "regression",
          "time_series")
 
@@ -70,25 +85,25 @@ def statistical(df: DataFrame, column: str | None = None, approx: bool = False
         raise ValueError("No numeric column available for analysis")
     col = column or num[0]
     cols = [col]
-    return {
+    return LazyResults({
         "column": col,
         "other_numeric_columns": [c for c in num if c != col],
-        "basic_stats": stats.describe_numeric(df, cols, approx),
-        "dispersion": stats.dispersion(df, cols, approx),
-        "skewness": stats.skewness_by_column(df, cols),
-        "kurtosis": stats.kurtosis_by_column(df, cols),
-        "mode": stats.mode_by_column(df, cols),
-        "value_counts": distribution.value_counts_binned(df, col),
-        "histogram": distribution.histogram(df, cols, 20),
-        "normal_overlay": distribution.normal_overlay(df, col),
-        "box_plot": distribution.box_plot(df, cols, approx),
-        "outliers": distribution.iqr_outliers(df, cols, approx=approx),
-        "normality": distribution.shapiro_wilk(df, cols),
-        "qq_points": distribution.qq_points(df, cols),
-        "qq_line": distribution.qq_line(df, cols),
-        "insights": insights.statistical_insights(df, cols, approx),
-        "summary": insights.statistical_summary(df, cols, approx),
-    }
+        "basic_stats": lambda: stats.describe_numeric(df, cols, approx),
+        "dispersion": lambda: stats.dispersion(df, cols, approx),
+        "skewness": lambda: stats.skewness_by_column(df, cols),
+        "kurtosis": lambda: stats.kurtosis_by_column(df, cols),
+        "mode": lambda: stats.mode_by_column(df, cols),
+        "value_counts": lambda: distribution.value_counts_binned(df, col),
+        "histogram": lambda: distribution.histogram(df, cols, 20),
+        "normal_overlay": lambda: distribution.normal_overlay(df, col),
+        "box_plot": lambda: distribution.box_plot(df, cols, approx),
+        "outliers": lambda: distribution.iqr_outliers(df, cols, approx=approx),
+        "normality": lambda: distribution.shapiro_wilk(df, cols),
+        "qq_points": lambda: distribution.qq_points(df, cols),
+        "qq_line": lambda: distribution.qq_line(df, cols),
+        "insights": lambda: insights.statistical_insights(df, cols, approx),
+        "summary": lambda: insights.statistical_summary(df, cols, approx),
+    })
 
 
 def column_charts(df: DataFrame, column: str | None = None,
