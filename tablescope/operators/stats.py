@@ -96,8 +96,10 @@ def column_summary(df: DataFrame, columns: Sequence[str] | None = None,
         elif _distinct_bounded(df, cols, rows, exact_limit):
             # Map-based exact percentile, one group per column: its memory is
             # bounded by the checked distinct count.
-            q = (long_form(df, cols).groupBy(KEY)
-                 .agg(F.percentile(VALUE, probs).alias("_qs")).collect())
+            # Distinct (value, count) pairs first: a code-generated hash
+            # aggregate; the percentile map then sees each value once.
+            q = (distinct_counts(long_form(df, cols)).groupBy(KEY)
+                 .agg(F.percentile(VALUE, probs, F.col("cnt")).alias("_qs")).collect())
             for r in q:
                 qvals.update({(r[KEY], p): v for p, v in zip(probs, r["_qs"] or [])})
         else:

@@ -43,8 +43,14 @@ def detect_format(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               normalize: bool = True) -> DataFrame:
-    """Read one table from ``path`` (S1-S5), picking the reader by extension."""
+               normalize: bool = True, spread: bool = False) -> DataFrame:
+    """Read one table from ``path`` (S1-S5), picking the reader by extension.
+
+    ``spread``: when the scan yields fewer partitions than the cluster's
+    default parallelism (e.g. one large row group), rows are dealt round-robin
+    so the heavy per-row work downstream uses every core.  On big inputs with
+    many splits this is a no-op.
+    """
     fmt = fmt or detect_format(path)
     if fmt in UNSUPPORTED:
         raise ValueError(f"Unsupported file type: {fmt} (no distributed decoder)")
@@ -61,7 +67,16 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         df = scan_feather(spark, path)
     else:
         raise ValueError(f"Unsupported file type: {fmt}")
-    return normalize_missing(df) if normalize else df
+    df = normalize_missing(df) if normalize else df
+    return spread_partitions(df) if spread else df
+
+
+def spread_partitions(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than cores."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def _csv_strings(spark: SparkSession, path: str, encoding: str) -> DataFrame:
