@@ -703,9 +703,143 @@ def _oracles() -> dict[str, str]:
         "round(max(value) - min(value), 4) AS range, round(quantile_cont(value, 0.75) - "
         "quantile_cont(value, 0.25), 4) AS iqr, round(CASE WHEN avg(value) <> 0 THEN "
         "stddev_samp(value) / avg(value) * 100 END, 4) AS coefficient_of_variation FROM events")
+    o["statistical_insights"] = _insights_sql("events", EVENTS_NUM)
+    o["shapiro_wilk"] = _shapiro_sql("customer", ["c_acctbal", "c_nationkey"])
+    o["statistical_summary"] = _summary_sql("events", EVENTS_NUM)
+    o["quick_insights"] = _quick_sql()
     return o
 
 
+def _facts_sql(table: str, cols: list[str]) -> str:
+    """Per-column numbers the insight rules use (DuckDB skewness/kurtosis are the
+    bias-corrected pandas versions)."""
+    return (
+        f"{_unpivot(table, cols)}, rc AS (SELECT count(*) AS r FROM {table}), "
+        "st AS (SELECT column_name, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, "
+        "min(v) AS mn, max(v) AS mx, skewness(v) AS sk, kurtosis(v) AS ku, "
+        "quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.75) AS q3 "
+        "FROM l GROUP BY column_name), "
+        "oc AS (SELECT l.column_name, count(*) AS o FROM l JOIN st USING (column_name) "
+        "WHERE l.v < st.q1 - 1.5 * (st.q3 - st.q1) OR l.v > st.q3 + 1.5 * (st.q3 - st.q1) "
+        "GROUP BY l.column_name), "
+        "g AS (SELECT st.*, rc.r, coalesce(oc.o, 0) AS outliers, rc.r - st.n AS missing, "
+        "(rc.r - st.n) * 100.0 / rc.r AS mp, coalesce(oc.o, 0) * 100.0 / st.n AS op, "
+        "CASE WHEN mean <> 0 THEN std / mean * 100 END AS cv FROM st CROSS JOIN rc "
+        "LEFT JOIN oc USING (column_name))")
+
+
+def _insights_sql(table: str, cols: list[str]) -> str:
+    normal = "(abs(sk) < 0.5 AND abs(ku) < 0.5)"
+    nonnormal = f"(NOT {normal} AND (abs(sk) > 1 OR abs(ku) > 1))"
+    rules = [
+        (normal, "'normality'", "'success'", "'Normal Distribution'", "sk"),
+        (nonnormal, "'normality'", "'warning'", "'Non-Normal Distribution'", "sk"),
+        (f"{nonnormal} AND abs(sk) > 1.5", "'transformation'", "'info'",
+         "'Transformation Suggestion'", "sk"),
+        ("outliers > 0", "'outliers'", "CASE WHEN op > 2 THEN 'warning' ELSE 'info' END",
+         "'Outliers Detected'", "op"),
+        ("missing > 0", "'missing'", "CASE WHEN mp > 15 THEN 'danger' WHEN mp > 5 THEN 'warning' "
+         "ELSE 'info' END", "'Missing Values'", "mp"),
+        ("cv > 30", "'variability'", "'info'", "'High Variability'", "cv"),
+        ("cv < 5", "'variability'", "'info'", "'Low Variability'", "cv"),
+        ("abs(ku) > 1.5", "'shape'", "'info'", "'Distribution Shape'", "ku"),
+    ]
+    body = " UNION ALL ".join(
+        f"SELECT column_name, {r} AS rule, {sv} AS severity, {t} AS title, "
+        f"round({m}, 4) AS metric FROM g WHERE {c}" for c, r, sv, t, m in rules)
+    return f"WITH {_facts_sql(table, cols)} {body}"
+
+
+def _shapiro_core(table: str, col: str) -> str:
+    """Shapiro-Wilk (Royston 1995) for one column as SQL; NULL unless 3 <= n < 5000."""
+    from tablescope.functions.normal import lower_tail_sql, ppf_sql
+    u = "(1.0 / sqrt(n))"
+    poly = lambda cs: " + ".join(f"({c!r}) * pow({u}, {k})" for k, c in enumerate(cs) if c)
+    a_n = f"m_n / sqrt(msum) + {poly([0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056])}"
+    a_n1 = f"m_n1 / sqrt(msum) + {poly([0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633])}"
+    z = ("CASE WHEN n <= 11 THEN (-ln((0.459 * n - 2.273) - ln(1 - w)) - (0.5440 - 0.39978 * n "
+         "+ 0.025054 * n * n - 0.0006714 * n * n * n)) / exp(1.3822 - 0.77857 * n + 0.062767 * n"
+         " * n - 0.0020322 * n * n * n) ELSE (ln(1 - w) - (-1.5861 - 0.31082 * ln(n) - 0.083751 "
+         "* ln(n) * ln(n) + 0.0038915 * ln(n) * ln(n) * ln(n))) / exp(-0.4803 - 0.082676 * ln(n) "
+         "+ 0.0030302 * ln(n) * ln(n)) END")
+    tail = lower_tail_sql("zz")
+    ai = ("CASE WHEN n = 3 THEN CASE WHEN i = 1 THEN -sqrt(0.5) WHEN i = 3 THEN sqrt(0.5) ELSE 0 "
+          "END WHEN i = n THEN a_n WHEN i = 1 THEN -a_n WHEN n > 5 AND i = n - 1 THEN a_n1 "
+          "WHEN n > 5 AND i = 2 THEN -a_n1 ELSE m / sqrt(eps) END")
+    return (
+        f"x AS (SELECT CAST({col} AS DOUBLE) AS v FROM {table} WHERE {col} IS NOT NULL), "
+        "xs AS (SELECT count(*) AS n, min(v) AS mn, max(v) AS mx FROM x), "
+        "r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, xs.n FROM x, xs "
+        "WHERE xs.n >= 3 AND xs.n < 5000 AND xs.mn < xs.mx), "
+        f"m AS (SELECT *, {ppf_sql('(i - 0.375) / (n + 0.25)')} AS m FROM r), "
+        "a AS (SELECT n, sum(m * m) AS msum, max(CASE WHEN i = n THEN m END) AS m_n, "
+        "max(CASE WHEN i = n - 1 THEN m END) AS m_n1, avg(v) AS mean FROM m GROUP BY n), "
+        f"c AS (SELECT *, {a_n} AS a_n, {a_n1} AS a_n1 FROM a), "
+        "c2 AS (SELECT *, CASE WHEN n > 5 THEN (msum - 2 * m_n * m_n - 2 * m_n1 * m_n1) / "
+        "(1 - 2 * a_n * a_n - 2 * a_n1 * a_n1) ELSE (msum - 2 * m_n * m_n) / (1 - 2 * a_n * a_n) "
+        "END AS eps FROM c), "
+        f"w0 AS (SELECT c2.n, sum(({ai}) * v) AS num, sum((v - mean) * (v - mean)) AS ss "
+        "FROM m JOIN c2 USING (n) GROUP BY c2.n), "
+        "w1 AS (SELECT n, least(1.0, num * num / ss) AS w FROM w0), "
+        f"w2 AS (SELECT n, w, {z} AS zz FROM w1), "
+        "sw AS (SELECT n, w, CASE WHEN n = 3 THEN greatest(0.0, 6 / pi() * (asin(sqrt(w)) - "
+        f"asin(sqrt(0.75)))) WHEN w >= 1 THEN 1.0 ELSE CASE WHEN zz > 0 THEN {tail} "
+        f"ELSE 1 - {tail} END END AS p FROM w2)")
+
+
+def _shapiro_sql(table: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        parts.append(
+            f"(WITH {_shapiro_core(table, c)} SELECT '{c}' AS column_name, xs.n, "
+            "round(sw.w, 4) AS W, round(sw.p, 4) AS p_value, CASE WHEN sw.p > 0.05 AND "
+            "xs.n < 5000 THEN 'Normal distribution' ELSE 'Non-normal distribution' END "
+            "AS interpretation FROM xs LEFT JOIN sw ON true)")
+    return " UNION ALL ".join(parts)
+
+
+def _summary_sql(table: str, cols: list[str]) -> str:
+    sw = " UNION ALL ".join(
+        f"(WITH {_shapiro_core(table, c)} SELECT '{c}' AS column_name, CASE WHEN sw.p > 0.05 "
+        "AND xs.n < 5000 THEN 'Normal distribution' ELSE 'Non-normal distribution' END AS dt "
+        "FROM xs LEFT JOIN sw ON true)" for c in cols)
+    return (
+        f"WITH {_facts_sql(table, cols)}, sw AS ({sw}), "
+        "mc AS (SELECT column_name, v, count(*) AS cnt FROM l GROUP BY 1, 2), "
+        "mo AS (SELECT column_name, v AS mode FROM (SELECT *, row_number() OVER (PARTITION BY "
+        "column_name ORDER BY cnt DESC, v) AS rn FROM mc) WHERE rn = 1) "
+        "SELECT g.column_name, sw.dt AS distribution_type, round(mean, 4) AS mean, "
+        "round(med, 4) AS median, round(mode, 4) AS mode, round(mx - mn, 4) AS range, "
+        "round(std, 4) AS std, round(q3 - q1, 4) AS iqr, round(cv, 4) AS coefficient_of_variation,"
+        " missing AS missing_values, round(mp, 4) AS missing_pct, outliers AS outlier_count, "
+        "round(op, 4) AS outlier_pct FROM g JOIN sw USING (column_name) "
+        "JOIN mo USING (column_name)")
+
+
+def _quick_sql() -> str:
+    facts = _facts_sql("events", EVENTS_NUM)
+    lines = [
+        "SELECT 'insight' AS section, 0 AS seq, 'The dataset contains ' || (SELECT count(*) "
+        "FROM events) || ' rows and 6 columns.' AS text",
+        "SELECT 'insight', 1, 'Key columns for analysis include: event_id, ts, user_id.'",
+        "SELECT 'insight', 2, 'Numeric columns: event_id, user_id, value.'",
+        "SELECT 'insight', 3, 'Text columns: event_type, props.'",
+        "SELECT 'insight', 4, 'Date columns: ts.'",
+        "SELECT 'insight', 100 + CASE column_name WHEN 'event_id' THEN 0 WHEN 'user_id' THEN 1 "
+        "ELSE 2 END, 'Potential outliers detected in ' || column_name || '.' FROM g "
+        "WHERE outliers > 0",
+        "SELECT 'insight', 10000, 'The event_id ranges from ' || printf('%.2f', mn) || ' to ' || "
+        "printf('%.2f', mx) || ' with an average of ' || printf('%.2f', mean) || '.' FROM g "
+        "WHERE column_name = 'event_id'",
+    ] + [f"SELECT 'recommendation', {i}, '{t}'" for i, t in enumerate(api.RECOMMENDATIONS)] + [
+        "SELECT 'visualization', 0, 'Distribution of event_id (bar: event_id vs event_id)'",
+        "SELECT 'visualization', 1, 'Relationship between event_id and user_id "
+        "(scatter: event_id vs user_id)'",
+        "SELECT 'visualization', 2, 'Trend of value over time (line: Time vs value)'",
+    ]
+    return f"WITH {facts} " + " UNION ALL ".join(lines)
+
+
 def _dbscan_sql(table: str, key: str, feats: list[str], eps: float, ms: int) -> str:
     """Brute-force DBSCAN: all-pairs neighbours, core counts, components by a
     recursive walk over core-core edges, border = smallest neighbouring cluster."""

@@ -6,7 +6,8 @@ from .operators.distribution import (box_plot, fences, histogram, iqr_outliers,
                                      value_counts_binned)
 from .operators.frames import (approx_quantiles, exact_quantiles, long_form,  # noqa: F401
                                numeric_columns, with_row_index)
-from .operators.insights import (chart_suggestions, column_facts, quick_insights,  # noqa: F401
+from .operators.insights import (RECOMMENDATIONS, chart_suggestions, column_facts,  # noqa: F401
+                                 quick_insights,
                                  statistical_insights, statistical_summary)
 from .operators.questions import ask, preview, systematic_sample, top_n  # noqa: F401
 from .operators.schema import (PROFILE_TERMS, LOAD_TERMS, classify_columns,  # noqa: F401

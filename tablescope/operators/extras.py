@@ -144,13 +144,14 @@ def top_segments(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
     """Revenue per (region, market segment) and its rank within the region.
 
     Line revenue is summed per order before the join (partial aggregation
-    shrinks the big side); nation and region have fixed, tiny sizes and are
-    broadcast; the rest is left to AQE.
+    shrinks the big side); join strategies (broadcast of the small dimension
+    tables, sort-merge of the big ones) are left to Spark's size statistics
+    and AQE.
     """
     per_order = (lineitem.groupBy("l_orderkey").agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("rev")))
-    geo = F.broadcast(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
-                      .select("n_nationkey", "r_name"))
+    geo = (nation.join(region, nation.n_regionkey == region.r_regionkey)
+           .select("n_nationkey", "r_name"))
     j = (per_order.join(orders.select("o_orderkey", "o_custkey"),
                         per_order.l_orderkey == orders.o_orderkey)
          .join(customer.select("c_custkey", "c_nationkey", "c_mktsegment"),
