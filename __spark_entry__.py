@@ -58,6 +58,11 @@ def q_describe_numeric(spark, sf):
     return _round(api.describe_numeric(_t(spark, sf, "lineitem")))
 
 
+def q_basic_stats(spark, sf):
+    df = api.basic_stats(_t(spark, sf, "orders"))
+    return _round(df.select(*[c for c in df.columns if not c.endswith("_text")]))
+
+
 def q_profile_columns(spark, sf):
     return api.profile_columns(_docs_labels(spark, sf))
 
@@ -498,6 +503,14 @@ def _oracles() -> dict[str, str]:
         "round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS median, "
         "round(quantile_cont(v, 0.75), 4) AS q3, round(max(v), 4) AS max "
         "FROM l GROUP BY column_name")
+    o["basic_stats"] = (
+        f"WITH {_unpivot('orders', ORDERS_NUM)} SELECT column_name, count(v) AS count, "
+        "round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, "
+        "round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, "
+        "round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.75), 4) AS q3, "
+        "round(max(v), 4) AS max, round(max(v) - min(v), 4) AS range, "
+        "round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 4) AS iqr "
+        "FROM l GROUP BY column_name")
     o["profile_columns"] = _profile_sql()
     o["missing_report"] = _missing_sql()
     o["skewness_by_column"] = (

@@ -13,7 +13,7 @@ from .operators.questions import ask, preview, systematic_sample, top_n  # noqa:
 from .operators.schema import (PROFILE_TERMS, LOAD_TERMS, classify_columns,  # noqa: F401
                                coerce_numeric, coerce_numeric_profile, coercion_report,
                                column_types, dropna_features)
-from .operators.stats import (adjacent_correlations, column_moments,  # noqa: F401
+from .operators.stats import (adjacent_correlations, basic_stats, column_moments,  # noqa: F401
                               column_summary, correlation_matrix, describe_numeric,
                               dispersion, fingerprint, kurtosis_by_column, missing_report,
                               mode_by_column, profile_columns, question_stats, shape,

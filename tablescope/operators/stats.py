@@ -136,6 +136,23 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
                     "q3", "max")
 
 
+def basic_stats(df: DataFrame, columns: Sequence[str] | None = None,
+                approx: bool = False) -> DataFrame:
+    """A5: describe + median, range and IQR, each also as ``'{:.2f}'`` text.
+
+    The numbers are the result; the ``*_text`` columns are display strings
+    (Spark rounds half-up on the decimal form, see C4).
+    """
+    s = column_summary(df, columns, QUARTILES, approx=approx)
+    nums = {"count": F.col("n"), "mean": F.col("mean"), "median": F.col("median"),
+            "std": F.col("std"), "min": F.col("min"), "q1": F.col("q1"), "q3": F.col("q3"),
+            "max": F.col("max"), "range": F.col("max") - F.col("min"),
+            "iqr": F.col("q3") - F.col("q1")}
+    return s.select(KEY, *[v.alias(k) for k, v in nums.items()],
+                    *[F.format_string("%.2f", v).alias(f"{k}_text")
+                      for k, v in nums.items() if k != "count"])
+
+
 def skew_label(s):
     """Text label of A6."""
     return (F.when(s.isNull(), F.lit(None))
