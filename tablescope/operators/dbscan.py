@@ -31,6 +31,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .cluster import Clustering, _z, scale_stats
@@ -72,7 +73,11 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
     keep = list(dict.fromkeys([*(id_cols or []), *feats]))
     base = clean.select(*[F.col(f"`{c}`") for c in keep],
                         F.array(*[_z(c, *st[c], types[c]) for c in feats]).alias("z"))
-    pts = with_row_index(base, order, "_rid")
+    if id_cols and len(id_cols) == 1 and isinstance(types[id_cols[0]], T.IntegralType):
+        # The caller's integer key already gives the row order: use it as is.
+        pts = base.withColumn("_rid", F.col(f"`{id_cols[0]}`").cast("long"))
+    else:
+        pts = with_row_index(base, order, "_rid")
     side = eps / math.sqrt(d)
     coarse_dims = [i for i, c in enumerate(feats) if st[c][1]][:3] or [0]
     # A coarse key groups m = ceil(sqrt(d)) fine cells per dimension; fine cells

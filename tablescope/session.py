@@ -31,6 +31,8 @@ def get_spark(app: str = "tablescope", master: str | None = None,
         # Wide per-column aggregates carry many buffer fields; keep them in
         # whole-stage codegen instead of falling back to interpreted mode.
         .config("spark.sql.codegen.maxFields", "2000")
+        # Checkpoint files of intermediate results are removed once unreferenced.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TABLESCOPE_DRIVER_MEMORY", "16g"))
     )
