@@ -18,7 +18,10 @@ Plan
    ``min_samples`` points) against neighbouring cells, so each point of a
    dense cell meets at most ``(#neighbour cells) * min_samples`` partners.
 4. Two dense neighbour cells are linked when some pair of their points is
-   within eps; only points within eps of the other cell's box take part.
+   within eps.  A linear witness stage decides most pairs: the point of each
+   cell nearest to the other cell's box is tested against all points of the
+   other cell.  Only pairs without a witness hit run the exact pairwise test,
+   restricted to points within eps of the other cell's box.
 5. Components of the cell graph: iterative min-label propagation, each round
    checkpointed (reliable checkpoint folder), until no label changes.
 """
@@ -122,15 +125,33 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
     e_sparse = (sparse_pairs.join(core_rids.select(F.col("r").alias("r1")), "r1")
                 .join(core_rids.select(F.col("r").alias("r2")), "r2")
                 .select(F.col("c1").alias("a"), F.col("c2").alias("b")))
-    dense_pairs = cell_pairs.where((F.col("n1") >= min_samples) & (F.col("n2") >= min_samples))
-    # (4) only points within eps of the other cell's box take part.
-    da = (dense_pairs.select("c1", "c2").join(p1, "c1")
+    dense_pairs = cell_pairs.where((F.col("n1") >= min_samples) & (F.col("n2") >= min_samples)
+                                   & (F.col("c1") < F.col("c2"))).select("c1", "c2")
+    # (4a) Witness stage, linear in cell sizes: the point of each cell nearest
+    # to the other cell's box is tested against every point of the other cell.
+    wa = (dense_pairs.join(p1, "c1")
+          .groupBy("c1", "c2").agg(F.min_by("z1", _point_box_gap2(F.col("z1"), F.col("c2"),
+                                                                  side)).alias("wa")))
+    wb = (dense_pairs.join(p2, "c2")
+          .groupBy("c1", "c2").agg(F.min_by("z2", _point_box_gap2(F.col("z2"), F.col("c1"),
+                                                                  side)).alias("wb")))
+    wit = cut_lineage(wa.join(wb, ["c1", "c2"]))
+    hit_b = (wit.join(p2, "c2").where(_sqdist(F.col("wa"), F.col("z2")) <= eps * eps)
+             .select("c1", "c2"))
+    hit_a = (wit.join(p1, "c1").where(_sqdist(F.col("wb"), F.col("z1")) <= eps * eps)
+             .select("c1", "c2"))
+    linked = cut_lineage(hit_a.unionByName(hit_b).distinct())
+    # (4b) Pairs still undecided: only points within eps of the other cell's
+    # box take part in the exact pairwise test.
+    open_pairs = dense_pairs.join(linked, ["c1", "c2"], "left_anti")
+    da = (open_pairs.join(p1, "c1")
           .where(_point_box_gap2(F.col("z1"), F.col("c2"), side) <= eps * eps))
-    db = p2.join(dense_pairs.select("c1", "c2"), "c2").where(
+    db = p2.join(open_pairs, "c2").where(
         _point_box_gap2(F.col("z2"), F.col("c1"), side) <= eps * eps)
     e_dense = (da.join(db.select("c1", "c2", "z2"), ["c1", "c2"])
                .where(_sqdist(F.col("z1"), F.col("z2")) <= eps * eps)
-               .select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct())
+               .select("c1", "c2").distinct().unionByName(linked)
+               .select(F.col("c1").alias("a"), F.col("c2").alias("b")))
     edges = e_sparse.unionByName(e_dense)
     edges = cut_lineage(edges.unionByName(edges.select(F.col("b").alias("a"),
                                                        F.col("a").alias("b"))).distinct())
