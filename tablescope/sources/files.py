@@ -138,10 +138,54 @@ def _apply_inference(df: DataFrame, cols: list[str], stats) -> DataFrame:
 
 
 def scan_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records (whole document) or newline-delimited records."""
+    """JSON as pandas reads it.
+
+    * an array of records (one document) -> ``multiLine`` read;
+    * newline-delimited records -> line reader (splits across tasks);
+    * a column-oriented object ``{column: {index: value}}`` -> exploded to
+      ``(column, index, value)``, pivoted back to one row per index, then typed
+      by the same inference pass as CSV.
+    """
+    import json as _json
     first = spark.read.text(path).where(F.trim("value") != "").first()
-    head = (first["value"].lstrip() if first else "")[:1]
-    return spark.read.json(path, multiLine=(head == "["))
+    line = (first["value"].strip() if first else "")
+    if line.startswith("["):
+        return spark.read.json(path, multiLine=True)
+    try:
+        obj = _json.loads(line)
+    except ValueError:
+        obj = None
+    if isinstance(obj, dict) and not (obj and all(isinstance(v, dict) for v in obj.values())):
+        return spark.read.json(path)                       # newline-delimited records
+    doc = spark.read.text(path, wholetext=True)
+    if obj is None:                                        # pretty-printed document
+        probe = doc.select(F.from_json("value", "map<string, string>").alias("m")).first()
+        inner = list((probe["m"] or {}).values())
+        if not inner or not all(str(v).lstrip().startswith("{") for v in inner):
+            return spark.read.json(path, multiLine=True)
+    return _columns_json(spark, doc)
+
+
+def _columns_json(spark: SparkSession, doc: DataFrame) -> DataFrame:
+    """``{column: {index: value}}`` -> rows ordered by index, typed by inference."""
+    m = F.from_json("value", "map<string, map<string, string>>")
+    cells = (doc.select(F.explode(m).alias("column", "vals"))
+             .select("column", F.explode("vals").alias("idx", "val")))
+    names = [r["column"] for r in doc.select(F.explode(F.map_keys(m)).alias("column"))
+             .collect()]
+    wide = cells.groupBy("idx").pivot("column", names).agg(F.first("val"))
+    # Row order follows the index (numeric when it is numeric, as pandas does).
+    wide = wide.orderBy(F.col("idx").try_cast("long"), "idx").drop("idx")
+    checks = []
+    for i, c in enumerate(names):
+        s = F.col(f"`{c}`")
+        nn = s.isNotNull()
+        checks += [F.count(s).alias(f"n{i}"),
+                   F.count(F.when(nn & ~s.rlike(LONG_PATTERN), 1)).alias(f"nl{i}"),
+                   F.count(F.when(nn & numeric_text(s).isNull(), 1)).alias(f"nd{i}"),
+                   F.count(F.when(nn & ~s.isin(TRUE_WORDS + FALSE_WORDS), 1)).alias(f"nb{i}")]
+    stats = wide.agg(F.count(F.lit(1)).alias("_rows"), *checks).collect()[0]
+    return _apply_inference(wide, names, stats)
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:

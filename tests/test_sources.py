@@ -70,3 +70,20 @@ def test_jdbc_derby_in_memory(spark):
                                            driver="org.apache.derby.jdbc.EmbeddedDriver")
              .collect()]
     assert "NATION" in names
+
+
+def test_json_column_oriented(spark):
+    import pandas as pd
+    d = _tmp()
+    pdf = pd.DataFrame({"a": [1, 2, 3], "b": ["x", "y", None], "c": [1.5, None, 3.0]})
+    pdf.to_json(f"{d}/cols.json")                       # pandas default: column-oriented
+    df = api.read_table(spark, f"{d}/cols.json")
+    back = pd.read_json(f"{d}/cols.json")
+    assert df.columns == list(back.columns)
+    rows = [tuple(r) for r in df.collect()]
+    assert rows == [(1, "x", 1.5), (2, "y", None), (3, None, 3.0)]
+    assert dict(df.dtypes) == {"a": "bigint", "b": "string", "c": "double"}
+    with open(f"{d}/pretty.json", "w") as fh:
+        fh.write('{\n  "a": {"0": 1, "1": 2},\n  "b": {"0": "u", "1": "v"}\n}\n')
+    assert [tuple(r) for r in api.read_table(spark, f"{d}/pretty.json").collect()] == \
+        [(1, "u"), (2, "v")]
