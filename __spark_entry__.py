@@ -67,6 +67,22 @@ def q_profile_columns(spark, sf):
     return api.profile_columns(_docs_labels(spark, sf))
 
 
+def q_profile_pages(spark, sf):
+    return api.profile_columns(_t(spark, sf, "pages"))
+
+
+def q_profile_conversations(spark, sf):
+    return api.profile_columns(_t(spark, sf, "conversations"))
+
+
+def q_profile_embeddings(spark, sf):
+    return api.profile_columns(_t(spark, sf, "embeddings"))
+
+
+def q_value_counts_text(spark, sf):
+    return api.value_counts(_t(spark, sf, "conversations"), "role").drop("label")
+
+
 def q_missing_report(spark, sf):
     return _round(api.missing_report(_docs_labels(spark, sf)))
 
@@ -416,15 +432,19 @@ def _unpivot(table: str, cols: list[str], where: str = "") -> str:
             f"l AS (UNPIVOT w ON {', '.join(cols)} INTO NAME column_name VALUE v)")
 
 
-def _profile_sql() -> str:
-    cols = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"),
-            ("source", "string"), ("n_chars", "bigint"), ("quality", "int"), ("toxic", "int")]
+def _profile_sql(table: str = "", cols: list[tuple[str, str]] | None = None) -> str:
+    if not table:
+        cols = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"),
+                ("source", "string"), ("n_chars", "bigint"), ("quality", "int"),
+                ("toxic", "int")]
+        src = ("WITH j AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, "
+               "l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ")
+    else:
+        src = f"WITH j AS (SELECT * FROM {table}) "
     parts = [f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS dtype, "
              f"count(DISTINCT {c}) AS unique_count, count(*) - count({c}) AS missing_count "
              f"FROM j" for i, (c, t) in enumerate(cols)]
-    return ("WITH j AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, "
-            "l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) "
-            + " UNION ALL ".join(parts))
+    return src + " UNION ALL ".join(parts)
 
 
 def _missing_sql() -> str:
@@ -512,6 +532,15 @@ def _oracles() -> dict[str, str]:
         "round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 4) AS iqr "
         "FROM l GROUP BY column_name")
     o["profile_columns"] = _profile_sql()
+    o["profile_pages"] = _profile_sql("pages", [("page_id", "bigint"), ("url", "string"),
+                                                ("html", "string")])
+    o["profile_conversations"] = _profile_sql(
+        "conversations", [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"),
+                          ("text", "string")])
+    o["profile_embeddings"] = _profile_sql(
+        "embeddings", [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")])
+    o["value_counts_text"] = ("SELECT role AS value, count(*) AS count FROM conversations "
+                              "WHERE role IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 20")
     o["missing_report"] = _missing_sql()
     o["skewness_by_column"] = (
         f"WITH {_unpivot('events', EVENTS_NUM)}, s AS (SELECT column_name, skewness(v) AS s "
