@@ -681,7 +681,7 @@ def _oracles() -> dict[str, str]:
         "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, "
         "round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, "
         "round(regr_r2(l_extendedprice, l_quantity), 4) AS r2, "
-        "regr_count(l_extendedprice, l_quantity) AS n FROM lineitem")
+        "CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem")
     per = ("per AS (SELECT date_trunc('month', o_orderdate) AS period, count(*) AS n, "
            "sum(o_totalprice) AS total, avg(o_totalprice) AS average FROM orders GROUP BY 1)")
     o["ts_monthly"] = (f"WITH {per} SELECT period, n, round(total, 2) AS total, "
