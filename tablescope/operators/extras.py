@@ -15,6 +15,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import as_double, numeric_text
 from .frames import resolve_columns
@@ -81,9 +82,16 @@ def regression(df: DataFrame, y: str, features: Sequence[str], key: Sequence[str
     return {"coefficients": coef, "test_error": err}
 
 
+def _period(df: DataFrame, ts: str, period: str):
+    """Start of the calendar period, keeping a time-zone-free input time-zone free."""
+    dt = {f.name: f.dataType for f in df.schema.fields}[ts]
+    p = F.date_trunc(period, F.col(f"`{ts}`"))
+    return p.cast("timestamp_ntz") if isinstance(dt, T.TimestampNTZType) else p
+
+
 def ts_periodic(df: DataFrame, ts: str, value: str, period: str = "month") -> DataFrame:
     """``(period, n, total, average)`` per calendar period."""
-    p = F.date_trunc(period, F.col(f"`{ts}`")).alias("period")
+    p = _period(df, ts, period).alias("period")
     return (df.groupBy(p).agg(F.count(F.lit(1)).alias("n"),
                               F.sum(F.col(f"`{value}`")).alias("total"),
                               F.avg(F.col(f"`{value}`")).alias("average")))
@@ -166,7 +174,7 @@ def top_segments(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
 def retention(df: DataFrame, customer: str, ts: str, period: str = "month") -> DataFrame:
     """Share of customers active in a period who are active again next period."""
     act = df.select(F.col(f"`{customer}`").alias("cust"),
-                    F.date_trunc(period, F.col(f"`{ts}`")).alias("period")).distinct()
+                    _period(df, ts, period).alias("period")).distinct()
     unit = period.upper()
     nxt = act.select("cust", F.expr(f"timestampadd({unit}, -1, period)").alias("period"),
                      F.lit(1).alias("back"))

@@ -39,6 +39,22 @@ def _digest(columns, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
 
 
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                 "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "DATE": "date",
+                 "FLOAT": "float", "FLOAT[]": "array<float>", "SMALLINT": "smallint"}
+
+
+def type_mismatches(sdf, rel) -> list[str]:
+    """Columns whose Spark type differs from the oracle's (after type mapping)."""
+    spark_t = dict(sdf.dtypes)
+    out = []
+    for name, dtype in [(d[0], d[1]) for d in rel.description]:
+        want = DUCK_TO_SPARK.get(str(dtype), str(dtype))
+        if spark_t.get(name) != want:
+            out.append(f"{name}: spark {spark_t.get(name)} vs oracle {dtype}")
+    return out
+
+
 def duck(sf: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -78,6 +94,9 @@ def run(names=None, sf="/root/testdata/sf0.01"):
             results[name] = f"ORACLE ERROR {str(e)[:300]}"
             print(name, results[name], flush=True)
             continue
+        bad_types = type_mismatches(sdf, rel)
+        if bad_types:
+            print(f"   TYPES {name}: {bad_types}")
         hs, ls = _digest(scols, srows)
         ho, lo = _digest(ocols, orows)
         ok = sorted(scols) == sorted(ocols) and len(srows) == len(orows) and hs == ho
