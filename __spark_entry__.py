@@ -26,8 +26,10 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def _round(df: DataFrame, digits: int = 4, overrides: dict[str, int] | None = None
            ) -> DataFrame:
     overrides = overrides or {}
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (IEEE), so the sign of a zero never
+    # depends on summation order.
     return df.withColumns({
-        f.name: F.round(F.col(f"`{f.name}`"), overrides.get(f.name, digits))
+        f.name: F.round(F.col(f"`{f.name}`"), overrides.get(f.name, digits)) + F.lit(0.0)
         for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 
@@ -925,5 +927,7 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query key (omitted for invariant-only operators)."""
     global _ORACLES
     if _ORACLES is None:
-        _ORACLES = _oracles()
+        import re
+        # Same signed-zero normalisation as ``_round`` on the Spark side.
+        _ORACLES = {k: re.sub(r"\bround\(", "0.0 + round(", v) for k, v in _oracles().items()}
     return {k: v for k, v in _ORACLES.items() if k in QUERIES}

@@ -15,6 +15,7 @@ from .operators.schema import (PROFILE_TERMS, LOAD_TERMS, classify_columns,  # n
                                column_types, dropna_features)
 from .operators.stats import (adjacent_correlations, basic_stats, column_moments,  # noqa: F401
                               column_summary, correlation_matrix, describe_numeric,
+                              shared_summaries,
                               dispersion, fingerprint, kurtosis_by_column, missing_report,
                               mode_by_column, profile_columns, question_stats, shape,
                               skewness_by_column)

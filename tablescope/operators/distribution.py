@@ -62,9 +62,10 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None,
         v = as_double(c, types[c])
         cond = (v < F.lit(lo)) | (v > F.lit(hi)) if lo is not None else F.lit(False)
         aggs.append(F.count(F.when(cond, 1)).alias(f"o{i}"))
-    counts = df.agg(*aggs).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias(KEY), F.col(f"o{i}").alias("outliers"))
-        for i, c in enumerate(cols)])))
+    # One row per column, read back like the summary it extends.
+    row = df.agg(*aggs).first()
+    counts = df.sparkSession.createDataFrame(
+        [(c, row[f"o{i}"]) for i, c in enumerate(cols)], f"{KEY} string, outliers long")
     return f.join(counts, KEY)
 
 

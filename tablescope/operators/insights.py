@@ -103,9 +103,12 @@ def statistical_summary(df: DataFrame, columns: Sequence[str] | None = None,
                         approx: bool = False) -> DataFrame:
     """I6 flattened: distribution type, central tendency, dispersion, data quality."""
     from .frames import long_form, mode_table
+    from .stats import shared_summaries
     cols = resolve_columns(df, columns)
-    f = column_facts(df, cols, approx)
-    sw = shapiro_wilk(df, cols).select(KEY, F.col("interpretation").alias("distribution_type"))
+    with shared_summaries():
+        f = column_facts(df, cols, approx)
+        sw = shapiro_wilk(df, cols).select(KEY, F.col("interpretation")
+                                           .alias("distribution_type"))
     mode = mode_table(long_form(df, cols))
     return (f.join(sw, KEY).join(mode, KEY, "left")
             .select(KEY, "distribution_type", "mean", "median", "mode",
@@ -135,6 +138,12 @@ def quick_insights(df: DataFrame, query: str | None = None, approx: bool = False
     percentages, outlier flags, range of the first numeric column) come from
     bounded per-column aggregates.
     """
+    from .stats import shared_summaries
+    with shared_summaries():
+        return _quick_insights(df, query, approx)
+
+
+def _quick_insights(df: DataFrame, query: str | None, approx: bool) -> DataFrame:
     spark = df.sparkSession
     num, txt, dat = numeric_columns(df), text_columns(df), date_columns(df)
     cols = list(df.columns)

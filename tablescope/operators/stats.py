@@ -9,7 +9,9 @@ one-row-per-column summaries ever reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+import threading
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,31 +73,52 @@ SUMMARY_SCHEMA = ("column_name string, position int, n long, rows long, mean dou
                   "kurtosis double")
 
 
+_SCOPE = threading.local()
+
+
+@contextlib.contextmanager
+def shared_summaries(store: dict | None = None) -> Iterator[dict]:
+    """Within this scope, :func:`column_summary` reuses moments and quantiles
+    already computed for the same plan and columns (results are one row per
+    column, kept on the driver).  Outside any scope nothing is cached."""
+    prev = getattr(_SCOPE, "store", None)
+    _SCOPE.store = prev if store is None and prev is not None else (
+        store if store is not None else {})
+    try:
+        yield _SCOPE.store
+    finally:
+        _SCOPE.store = prev
+
+
 def column_summary(df: DataFrame, columns: Sequence[str] | None = None,
                    quantiles: dict[str, float] | None = None, approx: bool = False,
                    exact_limit: int = EXACT_PERCENTILE_MAX_DISTINCT) -> DataFrame:
     """Moments + named quantiles, one row per numeric column (bounded size).
 
-    Two passes over ``df``: the moment aggregate (which also estimates each
-    column's distinct count), then the quantiles.  The result has one row per
-    column and is materialised on the driver (schema-width data only) so that
-    downstream operators can broadcast it safely.
+    Two passes over ``df``: the moment aggregate, then the quantiles.  The
+    result has one row per column and is materialised on the driver
+    (schema-width data only) so that downstream operators can broadcast it
+    safely.  Inside :func:`shared_summaries` both passes are reused.
     """
     spark = df.sparkSession
     cols = resolve_columns(df, columns)
     quantiles = dict(QUARTILES if quantiles is None else quantiles)
     types = {f.name: f.dataType for f in df.schema.fields}
-    m = column_moments(df, cols).collect()
-    rows = {r[KEY]: r.asDict() for r in m}
-    probs = sorted(set(quantiles.values()))
-    qvals: dict[tuple[str, float], float | None] = {}
+    store = getattr(_SCOPE, "store", None)
+    key = (df.semanticHash(), tuple(cols), approx, exact_limit) if store is not None else None
+    entry = store.get(key) if key is not None else None
+    if entry is None:
+        m = column_moments(df, cols).collect()
+        entry = {"rows": {r[KEY]: r.asDict() for r in m}, "q": {}}
+        if key is not None:
+            store[key] = entry
+    rows, qvals = entry["rows"], entry["q"]
+    probs = sorted({float(p) for p in quantiles.values()} - {p for (_, p) in qvals})
     if probs:
         if approx:
             q = approx_quantiles(long_form(df, cols), probs).collect()
-            qvals = {(r[KEY], r["p"]): r["q"] for r in q}
+            qvals.update({(r[KEY], r["p"]): r["q"] for r in q})
         elif _distinct_bounded(df, cols, rows, exact_limit):
-            # Map-based exact percentile, one group per column: its memory is
-            # bounded by the checked distinct count.
             # Distinct (value, count) pairs first: a code-generated hash
             # aggregate; the percentile map then sees each value once.
             q = (distinct_counts(long_form(df, cols)).groupBy(KEY)
@@ -106,7 +129,10 @@ def column_summary(df: DataFrame, columns: Sequence[str] | None = None,
             counts = spark.createDataFrame([(c, rows[c]["n"]) for c in cols],
                                            f"{KEY} string, n long")
             q = exact_quantiles(long_form(df, cols), probs, counts=counts).collect()
-            qvals = {(r[KEY], r["p"]): r["q"] for r in q}
+            qvals.update({(r[KEY], r["p"]): r["q"] for r in q})
+        for c in cols:                       # columns without values: NULL quantiles
+            for p in probs:
+                qvals.setdefault((c, p), None)
     names = list(quantiles)
     data = [tuple(rows[c][k] for k in ("column_name", "position", "n", "rows", "mean", "std",
                                         "min", "max", "sum", "skewness", "kurtosis"))

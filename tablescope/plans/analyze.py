@@ -15,12 +15,18 @@ from ..operators.frames import numeric_columns
 
 class LazyResults(dict):
     """Named results built on first access (building some of them runs small
-    summary jobs, so unused outputs cost nothing)."""
+    summary jobs, so unused outputs cost nothing).  All of them share one
+    summary scope, so moments and quantiles are computed once per column."""
+
+    def __init__(self, *args, **kw):
+        super().__init__(*args, **kw)
+        self._summaries: dict = {}
 
     def __getitem__(self, key):
         value = super().__getitem__(key)
         if callable(value):
-            value = value()
+            with stats.shared_summaries(self._summaries):
+                value = value()
             super().__setitem__(key, value)
         return value
 
