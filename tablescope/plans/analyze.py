@@ -121,18 +121,21 @@ def column_charts(df: DataFrame, column: str | None = None,
     if not num:
         return {"numeric_columns": [], "selected_column": None}
     sel = column if column in num else num[0]
-    out: dict[str, object] = {
-        "numeric_columns": num, "selected_column": sel,
-        "value_counts": distribution.value_counts_all(coerced, num),
-        "histogram": distribution.histogram(coerced, num, 10),
-    }
-    if order_by:
-        out["samples"] = {c: questions.systematic_sample(coerced, c, order_by) for c in num}
+    with stats.shared_summaries():
+        out: dict[str, object] = {
+            "numeric_columns": num, "selected_column": sel,
+            "value_counts": distribution.value_counts_all(coerced, num),
+            "histogram": distribution.histogram(coerced, num, 10),
+        }
+        if order_by:
+            out["samples"] = {c: questions.systematic_sample(coerced, c, order_by)
+                              for c in num}
     return out
 
 
 def table_context(df: DataFrame, order_by: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Five sample rows, numeric description and per-column profile."""
-    return {"sample": questions.preview(df, 5, order_by),
-            "describe": stats.describe_numeric(df),
-            "profile": stats.profile_columns(df)}
+    with stats.shared_summaries():
+        return {"sample": questions.preview(df, 5, order_by),
+                "describe": stats.describe_numeric(df),
+                "profile": stats.profile_columns(df)}
