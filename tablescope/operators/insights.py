@@ -33,9 +33,66 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None,
         F.when(F.col("mean") != 0, F.col("std") / F.col("mean") * 100).alias("cv"))
 
 
-def _rule(cond, rule, severity, title, message, metric):
-    return F.when(cond, F.struct(F.lit(rule).alias("rule"), severity.alias("severity"),
-                                 F.lit(title).alias("title"), message.alias("message"),
+# ---------------------------------------------------------------------------
+# Thresholds of the insight rules.
+NORMAL_BELOW = 0.5            # |skewness| and |kurtosis| below: normal
+NON_NORMAL_ABOVE = 1.0        # |skewness| or |kurtosis| above: non-normal
+TRANSFORM_SKEW_ABOVE = 1.5    # |skewness| above: suggest a transformation
+OUTLIER_WARNING_ABOVE = 2     # outlier % above: warning, else info
+OUTLIER_SIGNIFICANT_ABOVE = 5  # outlier % effect: significant / moderate / minimal
+OUTLIER_MODERATE_ABOVE = 1
+MISSING_SEVERE_ABOVE = 15     # missing %: severe (danger) / moderate (warning) / minor (info)
+MISSING_MODERATE_ABOVE = 5
+CV_HIGH_ABOVE = 30            # coefficient of variation %
+CV_LOW_BELOW = 5
+SHAPE_KURTOSIS_ABOVE = 1.5
+
+# Insight titles and message templates ({name} = computed value).
+TEXT = {
+    "normal": ("Normal Distribution",
+               "The distribution of {column} appears to be approximately normal (skewness: "
+               "{skew}, kurtosis: {kurt}), making it suitable for parametric statistical tests."),
+    "non_normal": ("Non-Normal Distribution",
+                   "The distribution of {column} deviates significantly from normal (skewness: "
+                   "{skew}, kurtosis: {kurt}). Consider using non-parametric tests or "
+                   "transforming the data."),
+    "transformation": ("Transformation Suggestion",
+                       "Due to the high skewness ({skew}), consider applying a {transform} to "
+                       "normalize the data."),
+    "outliers": ("Outliers Detected",
+                 "Found {count} outliers ({pct}% of data) which may have a {effect} effect on "
+                 "your analysis."),
+    "missing": ("Missing Values",
+                "This column has {count} missing values ({pct}% of data), which represents a "
+                "{severity} data quality issue. Consider imputation or filtering strategies."),
+    "high_cv": ("High Variability",
+                "The coefficient of variation is {cv}%, indicating high data variability. This "
+                "may suggest heterogeneity in your data."),
+    "low_cv": ("Low Variability",
+               "The coefficient of variation is only {cv}%, indicating low data variability. "
+               "This may suggest homogeneity in your data."),
+    "shape": ("Distribution Shape",
+              "The distribution is {peak} than a normal distribution with {tails}."),
+}
+TRANSFORMS = ("log transformation", "square transformation")          # skew > 0 / < 0
+PEAKS = ("more peaked (leptokurtic)", "more flat (platykurtic)")        # kurtosis > 0 / < 0
+TAILS = ("heavier tails", "lighter tails")
+# ---------------------------------------------------------------------------
+
+
+def _render(template: str, **values) -> "F.Column":
+    """``format_string`` for a template with ``{name}`` placeholders."""
+    import re
+    names = re.findall(r"\{(\w+)\}", template)
+    fmt = re.sub(r"\{\w+\}", "%s", template.replace("%", "%%"))
+    return F.format_string(fmt, *[values[n].cast("string") for n in names])
+
+
+def _rule(cond, rule, level, key, metric, **values):
+    title, template = TEXT[key]
+    return F.when(cond, F.struct(F.lit(rule).alias("rule"), level.alias("severity"),
+                                 F.lit(title).alias("title"),
+                                 _render(template, **values).alias("message"),
                                  metric.cast("double").alias("metric")))
 
 
@@ -45,55 +102,34 @@ def statistical_insights(df: DataFrame, columns: Sequence[str] | None = None,
     f = column_facts(df, columns, approx)
     c = F.col(KEY)
     sk, ku = F.col("skewness"), F.col("kurtosis")
-    s3 = F.format_string("%.3f", sk)
-    k3 = F.format_string("%.3f", ku)
-    normal = (F.abs(sk) < 0.5) & (F.abs(ku) < 0.5)
-    non_normal = ~normal & ((F.abs(sk) > 1) | (F.abs(ku) > 1))
+    s3, k3 = F.format_string("%.3f", sk), F.format_string("%.3f", ku)
+    normal = (F.abs(sk) < NORMAL_BELOW) & (F.abs(ku) < NORMAL_BELOW)
+    non_normal = ~normal & ((F.abs(sk) > NON_NORMAL_ABOVE) | (F.abs(ku) > NON_NORMAL_ABOVE))
     op, mp, cv = F.col("outlier_pct"), F.col("missing_pct"), F.col("cv")
+    two = lambda x: F.format_string("%.2f", x)
     rules = [
-        _rule(normal, "normality", F.lit("success"), "Normal Distribution",
-              F.format_string("The distribution of %s appears to be approximately normal "
-                              "(skewness: %s, kurtosis: %s), making it suitable for "
-                              "parametric statistical tests.", c, s3, k3), sk),
-        _rule(non_normal, "normality", F.lit("warning"), "Non-Normal Distribution",
-              F.format_string("The distribution of %s deviates significantly from normal "
-                              "(skewness: %s, kurtosis: %s). Consider using non-parametric "
-                              "tests or transforming the data.", c, s3, k3), sk),
-        _rule(non_normal & (F.abs(sk) > 1.5), "transformation", F.lit("info"),
-              "Transformation Suggestion",
-              F.format_string("Due to the high skewness (%s), consider applying a %s to "
-                              "normalize the data.", s3,
-                              F.when(sk > 0, "log transformation")
-                              .otherwise("square transformation")), sk),
+        _rule(normal, "normality", F.lit("success"), "normal", sk, column=c, skew=s3, kurt=k3),
+        _rule(non_normal, "normality", F.lit("warning"), "non_normal", sk,
+              column=c, skew=s3, kurt=k3),
+        _rule(non_normal & (F.abs(sk) > TRANSFORM_SKEW_ABOVE), "transformation", F.lit("info"),
+              "transformation", sk, skew=s3,
+              transform=F.when(sk > 0, TRANSFORMS[0]).otherwise(TRANSFORMS[1])),
         _rule(F.col("outliers") > 0, "outliers",
-              F.when(op > 2, "warning").otherwise("info"), "Outliers Detected",
-              F.format_string("Found %d outliers (%s%% of data) which may have a %s effect "
-                              "on your analysis.", F.col("outliers"),
-                              F.format_string("%.2f", op),
-                              F.when(op > 5, "significant").when(op > 1, "moderate")
-                              .otherwise("minimal")), op),
+              F.when(op > OUTLIER_WARNING_ABOVE, "warning").otherwise("info"), "outliers", op,
+              count=F.col("outliers"), pct=two(op),
+              effect=F.when(op > OUTLIER_SIGNIFICANT_ABOVE, "significant")
+              .when(op > OUTLIER_MODERATE_ABOVE, "moderate").otherwise("minimal")),
         _rule(F.col("missing") > 0, "missing",
-              F.when(mp > 15, "danger").when(mp > 5, "warning").otherwise("info"),
-              "Missing Values",
-              F.format_string("This column has %d missing values (%s%% of data), which "
-                              "represents a %s data quality issue. Consider imputation or "
-                              "filtering strategies.", F.col("missing"),
-                              F.format_string("%.2f", mp),
-                              F.when(mp > 15, "severe").when(mp > 5, "moderate")
-                              .otherwise("minor")), mp),
-        _rule(cv > 30, "variability", F.lit("info"), "High Variability",
-              F.format_string("The coefficient of variation is %s%%, indicating high data "
-                              "variability. This may suggest heterogeneity in your data.",
-                              F.format_string("%.2f", cv)), cv),
-        _rule(cv < 5, "variability", F.lit("info"), "Low Variability",
-              F.format_string("The coefficient of variation is only %s%%, indicating low "
-                              "data variability. This may suggest homogeneity in your data.",
-                              F.format_string("%.2f", cv)), cv),
-        _rule(F.abs(ku) > 1.5, "shape", F.lit("info"), "Distribution Shape",
-              F.format_string("The distribution is %s than a normal distribution with %s.",
-                              F.when(ku > 0, "more peaked (leptokurtic)")
-                              .otherwise("more flat (platykurtic)"),
-                              F.when(ku > 0, "heavier tails").otherwise("lighter tails")), ku),
+              F.when(mp > MISSING_SEVERE_ABOVE, "danger")
+              .when(mp > MISSING_MODERATE_ABOVE, "warning").otherwise("info"), "missing", mp,
+              count=F.col("missing"), pct=two(mp),
+              severity=F.when(mp > MISSING_SEVERE_ABOVE, "severe")
+              .when(mp > MISSING_MODERATE_ABOVE, "moderate").otherwise("minor")),
+        _rule(cv > CV_HIGH_ABOVE, "variability", F.lit("info"), "high_cv", cv, cv=two(cv)),
+        _rule(cv < CV_LOW_BELOW, "variability", F.lit("info"), "low_cv", cv, cv=two(cv)),
+        _rule(F.abs(ku) > SHAPE_KURTOSIS_ABOVE, "shape", F.lit("info"), "shape", ku,
+              peak=F.when(ku > 0, PEAKS[0]).otherwise(PEAKS[1]),
+              tails=F.when(ku > 0, TAILS[0]).otherwise(TAILS[1])),
     ]
     arr = F.filter(F.array(*rules), lambda x: x.isNotNull())
     return f.select(KEY, F.inline(arr))
@@ -119,6 +155,22 @@ def statistical_summary(df: DataFrame, columns: Sequence[str] | None = None,
                     F.col("outliers").alias("outlier_count"), "outlier_pct"))
 
 
+# Quick-insight sentences of I2 ({name} = computed value).
+QUICK = {
+    "shape": "The dataset contains {rows} rows and {columns} columns.",
+    "key_columns": "Key columns for analysis include: {names}.",
+    "numeric": "Numeric columns: {names}.",
+    "text": "Text columns: {names}.",
+    "dates": "Date columns: {names}.",
+    "missing": "Columns with missing values: {items}.",
+    "missing_item": "{column} ({pct}% missing)",
+    "outliers": "Potential outliers detected in {column}.",
+    "range": "The {column} ranges from {min} to {max} with an average of {mean}.",
+    "question": "To answer your specific question about '{query}', additional targeted "
+                "analysis may be needed.",
+}
+NO_COLUMNS = "None"
+
 # Recommendation sentences of I4.
 RECOMMENDATIONS = [
     "Consider running a more detailed statistical analysis on the key numeric variables.",
@@ -128,7 +180,7 @@ RECOMMENDATIONS = [
 
 
 def _names(cols: list[str]) -> str:
-    return ", ".join(cols) if cols else "None"
+    return ", ".join(cols) if cols else NO_COLUMNS
 
 
 def quick_insights(df: DataFrame, query: str | None = None, approx: bool = False) -> DataFrame:
@@ -149,17 +201,15 @@ def _quick_insights(df: DataFrame, query: str | None, approx: bool) -> DataFrame
     cols = list(df.columns)
     sh = shape(df)
     lines = sh.select(F.inline(F.array(
-        F.struct(F.lit(0).alias("seq"), F.format_string(
-            "The dataset contains %d rows and %d columns.", "rows", "columns").alias("text")),
-        *[F.struct(F.lit(i).alias("seq"), F.lit(t).alias("text")) for i, t in [
-            (1, f"Key columns for analysis include: {', '.join(cols[:3])}."),
-            (2, f"Numeric columns: {_names(num)}."),
-            (3, f"Text columns: {_names(txt)}."),
-            (4, f"Date columns: {_names(dat)}.")]]))).select(
+        F.struct(F.lit(0).alias("seq"), _render(QUICK["shape"], rows=F.col("rows"),
+                                                 columns=F.col("columns")).alias("text")),
+        *[F.struct(F.lit(i).alias("seq"), F.lit(QUICK[k].format(names=v)).alias("text"))
+          for i, k, v in [(1, "key_columns", ", ".join(cols[:3])), (2, "numeric", _names(num)),
+                          (3, "text", _names(txt)), (4, "dates", _names(dat))]]))).select(
         F.lit("insight").alias("section"), "seq", "text")
     miss = missing_report(df).select(
-        F.format_string("%s (%s%% missing)", KEY, F.format_string("%.1f", "pct_missing"))
-        .alias("item"), KEY)
+        _render(QUICK["missing_item"], column=F.col(KEY),
+                pct=F.format_string("%.1f", "pct_missing")).alias("item"), KEY)
     # One row per column with missing values: bounded by the schema width.
     order = {c: i for i, c in enumerate(cols)}
     order_df = spark.createDataFrame(list(order.items()), f"{KEY} string, pos int")
@@ -169,8 +219,7 @@ def _quick_insights(df: DataFrame, query: str | None, approx: bool) -> DataFrame
                       F.count(F.lit(1)).alias("k"))
                  .where(F.col("k") > 0)
                  .select(F.lit("insight").alias("section"), F.lit(5).alias("seq"),
-                         F.format_string("Columns with missing values: %s.", "items")
-                         .alias("text")))
+                         _render(QUICK["missing"], items=F.col("items")).alias("text")))
     parts = [lines, miss_line]
     if num:
         oc = outlier_counts(df, num, approx=approx)
@@ -178,15 +227,14 @@ def _quick_insights(df: DataFrame, query: str | None, approx: bool) -> DataFrame
         pos_df = spark.createDataFrame(list(pos.items()), f"{KEY} string, pos int")
         parts.append(oc.where(F.col("outliers") > 0).join(F.broadcast(pos_df), KEY).select(
             F.lit("insight").alias("section"), (F.lit(100) + F.col("pos")).alias("seq"),
-            F.format_string("Potential outliers detected in %s.", KEY).alias("text")))
+            _render(QUICK["outliers"], column=F.col(KEY)).alias("text")))
         first = oc.where(F.col(KEY) == num[0])
         parts.append(first.select(
             F.lit("insight").alias("section"), F.lit(10000).alias("seq"),
-            F.format_string("The %s ranges from %s to %s with an average of %s.", KEY,
-                            F.format_string("%.2f", "min"), F.format_string("%.2f", "max"),
-                            F.format_string("%.2f", "mean")).alias("text")))
-    recs = RECOMMENDATIONS + ([f"To answer your specific question about '{query}', "
-                               "additional targeted analysis may be needed."] if query else [])
+            _render(QUICK["range"], column=F.col(KEY), min=F.format_string("%.2f", "min"),
+                    max=F.format_string("%.2f", "max"),
+                    mean=F.format_string("%.2f", "mean")).alias("text")))
+    recs = RECOMMENDATIONS + ([QUICK["question"].format(query=query)] if query else [])
     static = [("recommendation", i, t) for i, t in enumerate(recs)]
     static += [("visualization", i, t) for i, t in enumerate(_chart_lines(cols, num))]
     parts.append(spark.createDataFrame(static, "section string, seq int, text string"))

@@ -179,21 +179,27 @@ def basic_stats(df: DataFrame, columns: Sequence[str] | None = None,
                       for k, v in nums.items() if k != "count"])
 
 
+# Interpretation labels of skewness (A6) and kurtosis.
+SYMMETRIC_BELOW, MODERATE_SKEW_BELOW, NORMAL_KURTOSIS_BELOW = 0.5, 1.0, 0.5
+SKEW_LABELS = ("Approximately symmetric", "Moderately skewed",
+               "Highly skewed to the right (positive)", "Highly skewed to the left (negative)")
+KURTOSIS_LABELS = ("Approximately normal", "Leptokurtic (heavier tails than normal)",
+                   "Platykurtic (lighter tails than normal)")
+
+
 def skew_label(s):
     """Text label of A6."""
     return (F.when(s.isNull(), F.lit(None))
-            .when(F.abs(s) < 0.5, "Approximately symmetric")
-            .when(F.abs(s) < 1.0, "Moderately skewed")
-            .when(s > 0, "Highly skewed to the right (positive)")
-            .otherwise("Highly skewed to the left (negative)"))
+            .when(F.abs(s) < SYMMETRIC_BELOW, SKEW_LABELS[0])
+            .when(F.abs(s) < MODERATE_SKEW_BELOW, SKEW_LABELS[1])
+            .when(s > 0, SKEW_LABELS[2]).otherwise(SKEW_LABELS[3]))
 
 
 def kurtosis_label(k):
     """Text label of A7."""
     return (F.when(k.isNull(), F.lit(None))
-            .when(F.abs(k) < 0.5, "Approximately normal")
-            .when(k > 0, "Leptokurtic (heavier tails than normal)")
-            .otherwise("Platykurtic (lighter tails than normal)"))
+            .when(F.abs(k) < NORMAL_KURTOSIS_BELOW, KURTOSIS_LABELS[0])
+            .when(k > 0, KURTOSIS_LABELS[1]).otherwise(KURTOSIS_LABELS[2]))
 
 
 def skewness_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
