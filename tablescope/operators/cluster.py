@@ -144,6 +144,16 @@ def pca_projection(df: DataFrame, features: Sequence[str] | None = None,
     return out.select(*[F.col(f"`{k}`") for k in keep], "pca_x", "pca_y"), loadings
 
 
+# Cluster-balance thresholds and insight messages of I3.
+IMBALANCED_ABOVE, BALANCED_BELOW, TOP_FEATURES = 10, 1.5, 3
+CLUSTER_TEXT = {
+    "imbalanced": "Clusters are highly imbalanced (largest/smallest ratio: {ratio:.1f}). "
+                  "Consider adjusting the number of clusters or using a different algorithm.",
+    "balanced": "Clusters are well-balanced in size, suggesting a good separation of data.",
+    "features": "The most important features for clustering appear to be: {features}",
+}
+
+
 def cluster_insights(result: Clustering) -> DataFrame:
     """Balance warning/success and the top features (k-means only)."""
     spark = result.assignments.sparkSession
@@ -151,17 +161,13 @@ def cluster_insights(result: Clustering) -> DataFrame:
     rows = []
     if len(sizes) > 1:
         ratio = max(sizes) / min(sizes) if min(sizes) > 0 else float("inf")
-        if ratio > 10:
-            rows.append(("warning", "Clusters are highly imbalanced (largest/smallest ratio: "
-                                    f"{ratio:.1f}). Consider adjusting the number of clusters "
-                                    "or using a different algorithm."))
-        elif ratio < 1.5:
-            rows.append(("success", "Clusters are well-balanced in size, suggesting a good "
-                                    "separation of data."))
+        if ratio > IMBALANCED_ABOVE:
+            rows.append(("warning", CLUSTER_TEXT["imbalanced"].format(ratio=ratio)))
+        elif ratio < BALANCED_BELOW:
+            rows.append(("success", CLUSTER_TEXT["balanced"]))
         if result.algorithm == "kmeans":
-            top = [r["feature"] for r in feature_importance(result).collect()]
-            rows.append(("info", "The most important features for clustering appear to be: "
-                                 + ", ".join(top)))
+            top = [r["feature"] for r in feature_importance(result, TOP_FEATURES).collect()]
+            rows.append(("info", CLUSTER_TEXT["features"].format(features=", ".join(top))))
     return spark.createDataFrame(rows, "type string, message string")
 
 

@@ -167,6 +167,11 @@ def histogram(df: DataFrame, columns: Sequence[str] | str | None = None,
     return out.withColumn("label", histogram_label(F.col("lower"), F.col("upper")))
 
 
+# Histogram bin labels (A13) by bin width: both edges integral ->
+# "{lo:,} - {hi:,}"; width > 10 -> "%.0f - %.0f"; width > 1 -> "%.1f - %.1f";
+# else "%.2f - %.2f".  Binned value counts (A12): "{left:.1f}-{right:.1f}".
+# Value-count labels (A11): integral numbers "{:,}", others "{:,.2f}", text cut at 20
+# characters plus "...".
 def histogram_label(lo, hi):
     """Label rule of A13 by edge magnitude."""
     integral = (lo == F.floor(lo)) & (hi == F.floor(hi))
@@ -279,7 +284,10 @@ def qq_line(df: DataFrame, columns: Sequence[str] | str | None = None) -> DataFr
         safe_corr(F.col("theoretical"), F.col("sample")).alias("r"))
 
 
+# Shapiro-Wilk size limit, significance level and labels.
 SW_MAX_N = 5000
+SW_ALPHA = 0.05
+SW_LABELS = ("Normal distribution", "Non-normal distribution")
 
 
 def shapiro_wilk(df: DataFrame, columns: Sequence[str] | str | None = None) -> DataFrame:
@@ -351,5 +359,5 @@ def shapiro_wilk(df: DataFrame, columns: Sequence[str] | str | None = None) -> D
     out = base.join(res, KEY, "left") if res is not None else base.withColumns(
         {"W": F.lit(None).cast("double"), "p_value": F.lit(None).cast("double")})
     return out.select(KEY, "n", "W", "p_value", F.when(
-        (F.col("p_value") > 0.05) & (F.col("n") < SW_MAX_N), "Normal distribution")
-        .otherwise("Non-normal distribution").alias("interpretation"))
+        (F.col("p_value") > SW_ALPHA) & (F.col("n") < SW_MAX_N), SW_LABELS[0])
+        .otherwise(SW_LABELS[1]).alias("interpretation"))

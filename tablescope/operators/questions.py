@@ -36,7 +36,9 @@ def top_n(df: DataFrame, n: int, by: str, tiebreak: Sequence[str | Column] = ())
     return df.orderBy(key.desc_nulls_last(), *_cols(tiebreak)).limit(n)
 
 
-# Name hints for point labels (L4).
+# Name hints for point labels (L4) and the label formats:
+#   "Row {i}: {column} = {value:,.2f}, {label_column} = {label}"  (with a label column)
+#   "Row {i}: {value:,.2f}"                                        (without)
 LABEL_TERMS = ["id", "name", "key", "title"]
 
 
@@ -78,7 +80,13 @@ class Answer:
     frame: DataFrame
 
 
-_STAT_WORDS = ["average", "mean", "median", "max", "min", "sum"]
+# Question keywords and answer messages of D5 ({name} = value).
+STAT_WORDS = ["average", "mean", "median", "max", "min", "sum"]
+ANSWERS = {
+    "top": "Showing top {n} records sorted by {column}",
+    "stats": "Calculated statistics for {columns}",
+    "preview": "Here's a sample of the data. Please ask a more specific question.",
+}
 
 
 def ask(df: DataFrame, text: str, order_by: Sequence[str | Column] = ()) -> Answer:
@@ -96,17 +104,17 @@ def ask(df: DataFrame, text: str, order_by: Sequence[str | Column] = ()) -> Answ
     if "top" in low and m and num:
         n = int(m.group(1))
         sort_col = next((c for c in df.columns if c.lower() in low), num[0])
-        return Answer("top", f"Showing top {n} records sorted by {sort_col}",
+        return Answer("top", ANSWERS["top"].format(n=n, column=sort_col),
                       top_n(df, n, sort_col, order_by))
-    if any(w in low for w in _STAT_WORDS):
+    if any(w in low for w in STAT_WORDS):
         targets = [c for c in df.columns if c.lower() in low] or num
         stats_cols = [c for c in targets if c in num]
-        msg = f"Calculated statistics for {', '.join(targets)}"
+        msg = ANSWERS["stats"].format(columns=", ".join(targets))
         if not stats_cols:
             spark = df.sparkSession
             return Answer("stats", msg, spark.createDataFrame(
                 [], "column_name string, mean double, median double, min double, "
                     "max double, sum double"))
         return Answer("stats", msg, question_stats(df, stats_cols))
-    return Answer("preview", "Here's a sample of the data. Please ask a more specific question.",
+    return Answer("preview", ANSWERS["preview"],
                   preview(df, 10, order_by or None))
