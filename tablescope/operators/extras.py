@@ -196,6 +196,8 @@ def clean_table(df: DataFrame, columns: Sequence[str] | None = None,
     if conv:
         trimmed = trimmed.withColumns({c: numeric_text(F.col(f"`{c}`")) for c in conv})
     cols = resolve_columns(trimmed, columns)
+    if not cols:
+        return trimmed
     s = {r["column_name"]: r for r in column_summary(trimmed, cols, QUARTILES, approx=approx)
          .collect()}
     types = {f.name: f.dataType for f in trimmed.schema.fields}

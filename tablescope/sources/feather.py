@@ -70,6 +70,11 @@ class _FeatherReader(DataSourceReader):
 
 
 def scan_feather(spark: SparkSession, path: str) -> DataFrame:
+    # Ship this module's classes by value so Python workers need not be able
+    # to import the library (executors get only the pickled reader).
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(FeatherDataSource)
     return spark.read.format("feather").option("path", path).load()
 
