@@ -95,6 +95,7 @@ def statistical(df: DataFrame, column: str | None = None, approx: bool = False
         "column": col,
         "other_numeric_columns": [c for c in num if c != col],
         "basic_stats": lambda: stats.describe_numeric(df, cols, approx),
+        "formatted_stats": lambda: stats.basic_stats(df, cols, approx),
         "dispersion": lambda: stats.dispersion(df, cols, approx),
         "skewness": lambda: stats.skewness_by_column(df, cols),
         "kurtosis": lambda: stats.kurtosis_by_column(df, cols),

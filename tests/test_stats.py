@@ -116,3 +116,26 @@ def test_classify_keeps_dates(spark):
     cats = {r["column_name"]: r["category"] for r in api.classify_columns(df).collect()}
     assert cats["o_orderdate"] == "date" and cats["o_totalprice"] == "numeric"
     assert cats["o_orderstatus"] == "text"
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    ex = {r["column_name"]: r for r in api.describe_numeric(df).collect()}
+    ap = {r["column_name"]: r for r in api.describe_numeric(df, approx=True).collect()}
+    for c, r in ex.items():
+        span = (r["max"] - r["min"]) or 1.0
+        for k in ("q1", "median", "q3"):
+            assert abs(ap[c][k] - r[k]) <= 0.01 * span
+
+
+def test_statistical_analysis_shares_one_summary(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    res = api.analyze(df, "statistical", column="value")
+    fmt = res["formatted_stats"].first()
+    # C4: display text rounds half-up on the shortest decimal form (Java), not on
+    # the binary value as Python does (35.735 -> "35.74" here, "35.73" in Python).
+    from decimal import ROUND_HALF_UP, Decimal
+    want = Decimal(repr(fmt["median"])).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
+    assert fmt["median_text"] == str(want)
+    assert res["box_plot"].first()["median"] == fmt["median"]
+    assert len(res._summaries) == 1          # one cached summary served every output
