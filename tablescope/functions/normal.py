@@ -114,13 +114,11 @@ def pdf_sql(x: str, mean: str = "0e0", std: str = "1e0") -> str:
             f"/ (({std}) * {_num(math.sqrt(2 * math.pi))}) END)")
 
 
-def norm_ppf(p: Column | str) -> Column:
-    """Column: standard normal quantile of column ``p``."""
-    name = p if isinstance(p, str) else None
-    if name is None:
-        raise TypeError("norm_ppf takes a column name; alias expressions first")
+def norm_ppf(name: str) -> Column:
+    """Column: standard normal quantile of the column ``name``."""
     return F.expr(ppf_sql(f"`{name}`"))
 
 
-def norm_cdf(z: str) -> Column:
-    return F.expr(cdf_sql(f"`{z}`"))
+def norm_cdf(name: str) -> Column:
+    """Column: standard normal CDF of the column ``name``."""
+    return F.expr(cdf_sql(f"`{name}`"))
