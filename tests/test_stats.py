@@ -139,3 +139,20 @@ def test_statistical_analysis_shares_one_summary(spark):
     assert fmt["median_text"] == str(want)
     assert res["box_plot"].first()["median"] == fmt["median"]
     assert len(res._summaries) == 1          # one cached summary served every output
+
+
+def test_hinted_dates_and_booleans_are_not_coerced_q3(spark):
+    import datetime as dt
+    rows = [(i, s, i % 2 == 0, dt.datetime(2024, 1, 1 + i), "n")
+            for i, s in enumerate(["1", " 5 ", "1e3", "+3", ".5", "5.", "inf", "1,000", "0x10",
+                                   "1_0"])]
+    df = spark.createDataFrame(rows, "id long, order_code string, sales_flag boolean, "
+                                     "order_date timestamp_ntz, note string")
+    out = api.coerce_numeric(df)
+    types = dict(out.dtypes)
+    assert types["sales_flag"] == "boolean" and types["order_date"] == "timestamp_ntz"
+    rep = {r["column_name"]: r for r in api.coercion_report(df).collect()}
+    assert set(rep) == {"order_code"} and rep["order_code"]["parse_ratio"] == 0.7
+    cats = {r["column_name"]: r["category"] for r in api.classify_columns(df, ["id"]).collect()}
+    assert cats == {"id": "numeric", "order_code": "text", "sales_flag": "text",
+                    "order_date": "date", "note": "text"}
