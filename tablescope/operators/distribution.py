@@ -255,8 +255,12 @@ def _filliben(i, n):
 def _ranked(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """Per-column 1-based rank of the sorted non-null values, via global index."""
     s = column_summary(df, cols, {})
-    lf = long_form(df, cols).where(F.col(VALUE).isNotNull())
-    ordered = with_row_index(lf, [KEY, VALUE], name="_g")
+    # The random tiebreak lets the range partitioner split a value shared by
+    # many rows (a hot value) across tasks; tied rows carry the same sample
+    # value, so their order does not change the output.
+    lf = (long_form(df, cols).where(F.col(VALUE).isNotNull())
+          .withColumn("_tb", F.rand(17)))
+    ordered = with_row_index(lf, [KEY, VALUE, "_tb"], name="_g").drop("_tb")
     # Column offsets: one row per column.
     offs = s.select(KEY, "n", F.coalesce(F.sum("n").over(
         Window.orderBy(KEY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

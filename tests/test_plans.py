@@ -46,6 +46,9 @@ def test_hot_value_holding_a_third_of_rows(spark):
     assert s["q1"] == s2["q1"] == pytest.approx(np.quantile(vals, .25))
     assert s["m"] == s2["m"] == pytest.approx(np.quantile(vals, .5))
     assert api.mode_by_column(df, ["v"]).first()["mode"] == 7.0
+    qq = api.qq_points(df, ["v"]).orderBy("i").collect()
+    assert [r["i"] for r in qq] == list(range(1, n + 1))
+    assert [r["sample"] for r in qq] == sorted(vals.tolist())
     counts = {r["value"]: r["count"] for r in api.value_counts(df, "v").collect()}
     assert counts[7.0] == n // 3 + 1          # plus the row id = 7
     # a third of all points in one grid cell: all core, counted without pairs
