@@ -77,3 +77,13 @@ def test_systematic_sample(spark):
     small = df.orderBy("o_orderkey").limit(7)
     assert api.systematic_sample(small, "o_totalprice", ["o_orderkey"]).count() == 7
     assert s[0]["label"].startswith("Row 0: o_totalprice = ")
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(-1e4, 1e4, allow_nan=False).map(lambda x: round(x, 2)),
+                min_size=16, max_size=80, unique=True))
+def test_cut_bins_match_pandas_property(spark, xs):
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    got = [r["count"] for r in api.value_counts_binned(df, "v").orderBy("bin").collect()]
+    exp = pd.cut(pd.Series(xs), bins=10).value_counts().sort_index().tolist()
+    assert got == exp
