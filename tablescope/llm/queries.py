@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, guesscost, linededup, mix, postings, quality, repair, urltrie
+from . import decontam, guesscost, jaccard, linededup, mix, postings, pst, quality, repair, urltrie
 from .common import table
 
 
@@ -24,6 +24,16 @@ def op2_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "secrets.*")
 
 
+def op3_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pst.score_texts(table(spark, sf_dir, "documents"), quality.fold(F.col("doc_id"), 5) == 1)
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -69,7 +79,7 @@ def op10_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_repair_tokens, op2_guess_cost, op5_posting_lists, op6_url_trie, op7_mix_sources,
+    op1_repair_tokens, op2_guess_cost, op3_voronoi_join, op4_suffix_tree, op5_posting_lists, op6_url_trie, op7_mix_sources,
     op8_fourier_quality, op9_line_bitmaps, op10_qgram_lemma)}
 
 ORACLE_SQL: dict[str, str] = {
