@@ -85,13 +85,19 @@ def _walks(low: str) -> tuple[list[int], list[int]]:
     return ends, turns
 
 
-def guess_cost(value: str, ranks: dict[str, int], longest_word: int = 20) -> tuple[float, list[tuple[str, int, int]]]:
+def _stops(least: int, end: int, most: int) -> list[int]:
+    if end < least:
+        return []
+    return [*range(least, min(end, most) + 1), *([end] if end > most else [])]
+
+
+def guess_cost(value: str, ranks: dict[str, int], longest_word: int = 20, longest_run: int = 32) -> tuple[float, list[tuple[str, int, int]]]:
     """Least log10 guesses for ``value`` and the segments (kind, start, end) that give it.
 
     Dynamic programming over prefixes.  Words of up to ``longest_word``
-    characters are looked up directly and with substitutions; dates, repeats
-    and walks of any length reach from their start to where they break off, so
-    the work is linear in the length.  Each segment costs one bit more, for
+    characters are looked up directly and with substitutions.  Repeats and
+    walks end anywhere up to ``longest_run`` characters and beyond that where
+    they break off, so the work is linear in the length.  Each segment costs one bit more, for
     where it ends.  The empty value costs 0.
     """
     n = len(value)
@@ -125,11 +131,11 @@ def guess_cost(value: str, ranks: dict[str, int], longest_word: int = 20) -> tup
             if found:
                 offer("date", i, found.end(), cost)
         for period, ends in enumerate(repeats, 1):
-            if ends[i] - i >= max(3, 2 * period):
-                offer("repeat", i, ends[i], sum(math.log10(_class_size(ch)) for ch in value[i:i + period])
-                      + math.log10((ends[i] - i) / period))
-        if walks[i] - i >= 4:
-            offer("walk", i, walks[i], math.log10(47 * (walks[i] - i)) + math.log10(4) * (turns[walks[i] - 1] - turns[i + 1]))
+            block = sum(math.log10(_class_size(ch)) for ch in value[i:i + period])
+            for j in _stops(i + max(3, 2 * period), ends[i], i + longest_run):
+                offer("repeat", i, j, block + math.log10((j - i) / period))
+        for j in _stops(i + 4, walks[i], i + longest_run):
+            offer("walk", i, j, math.log10(47 * (j - i)) + math.log10(4) * (turns[j - 1] - turns[i + 1]))
     cuts: list[tuple[str, int, int]] = []
     j = n
     while j:

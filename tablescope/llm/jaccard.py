@@ -74,6 +74,8 @@ class Classes:
     """
 
     def __init__(self, num: int, den: int):
+        if not 3 * den <= 4 * num <= 4 * den:  # below, a set may have as many differences as members
+            raise ValueError("the threshold must lie between 3/4 and 1")
         self.num, self.den = num, den
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
@@ -114,7 +116,7 @@ class Classes:
                 first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
                 total = np.add.reduceat(content, first)
                 out.append(mixed(total + mixed(cell[first] * ODD + np.uint64(band * 4099 + cut))))
-                if cut - len(first) <= spare:
+                if cut - len(first) <= spare or cut >= 1 << 31:
                     break
                 spare = 2 * spare + 1
         return np.concatenate(out)
@@ -158,7 +160,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """(id, n_shingles, component) for every row of ``docs``.
 
     Two documents link when ``den * intersection >= num * union`` of their sets
-    of ``k``-word shingles (A-Z lower-cased); a component is what links reach,
+    of ``k``-word shingles (A-Z lower-cased), for thresholds from 3/4 on; a component is what links reach,
     named by its smallest id.  Every link between different sets is found;
     equal sets are one node of the join.
 

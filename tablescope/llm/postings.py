@@ -140,9 +140,13 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column, id_col: str = "ve
     longest = float(longest) ** 0.5
 
     def lifted(v: np.ndarray) -> np.ndarray:
+        """Vectors on the unit sphere with one more component, in which nearness is the inner product's."""
         u = v / longest
         return np.hstack([u, np.sqrt(np.maximum(0.0, 1.0 - (u * u).sum(1)))[:, None]])
 
+    def asked_for(v: np.ndarray) -> np.ndarray:
+        return np.hstack([v / np.sqrt((v * v).sum(1))[:, None], np.zeros((len(v), 1))])
+
     fit_on = distinct if n <= sample_rows else distinct.where(
         F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1_000_000)) < int(1e6 * sample_rows / n))
     sample = np.array([r[0] for r in fit_on.orderBy("h", "v").select("v").collect()])
@@ -152,7 +156,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column, id_col: str = "ve
 
     def lists(x: np.ndarray, ratio: float, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs within the distance ratio."""
-        ids, d = CentroidIndex(*shared.value).search(lifted(x), max(most, 32))
+        ids, d = CentroidIndex(*shared.value).search(x, max(most, 32))
         ids, d = ids[:, :most], np.sqrt(d[:, :most])
         ok = (ids >= 0) & ((d <= d[:, :1] * ratio + 1e-12) | (np.arange(d.shape[1]) < least))
         return np.nonzero(ok)[0], ids[ok]
@@ -161,7 +165,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column, id_col: str = "ve
         for f in frames:
             for low in range(0, len(f), 1024):
                 part = f.iloc[low:low + 1024]
-                which, cell = lists(np.stack(part["v"]), join_ratio, replicas, 1)
+                which, cell = lists(lifted(np.stack(part["v"])), join_ratio, replicas, 1)
                 yield pd.DataFrame({"cell": cell, "h": part["h"].to_numpy()[which],
                                     "ids": part["ids"].to_numpy()[which], "v": part["v"].to_numpy()[which]})
 
@@ -169,7 +173,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column, id_col: str = "ve
         for f in frames:
             for low in range(0, len(f), 1024):
                 part = f.iloc[low:low + 1024]
-                which, cell = lists(np.stack(part["v"]), read_ratio, probes, 8)
+                which, cell = lists(asked_for(np.stack(part["v"])), read_ratio, probes, 8)
                 yield pd.DataFrame({"cell": cell, "qh": part["h"].to_numpy()[which], "qv": part["v"].to_numpy()[which]})
 
     posted = stored(distinct.mapInPandas(post, "cell int, h long, ids array<bigint>, v array<double>"), "postings")
