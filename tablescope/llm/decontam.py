@@ -57,7 +57,8 @@ class Passages:
             codes.append(g), owner.append(np.full(len(g), n)), place.append(np.arange(len(g)))
         codes = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(codes, kind="stable")
-        self.codes = codes[order]
+        codes = codes[order]
+        self.codes, self.first, self.times = np.unique(codes, return_index=True, return_counts=True)
         self.owner = (np.concatenate(owner) if owner else np.zeros(0, int))[order]
         self.place = (np.concatenate(place) if place else np.zeros(0, int))[order]
         self.edits, self.need = np.array(self.edits, int), np.array(self.need, int)
@@ -68,26 +69,36 @@ class Passages:
         """(position, passage, place in passage) of every shared q-gram."""
         g = gram_codes(c)
         at = np.flatnonzero(self.slots[g >> np.uint64(64 - BITS)])
-        low = np.searchsorted(self.codes, g[at], "left")
-        n = np.searchsorted(self.codes, g[at], "right") - low
-        at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        if not len(at) or not len(self.codes):
+            return at[:0], at[:0], at[:0]
+        g = g[at]
+        entry = np.minimum(np.searchsorted(self.codes, g), len(self.codes) - 1)
+        known = self.codes[entry] == g
+        at, low, n = at[known], self.first[entry[known]], self.times[entry[known]]
         ends = np.cumsum(n)
         which = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - (ends - n), n)
         return np.repeat(at, n), self.owner[which], self.place[which]
 
-    def bands(self, c: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, first diagonal) of the bands that meet the bound."""
+    def bands(self, c: np.ndarray) -> list[tuple[int, int, int]]:
+        """(passage, first diagonal, fullest diagonal) of the bands that meet the bound, fullest bands first."""
         pos, owner, place = self.hits(c)
         if not len(pos):
             return []
-        width = self.edits[owner] + 1
         shift = 1 << 20  # keeps diagonals before the text's start positive
-        band = (pos - place + shift) // width
+        diagonal = pos - place + shift
+        band = diagonal // (self.edits[owner] + 1)
         key = np.concatenate([owner * (1 << 40) + band, owner * (1 << 40) + band - 1])
         found, count = np.unique(key, return_counts=True)
-        owner, band = found >> 40, found & ((1 << 40) - 1)
-        ok = count >= self.need[owner]
-        return [(int(o), int(b * (self.edits[o] + 1) - shift)) for o, b in zip(owner[ok], band[ok])]
+        out = []
+        for k in found[count >= self.need[found >> 40]]:
+            inside = np.flatnonzero(key == k) % len(pos)
+            # A q-gram of the passage counts once, however often the text repeats it.
+            shared = len(np.unique(place[inside]))
+            if shared >= self.need[k >> 40]:
+                d, times = np.unique(diagonal[inside], return_counts=True)
+                p = int(k >> 40)
+                out.append((shared, p, int((k & ((1 << 40) - 1)) * (self.edits[p] + 1) - shift), int(d[times.argmax()] - shift)))
+        return [x[1:] for x in sorted(out, key=lambda x: (-x[0], x[1:]))]
 
 
 def align(passage: np.ndarray, text: np.ndarray, diagonal: int, width: int) -> tuple[int, int, int]:
@@ -119,11 +130,19 @@ def find_passages(text: str, passages: Passages) -> list[tuple[int, int, int, in
     return _verified(c, passages, passages.bands(c))
 
 
-def _verified(c: np.ndarray, passages: Passages, bands: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    found = []
-    for p, diagonal in bands:
-        k = int(passages.edits[p])
-        edits, start, end = align(passages.points[p], c, diagonal, 2 * (k + 1))
+def _verified(c: np.ndarray, passages: Passages, bands: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    found: list[tuple[int, int, int, int]] = []
+    exact: dict[int, list[int]] = {}
+    for p, first, fullest in bands:
+        passage, k = passages.points[p], int(passages.edits[p])
+        m = len(passage)
+        if any(first + 2 * (k + 1) - (m - k) < d < first + (m - k) for d in exact.get(p, ())):
+            continue  # surely overlaps a span without edits, which nothing betters
+        if fullest >= 0 and np.array_equal(c[fullest:fullest + m], passage):
+            exact.setdefault(p, []).append(fullest)
+            found.append((0, passages.ids[p], fullest, fullest + m))
+            continue
+        edits, start, end = align(passage, c, first, 2 * (k + 1))
         if edits <= k:
             found.append((edits, passages.ids[p], start, end))
     kept: list[tuple[int, int, int, int]] = []
