@@ -98,7 +98,26 @@ def q_kurtosis_by_column(spark, sf):
 
 
 def q_mode_by_column(spark, sf):
-    return _round(api.mode_by_column(_t(spark, sf, "lineitem")))
+    return _round(api.mode_by_column(_t(spark, sf, "lineitem")).drop("mode_text"))
+
+
+def _big_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids beyond 2^53, where neighbours are one double; and one that repeats."""
+    base = F.lit(9007199254740992)
+    return _t(spark, sf, "events").select((F.col("event_id") + base).alias("big_id"),
+                                          (F.col("user_id") + base).alias("big_user"))
+
+
+def q_profile_big_ids(spark, sf):
+    return api.profile_columns(_big_ids(spark, sf))
+
+
+def q_mode_big_ids(spark, sf):
+    return api.mode_by_column(_big_ids(spark, sf)).drop("mode")
+
+
+def q_value_counts_big_ids(spark, sf):
+    return api.column_charts(_big_ids(spark, sf))["value_counts"].drop("v")
 
 
 def q_dispersion(spark, sf):
@@ -245,6 +264,64 @@ def q_cluster_sizes(spark, sf):
     return api.cluster_sizes(res.assignments)
 
 
+def q_dbscan_chain(spark, sf):
+    """One feature whose values follow each other closely: one long cluster of many cells."""
+    res = api.dbscan(_t(spark, sf, "customer"), ["c_custkey"], eps=0.0035, min_samples=2,
+                     id_cols=["c_custkey"])
+    return res.assignments.select("c_custkey", F.col("cluster").cast("int").alias("cluster"))
+
+
+DBSCAN_3D = (["p_size", "p_retailprice", "p_partkey"], 0.25, 5)
+
+
+def q_dbscan_3d(spark, sf):
+    feats, eps, least = DBSCAN_3D
+    res = api.dbscan(_t(spark, sf, "part"), feats, eps=eps, min_samples=least,
+                     id_cols=["p_partkey"])
+    return res.assignments.select("p_partkey", F.col("cluster").cast("int").alias("cluster"))
+
+
+def q_dbscan_report(spark, sf):
+    feats, eps, least = DBSCAN_3D
+    rep = api.clustering_report(_t(spark, sf, "part"), feats, "dbscan", eps=eps,
+                                min_samples=least, keep=["p_partkey"])
+    return rep["points"].groupBy(F.col("cluster").cast("int").alias("cluster")).agg(
+        F.count(F.lit(1)).alias("size"))
+
+
+def q_kmeans_checks(spark, sf):
+    """Rows that break what k-means promises: nearest centre, centre of its rows, all rows."""
+    cols = ["c_acctbal", "c_nationkey"]
+    df = _t(spark, sf, "customer")
+    res = api.kmeans(df, cols, k=3, keep=["c_custkey"])
+    centers = res.centers.groupBy(F.col("cluster").alias("k")).pivot("feature", cols).agg(F.first("center"))
+    a = res.assignments
+    gap = sum(((F.col(f"_z{i}") - F.col(f"k{i}")) ** 2 for i in range(2)), F.lit(0.0))
+    named = centers.select("k", *[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+    near = (a.crossJoin(F.broadcast(named)).groupBy("c_custkey", "cluster")
+            .agg(F.min_by("k", gap).alias("best")))
+    means = a.groupBy("cluster").agg(*[F.avg(f"_z{i}").alias(f"m{i}") for i in range(2)]).join(
+        named, F.col("cluster") == F.col("k"))
+    off = F.greatest(*[F.abs(F.col(f"m{i}") - F.col(f"k{i}")) for i in range(2)])
+    return (near.agg(F.count_if(F.col("best") != F.col("cluster")).alias("violations"))
+            .select(F.lit("nearest").alias("check"), "violations")
+            .unionByName(means.agg(F.count_if(off > 1e-3).alias("violations"))
+                         .select(F.lit("centres").alias("check"), "violations"))
+            .unionByName(api.cluster_sizes(a).agg(F.sum("size").alias("violations"))
+                         .select(F.lit("rows").alias("check"), "violations")))
+
+
+def q_clustering_centers(spark, sf):
+    """Projected centres against the mean of the projected points of their cluster."""
+    rep = api.clustering_report(_t(spark, sf, "part"), ["p_size", "p_retailprice", "p_partkey"],
+                                num_clusters=3, keep=["p_partkey"])
+    means = rep["points"].groupBy("cluster").agg(F.avg("pca_x").alias("x"), F.avg("pca_y").alias("y"))
+    return rep["centers"].join(means, "cluster").select(
+        F.col("cluster").cast("int").alias("cluster"),
+        ((F.abs(F.col("pca_x") - F.col("x")) < 1e-2) & (F.abs(F.col("pca_y") - F.col("y")) < 1e-2))
+        .alias("agrees"))
+
+
 def q_cluster_feature_importance(spark, sf):
     res = api.kmeans(_t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
                      k=3)
@@ -286,12 +363,11 @@ def q_dbscan_cluster_sizes(spark, sf):
     return api.cluster_sizes(res.assignments.withColumn("cluster", F.col("cluster").cast("int")))
 
 
-ORDERS_IO = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
 def _round_trip(spark, sf, fmt):
     folder = api.scratch_folder(spark, f"io-{fmt}")
-    src = _t(spark, sf, "orders").select(*ORDERS_IO)
+    src = _t(spark, sf, "orders")
     if fmt == "feather":
         api.write_feather(src, folder)
         path = folder
@@ -309,12 +385,36 @@ def q_scan_json(spark, sf):
     return _round_trip(spark, sf, "json")
 
 
+def q_scan_json_array(spark, sf):
+    """Eight documents, each one array of records."""
+    folder = api.scratch_folder(spark, "io-json-array")
+    rows = _t(spark, sf, "orders")
+    text = api.result_json(rows).select("json", F.pmod(F.xxhash64("json"), F.lit(8)).alias("doc"))
+    (text.groupBy("doc").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("json")), F.lit("]")).alias("value"))
+     .write.partitionBy("doc").text(folder))
+    return api.read_table(spark, folder, "json")
+
+
+def q_scan_json_columns(spark, sf):
+    """Documents of the form {column: {index: value}}, as pandas writes them."""
+    folder = api.scratch_folder(spark, "io-json-columns")
+    rows = _t(spark, sf, "orders").withColumn("doc", F.pmod("o_orderkey", F.lit(8)))
+    cells = [F.map_from_entries(F.collect_list(F.struct(
+        F.col("o_orderkey").cast("string"), F.col(c)))).alias(c)
+        for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")]
+    (rows.groupBy("doc").agg(*cells)
+     .select("doc", F.to_json(F.struct("o_orderkey", "o_custkey", "o_totalprice",
+                                          "o_orderpriority")).alias("value"))
+     .write.partitionBy("doc").text(folder))
+    return api.read_table(spark, folder, "json")
+
+
 def q_scan_orc(spark, sf):
     return _round_trip(spark, sf, "orc")
 
 
 def q_scan_parquet(spark, sf):
-    return api.read_table(spark, f"{sf}/orders.parquet").select(*ORDERS_IO)
+    return api.read_table(spark, f"{sf}/orders.parquet")
 
 
 def q_scan_feather(spark, sf):
@@ -327,7 +427,10 @@ def q_run_sql(spark, sf):
 
 
 def q_result_json(spark, sf):
-    return api.result_json(api.describe_numeric(_t(spark, sf, "events")))
+    """The JSON rows parsed back."""
+    rows = api.describe_numeric(_t(spark, sf, "lineitem"))
+    back = F.from_json("json", rows.schema).alias("r")
+    return _round(api.result_json(rows).select(back).select("r.*"))
 
 
 def q_fingerprint(spark, sf):
@@ -335,7 +438,13 @@ def q_fingerprint(spark, sf):
 
 
 def q_column_types(spark, sf):
-    return api.column_types(_t(spark, sf, "orders"))
+    """Types of the columns, with how many values of each a scan finds."""
+    df = _t(spark, sf, "orders")
+    found = api.missing_report(df)
+    rows = api.shape(df).select("rows")
+    return (api.column_types(df).join(found.select("column_name", "missing_count"), "column_name", "left")
+            .crossJoin(rows).select("position", "column_name", "dtype",
+                                    (F.col("rows") - F.coalesce("missing_count", F.lit(0))).alias("n_values")))
 
 
 def q_classification(spark, sf):
@@ -349,9 +458,18 @@ def q_linear_fit(spark, sf):
 
 
 def q_regression(spark, sf):
-    return api.regression(_t(spark, sf, "lineitem"), "l_extendedprice",
-                          ["l_quantity", "l_discount", "l_tax"],
-                          ["l_orderkey", "l_linenumber"])["coefficients"]
+    return _round(api.regression(_t(spark, sf, "lineitem"), "l_extendedprice",
+                                 ["l_quantity", "l_discount", "l_tax"],
+                                 ["l_orderkey", "l_linenumber"],
+                                 train=F.pmod("l_orderkey", F.lit(10)) < 8)["coefficients"], 2)
+
+
+def q_classification_support(spark, sf):
+    out = api.classification(_docs_labels(spark, sf).where(F.col("quality").isNotNull()),
+                             "quality", ["n_chars"], ["doc_id"],
+                             train=F.pmod("doc_id", F.lit(10)) < 8)
+    return out["per_class"].select(
+        "class", "support", F.col("correct").between(0, F.col("support")).alias("counted"))
 
 
 def q_ts_monthly(spark, sf):
@@ -383,8 +501,36 @@ def q_avg_transaction(spark, sf):
 
 
 def q_top_segments(spark, sf):
-    return _round(api.top_segments(*[_t(spark, sf, n) for n in
-                                     ("lineitem", "orders", "customer", "nation", "region")]), 2)
+    line, orders, customer, nation, region = (
+        _t(spark, sf, n) for n in ("lineitem", "orders", "customer", "nation", "region"))
+    sales = (line.select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"))
+             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+             .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+             .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
+    return _round(api.top_segments(sales, "r_name", "c_mktsegment", "amount"), 2)
+
+
+def _gapped(spark: SparkSession, sf: str) -> DataFrame:
+    """orders without April 1995, with some NaN prices, customers and dates missing."""
+    o = _t(spark, sf, "orders")
+    return o.where(~((F.year("o_orderdate") == 1995) & (F.month("o_orderdate") == 4))).select(
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("cust"),
+        F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderdate")).alias("day"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(
+            F.col("o_totalprice")).alias("price"))
+
+
+def q_revenue_growth_gaps(spark, sf):
+    return _round(api.revenue_growth(_gapped(spark, sf), "day", "price"), overrides={"revenue": 2})
+
+
+def q_ts_moving_avg_gaps(spark, sf):
+    return _round(api.ts_moving_avg(_gapped(spark, sf), "day", "price"), 2)
+
+
+def q_retention_gaps(spark, sf):
+    return _round(api.retention(_gapped(spark, sf), "cust", "day"))
 
 
 def q_retention(spark, sf):
@@ -397,7 +543,15 @@ def q_clean_table(spark, sf):
 
 
 def q_column_charts(spark, sf):
-    return api.column_charts(_t(spark, sf, "orders"))["value_counts"]
+    return api.column_charts(_t(spark, sf, "orders"))["value_counts"].drop("value_text")
+
+
+def q_column_charts_histogram(spark, sf):
+    return _round(api.column_charts(_t(spark, sf, "orders").select("o_totalprice"))["histogram"].drop("label"))
+
+
+def q_column_charts_samples(spark, sf):
+    return api.column_charts(_t(spark, sf, "orders"), order_by=["o_orderkey"])["samples"].drop("label")
 
 
 def q_table_context(spark, sf):
@@ -641,7 +795,8 @@ def _oracles() -> dict[str, str]:
         f"{ratio('props_num')} FROM (SELECT * FROM et WHERE props_num IS NOT NULL ORDER BY "
         "event_id LIMIT 100)) > 0.8 THEN 'numeric' ELSE 'text' END), "
         "(4, 'amount_txt', 'text', 'text')) AS t(position, column_name, type, category)")
-    o["classify_columns"] = f"WITH {ev_text} " + o["classify_columns"]
+    o["classify_columns"] = f"WITH {ev_text} " + o["classify_columns"].replace(
+        " ORDER BY event_id LIMIT 100", "")
     o["dropna_features"] = ("SELECT d.doc_id, l.quality, l.toxic FROM documents d JOIN labels l "
                             "ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL "
                             "AND l.toxic IS NOT NULL")
@@ -669,16 +824,101 @@ def _oracles() -> dict[str, str]:
     o["dbscan_cluster_sizes"] = (
         "WITH q AS (" + _dbscan_sql("supplier", "s_suppkey", ["s_acctbal", "s_nationkey"], 0.3, 5)
         + ") SELECT cluster, count(*) AS size FROM q GROUP BY cluster")
-    io = ", ".join(ORDERS_IO)
-    for k in ("scan_csv", "scan_json", "scan_orc", "scan_parquet", "scan_feather"):
-        o[k] = f"SELECT {io} FROM orders"
+    for k in ("scan_orc", "scan_parquet", "scan_feather"):
+        o[k] = "SELECT * FROM orders"
+    # Text formats hold timestamps as text, which pandas leaves as text too.
+    o["scan_csv"] = "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') AS o_orderdate) FROM orders"
+    o["scan_json"] = "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders"
+    o["scan_json_array"] = o["scan_json"]
+    o["scan_json_columns"] = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders"
+    big = "9007199254740992"
+    ids = (f"b AS (SELECT event_id + {big} AS big_id, user_id + {big} AS big_user FROM events), "
+           "u AS (SELECT 'big_id' AS column_name, big_id AS v FROM b UNION ALL "
+           "SELECT 'big_user', big_user FROM b), "
+           "c AS (SELECT column_name, v, count(*) AS cnt FROM u WHERE v IS NOT NULL GROUP BY 1, 2)")
+    o["profile_big_ids"] = (
+        f"WITH {ids} SELECT CAST(CASE column_name WHEN 'big_id' THEN 0 ELSE 1 END AS INTEGER) AS position, "
+        "column_name, 'bigint' AS dtype, count(DISTINCT v) AS unique_count, "
+        "count(*) - count(v) AS missing_count FROM u GROUP BY column_name")
+    o["mode_big_ids"] = (
+        f"WITH {ids} SELECT column_name, CAST(v AS VARCHAR) AS mode_text FROM (SELECT *, row_number() "
+        "OVER (PARTITION BY column_name ORDER BY cnt DESC, v) AS n FROM c) WHERE n = 1")
+    o["value_counts_big_ids"] = (
+        f"WITH {ids} SELECT column_name, CAST(v AS VARCHAR) AS value_text, cnt AS count FROM (SELECT *, "
+        "row_number() OVER (PARTITION BY column_name ORDER BY v) AS n FROM c) WHERE n <= 20")
+    o["dbscan_chain"] = (
+        "WITH z AS (SELECT c_custkey, (c_custkey - avg(c_custkey) OVER ()) / stddev_pop(c_custkey) OVER () AS z "
+        "FROM customer), g AS (SELECT *, lag(z) OVER w AS p, lead(z) OVER w AS n FROM z WINDOW w AS (ORDER BY z)), "
+        "f AS (SELECT *, z - p <= 0.0035 AS back, n - z <= 0.0035 AS ahead FROM g), "
+        "k AS (SELECT *, coalesce(back, false) OR coalesce(ahead, false) AS core, "
+        "sum(CASE WHEN coalesce(back, false) THEN 0 ELSE 1 END) OVER (ORDER BY z) AS island FROM f), "
+        "r AS (SELECT island, row_number() OVER (ORDER BY min(c_custkey)) - 1 AS cluster FROM k WHERE core GROUP BY island) "
+        "SELECT c_custkey, CAST(CASE WHEN core THEN cluster ELSE -1 END AS INTEGER) AS cluster "
+        "FROM k LEFT JOIN r USING (island)")
+    feats, eps, least = DBSCAN_3D
+    o["dbscan_3d"] = _dbscan_sql("part", "p_partkey", feats, eps, least)
+    o["dbscan_report"] = ("WITH q AS (" + o["dbscan_3d"]
+                          + ") SELECT cluster, count(*) AS size FROM q GROUP BY cluster")
+    o["kmeans_checks"] = ("SELECT 'nearest' AS \"check\", CAST(0 AS BIGINT) AS violations UNION ALL "
+                          "SELECT 'centres', 0 UNION ALL SELECT 'rows', count(*) FROM customer")
+    o["clustering_centers"] = "SELECT CAST(range AS INTEGER) AS cluster, true AS agrees FROM range(3)"
+    o["column_charts_histogram"] = _numpy_hist_sql("orders", "o_totalprice", 10)
+    sample = o["systematic_sample"]
+    o["column_charts_samples"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, idx, value FROM (" + sample.replace("o_totalprice", c) + ")"
+        for c in ORDERS_NUM)
+    o["classification_support"] = (
+        "SELECT CAST(quality AS VARCHAR) AS class, count(*) AS support, true AS counted FROM documents d "
+        "JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL AND n_chars IS NOT NULL "
+        "AND d.doc_id % 10 >= 8 GROUP BY 1")
+    xs = ["l_quantity", "l_discount", "l_tax"]
+    v = lambda a, b: f"covar_pop({a}, {b})"
+    cov = [[v(a, b) for b in xs] for a in xs]
+    rhs = [v(a, "l_extendedprice") for a in xs]
+    det = lambda m: " + ".join(
+        f"{sign} ({m[0][i]}) * (({m[1][j]}) * ({m[2][k]}) - ({m[1][k]}) * ({m[2][j]}))"
+        for i, j, k, sign in ((0, 1, 2, "1.0 *"), (1, 0, 2, "-1.0 *"), (2, 0, 1, "1.0 *")))
+    coefs = [f"({det([[rhs[r] if c == i else cov[r][c] for c in range(3)] for r in range(3)])}) / ({det(cov)})"
+             for i in range(3)]
+    o["regression"] = (
+        "WITH b AS (SELECT " + ", ".join(f"{c} AS b{i}" for i, c in enumerate(coefs))
+        + ", avg(l_extendedprice) AS my, " + ", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(xs))
+        + " FROM lineitem WHERE l_orderkey % 10 < 8) "
+        + " UNION ALL ".join(f"SELECT '{x}' AS term, round(b{i}, 2) AS coefficient FROM b" for i, x in enumerate(xs))
+        + " UNION ALL SELECT '(intercept)', round(my - b0 * m0 - b1 * m1 - b2 * m2, 2) FROM b")
+    o["result_json"] = o["describe_numeric"]
+    gap = ("g AS (SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS cust, "
+           "CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS day, "
+           "CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price FROM orders "
+           "WHERE NOT (year(o_orderdate) = 1995 AND month(o_orderdate) = 4)), "
+           "p AS (SELECT date_trunc('month', day) AS period, sum(price) AS total FROM g "
+           "WHERE day IS NOT NULL GROUP BY 1), cal AS (SELECT unnest(generate_series((SELECT min(period) FROM p), "
+           "(SELECT max(period) FROM p), INTERVAL 1 MONTH)) AS period), "
+           "f AS (SELECT CAST(cal.period AS TIMESTAMP) AS period, total FROM cal LEFT JOIN p ON cal.period = p.period)")
+    o["revenue_growth_gaps"] = (
+        f"WITH {gap} SELECT period, round(total, 2) AS revenue, round(CASE WHEN lag(total) OVER "
+        "(ORDER BY period) <> 0 THEN (total - lag(total) OVER (ORDER BY period)) / "
+        "lag(total) OVER (ORDER BY period) * 100 END, 4) AS growth_pct FROM f")
+    o["ts_moving_avg_gaps"] = (
+        f"WITH {gap} SELECT period, round(total, 2) AS total, round(avg(total) OVER (ORDER BY period "
+        "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving_avg FROM f")
+    o["retention_gaps"] = (
+        f"WITH {gap}, a AS (SELECT DISTINCT cust, date_trunc('month', day) AS period FROM g "
+        "WHERE cust IS NOT NULL AND day IS NOT NULL), j AS (SELECT a.period, b.cust AS back FROM a LEFT JOIN a b ON "
+        "a.cust = b.cust AND b.period = a.period + INTERVAL 1 MONTH) SELECT CAST(period AS TIMESTAMP) AS period, "
+        "count(*) AS active, count(back) AS retained, round(count(back) * 100.0 / count(*), 4) "
+        "AS retention_pct FROM j GROUP BY period")
     o["run_sql"] = ("SELECT region, segment, round(revenue, 2) AS revenue, lines FROM ("
                     + STAR_SQL + ")")
     o["column_types"] = (
-        "SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), "
+        "SELECT t.*, CASE position WHEN 0 THEN n0 WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 "
+        "WHEN 4 THEN n4 ELSE n5 END AS n_values FROM (VALUES (0, 'o_orderkey', 'bigint'), "
+        "(1, 'o_custkey', 'bigint'), "
         "(2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), "
         "(4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string')) "
-        "AS t(position, column_name, dtype)")
+        "AS t(position, column_name, dtype), (SELECT count(o_orderkey) AS n0, count(o_custkey) AS n1, "
+        "count(o_orderstatus) AS n2, count(o_totalprice) AS n3, count(o_orderdate) AS n4, "
+        "count(o_orderpriority) AS n5 FROM orders)")
     o["linear_fit"] = (
         "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, "
         "round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, "

@@ -9,7 +9,9 @@ from .operators.frames import (approx_quantiles, exact_quantiles, long_form,  #
 from .operators.insights import (RECOMMENDATIONS, chart_suggestions, column_facts,  # noqa: F401
                                  quick_insights,
                                  statistical_insights, statistical_summary)
-from .operators.questions import ask, preview, systematic_sample, top_n  # noqa: F401
+from .operators.graph import connected_components  # noqa: F401
+from .operators.questions import (ask, preview, systematic_sample, systematic_samples,  # noqa: F401
+                                  top_n)
 from .operators.schema import (PROFILE_TERMS, LOAD_TERMS, classify_columns,  # noqa: F401
                                coerce_numeric, coerce_numeric_profile, coercion_report,
                                column_types, dropna_features)
@@ -25,10 +27,11 @@ from .operators.dbscan import dbscan  # noqa: F401
 from .operators.extras import (avg_transaction, classification, clean_table,  # noqa: F401
                                linear_fit, regression, retention, revenue_growth, top_segments,
                                ts_moving_avg, ts_periodic, ts_trend_forecast, year_over_year)
-from .plans.analyze import analyze, column_charts, statistical, table_context  # noqa: F401
+from .plans.analyze import analyze, column_charts, run_analysis, statistical, table_context  # noqa: F401
 from .plans.sql import run_sql  # noqa: F401
 from .session import cut_lineage, get_spark, scratch_folder  # noqa: F401
 from .sources.feather import scan_feather, write_feather  # noqa: F401
 from .sources.files import (detect_format, read_table, result_json, scan_csv,  # noqa: F401
                             scan_json, write_result)
-from .sources.jdbc import jdbc_preview, jdbc_query, jdbc_table, jdbc_tables  # noqa: F401
+from .sources.jdbc import (jdbc_preview, jdbc_query, jdbc_table, jdbc_tables,  # noqa: F401
+                           jdbc_tables_preview)

@@ -76,11 +76,6 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def fixed(c: Column, digits: int = 2) -> Column:
-    """Display text ``'{:.Nf}'``; secondary to the numeric column (C4)."""
-    return F.format_string(f"%.{digits}f", c)
-
-
 def truncate_text(c: Column, width: int = 20) -> Column:
     s = c.cast("string")
     return F.when(F.length(s) > width, F.concat(F.substring(s, 1, width), F.lit("...")))\

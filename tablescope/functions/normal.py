@@ -112,13 +112,3 @@ def pdf_sql(x: str, mean: str = "0e0", std: str = "1e0") -> str:
     return (f"(CASE WHEN ({std}) IS NULL OR ({std}) = 0 THEN NULL ELSE "
             f"exp(-5e-1 * (({x}) - ({mean})) * (({x}) - ({mean})) / (({std}) * ({std}))) "
             f"/ (({std}) * {_num(math.sqrt(2 * math.pi))}) END)")
-
-
-def norm_ppf(name: str) -> Column:
-    """Column: standard normal quantile of the column ``name``."""
-    return F.expr(ppf_sql(f"`{name}`"))
-
-
-def norm_cdf(name: str) -> Column:
-    """Column: standard normal CDF of the column ``name``."""
-    return F.expr(cdf_sql(f"`{name}`"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -55,12 +56,17 @@ class Clustering:
     features: list[str]
     algorithm: str
     num_clusters: int | str
+    iterations: int | None = None
+    converged: bool | None = None
 
 
 def kmeans(df: DataFrame, features: Sequence[str] | None = None, k: int = 3, seed: int = 42,
-           keep: Sequence[str] = (), max_iter: int = 20) -> Clustering:
+           keep: Sequence[str] = (), max_iter: int = 300) -> Clustering:
     """M2: k-means (k-means||, seed 42) on standard-scaled features.
 
+    The scaled rows are kept (memory and disk) while the model is fitted; the
+    result tells the iterations and whether they ended before ``max_iter``.
+
     Cluster ids are renumbered by (size desc, first centre coordinate) so
     reports are stable.
     """
@@ -71,13 +77,15 @@ def kmeans(df: DataFrame, features: Sequence[str] | None = None, k: int = 3, see
     zcols = [f"_z{i}" for i in range(len(feats))]
     scaled = clean.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *feats])],
                           *[_z(c, *st[c], types[c]).alias(z) for c, z in zip(feats, zcols)])
-    vec = VectorAssembler(inputCols=zcols, outputCol="_vec").transform(scaled)
+    vec = VectorAssembler(inputCols=zcols, outputCol="_vec").transform(scaled).persist(
+        StorageLevel.MEMORY_AND_DISK)
     model = KMeans(k=k, seed=seed, featuresCol="_vec", predictionCol="_raw",
                    maxIter=max_iter).fit(vec)
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     pred = model.transform(vec)
-    sizes = {r["_raw"]: r["n"] for r in pred.groupBy("_raw").agg(F.count(F.lit(1)).alias("n"))
-             .collect()}
+    sizes = dict(enumerate(model.summary.clusterSizes))
+    steps = model.summary.numIter
+    vec.unpersist()
     order = sorted(range(len(centers)), key=lambda i: (-sizes.get(i, 0), centers[i][0]))
     relabel = {old: new for new, old in enumerate(order)}
     mapping = F.create_map(*[x for o, n in relabel.items() for x in (F.lit(o), F.lit(n))])
@@ -88,7 +96,7 @@ def kmeans(df: DataFrame, features: Sequence[str] | None = None, k: int = 3, see
                 for i, c in enumerate(centers) for f, v in zip(feats, c)]
     cen = spark.createDataFrame(cen_rows, "cluster int, feature string, center double, "
                                           "center_raw double")
-    return Clustering(out, cen, feats, "kmeans", k)
+    return Clustering(out, cen, feats, "kmeans", k, steps, steps < max_iter)
 
 
 def cluster_sizes(assignments: DataFrame) -> DataFrame:
@@ -155,28 +163,36 @@ CLUSTER_TEXT = {
 
 
 def cluster_insights(result: Clustering) -> DataFrame:
-    """Balance warning/success and the top features (k-means only)."""
+    """Balance warning/success and the top features (k-means only).
+
+    The sizes are combined to smallest, largest and number of clusters on the
+    executors; no row per cluster comes back.
+    """
     spark = result.assignments.sparkSession
-    sizes = [r["size"] for r in cluster_sizes(result.assignments).collect()]
-    rows = []
-    if len(sizes) > 1:
-        ratio = max(sizes) / min(sizes) if min(sizes) > 0 else float("inf")
-        if ratio > IMBALANCED_ABOVE:
-            rows.append(("warning", CLUSTER_TEXT["imbalanced"].format(ratio=ratio)))
-        elif ratio < BALANCED_BELOW:
-            rows.append(("success", CLUSTER_TEXT["balanced"]))
-        if result.algorithm == "kmeans":
-            top = [r["feature"] for r in feature_importance(result, TOP_FEATURES).collect()]
-            rows.append(("info", CLUSTER_TEXT["features"].format(features=", ".join(top))))
-    return spark.createDataFrame(rows, "type string, message string")
+    size = cluster_sizes(result.assignments).agg(
+        F.count(F.lit(1)).alias("clusters"), (F.max("size") / F.min("size")).alias("ratio"))
+    rules = [
+        (F.col("ratio") > IMBALANCED_ABOVE, "warning",
+         F.format_string(CLUSTER_TEXT["imbalanced"].replace("{ratio:.1f}", "%.1f"), "ratio")),
+        (F.col("ratio") < BALANCED_BELOW, "success", F.lit(CLUSTER_TEXT["balanced"])),
+    ]
+    if result.algorithm == "kmeans":
+        top = ", ".join(r["feature"] for r in feature_importance(result, TOP_FEATURES).collect())
+        rules.append((F.lit(True), "info", F.lit(CLUSTER_TEXT["features"].format(features=top))))
+    found = F.array_compact(F.array(*[
+        F.when(rule, F.struct(F.lit(kind).alias("type"), text.alias("message")))
+        for rule, kind, text in rules]))
+    return size.where("clusters > 1").select(F.inline(found))
 
 
 def clustering_report(df: DataFrame, features: Sequence[str] | None = None,
                       algorithm: str = "kmeans", num_clusters: int = 3, eps: float = 0.5,
                       min_samples: int = 5, keep: Sequence[str] = (),
                       order_by: Sequence[str] | None = None) -> dict[str, object]:
-    """M7: points to plot, sizes, centres (<= 2 features, raw units), first 100 rows,
-    insights.  Any algorithm name other than 'dbscan' runs k-means."""
+    """M7: points to plot, sizes, centres (raw units for up to 2 features, else
+    projected like the points), first 100 rows, insights.  Any algorithm name
+    other than 'dbscan' runs k-means.  Without ``order_by`` the first rows are
+    by the kept columns and features, so they are the same in every run."""
     feats = resolve_columns(df, features)
     if algorithm == "dbscan":
         from .dbscan import dbscan
@@ -185,21 +201,29 @@ def clustering_report(df: DataFrame, features: Sequence[str] | None = None,
         res = kmeans(df, feats, k=num_clusters, keep=keep)
     a = res.assignments
     zcols = [f"_z{i}" for i in range(len(feats))]
+    loadings: list[list[float]] = []
     if len(feats) > 2:
-        points, _ = pca_scaled(a, zcols)
+        points, loadings = pca_scaled(a, zcols)
         plot = ["pca_x", "pca_y"]
     else:
         points = a
         plot = feats[:2]
-    points = points.select(*keep, *plot, "cluster")
-    a = a.drop(*zcols)
+    points = points.select(*dict.fromkeys([*keep, *plot, "cluster"]))
+    a = a.drop(*zcols, "_rid")
     centers = None
     if res.centers is not None and len(feats) <= 2:
         centers = (res.centers.groupBy("cluster")
                    .pivot("feature", feats).agg(F.first("center_raw")).orderBy("cluster"))
-    sample = (a.orderBy(*order_by) if order_by else a).limit(100)
+    elif res.centers is not None:
+        weight = F.create_map(*[x for f, *w in zip(feats, *loadings) for x in (
+            F.lit(f), F.array(*[F.lit(v) for v in w]))])[F.col("feature")]
+        centers = res.centers.groupBy("cluster").agg(*[
+            F.sum(F.col("center") * weight[j]).alias(name)
+            for j, name in enumerate(plot)]).orderBy("cluster")
+    sample = a.orderBy(*(order_by or [F.col(f"`{c}`") for c in a.columns])).limit(100)
     return {"assignments": a, "points": points, "plot_features": plot,
             "sizes": cluster_sizes(a), "centers": centers, "sample": sample,
             "features": feats, "algorithm": res.algorithm,
             "num_clusters": res.num_clusters if res.algorithm == "kmeans" else "auto",
+            "iterations": res.iterations, "converged": res.converged,
             "insights": cluster_insights(res)}

@@ -14,16 +14,17 @@ Plan
 2. Neighbouring cells are found by a cell-level equi-join on a coarse key
    (blocks of ceil(sqrt(d)) cells on up to three dimensions) plus an exact
    cell-box distance test.
-3. Point pairs are generated only for points of *sparse* cells (fewer than
-   ``min_samples`` points) against neighbouring cells, so each point of a
-   dense cell meets at most ``(#neighbour cells) * min_samples`` partners.
+3. Points of *sparse* cells (fewer than ``min_samples`` points) meet the points
+   of neighbouring cells.  Against a dense cell only the number of neighbours
+   per (point, cell) is kept, and the dense cell's points are dealt over salts;
+   between two sparse cells, which hold few points each, the pairs are kept.
 4. Two dense neighbour cells are linked when some pair of their points is
    within eps.  A linear witness stage decides most pairs: the point of each
    cell nearest to the other cell's box is tested against all points of the
    other cell.  Only pairs without a witness hit run the exact pairwise test,
    restricted to points within eps of the other cell's box.
-5. Components of the cell graph: iterative min-label propagation, each round
-   checkpointed (reliable checkpoint folder), until no label changes.
+5. Components of the cell graph by alternating stars (:mod:`graph`), a
+   logarithmic number of rounds however long a cluster is.
 """
 
 from __future__ import annotations
@@ -39,9 +40,10 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .cluster import Clustering, _z, scale_stats
 from .frames import resolve_columns, with_row_index
+from .graph import connected_components
 from .schema import dropna_features
 
-MAX_ROUNDS = 200
+SALT_ROWS = 4096  # points of a dense cell in one salt
 
 
 def _sqdist(a: Column, b: Column) -> Column:
@@ -66,18 +68,28 @@ def _point_box_gap2(z: Column, cell: Column, side: float) -> Column:
 
 def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.5,
            min_samples: int = 5, id_cols: Sequence[str] | None = None) -> Clustering:
-    """Cluster rows of ``df``; ``id_cols`` give the row order that fixes labels."""
+    """Cluster rows of ``df``; ``id_cols`` give the row order that fixes labels.
+
+    A single integer id column is the row id itself if one aggregate finds it
+    unique; otherwise rows are numbered by the id columns and features.  The
+    assignments also hold the scaled features ``_z0, _z1, ...``.
+    """
     feats = resolve_columns(df, features)
     d = len(feats)
     clean = dropna_features(df, feats)
-    order = list(id_cols) if id_cols else feats
+    order = list(dict.fromkeys([*(id_cols or []), *feats]))
     st = scale_stats(clean, feats)
     types = {f.name: f.dataType for f in df.schema.fields}
     keep = list(dict.fromkeys([*(id_cols or []), *feats]))
     base = clean.select(*[F.col(f"`{c}`") for c in keep],
                         F.array(*[_z(c, *st[c], types[c]) for c in feats]).alias("z"))
+    unique = False
     if id_cols and len(id_cols) == 1 and isinstance(types[id_cols[0]], T.IntegralType):
-        # The caller's integer key already gives the row order: use it as is.
+        key = F.col(f"`{id_cols[0]}`")
+        most = clean.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(key.isNull()).alias("null")).agg(
+            F.max("n"), F.max("null")).first()
+        unique = most[0] in (None, 1) and not most[1]
+    if unique:
         pts = base.withColumn("_rid", F.col(f"`{id_cols[0]}`").cast("long"))
     else:
         pts = with_row_index(base, order, "_rid")
@@ -107,13 +119,24 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
 
     p1 = pts.select(F.col("_rid").alias("r1"), F.col("z").alias("z1"), F.col("cell").alias("c1"))
     p2 = pts.select(F.col("_rid").alias("r2"), F.col("z").alias("z2"), F.col("cell").alias("c2"))
-    # (3) pairs for points of sparse cells only.
-    sparse_pairs = (cell_pairs.where(F.col("n1") < min_samples).select("c1", "c2")
-                    .join(p1, "c1").join(p2, "c2")
-                    .where(_sqdist(F.col("z1"), F.col("z2")) <= eps * eps)
-                    .select("r1", "c1", "r2", "c2"))
-    sparse_pairs = cut_lineage(sparse_pairs)
-    counts = sparse_pairs.groupBy("r1").agg(F.count(F.lit(1)).alias("k"))
+    near = _sqdist(F.col("z1"), F.col("z2")) <= eps * eps
+    from_sparse = cell_pairs.where(F.col("n1") < min_samples)
+    # (3a) between sparse cells: fewer than min_samples partners per neighbouring cell.
+    sparse_pairs = cut_lineage(
+        from_sparse.where(F.col("n2") < min_samples).select("c1", "c2")
+        .join(p1, "c1").join(p2, "c2").where(near).select("r1", "c1", "r2", "c2"))
+    # (3b) against dense cells: counts only; a dense cell's points lie in several salts.
+    salts = F.ceil(F.col("n2") / SALT_ROWS).cast("int")
+    dense_points = (p2.join(cells.where(F.col("cnt") >= min_samples)
+                            .select(F.col("cell").alias("c2"), F.col("cnt").alias("n2")), "c2")
+                    .withColumn("salt", F.pmod(F.xxhash64("r2"), salts).cast("int"))
+                    .select("c2", "salt", "z2"))
+    asking = (from_sparse.where(F.col("n2") >= min_samples).select(
+        "c1", "c2", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).join(p1, "c1"))
+    to_dense = cut_lineage(asking.join(dense_points, ["c2", "salt"]).where(near)
+                           .groupBy("r1", "c1", "c2").agg(F.count(F.lit(1)).alias("k")))
+    counts = (sparse_pairs.groupBy("r1").agg(F.count(F.lit(1)).alias("k"))
+              .unionByName(to_dense.select("r1", "k")).groupBy("r1").agg(F.sum("k").alias("k")))
     core = (pts.join(cells.select("cell", "cnt"), "cell")
             .join(counts.withColumnRenamed("r1", "_rid"), "_rid", "left")
             .withColumn("is_core", (F.col("cnt") + F.coalesce("k", F.lit(0))) >= min_samples)
@@ -124,7 +147,9 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
     # Edges of the cell graph between cells that hold core points.
     e_sparse = (sparse_pairs.join(core_rids.select(F.col("r").alias("r1")), "r1")
                 .join(core_rids.select(F.col("r").alias("r2")), "r2")
-                .select(F.col("c1").alias("a"), F.col("c2").alias("b")))
+                .select(F.col("c1").alias("a"), F.col("c2").alias("b"))
+                .unionByName(to_dense.join(core_rids.select(F.col("r").alias("r1")), "r1")
+                             .select(F.col("c1").alias("a"), F.col("c2").alias("b"))))
     dense_pairs = cell_pairs.where((F.col("n1") >= min_samples) & (F.col("n2") >= min_samples)
                                    & (F.col("c1") < F.col("c2"))).select("c1", "c2")
     # (4a) Witness stage, linear in cell sizes: the point of each cell nearest
@@ -152,24 +177,14 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
                .where(_sqdist(F.col("z1"), F.col("z2")) <= eps * eps)
                .select("c1", "c2").distinct().unionByName(linked)
                .select(F.col("c1").alias("a"), F.col("c2").alias("b")))
-    edges = e_sparse.unionByName(e_dense)
-    edges = cut_lineage(edges.unionByName(edges.select(F.col("b").alias("a"),
-                                                       F.col("a").alias("b"))).distinct())
-
-    labels = cut_lineage(core_rids.groupBy("cell").agg(F.min("r").alias("label")))
-    for _ in range(MAX_ROUNDS):
-        incoming = (edges.join(labels.withColumnRenamed("cell", "b"), "b")
-                    .groupBy(F.col("a").alias("cell")).agg(F.min("label").alias("cand")))
-        new = (labels.join(incoming, "cell", "left")
-               .select("cell", F.least("label", F.coalesce("cand", "label")).alias("label"),
-                       (F.coalesce("cand", "label") < F.col("label")).alias("changed")))
-        new = cut_lineage(new)
-        changed = new.where("changed").limit(1).count()
-        labels = new.drop("changed")
-        if changed == 0:
-            break
-    else:
-        raise RuntimeError("DBSCAN label propagation did not converge")
+    # A cell is named by its smallest core row id; a component by its smallest.
+    names = cut_lineage(core_rids.groupBy("cell").agg(F.min("r").alias("name")))
+    edges = (e_sparse.unionByName(e_dense).distinct()
+             .join(names.select(F.col("cell").alias("a"), F.col("name").alias("x")), "a")
+             .join(names.select(F.col("cell").alias("b"), F.col("name").alias("y")), "b"))
+    merged = connected_components(edges, "x", "y")
+    labels = cut_lineage(names.join(merged, names["name"] == merged["node"], "left").select(
+        "cell", F.coalesce("component", "name").alias("label")))
 
     comp = with_row_index(labels.select("label").distinct(), ["label"], "cluster")
     cell_cluster = labels.join(comp, "label").select("cell", F.col("cluster").cast("int"))
@@ -180,11 +195,15 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
     via_cell = nonc.join(cell_cluster, "cell").select("_rid", "cluster")
     via_pair = (sparse_pairs.join(nonc.select(F.col("_rid").alias("r1")), "r1")
                 .join(core_rids.select(F.col("r").alias("r2")), "r2")
+                .select("r1", "c2")
+                .unionByName(to_dense.join(nonc.select(F.col("_rid").alias("r1")), "r1")
+                             .select("r1", "c2"))
                 .join(cell_cluster.withColumnRenamed("cell", "c2"), "c2")
                 .select(F.col("r1").alias("_rid"), "cluster"))
     border = via_cell.unionByName(via_pair).groupBy("_rid").agg(F.min("cluster").alias("cluster"))
     lab = core_lab.unionByName(border)
     out = (pts.join(lab, "_rid", "left")
            .select(*[F.col(f"`{c}`") for c in keep],
-                   F.coalesce("cluster", F.lit(-1)).alias("cluster"), "_rid"))
+                   F.coalesce("cluster", F.lit(-1)).alias("cluster"),
+                   *[F.col("z")[i].alias(f"_z{i}") for i in range(d)]))
     return Clustering(out, None, feats, "dbscan", "auto")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import as_double, safe_corr
 from ..functions.normal import lower_tail_sql, pdf_sql, ppf_sql
-from .frames import KEY, VALUE, distinct_counts, long_form, resolve_columns, with_row_index
+from .frames import (KEY, VALUE, distinct_counts, long_form, native_value_counts, resolve_columns,
+                     with_row_index)
 from .stats import QUARTILES, column_summary
 
 IQR_FACTOR = 1.5
@@ -103,18 +104,16 @@ def value_counts(df: DataFrame, column: str, limit: int = 20) -> DataFrame:
 
 def value_counts_all(df: DataFrame, columns: Sequence[str] | None = None,
                      limit: int = 20) -> DataFrame:
-    """A11 for many numeric columns: ``(column_name, v, count)``.
+    """A11 for many numeric columns: ``(column_name, v, value_text, count)``.
 
-    One distinct-count aggregate is shared (exchange reuse) by a bounded
-    top-k per column.
+    Values are counted in their own type; ``value_text`` is the exact value.
+    One scan serves all columns: the ranks are taken over the counted values,
+    and each task keeps only the first ``limit`` per column before the shuffle.
     """
-    cols = resolve_columns(df, columns)
-    dc = distinct_counts(long_form(df, cols))
-    parts = [dc.where(F.col(KEY) == c).orderBy(VALUE).limit(limit) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("cnt", "count")
+    first = Window.partitionBy(KEY).orderBy(VALUE, "exact")
+    return (native_value_counts(df, columns).withColumn("_n", F.row_number().over(first))
+            .where(F.col("_n") <= limit)
+            .select(KEY, VALUE, F.col("text").alias("value_text"), F.col("cnt").alias("count")))
 
 
 def _edges(lo, width, nbins, i):
@@ -125,7 +124,8 @@ def _edges(lo, width, nbins, i):
 def _numpy_bin(v, lo, hi, nbins: int):
     """Bin index of numpy.histogram (left-closed, last bin closed)."""
     width = hi - lo
-    k0 = F.least(F.floor((v - lo) / width * nbins), F.lit(nbins - 1)).cast("int")
+    # A range too small to divide has all values in one bin.
+    k0 = F.least(F.floor(F.try_divide(v - lo, width) * nbins), F.lit(nbins - 1)).cast("int")
     e_k = F.when(k0 >= nbins, hi).otherwise(k0 * (width / nbins) + lo)
     e_k1 = F.when(k0 + 1 >= nbins, hi).otherwise((k0 + 1) * (width / nbins) + lo)
     return (F.when(v < e_k, k0 - 1)
@@ -137,22 +137,23 @@ def histogram(df: DataFrame, columns: Sequence[str] | str | None = None,
     """Numpy-compatible equal-width histogram per numeric column.
 
     ``(column_name, bin, lower, upper, count, label)``; empty bins are kept;
-    a constant column uses the range [v-0.5, v+0.5]; no values -> one bin
-    [0, 1] with count 0.
+    a constant column uses the range [v-0.5, v+0.5]; no values, or an infinite
+    one, give one bin [0, 1] with count 0.
     """
     cols = resolve_columns(df, columns)
     summ = column_summary(df, cols, {})
+    none = (F.col("n") == 0) | (F.abs("min") == float("inf")) | (F.abs("max") == float("inf"))
     rng = summ.select(
         KEY,
-        F.when(F.col("n") == 0, F.lit(0.0)).when(F.col("min") == F.col("max"),
+        F.when(none, F.lit(0.0)).when(F.col("min") == F.col("max"),
                                                  F.col("min") - 0.5).otherwise(F.col("min"))
         .alias("_lo"),
-        F.when(F.col("n") == 0, F.lit(1.0)).when(F.col("min") == F.col("max"),
+        F.when(none, F.lit(1.0)).when(F.col("min") == F.col("max"),
                                                  F.col("max") + 0.5).otherwise(F.col("max"))
         .alias("_hi"),
-        F.when(F.col("n") == 0, F.lit(1)).otherwise(F.lit(bins)).alias("_nb"))
+        F.when(none, F.lit(1)).otherwise(F.lit(bins)).alias("_nb"), none.alias("_none"))
     lf = long_form(df, cols).where(F.col(VALUE).isNotNull())
-    binned = (lf.join(F.broadcast(rng), KEY)
+    binned = (lf.join(F.broadcast(rng.where(~F.col("_none"))), KEY)
               .select(KEY, _numpy_bin(F.col(VALUE), F.col("_lo"), F.col("_hi"), bins)
                       .alias("bin"))
               .groupBy(KEY, "bin").agg(F.count(F.lit(1)).alias("count")))

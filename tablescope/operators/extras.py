@@ -13,11 +13,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import as_double, numeric_text
+from ..functions.core import as_double, clean_value, numeric_text
 from .frames import resolve_columns
 from .schema import LOAD_TERMS, coercion_report, dropna_features
 from .stats import QUARTILES, column_summary
@@ -25,33 +25,43 @@ from .stats import QUARTILES, column_summary
 TRAIN_BUCKETS = 8       # of 10 hash buckets go to training
 
 
-def _split(df: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Deterministic 80/20 split by a hash of the key (same on any layout)."""
+def _split(df: DataFrame, key: Sequence[str], train: Column | None = None
+           ) -> tuple[DataFrame, DataFrame]:
+    """Deterministic 80/20 split by a hash of the key (same on any layout), or by ``train``."""
+    if train is not None:
+        return df.where(train), df.where(~train)
     b = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(10))
     return df.where(b < TRAIN_BUCKETS), df.where(b >= TRAIN_BUCKETS)
 
 
 def classification(df: DataFrame, label: str, features: Sequence[str], key: Sequence[str],
-                   max_iter: int = 50) -> dict[str, DataFrame]:
-    """Logistic regression on a hash split; per-class counts and accuracy."""
+                   max_iter: int = 300, train: Column | None = None) -> dict[str, DataFrame]:
+    """Logistic regression on a hash split; per-class counts and accuracy.
+
+    Classes that occur in the test rows only cannot be predicted; their rows
+    are left out.  ``fit`` tells the iterations and whether they converged.
+    """
     feats = resolve_columns(df, features)
     data = dropna_features(df.where(F.col(f"`{label}`").isNotNull()), feats)
-    train, test = _split(data, key)
+    learn, test = _split(data, key, train)
     pipe = Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep",
+        StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip",
                       stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=feats, outputCol="_x"),
         LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=max_iter)])
-    model = pipe.fit(train)
+    model = pipe.fit(learn)
     pred = model.transform(test)
     classes = model.stages[0].labels
-    name = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int") + 1)
+    name = F.element_at(F.lit(list(classes)), F.col("prediction").cast("int") + 1)
     per_class = (pred.groupBy(F.col(f"`{label}`").cast("string").alias("class"))
                  .agg(F.count(F.lit(1)).alias("support"),
                       F.sum((F.col("prediction") == F.col("_y")).cast("int")).alias("correct")))
     acc = pred.agg(F.count(F.lit(1)).alias("test_rows"),
                    F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("accuracy"))
-    return {"per_class": per_class, "accuracy": acc,
+    steps = model.stages[2].summary.totalIterations
+    fit = df.sparkSession.createDataFrame([(int(steps), steps < max_iter)],
+                                          "iterations int, converged boolean")
+    return {"per_class": per_class, "accuracy": acc, "fit": fit,
             "predictions": pred.select(*key, label, name.alias("predicted"))}
 
 
@@ -63,14 +73,15 @@ def linear_fit(df: DataFrame, y: str, x: str) -> DataFrame:
                   F.regr_r2(yy, xx).alias("r2"), F.regr_count(yy, xx).alias("n"))
 
 
-def regression(df: DataFrame, y: str, features: Sequence[str], key: Sequence[str]
-               ) -> dict[str, DataFrame]:
-    """X2 (many features): linear regression on a hash split; coefficients and test RMSE."""
+def regression(df: DataFrame, y: str, features: Sequence[str], key: Sequence[str],
+               train: Column | None = None) -> dict[str, DataFrame]:
+    """X2 (many features): linear regression on a hash split, or on the rows of
+    ``train``; coefficients and test RMSE."""
     feats = resolve_columns(df, features)
     data = dropna_features(df, [*feats, y])
-    train, test = _split(data, key)
+    learn, test = _split(data, key, train)
     va = VectorAssembler(inputCols=feats, outputCol="_x")
-    lr = LinearRegression(featuresCol="_x", labelCol=y).fit(va.transform(train))
+    lr = LinearRegression(featuresCol="_x", labelCol=y).fit(va.transform(learn))
     pred = lr.transform(va.transform(test))
     spark = df.sparkSession
     coef = spark.createDataFrame(
@@ -90,17 +101,34 @@ def _period(df: DataFrame, ts: str, period: str):
 
 
 def ts_periodic(df: DataFrame, ts: str, value: str, period: str = "month") -> DataFrame:
-    """``(period, n, total, average)`` per calendar period."""
+    """``(period, n, total, average)`` per calendar period; NaN counts as missing."""
     p = _period(df, ts, period).alias("period")
-    return (df.groupBy(p).agg(F.count(F.lit(1)).alias("n"),
-                              F.sum(F.col(f"`{value}`")).alias("total"),
-                              F.avg(F.col(f"`{value}`")).alias("average")))
+    v = clean_value(value, {f.name: f.dataType for f in df.schema.fields}[value])
+    return df.groupBy(p).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"),
+                             F.avg(v).alias("average"))
+
+
+# Calendar step of each period name.
+STEPS = {"day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 months",
+         "year": "1 year"}
+
+
+def _calendar(per: DataFrame, period: str) -> DataFrame:
+    """Every period from the first to the last; one without rows has a NULL total.
+
+    Rows without a timestamp belong to no period.
+    """
+    span = per.agg(F.min("period").alias("_lo"), F.max("period").alias("_hi")).where(
+        F.col("_lo").isNotNull())
+    every = span.select(F.explode(F.expr(
+        f"sequence(_lo, _hi, interval {STEPS[period]})")).alias("period"))
+    return every.join(per, "period", "left")
 
 
 def ts_moving_avg(df: DataFrame, ts: str, value: str, period: str = "month",
                   window: int = 3) -> DataFrame:
-    """Moving average of period totals over the last ``window`` periods."""
-    per = ts_periodic(df, ts, value, period)
+    """Moving average of period totals over the last ``window`` calendar periods."""
+    per = _calendar(ts_periodic(df, ts, value, period), period)
     # One row per period: the un-partitioned window is over a bounded table.
     w = Window.orderBy("period").rowsBetween(-(window - 1), 0)
     return per.select("period", "total", F.avg("total").over(w).alias("moving_avg"))
@@ -108,8 +136,8 @@ def ts_moving_avg(df: DataFrame, ts: str, value: str, period: str = "month",
 
 def ts_trend_forecast(df: DataFrame, ts: str, value: str, period: str = "month",
                       horizon: int = 3) -> DataFrame:
-    """Linear trend of period totals against the period index; next ``horizon``."""
-    per = ts_periodic(df, ts, value, period)
+    """Linear trend of period totals against the calendar index; next ``horizon``."""
+    per = _calendar(ts_periodic(df, ts, value, period), period)
     w = Window.orderBy("period")
     idx = per.select("period", "total", (F.row_number().over(w) - 1).alias("t"))
     fit = idx.agg(F.regr_slope("total", "t").alias("slope"),
@@ -126,8 +154,8 @@ def ts_trend_forecast(df: DataFrame, ts: str, value: str, period: str = "month",
 
 
 def revenue_growth(df: DataFrame, ts: str, value: str, period: str = "month") -> DataFrame:
-    """Revenue per period and growth rate (%) against the previous period."""
-    per = ts_periodic(df, ts, value, period)
+    """Revenue per period and growth rate (%) against the calendar period before."""
+    per = _calendar(ts_periodic(df, ts, value, period), period)
     w = Window.orderBy("period")
     prev = F.lag("total").over(w)
     return per.select("period", F.col("total").alias("revenue"),
@@ -147,34 +175,23 @@ def avg_transaction(df: DataFrame, ts: str, value: str, period: str = "month") -
                                                       F.col("average").alias("avg_value"))
 
 
-def top_segments(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
-                 nation: DataFrame, region: DataFrame, top: int = 3) -> DataFrame:
-    """Revenue per (region, market segment) and its rank within the region.
-
-    Line revenue is summed per order before the join (partial aggregation
-    shrinks the big side); join strategies (broadcast of the small dimension
-    tables, sort-merge of the big ones) are left to Spark's size statistics
-    and AQE.
-    """
-    per_order = (lineitem.groupBy("l_orderkey").agg(
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("rev")))
-    geo = (nation.join(region, nation.n_regionkey == region.r_regionkey)
-           .select("n_nationkey", "r_name"))
-    j = (per_order.join(orders.select("o_orderkey", "o_custkey"),
-                        per_order.l_orderkey == orders.o_orderkey)
-         .join(customer.select("c_custkey", "c_nationkey", "c_mktsegment"),
-               F.col("o_custkey") == F.col("c_custkey"))
-         .join(geo, F.col("c_nationkey") == F.col("n_nationkey")))
-    seg = j.groupBy("r_name", "c_mktsegment").agg(F.sum("rev").alias("revenue"))
-    # One row per (region, segment): bounded.
-    w = Window.partitionBy("r_name").orderBy(F.desc("revenue"), "c_mktsegment")
+def top_segments(df: DataFrame, group: str, segment: str, amount: str,
+                 top: int = 3) -> DataFrame:
+    """Amount per (group, segment) and its rank within the group, the first ``top``."""
+    value = clean_value(amount, {f.name: f.dataType for f in df.schema.fields}[amount])
+    seg = df.groupBy(group, segment).agg(F.sum(value).alias("revenue"))
+    # One row per (group, segment): the window runs over counted rows only.
+    w = Window.partitionBy(group).orderBy(F.desc("revenue"), segment)
     return seg.withColumn("rank", F.rank().over(w)).where(F.col("rank") <= top)
 
 
 def retention(df: DataFrame, customer: str, ts: str, period: str = "month") -> DataFrame:
-    """Share of customers active in a period who are active again next period."""
+    """Share of customers active in a period who are active again next period.
+
+    Rows without a customer or a timestamp are nobody's activity.
+    """
     act = df.select(F.col(f"`{customer}`").alias("cust"),
-                    _period(df, ts, period).alias("period")).distinct()
+                    _period(df, ts, period).alias("period")).dropna().distinct()
     unit = period.upper()
     nxt = act.select("cust", F.expr(f"timestampadd({unit}, -1, period)").alias("period"),
                      F.lit(1).alias("back"))

@@ -191,10 +191,47 @@ def quantile_table(long_df: DataFrame, named_probs: dict[str, float], key: str =
         for name, p in named_probs.items()])
 
 
-def mode_table(long_df: DataFrame, key: str = KEY, value: str = VALUE,
-               counts: DataFrame | None = None) -> DataFrame:
-    """Most frequent value per key, smallest on ties -> ``(key, mode)``."""
-    dc = counts if counts is not None else distinct_counts(long_df, key, value)
-    best = F.max(F.struct(F.col("cnt"), (-F.col(value)).alias("_neg")))
-    return dc.groupBy(key).agg(best.alias("_b")).select(
-        key, (-F.col("_b._neg")).alias("mode"))
+def value_family(dt: T.DataType) -> str:
+    """The type in which values of a column are compared exactly."""
+    if isinstance(dt, T.IntegralType):
+        return "long"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "double"
+    if isinstance(dt, T.DecimalType):
+        return dt.simpleString()
+    return "text"
+
+
+def native_value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column_name, v double, text, cnt)`` of non-missing numeric values.
+
+    Values are grouped in their own type family, so integers and decimals that
+    are one double stay apart; ``text`` is the exact value.
+    """
+    cols = resolve_columns(df, columns)
+    if not cols:
+        raise ValueError("No numeric column available for analysis")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    families: dict[str, list[str]] = {}
+    for c in cols:
+        families.setdefault(value_family(types[c]), []).append(c)
+    out = None
+    for kind, names in families.items():
+        value = {c: as_double(c, types[c]) if kind == "double" else F.col(f"`{c}`").cast(kind)
+                 for c in names}
+        part = distinct_counts(df.select(*[v.alias(c) for c, v in value.items()]).unpivot(
+            [], [F.col(f"`{c}`") for c in names], KEY, VALUE))
+        part = part.select(KEY, F.col(VALUE).cast("double").alias(VALUE),
+                           F.col(VALUE).cast("string").alias("text"), "cnt",
+                           (F.col(VALUE).cast("decimal(38,10)") if kind != "double"
+                            else F.lit(None).cast("decimal(38,10)")).alias("exact"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def mode_table(counts: DataFrame) -> DataFrame:
+    """Most frequent value per column, smallest on ties -> ``(column_name, mode, mode_text)``."""
+    best = F.max(F.struct(F.col("cnt"), (-F.col(VALUE)).alias("_neg"), (-F.col("exact")).alias("_fine"),
+                          F.col("text")))
+    return counts.groupBy(KEY).agg(best.alias("_b")).select(
+        KEY, (-F.col("_b._neg")).alias("mode"), F.col("_b.text").alias("mode_text"))

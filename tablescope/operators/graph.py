@@ -36,9 +36,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     leads to its component's least node, which takes about log(n) of them
     whatever the diameter; each round is written to the checkpoint folder.
     """
-    pairs = edges.select(F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")).dropna()
-    now = cut_lineage(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-                      .where(F.col("a") > F.col("b")).distinct())
+    pairs = edges.select(F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")).where(
+        "x is not null and y is not null and x != y")
+    x, y = F.col("x"), F.col("y")
+    now = cut_lineage(pairs.select(F.when(x > y, x).otherwise(y).alias("a"),
+                                   F.when(x > y, y).otherwise(x).alias("b")).distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")),

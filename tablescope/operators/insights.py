@@ -16,7 +16,6 @@ from .distribution import outlier_counts, shapiro_wilk
 from .frames import KEY, date_columns, numeric_columns, resolve_columns, text_columns
 from .stats import missing_report, shape
 
-INSIGHT_FIELDS = ["column_name", "rule", "severity", "title", "message", "metric"]
 
 
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None,
@@ -138,14 +137,13 @@ def statistical_insights(df: DataFrame, columns: Sequence[str] | None = None,
 def statistical_summary(df: DataFrame, columns: Sequence[str] | None = None,
                         approx: bool = False) -> DataFrame:
     """I6 flattened: distribution type, central tendency, dispersion, data quality."""
-    from .frames import long_form, mode_table
-    from .stats import shared_summaries
+    from .stats import mode_by_column, shared_summaries
     cols = resolve_columns(df, columns)
     with shared_summaries():
         f = column_facts(df, cols, approx)
         sw = shapiro_wilk(df, cols).select(KEY, F.col("interpretation")
                                            .alias("distribution_type"))
-    mode = mode_table(long_form(df, cols))
+    mode = mode_by_column(df, cols)
     return (f.join(sw, KEY).join(mode, KEY, "left")
             .select(KEY, "distribution_type", "mean", "median", "mode",
                     (F.col("max") - F.col("min")).alias("range"), "std",
@@ -252,16 +250,18 @@ def chart_suggestions(df: DataFrame) -> DataFrame:
                                            "y_axis string")
 
 
-def _charts(cols: list[str], num: list[str]) -> list[tuple[str, str, str, str]]:
-    out = []
-    if num:
-        out.append((f"Distribution of {num[0]}", "bar", cols[0] if cols else "Category", num[0]))
-        if len(num) >= 2:
-            out.append((f"Relationship between {num[0]} and {num[1]}", "scatter", num[0],
-                        num[1]))
-        if len(num) >= 3:
-            out.append((f"Trend of {num[2]} over time", "line", "Time", num[2]))
-    return out
+# Suggested charts (I5): numeric columns needed, title, type, x axis, y axis.
+# {0}, {1}, {2} are numeric columns in order, {first} is the table's first column.
+CHART_RULES = (
+    (1, "Distribution of {0}", "bar", "{first}", "{0}"),
+    (2, "Relationship between {0} and {1}", "scatter", "{0}", "{1}"),
+    (3, "Trend of {2} over time", "line", "Time", "{2}"),
+)
+
+
+def _charts(cols: list[str], num: list[str]) -> list[tuple[str, ...]]:
+    return [tuple(text.format(*num, first=cols[0]) for text in texts)
+            for needed, *texts in CHART_RULES if len(num) >= needed]
 
 
 def _chart_lines(cols: list[str], num: list[str]) -> list[str]:

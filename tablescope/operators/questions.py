@@ -42,35 +42,42 @@ def top_n(df: DataFrame, n: int, by: str, tiebreak: Sequence[str | Column] = ())
 LABEL_TERMS = ["id", "name", "key", "title"]
 
 
-def systematic_sample(df: DataFrame, column: str, order_by: Sequence[str | Column],
-                      m: int = 100) -> DataFrame:
-    """L3/L4: every ``n // m``-th row of the table (first ``m``), NULL values dropped.
+def systematic_samples(df: DataFrame, columns: Sequence[str], order_by: Sequence[str | Column],
+                       m: int = 100) -> DataFrame:
+    """L3/L4 for many columns: ``(column_name, idx, value, label)``.
 
-    Output ``(idx, value, label)``; ``idx`` is the 0-based row position in
-    ``order_by`` order.  Small tables (n <= m) return every row.
+    Every ``n // m``-th row of the table (first ``m``), NULL values dropped;
+    ``idx`` is the 0-based row position in ``order_by`` order, found once for
+    all columns.  Small tables (n <= m) give every row.
     """
-    dt = {f.name: f.dataType for f in df.schema.fields}[column]
+    types = {f.name: f.dataType for f in df.schema.fields}
     label_col = next((c for c in df.columns if any(t in c.lower() for t in LABEL_TERMS)), None)
-    keep = [F.col(f"`{column}`")] + ([F.col(f"`{label_col}`").alias("_label")]
-                                     if label_col else [])
-    indexed = with_row_index(df.select(*keep, *_cols(order_by)), order_by, "idx")
+    keep = [F.col(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(columns)]
+    keep += [F.col(f"`{label_col}`").cast("string").alias("_label")] if label_col else []
+    order = _cols(order_by)
+    indexed = with_row_index(df.select(*keep, *[c.alias(f"_o{i}") for i, c in enumerate(order)]),
+                             [f"_o{i}" for i in range(len(order))], "idx")
     n = df.count()
-    if n > m:
-        step = n // m
-        picked = indexed.where((F.col("idx") % step == 0) & (F.col("idx") < step * m))
-    else:
-        picked = indexed
-    v = clean_value(column, dt).cast("double")
-    picked = picked.select("idx", v.alias("value"), *(["_label"] if label_col else []))
-    picked = picked.where(F.col("value").isNotNull())
-    base = F.format_string("Row %d: %s", F.col("idx"), F.format_number("value", 2))
+    step = max(n // m, 1)
+    picked = indexed if n <= m else indexed.where(
+        (F.col("idx") % step == 0) & (F.col("idx") < step * m))
+    values = F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.coalesce(clean_value(f"_v{i}", types[c]).cast("double")).alias("value"))
+        for i, c in enumerate(columns)])).alias("_s")
+    rows = picked.select("idx", values, *(["_label"] if label_col else [])).select(
+        "idx", "_s.*", *(["_label"] if label_col else [])).where(F.col("value").isNotNull())
     if label_col:
-        label = F.concat(F.format_string("Row %d: %s = ", F.col("idx"), F.lit(column)),
-                         F.format_number("value", 2),
-                         F.lit(f", {label_col} = "), F.col("_label").cast("string"))
+        label = F.concat(F.format_string("Row %d: %s = ", F.col("idx"), F.col("column_name")),
+                         F.format_number("value", 2), F.lit(f", {label_col} = "), F.col("_label"))
     else:
-        label = base
-    return picked.select("idx", "value", label.alias("label"))
+        label = F.format_string("Row %d: %s", F.col("idx"), F.format_number("value", 2))
+    return rows.select("column_name", "idx", "value", label.alias("label"))
+
+
+def systematic_sample(df: DataFrame, column: str, order_by: Sequence[str | Column],
+                      m: int = 100) -> DataFrame:
+    """L3/L4 for one column: ``(idx, value, label)``."""
+    return systematic_samples(df, [column], order_by, m).drop("column_name")
 
 
 @dataclass

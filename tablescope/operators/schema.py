@@ -77,35 +77,31 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def classify_columns(df: DataFrame, order_by: Sequence[str | Column] | None = None,
-                     sample: int = 100) -> DataFrame:
+                     sample: int | None = None) -> DataFrame:
     """``(position, column_name, type, category)`` with category numeric/date/text.
 
-    Numeric by type, or by a name hint when more than 80 % of the first
-    ``sample`` non-null values (in ``order_by`` order) parse.  Each sample is a
-    bounded top-k (``TakeOrderedAndProject``); all samples share one ratio
-    aggregate.
+    Numeric by type, or by a name hint when more than 80 % of the non-null
+    values parse; one aggregate serves all columns.  With ``sample`` only the
+    first that many non-null values in ``order_by`` order count.
     """
+    if sample is not None and not order_by:
+        raise ValueError("a sample needs order_by")
     fields = df.schema.fields
     spark = df.sparkSession
     cands = [f.name for f in fields if not is_numeric_type(f.dataType)
              and not isinstance(f.dataType, T.BooleanType)
              and _has_term(f.name, CLASSIFY_TERMS)]
     ratios: dict[str, float] = {}
-    if cands:
-        parts = []
-        for c in cands:
-            col = F.col(f"`{c}`")
-            base = df.where(col.isNotNull())
-            if order_by:
-                base = base.orderBy(*order_by)
-            parts.append(base.limit(sample).select(
-                F.lit(c).alias(KEY), numeric_text(col.cast("string")).isNotNull()
-                .cast("double").alias("ok")))
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        ratios = {r[KEY]: r["ratio"] for r in
-                  u.groupBy(KEY).agg(F.avg("ok").alias("ratio")).collect()}
+    for group in ([cands] if sample is None else [[c] for c in cands]):
+        if not group:
+            continue
+        base = df
+        if sample is not None:
+            base = df.where(F.col(f"`{group[0]}`").isNotNull()).orderBy(*order_by).limit(sample)
+        row = base.agg(*[F.avg(F.when(F.col(f"`{c}`").isNotNull(), numeric_text(
+            F.col(f"`{c}`").cast("string")).isNotNull().cast("double"))).alias(f"r{i}")
+            for i, c in enumerate(group)]).first()
+        ratios.update({c: row[f"r{i}"] for i, c in enumerate(group)})
     rows = []
     for i, f in enumerate(fields):
         dtype = f.dataType.simpleString()

@@ -1,10 +1,9 @@
 """Descriptive statistics per column.
 
 Moments come from ONE wide global aggregate (partial aggregation in every
-task, no shuffle of rows).  Order statistics use Spark's exact ``percentile``
-when each column's distinct count is provably small, else the distributed
-rank-based routine in :mod:`frames` (or a sketch when ``approx=True``).  Only
-one-row-per-column summaries ever reach the driver.
+task, no shuffle of rows).  Order statistics always use the distributed
+rank-based routine in :mod:`frames`, whatever the size (or a sketch when
+``approx=True``).  Only one-row-per-column summaries ever reach the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +19,8 @@ from pyspark.sql import types as T
 from ..functions.core import (as_double, is_float_type, safe_corr, sample_kurtosis,
                               sample_skewness)
 from .frames import (KEY, VALUE, approx_quantiles, distinct_counts, exact_quantiles,
-                     long_form, mode_table, resolve_columns)
+                     long_form, mode_table, native_value_counts, resolve_columns,
+                     value_family)
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -62,12 +62,6 @@ def column_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     }).drop("g1", "g2")
 
 
-# Exact ``percentile`` keeps one map entry per distinct value of a column in
-# the final merge task; it is used only when the (approximate) distinct count
-# of every requested column is below this bound.  Above it the distributed
-# rank-based routine runs instead.
-EXACT_PERCENTILE_MAX_DISTINCT = 1_000_000
-
 SUMMARY_SCHEMA = ("column_name string, position int, n long, rows long, mean double, "
                   "std double, min double, max double, sum double, skewness double, "
                   "kurtosis double")
@@ -91,8 +85,8 @@ def shared_summaries(store: dict | None = None) -> Iterator[dict]:
 
 
 def column_summary(df: DataFrame, columns: Sequence[str] | None = None,
-                   quantiles: dict[str, float] | None = None, approx: bool = False,
-                   exact_limit: int = EXACT_PERCENTILE_MAX_DISTINCT) -> DataFrame:
+                   quantiles: dict[str, float] | None = None, approx: bool = False
+                   ) -> DataFrame:
     """Moments + named quantiles, one row per numeric column (bounded size).
 
     Two passes over ``df``: the moment aggregate, then the quantiles.  The
@@ -105,26 +99,20 @@ def column_summary(df: DataFrame, columns: Sequence[str] | None = None,
     quantiles = dict(QUARTILES if quantiles is None else quantiles)
     types = {f.name: f.dataType for f in df.schema.fields}
     store = getattr(_SCOPE, "store", None)
-    key = (df.semanticHash(), tuple(cols), approx, exact_limit) if store is not None else None
-    entry = store.get(key) if key is not None else None
+    # The hash only finds candidates; equal plans are told by sameSemantics.
+    known = [] if store is None else store.setdefault(
+        (df.semanticHash(), tuple(cols), approx), [])
+    entry = next((e for d, e in known if d.sameSemantics(df)), None)
     if entry is None:
         m = column_moments(df, cols).collect()
         entry = {"rows": {r[KEY]: r.asDict() for r in m}, "q": {}}
-        if key is not None:
-            store[key] = entry
+        known.append((df, entry))
     rows, qvals = entry["rows"], entry["q"]
     probs = sorted({float(p) for p in quantiles.values()} - {p for (_, p) in qvals})
     if probs:
         if approx:
             q = approx_quantiles(long_form(df, cols), probs).collect()
             qvals.update({(r[KEY], r["p"]): r["q"] for r in q})
-        elif _distinct_bounded(df, cols, rows, exact_limit):
-            # Distinct (value, count) pairs first: a code-generated hash
-            # aggregate; the percentile map then sees each value once.
-            q = (distinct_counts(long_form(df, cols)).groupBy(KEY)
-                 .agg(F.percentile(VALUE, probs, F.col("cnt")).alias("_qs")).collect())
-            for r in q:
-                qvals.update({(r[KEY], p): v for p, v in zip(probs, r["_qs"] or [])})
         else:
             counts = spark.createDataFrame([(c, rows[c]["n"]) for c in cols],
                                            f"{KEY} string, n long")
@@ -141,19 +129,6 @@ def column_summary(df: DataFrame, columns: Sequence[str] | None = None,
     return spark.createDataFrame(data, schema)
 
 
-def _distinct_bounded(df: DataFrame, cols: list[str], rows: dict, limit: int) -> bool:
-    """True when every column provably (n) or by estimate has <= limit values."""
-    if limit <= 0:
-        return False
-    if all((rows[c]["n"] or 0) <= limit for c in cols):
-        return True
-    big = [c for c in cols if (rows[c]["n"] or 0) > limit]
-    est = (long_form(df, big).groupBy(KEY)
-           .agg(F.approx_count_distinct(VALUE, 0.02).alias("ndv")).collect())
-    # 2% relative error: keep a 10% margin below the limit.
-    return all(r["ndv"] <= 0.9 * limit for r in est)
-
-
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
                      approx: bool = False) -> DataFrame:
     """A4: count, mean, std (n-1), min, q1, median, q3, max per numeric column."""
@@ -215,8 +190,12 @@ def kurtosis_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def mode_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Smallest of the most frequent values per numeric column."""
-    return mode_table(long_form(df, columns))
+    """Smallest of the most frequent values per numeric column.
+
+    ``mode`` is the value as double; ``mode_text`` the exact value in the
+    column's own type, which differs for integers beyond 2^53.
+    """
+    return mode_table(native_value_counts(df, columns))
 
 
 def dispersion(df: DataFrame, columns: Sequence[str] | None = None,
@@ -253,9 +232,6 @@ def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
                  F.lit(f.dataType.simpleString()).alias("dtype"),
                  (F.col("_rows") - F.col(f"c{i}")).alias("missing_count"))
         for i, f in enumerate(fields)])))
-    numeric = [f for f in fields if isinstance(f.dataType, T.NumericType)]
-    other = [f for f in fields if not isinstance(f.dataType, T.NumericType)]
-    parts = []
     if approx:
         uniq = df.agg(*[F.approx_count_distinct(_missing_aware(f)).alias(f"u{i}")
                         for i, f in enumerate(fields)])
@@ -263,10 +239,10 @@ def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
             F.struct(F.lit(f.name).alias(KEY), F.col(f"u{i}").alias("unique_count"))
             for i, f in enumerate(fields)])))
     else:
-        if numeric:
-            parts.append(_distinct_per_column(df, numeric, "double"))
-        if other:
-            parts.append(_distinct_per_column(df, other, "string"))
+        families: dict[str, list[T.StructField]] = {}
+        for f in fields:
+            families.setdefault(value_family(f.dataType), []).append(f)
+        parts = [_distinct_per_column(df, fs, kind) for kind, fs in families.items()]
         uniq = parts[0]
         for p in parts[1:]:
             uniq = uniq.unionByName(p)
@@ -288,8 +264,18 @@ def _as_text(f: T.StructField):
 
 
 def _distinct_per_column(df: DataFrame, fields: list[T.StructField], kind: str) -> DataFrame:
-    conv = (lambda f: _missing_aware(f).cast("double")) if kind == "double" else _as_text
-    wide = df.select(*[conv(f).alias(f.name) for f in fields])
+    """Distinct values per column, compared in the columns' own type family.
+
+    Texts longer than a digest are shuffled as their SHA-256 (marked, so that no
+    short text equals a digest).
+    """
+    def value(f: T.StructField):
+        if kind != "text":
+            return _missing_aware(f).cast(kind)
+        c = _as_text(f)
+        return F.when(F.length(c) > 40, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
+
+    wide = df.select(*[value(f).alias(f.name) for f in fields])
     longer = wide.unpivot([], [F.col(f"`{f.name}`") for f in fields], KEY, VALUE)
     return (distinct_counts(longer).groupBy(KEY)
             .agg(F.count(F.lit(1)).alias("unique_count")))
@@ -317,10 +303,55 @@ def adjacent_correlations(df: DataFrame, max_pairs: int = 3) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """All pairwise correlations (i < j) in one aggregate, long form."""
+    """All pairwise correlations (i < j), long form, pairwise deletion.
+
+    Each task adds up its share of the sums of products as matrices (of columns
+    shifted by their mean, for accuracy) and gives one row per pair; Spark adds
+    the shares.  So the plan does not grow with the number of pairs.
+    """
     cols = resolve_columns(df, columns)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    return _pair_corr(df, pairs)
+    if len(cols) < 2:
+        return _pair_corr(df, [])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    means = df.agg(*[F.avg(F.when(F.abs(v) != float("inf"), v)).alias(f"m{i}")
+                     for i, v in enumerate(as_double(c, types[c]) for c in cols)]).first()
+    shift = [m or 0.0 for m in means]
+    wide = df.select(*[as_double(c, types[c]).alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def shares(batches):
+        import numpy as np
+        import pyarrow as pa
+        i, j = np.triu_indices(len(shift), 1)
+        total = None
+        for b in batches:
+            for low in range(0, b.num_rows, 50_000):
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float)
+                                     for c in b.slice(low, 50_000).columns]) - shift
+                seen = ~np.isnan(x)
+                x, m = np.where(seen, x, 0.0), seen.astype(float)
+                part = np.array([(m.T @ m)[i, j], (x.T @ m)[i, j], (m.T @ x)[i, j],
+                                 ((x * x).T @ m)[i, j], (m.T @ (x * x))[i, j], (x.T @ x)[i, j]])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, total)],
+                names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    pairs = (wide.mapInArrow(shares, "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+             .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums]))
+    n, sx, sy, sxx, syy, sxy = map(F.col, sums)
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    flat = 1e-14
+    corr = F.when((n > 0) & (vx > sxx * flat) & (vy > syy * flat),
+                  (sxy - sx * sy / n) / (F.sqrt(vx) * F.sqrt(vy)))
+    names = F.array(*[F.lit(c) for c in cols])
+    every = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("i")).select(
+        "i", F.explode(F.expr(f"sequence(i + 1, {len(cols)})")).alias("j")).where(
+        F.col("j") < len(cols)).select("i", F.col("j").cast("int").alias("j"))
+    return every.join(pairs, ["i", "j"], "left").select(
+        names[F.col("i")].alias("var1"), names[F.col("j")].alias("var2"),
+        F.when(~F.isnan(corr), corr).alias("corr"))
 
 
 def _pair_corr(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -343,8 +374,3 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("hash_xor"),
                   F.sum(h.cast("decimal(38,0)")).alias("hash_sum")).withColumn(
         "schema", F.lit(df.schema.simpleString()))
-
-
-def distinct_value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column_name, v, cnt)`` helper reused by mode/value counts."""
-    return distinct_counts(long_form(df, columns))

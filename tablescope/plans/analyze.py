@@ -6,39 +6,43 @@ need to build their plans; each returned DataFrame is an unevaluated plan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
 from ..operators import cluster, distribution, extras, insights, questions, schema, stats
 from ..operators.frames import numeric_columns
 
-class LazyResults(dict):
+
+
+class LazyResults(Mapping):
     """Named results built on first access (building some of them runs small
     summary jobs, so unused outputs cost nothing).  All of them share one
     summary scope, so moments and quantiles are computed once per column."""
 
-    def __init__(self, *args, **kw):
-        super().__init__(*args, **kw)
+    def __init__(self, parts: dict[str, object]):
+        self._parts = dict(parts)
         self._summaries: dict = {}
 
-    def __getitem__(self, key):
-        value = super().__getitem__(key)
+    def __getitem__(self, key: str) -> object:
+        value = self._parts[key]
         if callable(value):
             with stats.shared_summaries(self._summaries):
-                value = value()
-            super().__setitem__(key, value)
+                value = self._parts[key] = value()
         return value
 
-    def get(self, key, default=None):
-        return self[key] if key in self else default
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._parts)
+
+    def __len__(self) -> int:
+        return len(self._parts)
 
 
 KINDS = ("quick_ai", "clustering", "statistical", "custom", "classification", "regression",
          "time_series")
 
 
-def analyze(df: DataFrame, kind: str, **params) -> dict[str, object]:
+def analyze(df: DataFrame, kind: str, **params) -> Mapping[str, object]:
     """Run one analysis kind; unknown kinds raise ``ValueError``."""
     if kind == "quick_ai":
         return {"insights": insights.quick_insights(df, params.get("query")),
@@ -55,36 +59,54 @@ def analyze(df: DataFrame, kind: str, **params) -> dict[str, object]:
         return {"statistics": stats.describe_numeric(df), "column_types": schema.column_types(df),
                 "sample": questions.preview(df, 5, params.get("order_by"))}
     if kind == "classification":
-        return _with_message(df, "Classification analysis", params,
-                             lambda: extras.classification(df, params["label"],
-                                                           params["features"], params["key"]))
+        return _with_model(df, "Classification analysis", params, ("label", "features", "key"),
+                           lambda: extras.classification(df, params["label"], params["features"],
+                                                         params["key"]))
     if kind == "regression":
-        return _with_message(df, "Regression analysis", params,
-                             lambda: extras.regression(df, params["target"], params["features"],
-                                                       params["key"]))
+        return _with_model(df, "Regression analysis", params, ("target", "features", "key"),
+                           lambda: extras.regression(df, params["target"], params["features"],
+                                                     params["key"]))
     if kind == "time_series":
-        return _with_message(df, "Time series analysis", params,
-                             lambda: {"periods": extras.ts_periodic(df, params["ts"],
-                                                                    params["value"]),
-                                      "forecast": extras.ts_trend_forecast(
-                                          df, params["ts"], params["value"])})
+        return _with_model(df, "Time series analysis", params, ("ts", "value"),
+                           lambda: {"periods": extras.ts_periodic(df, params["ts"], params["value"]),
+                                    "forecast": extras.ts_trend_forecast(
+                                        df, params["ts"], params["value"])})
     raise ValueError(f"Unknown analysis type: {kind}")
 
 
-def _with_message(df: DataFrame, title: str, params: dict, run) -> dict[str, object]:
-    """The reference only returns a message and a 5-row preview; with the
-    needed parameters the real model is fitted as well."""
-    out: dict[str, object] = {"message": f"{title} would be performed here",
-                              "sample": questions.preview(df, 5, params.get("order_by"))}
+def run_analysis(df: DataFrame, kind: str, **params) -> dict[str, object]:
+    """An analysis with its status record; a failure is recorded, not raised.
+
+    ``{"status": "completed", "results": ...}`` or
+    ``{"status": "failed", "error_message": ..., "results": {}}``.  Results that
+    are built later raise their own errors when they are read.
+    """
     try:
-        out.update(run())
-    except KeyError:
-        pass
-    return out
+        return {"analysis_type": kind, "status": "completed", "error_message": None,
+                "results": analyze(df, kind, **params)}
+    except Exception as e:  # noqa: BLE001 - the record is the point
+        return {"analysis_type": kind, "status": "failed", "error_message": str(e), "results": {}}
+
+
+def _with_model(df: DataFrame, title: str, params: dict, needed: tuple[str, ...],
+                run: Callable[[], dict]) -> dict[str, object]:
+    """Without parameters only a message and a 5-row preview, as in the
+    reference; with them the model is fitted.  Parameters are checked first."""
+    sample = {"sample": questions.preview(df, 5, params.get("order_by"))}
+    if not any(params.get(p) for p in needed):
+        return {"message": f"{title} would be performed here", **sample}
+    missing = [p for p in needed if not params.get(p)]
+    if missing:
+        raise ValueError(f"{title} needs: {', '.join(missing)}")
+    for p in needed:
+        for c in [params[p]] if isinstance(params[p], str) else params[p]:
+            if c not in df.columns:
+                raise ValueError(f"Column {c} not found in dataset")
+    return {"message": f"{title} performed", **sample, **run()}
 
 
 def statistical(df: DataFrame, column: str | None = None, approx: bool = False
-                ) -> dict[str, object]:
+                ) -> Mapping[str, object]:
     """D3: the statistical analysis of one numeric column (default: the first)."""
     num = numeric_columns(df)
     if not num:
@@ -129,8 +151,7 @@ def column_charts(df: DataFrame, column: str | None = None,
             "histogram": distribution.histogram(coerced, num, 10),
         }
         if order_by:
-            out["samples"] = {c: questions.systematic_sample(coerced, c, order_by)
-                              for c in num}
+            out["samples"] = questions.systematic_samples(coerced, num, order_by)
     return out
 
 

@@ -1,33 +1,44 @@
 """Feather (Arrow IPC file) scan as a Python Data Source.
 
-Each input partition is a range of record batches of one file, so a large
+Each input partition is a share of the record batches of one file, so a large
 file is read by many tasks in parallel; ``read`` yields Arrow record batches
-(no per-row Python).
+(no per-row Python).  Files are opened through pyarrow's filesystems, so a
+folder may be any URI they know.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-BATCHES_PER_PARTITION = 8
+SUFFIXES = (".feather", ".arrow", ".ipc")
 
 
-def _files(path: str) -> list[str]:
+def _filesystem(path: str):
+    """The pyarrow filesystem of a path or URI, and the path within it."""
+    import pyarrow.fs as pafs
     if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path)
-                      if f.endswith((".feather", ".arrow", ".ipc")))
-    return [path]
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
+def _files(path: str) -> list[tuple[str, int]]:
+    """(path within its filesystem, bytes) of the files of a folder, or of the file itself."""
+    import pyarrow.fs as pafs
+    fs, root = _filesystem(path)
+    info = fs.get_file_info(root)
+    if info.type == pafs.FileType.Directory:
+        return sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root))
+                      if f.is_file and f.path.endswith(SUFFIXES))
+    return [(root, info.size)]
 
 
-class _Slice(InputPartition):
-    def __init__(self, file: str, start: int, stop: int):
-        super().__init__((file, start, stop))
-        self.file, self.start, self.stop = file, start, stop
+class _Share(InputPartition):
+    def __init__(self, file: str, share: int, shares: int):
+        super().__init__((file, share, shares))
+        self.file, self.share, self.shares = file, share, shares
 
 
 class FeatherDataSource(DataSource):
@@ -40,7 +51,9 @@ class FeatherDataSource(DataSource):
     def schema(self):
         import pyarrow as pa
         from pyspark.sql.pandas.types import from_arrow_schema
-        with pa.memory_map(_files(self.options["path"])[0]) as src:
+        path = self.options["path"]
+        fs, _ = _filesystem(path)
+        with fs.open_input_file(_files(path)[0][0]) as src:
             return from_arrow_schema(pa.ipc.open_file(src).schema)
 
     def reader(self, schema):
@@ -48,24 +61,26 @@ class FeatherDataSource(DataSource):
 
 
 class _FeatherReader(DataSourceReader):
+    """Files are cut into shares by their size; which batches a share holds is
+    read from the file's footer in the task."""
+
+    SHARE_BYTES = 64 << 20
+
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self):
-        import pyarrow as pa
-        out = []
-        for f in _files(self.path):
-            with pa.memory_map(f) as src:
-                n = pa.ipc.open_file(src).num_record_batches
-            for s in range(0, max(n, 1), BATCHES_PER_PARTITION):
-                out.append(_Slice(f, s, min(n, s + BATCHES_PER_PARTITION)))
-        return out
+        return [_Share(f, i, n) for f, size in _files(self.path)
+                for n in [max(1, -(-(size or 0) // self.SHARE_BYTES))] for i in range(n)]
 
     def read(self, partition):
         import pyarrow as pa
-        with pa.memory_map(partition.file) as src:
+        fs, _ = _filesystem(self.path)
+        with fs.open_input_file(partition.file) as src:
             r = pa.ipc.open_file(src)
-            for i in range(partition.start, partition.stop):
+            n = r.num_record_batches
+            for i in range(n * partition.share // partition.shares,
+                           n * (partition.share + 1) // partition.shares):
                 yield r.get_batch(i)
 
 
@@ -92,12 +107,8 @@ def write_feather(df: DataFrame, folder: str) -> str:
 
     def write(batches):
         import pyarrow as pa
-        import pyarrow.fs as pafs
         from pyspark import TaskContext
-        if folder.startswith("file:"):
-            fs, root = pafs.LocalFileSystem(), folder[5:].replace("///", "/")
-        else:
-            fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
         path = f"{root}/part-{TaskContext.get().partitionId():05d}-{tag}.feather"
         writer = None

@@ -2,8 +2,9 @@
 
 CSV follows pandas' reading rules: header row, a fixed set of NULL markers,
 type inference (long -> double -> boolean -> string) decided by ONE
-aggregate over the string-typed scan, and a Latin-1 re-read when the UTF-8
-decode produced replacement characters.
+aggregate over the string-typed scan.  Which files are Latin-1, and which hold
+quoted line breaks and so cannot be split, is decided per file by an aggregate
+over the raw lines.
 """
 
 from __future__ import annotations
@@ -43,9 +44,13 @@ def detect_format(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               normalize: bool = True, spread: bool = False) -> DataFrame:
+               normalize: bool = False, spread: bool = False) -> DataFrame:
     """Read one table from ``path`` (S1-S5), picking the reader by extension.
 
+    The scan is left bare, so filters and columns reach the files; operators
+    treat NaN as missing themselves.  ``normalize`` replaces NaN by NULL in the
+    table itself.
+
     ``spread``: when the scan yields fewer partitions than the cluster's
     default parallelism (e.g. one large row group), rows are dealt round-robin
     so the heavy per-row work downstream uses every core.  On big inputs with
@@ -79,10 +84,34 @@ def spread_partitions(df: DataFrame) -> DataFrame:
     return df
 
 
-def _csv_strings(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    raw = (spark.read.option("header", True).option("encoding", encoding)
-           .option("inferSchema", False).option("multiLine", True).option("escape", '"')
-           .option("nullValue", None).option("emptyValue", "").csv(path))
+def _csv_groups(spark: SparkSession, path: str) -> dict[tuple[str, bool], list[str]]:
+    """Files by (encoding, holds quoted line breaks), from one pass over their lines.
+
+    A file is Latin-1 when some line is no valid UTF-8.  A line with an odd
+    number of quotes opens or closes a field that goes on over the line's end.
+    One small row per file comes back.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        (~F.is_valid_utf8("value")).alias("latin"),
+        (F.regexp_count(F.make_valid_utf8("value"), F.lit('"')) % 2 == 1).alias("open"))
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for r in lines.groupBy("file").agg(F.max("latin").alias("latin"), F.max("open").alias("open")
+                                       ).orderBy("file").collect():
+        groups.setdefault(("ISO-8859-1" if r["latin"] else "UTF-8", r["open"]), []).append(r["file"])
+    return groups
+
+
+def _csv_strings(spark: SparkSession, path: str) -> DataFrame:
+    parts = [spark.read.option("header", True).option("encoding", encoding)
+             .option("inferSchema", False).option("multiLine", whole).option("escape", '"')
+             .option("nullValue", None).option("emptyValue", "").csv(files)
+             for (encoding, whole), files in _csv_groups(spark, path).items()]
+    if not parts:
+        return spark.read.option("header", True).csv(path)
+    raw = parts[0]
+    for p in parts[1:]:
+        raw = raw.unionByName(p, allowMissingColumns=True)
     nulls = F.array(*[F.lit(x) for x in CSV_NULLS])
     return raw.select(*[F.when(F.array_contains(nulls, F.col(f"`{c}`")), F.lit(None))
                         .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
@@ -91,31 +120,24 @@ def _csv_strings(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     """S1 + C2: CSV with pandas-style NULL markers and type inference.
 
-    UTF-8 first; Spark does not fail on invalid bytes but inserts U+FFFD, which
-    the same inference aggregate counts, and then the file is re-read as
-    Latin-1.
+    Files are split among tasks, but for those with quoted line breaks; each
+    file is read in its own encoding.
     """
-    df, stats = _infer(spark, path, "UTF-8", check_bad=True)
-    if any(stats[f"bad{i}"] for i in range(len(df.columns))):
-        df, stats = _infer(spark, path, "ISO-8859-1", check_bad=False)
-    return _apply_inference(df, df.columns, stats)
+    df = _csv_strings(spark, path)
+    return _apply_inference(df, df.columns, _infer(df))
 
 
-def _infer(spark: SparkSession, path: str, encoding: str, check_bad: bool):
-    df = _csv_strings(spark, path, encoding)
+def _infer(df: DataFrame):
     checks = []
     for i, c in enumerate(df.columns):
         s = F.col(f"`{c}`")
         nn = s.isNotNull()
-        checks += [
-            F.count(s).alias(f"n{i}"),
-            F.count(F.when(nn & ~s.rlike(LONG_PATTERN), 1)).alias(f"nl{i}"),
-            F.count(F.when(nn & numeric_text(s).isNull(), 1)).alias(f"nd{i}"),
-            F.count(F.when(nn & ~s.isin(TRUE_WORDS + FALSE_WORDS), 1)).alias(f"nb{i}"),
-            (F.count(F.when(s.contains("\ufffd"), 1)) if check_bad else F.lit(0))
-            .alias(f"bad{i}"),
-        ]
-    return df, df.agg(F.count(F.lit(1)).alias("_rows"), *checks).collect()[0]
+        long = F.when(s.rlike(LONG_PATTERN), F.trim(s).try_cast("long"))  # 20 digits are no long
+        checks += [F.count(s).alias(f"n{i}"),
+                   F.count(F.when(nn & long.isNull(), 1)).alias(f"nl{i}"),
+                   F.count(F.when(nn & numeric_text(s).isNull(), 1)).alias(f"nd{i}"),
+                   F.count(F.when(nn & ~s.isin(TRUE_WORDS + FALSE_WORDS), 1)).alias(f"nb{i}")]
+    return df.agg(F.count(F.lit(1)).alias("_rows"), *checks).collect()[0]
 
 
 def _apply_inference(df: DataFrame, cols: list[str], stats) -> DataFrame:
@@ -137,55 +159,79 @@ def _apply_inference(df: DataFrame, cols: list[str], stats) -> DataFrame:
     return df.select(*out)
 
 
+def _json_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by layout: ``lines``, ``document`` or ``columns``.
+
+    Decided on the executors: the first character that is not blank, how many
+    lines there are, how many of them are JSON objects by themselves, and
+    whether those hold nothing but objects.  One small row per file comes back.
+    """
+    text = F.trim("value")
+    keys = F.json_object_keys(text)
+    inner = F.from_json(text, "map<string, string>")
+    nested = (F.size(keys) > 0) & F.forall(F.map_values(inner), lambda v: F.ltrim(v).startswith("{"))
+    lines = spark.read.text(path).where(text != "").select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+        F.substring(text, 1, 1).alias("head"), keys.isNotNull().alias("object"), nested.alias("nested"))
+    groups: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(
+            F.min_by("head", "at").alias("head"), F.count("*").alias("n"),
+            F.count_if("object").alias("objects"), F.count_if(F.coalesce("nested", F.lit(False))).alias("nested")
+            ).orderBy("file").collect():
+        if r["objects"] == r["n"]:
+            layout = "columns" if r["n"] == r["nested"] == 1 else "lines"
+        else:
+            layout = "document" if r["head"] == "[" else "open"
+        groups.setdefault(layout, []).append(r["file"])
+    if "open" in groups:  # one object over several lines: its own values tell
+        files = groups.pop("open")
+        whole = spark.read.text(files, wholetext=True)
+        text, inner = F.trim("value"), F.from_json("value", "map<string, string>")
+        for r in whole.select(F.col("_metadata.file_path").alias("file"), F.forall(
+                F.map_values(inner), lambda v: F.ltrim(v).startswith("{")).alias("nested")
+                ).orderBy("file").collect():
+            groups.setdefault("columns" if r["nested"] else "document", []).append(r["file"])
+    return groups
+
+
 def scan_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON as pandas reads it.
+    """JSON as pandas reads it; the layout is found per file.
 
-    * an array of records (one document) -> ``multiLine`` read;
     * newline-delimited records -> line reader (splits across tasks);
+    * an array of records or one record (one document) -> ``multiLine`` read;
     * a column-oriented object ``{column: {index: value}}`` -> exploded to
-      ``(column, index, value)``, pivoted back to one row per index, then typed
-      by the same inference pass as CSV.
+      ``(file, column, index, value)``, pivoted back to one row per file and
+      index, then typed by the same inference pass as CSV.
     """
-    import json as _json
-    first = spark.read.text(path).where(F.trim("value") != "").first()
-    line = (first["value"].strip() if first else "")
-    if line.startswith("["):
-        return spark.read.json(path, multiLine=True)
-    try:
-        obj = _json.loads(line)
-    except ValueError:
-        obj = None
-    if isinstance(obj, dict) and not (obj and all(isinstance(v, dict) for v in obj.values())):
-        return spark.read.json(path)                       # newline-delimited records
-    doc = spark.read.text(path, wholetext=True)
-    if obj is None:                                        # pretty-printed document
-        probe = doc.select(F.from_json("value", "map<string, string>").alias("m")).first()
-        inner = list((probe["m"] or {}).values())
-        if not inner or not all(str(v).lstrip().startswith("{") for v in inner):
-            return spark.read.json(path, multiLine=True)
-    return _columns_json(spark, doc)
-
-
-def _columns_json(spark: SparkSession, doc: DataFrame) -> DataFrame:
-    """``{column: {index: value}}`` -> rows ordered by index, typed by inference."""
+    groups = _json_groups(spark, path)
+    parts = []
+    if "lines" in groups:
+        parts.append(spark.read.json(groups["lines"]))
+    if "document" in groups:
+        parts.append(spark.read.json(groups["document"], multiLine=True))
+    if "columns" in groups:
+        parts.append(_columns_json(spark, groups["columns"]))
+    if not parts:
+        return spark.read.json(path)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _columns_json(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``{column: {index: value}}`` -> rows ordered by file and index, typed by inference."""
+    doc = spark.read.text(files, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     m = F.from_json("value", "map<string, map<string, string>>")
-    cells = (doc.select(F.explode(m).alias("column", "vals"))
-             .select("column", F.explode("vals").alias("idx", "val")))
-    names = [r["column"] for r in doc.select(F.explode(F.map_keys(m)).alias("column"))
-             .collect()]
-    wide = cells.groupBy("idx").pivot("column", names).agg(F.first("val"))
+    cells = (doc.select("file", F.explode(m).alias("column", "vals"))
+             .select("file", "column", F.explode("vals").alias("idx", "val")))
+    keys = doc.select("file", F.posexplode(F.map_keys(m)).alias("pos", "column"))
+    names = [r["column"] for r in keys.groupBy("column").agg(F.min(F.struct("file", "pos")).alias("at"))
+             .orderBy("at").collect()]
+    wide = cells.groupBy("file", "idx").pivot("column", names).agg(F.first("val"))
     # Row order follows the index (numeric when it is numeric, as pandas does).
-    wide = wide.orderBy(F.col("idx").try_cast("long"), "idx").drop("idx")
-    checks = []
-    for i, c in enumerate(names):
-        s = F.col(f"`{c}`")
-        nn = s.isNotNull()
-        checks += [F.count(s).alias(f"n{i}"),
-                   F.count(F.when(nn & ~s.rlike(LONG_PATTERN), 1)).alias(f"nl{i}"),
-                   F.count(F.when(nn & numeric_text(s).isNull(), 1)).alias(f"nd{i}"),
-                   F.count(F.when(nn & ~s.isin(TRUE_WORDS + FALSE_WORDS), 1)).alias(f"nb{i}")]
-    stats = wide.agg(F.count(F.lit(1)).alias("_rows"), *checks).collect()[0]
-    return _apply_inference(wide, names, stats)
+    wide = wide.orderBy("file", F.col("idx").try_cast("long"), "idx").drop("file", "idx")
+    return _apply_inference(wide, names, _infer(wide))
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:

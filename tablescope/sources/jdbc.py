@@ -40,11 +40,22 @@ def jdbc_table(spark: SparkSession, url: str, table: str, user: str | None = Non
                password: str | None = None, driver: str | None = None,
                partition_column: str | None = None, lower: int | None = None,
                upper: int | None = None, num_partitions: int | None = None) -> DataFrame:
-    """A database table as a DataFrame, range-partitioned when asked."""
+    """A database table as a DataFrame, range-partitioned when asked.
+
+    Bounds that are not given are asked from the database; the number of ranges
+    defaults to the cluster's parallelism.
+    """
     r = _reader(spark, url, user, password, driver).option("dbtable", table)
     if partition_column:
-        r = (r.option("partitionColumn", partition_column).option("lowerBound", lower)
-             .option("upperBound", upper).option("numPartitions", num_partitions or 8))
+        if lower is None or upper is None:
+            lo, hi = jdbc_query(spark, url, f"SELECT MIN({partition_column}) AS lo, "
+                                f"MAX({partition_column}) AS hi FROM {table}", user, password,
+                                driver).first()
+            lower, upper = lo if lower is None else lower, hi if upper is None else upper
+        if lower is not None:  # an empty table has no bounds
+            r = (r.option("partitionColumn", partition_column).option("lowerBound", lower)
+                 .option("upperBound", upper)
+                 .option("numPartitions", num_partitions or spark.sparkContext.defaultParallelism))
     return r.load()
 
 
@@ -62,3 +73,12 @@ def jdbc_query(spark: SparkSession, url: str, sql: str, user: str | None = None,
 def jdbc_tables(spark: SparkSession, url: str, dialect: str, **kw) -> DataFrame:
     """Table names of a database (one column ``table_name``)."""
     return jdbc_query(spark, url, LIST_TABLES_SQL[dialect], **kw)
+
+
+def jdbc_tables_preview(spark: SparkSession, url: str, dialect: str, n: int = 10, **kw
+                        ) -> tuple[DataFrame, DataFrame | None]:
+    """The table names, and a preview of the first one (None without tables)."""
+    names = jdbc_tables(spark, url, dialect, **kw)
+    first = names.orderBy("table_name").first() if "table_name" in names.columns else \
+        names.orderBy(names.columns[0]).first()
+    return names, jdbc_preview(spark, url, first[0], n, **kw) if first else None

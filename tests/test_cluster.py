@@ -45,7 +45,32 @@ def test_clustering_report_and_insights(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     rep = api.clustering_report(df, ["l_quantity", "l_extendedprice", "l_discount"])
     assert rep["plot_features"] == ["pca_x", "pca_y"] and rep["num_clusters"] == 3
-    assert rep["centers"] is None
+    centers = rep["centers"].collect()
+    assert rep["centers"].columns == ["cluster", "pca_x", "pca_y"] and len(centers) == 3
+    assert rep["converged"] and rep["iterations"] < 300
     assert rep["sample"].count() == 100
     kinds = [r["type"] for r in rep["insights"].collect()]
     assert "info" in kinds
+
+
+def test_analysis_results_and_parameters(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    res = api.analyze(df, "statistical", column="value")
+    assert not any(callable(v) for k, v in res.items() if k in ("column", "mode", "skewness"))
+    assert set(res) == set(res.keys()) and "mode" in res and res.get("nope") is None
+    with pytest.raises(ValueError):
+        api.analyze(df, "time_series", ts="nope", value="value")
+    with pytest.raises(ValueError):
+        api.analyze(df, "time_series", ts="ts")
+    assert "would be" in api.analyze(df, "regression")["message"]
+    assert "would be" not in api.analyze(df, "time_series", ts="ts", value="value")["message"]
+    failed = api.run_analysis(df, "nope")
+    assert failed["status"] == "failed" and "nope" in failed["error_message"]
+    assert api.run_analysis(df, "custom")["status"] == "completed"
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(1, 600).selectExpr("id AS a", "id - 1 AS b").union(
+        spark.createDataFrame([(900, 901), (901, 901), (None, 3)], "a long, b long"))
+    got = {r["node"]: r["component"] for r in api.connected_components(edges, "a", "b").collect()}
+    assert got == {**{i: 0 for i in range(600)}, 900: 900, 901: 900}

@@ -38,3 +38,19 @@ def test_dbscan_drops_null_rows(spark):
                                "id long, x double, y double")
     res = api.dbscan(df, ["x", "y"], eps=5.0, min_samples=2, id_cols=["id"])
     assert sorted(r["id"] for r in res.assignments.collect()) == [1, 3]
+
+
+def test_repeated_ids_keep_every_row(spark):
+    from tablescope import api
+    df = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    out = api.dbscan(df, ["c_acctbal"], eps=0.1, id_cols=["c_nationkey"]).assignments
+    assert out.count() == df.count()
+
+
+def test_report_of_three_features(spark):
+    from tablescope import api
+    df = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    rep = api.clustering_report(df, ["p_size", "p_retailprice", "p_partkey"], "dbscan", eps=0.5,
+                                keep=["p_partkey"])
+    assert rep["points"].columns == ["p_partkey", "pca_x", "pca_y", "cluster"]
+    assert "_rid" not in rep["assignments"].columns and rep["points"].count() == df.count()

@@ -42,9 +42,8 @@ def test_hot_value_holding_a_third_of_rows(spark):
     import numpy as np
     vals = np.array([7.0 if i % 3 == 0 else float(i) for i in range(n)])
     s = api.column_summary(df, ["v"], {"q1": .25, "m": .5}).first()
-    s2 = api.column_summary(df, ["v"], {"q1": .25, "m": .5}, exact_limit=0).first()
-    assert s["q1"] == s2["q1"] == pytest.approx(np.quantile(vals, .25))
-    assert s["m"] == s2["m"] == pytest.approx(np.quantile(vals, .5))
+    assert s["q1"] == pytest.approx(np.quantile(vals, .25))
+    assert s["m"] == pytest.approx(np.quantile(vals, .5))
     assert api.mode_by_column(df, ["v"]).first()["mode"] == 7.0
     qq = api.qq_points(df, ["v"]).orderBy("i").collect()
     assert [r["i"] for r in qq] == list(range(1, n + 1))

@@ -128,3 +128,44 @@ def test_csv_inference_matches_pandas(spark, seed, gaps):
                 assert x == str(y)
             else:
                 assert x == y
+
+
+def _write(folder, **files):
+    folder.mkdir()
+    for name, data in files.items():
+        (folder / name.replace("_", ".")).write_bytes(data)
+    return str(folder)
+
+
+def test_csv_encoding_is_found_per_file(spark, tmp_path):
+    path = _write(tmp_path / "t", a_csv="v,w\ncaf\u00e9,\ufffd\n".encode(), b_csv="v,w\nna\u00efve,x\n".encode("latin-1"))
+    from tablescope import api
+    assert sorted(r["v"] for r in api.scan_csv(spark, path).collect()) == ["caf\u00e9", "na\u00efve"]
+
+
+def test_csv_long_numbers_line_breaks_and_splits(spark, tmp_path):
+    from tablescope import api
+    path = _write(tmp_path / "t", a_csv=b'n,t\n12345678901234567890,"two\nlines"\n7,x\n')
+    rows = api.scan_csv(spark, path).orderBy("n").collect()
+    assert [r["n"] for r in rows] == [7.0, 12345678901234567890.0] and rows[1]["t"] == "two\nlines"
+    big = _write(tmp_path / "u", a_csv=b"a,b\n" + b"1,some text in a line\n" * 40_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        assert api.scan_csv(spark, big).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_columns_over_several_files(spark, tmp_path):
+    from tablescope import api
+    path = _write(tmp_path / "t", a_json=b'{"x": {"0": 1, "1": 2}, "y": {"0": "a", "1": "b"}}',
+                  b_json=b'{\n "x": {"0": 3},\n "y": {"0": "c"}\n}', c_json=b'[{"x": 4, "y": "d"}]',
+                  d_json=b'{"x": 5, "y": "e"}\n{"x": 6, "y": "f"}\n')
+    assert sorted((r["x"], r["y"]) for r in api.scan_json(spark, path).collect()) == list(zip(range(1, 7), "abcdef"))
+
+
+def test_filters_reach_the_scan(spark):
+    from tablescope import api
+    df = api.read_table(spark, "/root/testdata/sf0.001/events.parquet").where("value > 100").select("value")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(value,100.0)" in plan and "ReadSchema: struct<value:double>" in plan

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tablescope import api
 from tablescope.operators.frames import exact_quantiles, long_form, with_row_index
-from tablescope.operators.stats import column_summary
+from tablescope.operators.stats import (column_summary, correlation_matrix, mode_by_column,
+                                        profile_columns)
 
 
 def test_reference_frame_f1(spark):
@@ -80,12 +81,33 @@ def test_distributed_quantiles_equal_numpy(spark, xs):
             assert q[(c, p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-9)
 
 
-def test_summary_paths_agree(spark):
+def test_quantiles_take_the_rank_path_only(spark):
+    """No aggregate that holds a column's distinct values in one task."""
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    fast = sorted(tuple(r) for r in column_summary(df, None, {"q1": .25, "m": .5}).collect())
-    slow = sorted(tuple(r) for r in column_summary(df, None, {"q1": .25, "m": .5},
-                                                   exact_limit=0).collect())
-    assert fast == slow
+    from tablescope.operators.frames import exact_quantiles, long_form
+    plan = exact_quantiles(long_form(df), [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan
+
+
+def test_native_values_beyond_doubles(spark):
+    big = 2 ** 53
+    df = spark.createDataFrame([(big,), (big + 1,), (big + 1,), (big + 2,), (None,)], "v long")
+    assert profile_columns(df).first()["unique_count"] == 3
+    assert mode_by_column(df).first()["mode_text"] == str(big + 1)
+
+
+def test_wide_correlations(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 60)) * 1e3 + 1e6
+    x[:, 1] = 5.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(60)]))
+    want = pd.DataFrame(x).corr(min_periods=2).to_numpy()
+    got = correlation_matrix(df).collect()
+    assert len(got) == 60 * 59 // 2
+    for r in got:
+        w = want[int(r["var1"][1:]), int(r["var2"][1:])]
+        assert r["corr"] is None if np.isnan(w) else r["corr"] == pytest.approx(w, abs=1e-6)
 
 
 def test_row_index_stable_under_repartition(spark):
