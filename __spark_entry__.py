@@ -1076,16 +1076,16 @@ def _shapiro_sql(table: str, cols: list[str]) -> str:
     for c in cols:
         parts.append(
             f"(WITH {_shapiro_core(table, c)} SELECT '{c}' AS column_name, xs.n, "
-            "round(sw.w, 4) AS W, round(sw.p, 4) AS p_value, CASE WHEN sw.p > 0.05 AND "
-            "xs.n < 5000 THEN 'Normal distribution' ELSE 'Non-normal distribution' END "
+            "round(sw.w, 4) AS W, round(sw.p, 4) AS p_value, CASE WHEN sw.p IS NULL THEN "
+            "'Not tested' WHEN sw.p > 0.05 THEN 'Normal distribution' ELSE 'Non-normal distribution' END "
             "AS interpretation FROM xs LEFT JOIN sw ON true)")
     return " UNION ALL ".join(parts)
 
 
 def _summary_sql(table: str, cols: list[str]) -> str:
     sw = " UNION ALL ".join(
-        f"(WITH {_shapiro_core(table, c)} SELECT '{c}' AS column_name, CASE WHEN sw.p > 0.05 "
-        "AND xs.n < 5000 THEN 'Normal distribution' ELSE 'Non-normal distribution' END AS dt "
+        f"(WITH {_shapiro_core(table, c)} SELECT '{c}' AS column_name, CASE WHEN sw.p IS NULL "
+        "THEN 'Not tested' WHEN sw.p > 0.05 THEN 'Normal distribution' ELSE 'Non-normal distribution' END AS dt "
         "FROM xs LEFT JOIN sw ON true)" for c in cols)
     return (
         f"WITH {_facts_sql(table, cols)}, sw AS ({sw}), "

@@ -292,20 +292,21 @@ def qq_line(df: DataFrame, columns: Sequence[str] | str | None = None) -> DataFr
 # Shapiro-Wilk size limit, significance level and labels.
 SW_MAX_N = 5000
 SW_ALPHA = 0.05
-SW_LABELS = ("Normal distribution", "Non-normal distribution")
+SW_LABELS = ("Normal distribution", "Non-normal distribution", "Not tested")
 
 
-def shapiro_wilk(df: DataFrame, columns: Sequence[str] | str | None = None) -> DataFrame:
+def shapiro_wilk(df: DataFrame, columns: Sequence[str] | str | None = None,
+                 max_n: int = SW_MAX_N) -> DataFrame:
     """Shapiro-Wilk W and p-value (Royston 1995) per column with 3 <= n < 5000.
 
-    Other columns get NULL; the interpretation is "Normal distribution" iff
-    p > 0.05 and n < 5000.  Only columns with n < 5000 are ranked, so every
-    window group is bounded.
+    The test holds for samples below ``max_n`` values (5000, as in the reference)
+    that are not constant; other columns get NULL and the label "Not tested".
+    Only tested columns are ranked, so every window group is bounded.
     """
     cols = resolve_columns(df, columns)
     s = column_summary(df, cols, {})
     small = [r[KEY] for r in s.select(KEY, "n", "min", "max").collect()
-             if r["n"] is not None and 3 <= r["n"] < SW_MAX_N and r["min"] != r["max"]]
+             if r["n"] is not None and 3 <= r["n"] < max_n and r["min"] != r["max"]]
     res = None
     if small:
         lf = long_form(df, small).where(F.col(VALUE).isNotNull())
@@ -363,6 +364,7 @@ def shapiro_wilk(df: DataFrame, columns: Sequence[str] | str | None = None) -> D
     base = s.select(KEY, "n")
     out = base.join(res, KEY, "left") if res is not None else base.withColumns(
         {"W": F.lit(None).cast("double"), "p_value": F.lit(None).cast("double")})
-    return out.select(KEY, "n", "W", "p_value", F.when(
-        (F.col("p_value") > SW_ALPHA) & (F.col("n") < SW_MAX_N), SW_LABELS[0])
-        .otherwise(SW_LABELS[1]).alias("interpretation"))
+    p = F.col("p_value")
+    return out.select(KEY, "n", "W", "p_value", F.when(p.isNull(), SW_LABELS[2])
+                      .when(p > SW_ALPHA, SW_LABELS[0]).otherwise(SW_LABELS[1])
+                      .alias("interpretation"))
