@@ -3,23 +3,29 @@
 1. Sets are cut into classes by shingle hash, more classes than two linked
    sets can have differences; so linked sets agree on a whole class.  The class
    contents are pivots under the Jaccard distance restricted to that class, and
-   the sets at distance 0 from one form its region.
-2. Within a region documents become pivots.  Exact Jaccard distances to them
-   give links, assign every other set to its nearest pivot (Voronoi regions)
-   and replicate it wherever its distance exceeds the nearest by at most twice
-   the linking distance; rings around the pivot as wide as the linking distance
-   split a region further.  Both follow from the triangle inequality and lose
-   no linked pair.
+   the sets at distance 0 from one form its region.  A set with c classes, at
+   most d of which a linked set can lack, stays in the d + 1 of its regions that
+   hold the fewest sets: any two linked sets still share one of those.
+2. Within a region documents become pivots.  Distances to them assign every
+   other set to its nearest pivot (Voronoi regions) and replicate it wherever
+   its distance exceeds the nearest by at most twice the linking distance;
+   rings around the pivot as wide as the linking distance split a region
+   further.  Both follow from the triangle inequality and lose no linked pair.
+   A region that this would not make smaller just loses its pivots.
+   The distance is the sum of differences between counts of hashes per bin, a
+   metric that never exceeds the number of elements in which the sets differ;
+   pairs that it cannot reject are compared by their exact Jaccard distance.
 3. Regions are joined again in the same way until no region holds two sets of
    different components.  Sets already connected need no further comparison.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -31,6 +37,7 @@ from .common import stored, words
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
+TAG = np.uint64(1023)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -69,7 +76,7 @@ def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
 class Classes:
     """Sizes of bands and numbers of classes for a threshold num/den.
 
-    Bands double in size.  Two linked sets are in one band or in neighbouring
+    Bands grow by half.  Two linked sets are in one band or in neighbouring
     ones and meet under the larger one's band.
     """
 
@@ -79,82 +86,129 @@ class Classes:
         self.num, self.den = num, den
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
-            self.edges.append(2 * self.edges[-1])
+            self.edges.append(max(self.edges[-1] + 1, self.edges[-1] * 3 // 2))
+        self.cuts = [self._first_cut(band) for band in range(len(self.edges) - 1)]
 
     def bands(self, n: int) -> list[int]:
-        own = n.bit_length() - 1
+        own = bisect.bisect_right(self.edges, n) - 1
         up = n * self.den // self.num >= self.edges[own + 1]
         return [own, own + 1] if up else [own]
 
-    def differences(self, band: int) -> int:
-        """Most differences of two linked sets of which the larger is in ``band``."""
+    def _first_cut(self, band: int) -> tuple[int, int]:
+        """Most differences of two linked sets of which the larger is in the band, and
+        the spare classes that the smallest set there is likely to leave empty."""
         largest = self.edges[band + 1] - 1
-        return 2 * largest * (self.den - self.num) // (self.den + self.num)
+        most = 2 * largest * (self.den - self.num) // (self.den + self.num)
+        smallest, spare = self.edges[band] * self.num / self.den, 1
+        for _ in range(4):
+            cut = most + 1 + spare
+            spare = 1 + max(most // 4, int(1.2 * cut * math.exp(-smallest / cut)))
+        return most, spare
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """One hash per band and non-empty class of the set.
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """One hash per band, cut and non-empty class of the set, its low bits telling band and cut.
 
         Sets that agree on a class could both be empty there.  So a set goes on
         to finer cuts until it has no more empty classes than the cut has to
         spare; linked sets then share a non-empty class in the last cut that
-        both make.
+        both make.  Also gives, for each band and cut in a row: their bits, the
+        number of classes, and the number of regions to stay in.
         """
-        n, out = len(s), []
+        n, out, cuts = len(s), [s[:0]], []
         if not n:
-            return s
+            return s, cuts
         content, place = mixed(s ^ ODD), s >> np.uint64(32)
         for band in self.bands(n):
-            most, spare = self.differences(band), 0
-            if not most:
-                out.append(mixed(np.array([content.sum() + np.uint64(band)], np.uint64)))
-                continue
-            spare = 1 + most // 32
-            while True:
-                cut = most + 1 + spare
+            most, spare = self.cuts[band]
+            differ = (n + self.edges[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+            for level in range(4):
+                cut = most + 1 + spare if most else 1
                 cell = (place * np.uint64(cut)) >> np.uint64(32)
                 # Hashes are sorted and cells are monotone in them, so cells are runs.
                 first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                total = np.add.reduceat(content, first)
-                out.append(mixed(total + mixed(cell[first] * ODD + np.uint64(band * 4099 + cut))))
-                if cut - len(first) <= spare or cut >= 1 << 31:
+                code = band * 4 + level
+                total = mixed(np.add.reduceat(content, first) + mixed(cell[first] * ODD + np.uint64(code)))
+                out.append((total & ~TAG) | np.uint64(code))
+                cuts += [code, len(first), differ + 1]
+                if not most or cut - len(first) <= spare:
                     break
-                spare = 2 * spare + 1
-        return np.concatenate(out)
+                # As many classes as it takes; the last cut is so fine that hardly two hashes meet.
+                spare = 4 * spare + 1 if level < 2 else 1 << 31
+        return np.concatenate(out), cuts
 
 
-def _profiles(k: int, num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, classes = WordHashes(), Classes(num, den)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                sets = [shingles(t, k, hashes) for t in part.column(1).to_pylist()]
-                signs = [classes.signatures(s) for s in sets]
-                digest = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-                half = lambda d, shift: np.array([x >> shift & (1 << 64) - 1 for x in d], np.uint64).astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype(np.int32)
-                flat = np.concatenate(signs).astype(np.int64) if signs else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(half(digest, 64)),
-                    pa.array(half(digest, 0)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["id", "n", "d1", "d2", "signs"])
-    return run
+def _firsts(num: int, den: int):
+    """What is learnt of every text first: size, digest and cuts of its set."""
+    def columns(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+        classes = Classes(num, den)
+        return {"n": pa.array([len(s) for s in sets], pa.int64()), **dict(zip(("d1", "d2"), _digests(sets))),
+                "cuts": _lists([np.array(classes.signatures(s)[1], np.int64) for s in sets])}
+    return columns
+
+
+BINS = 512
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Number of hashes per bin, 255 at most."""
+    return np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
 
+def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of the differences of two sketches: at most the number of differences of the sets."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+                for c in ("x", "y"))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("id", "pivot", "m", "n")), pa.array(np.abs(x - y).sum(1).astype(np.int64))],
+            names=["id", "pivot", "m", "n", "gap"])
 
-def _sets(k: int):
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64)))
+
+
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+    halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)]
+
+
+def _per_text(k: int, columns):
+    """Runs ``columns(sets)`` on the shingle sets of each batch's texts, beside their ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                sets = [shingles(t, k, hashes).astype(np.int64) for t in part.column(1).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))],
-                    names=["id", "s"])
+                found = columns([shingles(t, k, hashes) for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), *found.values()], names=["id", *found])
     return run
 
 
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (region, id) sorted by region, those whose region has another row."""
+    region, ids, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the row held back
+
+    def out(mask: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(region[mask]), pa.array(ids[mask])], names=["region", "id"])
+
+    for batch in batches:
+        region = np.concatenate([region, batch.column(0).to_numpy()])
+        ids = np.concatenate([ids, batch.column(1).to_numpy()])
+        if len(region) < 2:
+            continue
+        same = region[1:] == region[:-1]
+        keep = np.concatenate([[known], same]) | np.concatenate([same, [False]])
+        known = bool(keep[-1])
+        keep[-1] = False  # its region may go on in the next batch
+        yield out(keep)
+        region, ids = region[-1:], ids[-1:]
+    if known:
+        yield out(np.ones(len(region), bool))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) for every row of ``docs``.
@@ -171,7 +225,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     profiles = stored(rows.mapInArrow(
-        _profiles(k, num, den), "id long, n long, d1 long, d2 long, signs array<bigint>"), "profiles")
+        _per_text(k, _firsts(num, den)), "id long, n long, d1 long, d2 long, cuts array<bigint>"), "profiles")
     nodes = profiles.where(F.col("id").isNotNull() & (F.col("n") > 0))
     firsts = nodes.groupBy("d1", "d2").agg(F.min("id").alias("node"))
     named = stored(nodes.select("id", "d1", "d2").join(firsts, ["d1", "d2"]).select("id", "node"), "nodes")
@@ -179,64 +233,116 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     links = named.join(twice, "id").select(F.col("node").alias("a"), F.col("m").alias("b")).where("a != b")
 
     # Regions of the first kind: a class content shared by sets that differ elsewhere.
-    signed = nodes.select(F.explode("signs").alias("region"), "id", "d1", "d2")
-    shared = signed.groupBy("region").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low != high")
-    regions = stored(signed.join(shared.select("region"), "region").groupBy("region", "d1", "d2")
-                     .agg(F.min("id").alias("id")).select("region", "id").distinct()
-                     .withColumn("home", F.lit(True)), "regions")
-    crowd = regions.groupBy("region").agg(F.count("*").alias("size"))
+    # Equal sets are one before their signatures are shuffled.
+    classes = Classes(num, den)
+    signed = rows.where(F.col("id").isNotNull()).mapInArrow(
+        _per_text(k, lambda sets: {**dict(zip(("d1", "d2"), _digests(sets))),
+                                   "signs": _lists([classes.signatures(s)[0] for s in sets])}),
+        "id long, d1 long, d2 long, signs array<bigint>")
+    single = signed.join(firsts.select(F.col("node").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi")
+    crowded = stored(single.select(F.explode("signs").alias("region"), "id").repartition("region")
+                     .sortWithinPartitions("region").mapInArrow(_crowded, "region long, id long").distinct(),
+                     "crowded")
+    crowd = crowded.groupBy("region").agg(F.count("*").alias("size"))
+    # Of a set's classes those without company come first, then the smallest regions.
+    tag = F.col("region").bitwiseAND(F.lit(int(TAG)))
+    cuts = nodes.select("id", F.explode(F.expr(
+        "transform(sequence(0, size(cuts) - 1, 3), i -> struct(cuts[i] AS tag, cuts[i + 1] AS c, cuts[i + 2] AS stay))"
+    )).alias("cut")).select("id", "cut.*").groupBy("id", "tag").agg(F.max("c").alias("c"), F.max("stay").alias("stay"))
+    own = Window.partitionBy("id", "tag")
+    placed = (crowded.join(crowd, "region").withColumn("tag", tag)
+              .withColumn("at", F.row_number().over(own.orderBy("size", "region")))
+              .withColumn("all", F.count("*").over(own)))
+    regions = stored(placed.join(cuts, ["id", "tag"]).where(F.col("c") - F.col("all") + F.col("at") <= F.col("stay"))
+                     .select("region", "id").withColumn("home", F.lit(True)), "regions")
+    crowd = regions.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
     central = stored(regions.join(crowd, "region").groupBy("id").agg(F.sum("size").alias("rank")), "central")
-    sets = stored(rows.join(central.select("id"), "id", "left_semi").mapInArrow(_sets(k), "id long, s array<bigint>")
-                  .distinct(), "sets")
+    sets = stored(rows.join(central.select("id"), "id", "left_semi").mapInArrow(
+        _per_text(k, lambda sets: {"n": pa.array([len(s) for s in sets], pa.int64()), "s": _lists(sets),
+                                   "sketch": pa.array([sketch(s) for s in sets], pa.binary())}),
+        "id long, n long, s array<bigint>, sketch binary").distinct(), "sets")
 
     components = stored(connected_components(links, "a", "b"), "components")
-    far = (den - num) / den
+    label = F.coalesce(F.col("component"), F.col("id"))
+    known = None  # distances of the pairs compared so far
     pivots_per_region = 1
     while True:
-        label = F.coalesce(F.col("component"), F.col("id"))
         placed = (regions.join(components.withColumnRenamed("node", "id"), "id", "left")
                   .select("region", "id", "home", label.alias("label")))
-        open_regions = (placed.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                                     F.max("home").alias("home"))
-                        .where("low != high and home").select("region"))
-        regions = stored(regions.join(open_regions, "region"), "open")
+        groups = placed.groupBy("region", "label").agg(
+            F.count("*").alias("n"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("id", "home")).alias("x"),
+            F.sum(F.xxhash64("home", "id").cast("decimal(38,0)")).alias("s"))
+        per = groups.groupBy("region").agg(
+            F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("home").alias("home"), F.bit_xor("x").alias("x"),
+            F.sum("s").alias("s")).where("labels > 1 and home")
+        # Regions of the same members are one.
+        open_regions = per.groupBy("n", "x", "s").agg(F.min("region").alias("region")).select("region")
+        regions = stored(placed.join(open_regions, "region"), "open")
         if regions.isEmpty():
             break
-        top = Window.partitionBy("region").orderBy(F.desc("rank"), "id")
-        pivots = stored(regions.join(central, "id").withColumn("n", F.row_number().over(top))
-                        .where(F.col("n") <= pivots_per_region).select("region", F.col("id").alias("pivot")), "pivots")
+        # Pivots from the smallest component of a region first: once one component
+        # is left, the region is done.  Then the most central sets.
+        alone = regions.groupBy("region", "label").agg(F.count("*").alias("n"))
+        top = Window.partitionBy("region").orderBy("n", F.desc("rank"), "id")
+        pivots = stored(regions.join(alone, ["region", "label"]).join(central, "id")
+                        .withColumn("at", F.row_number().over(top))
+                        .where(F.col("at") <= pivots_per_region).select("region", F.col("id").alias("pivot")), "pivots")
+        regions = regions.drop("label")
         met = regions.join(pivots, "region").where("id != pivot")
         pairs = met.select("id", "pivot").distinct()
-        sized = (pairs.join(sets.select("id", F.col("s").alias("x")), "id")
-                 .join(sets.select(F.col("id").alias("pivot"), F.col("s").alias("y")), "pivot")
-                 .select("id", "pivot", F.size("x").alias("m"), F.size("y").alias("n"),
-                         F.size(F.array_intersect("x", "y")).alias("both")))
-        union = F.col("m") + F.col("n") - F.col("both")
-        distances = stored(sized.select(
-            "id", "pivot", (F.lit(1.0) - F.col("both") / union).alias("d"),
-            (F.lit(den) * F.col("both") >= F.lit(num) * union).alias("linked"))
-            .groupBy("id", "pivot").agg(F.min("d").alias("d"), F.max("linked").alias("linked")), "distances")
-        label_of = components.select(F.col("node").alias("n"), "component")
-        fresh = distances.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        if known is not None:
+            pairs = pairs.join(known.select("id", "pivot"), ["id", "pivot"], "left_anti")
+        near = stored(
+            pairs.join(sets.select("id", F.col("n").alias("m"), F.col("sketch").alias("x")), "id")
+            .join(sets.select(F.col("id").alias("pivot"), "n", F.col("sketch").alias("y")), "pivot")
+            .select("id", "pivot", "m", "n", "x", "y").mapInArrow(
+                _gaps, "id long, pivot long, m long, n long, gap long"), "gaps")
+        # Linked sets differ in no more elements than this.
+        most = F.floor((F.col("m") + F.col("n")) * F.lit(den - num) / F.lit(den + num))
+        label_of = components.select(F.col("node"), "component")
+        open_pairs = (near.where(F.col("gap") <= most).select("id", "pivot")
+                      .join(label_of.withColumnsRenamed({"node": "id", "component": "l"}), "id", "left")
+                      .join(label_of.withColumnsRenamed({"node": "pivot", "component": "r"}), "pivot", "left")
+                      .where(F.coalesce("l", "id") != F.coalesce("r", "pivot")).select("id", "pivot").distinct())
+        both = F.size(F.array_intersect("x", "y"))
+        linked = (open_pairs.join(sets.select("id", F.col("s").alias("x")), "id")
+                  .join(sets.select(F.col("id").alias("pivot"), F.col("s").alias("y")), "pivot")
+                  .select("id", "pivot", (F.size("x") + F.size("y")).alias("sum"), both.alias("both"))
+                  .where(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("sum") - F.col("both"))))
+        fresh = linked.select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         for side in ("a", "b"):
-            fresh = (fresh.join(label_of, F.col(side) == F.col("n"), "left")
-                     .withColumn(side, F.coalesce("component", side)).drop("n", "component"))
+            fresh = (fresh.join(label_of, F.col(side) == F.col("node"), "left")
+                     .withColumn(side, F.coalesce("component", side)).drop("node", "component"))
         merged = connected_components(fresh, "a", "b")
         moved = components.join(merged.select(F.col("component").alias("c"), F.col("node").alias("component")),
                                 "component", "left")
-        known = moved.select("node", F.coalesce("c", "component").alias("component"))
-        components = stored(known.unionAll(merged.join(known.select("node"), "node", "left_anti")), "components")
+        renamed = moved.select("node", F.coalesce("c", "component").alias("component"))
+        components = stored(renamed.unionAll(merged.join(renamed.select("node"), "node", "left_anti")), "components")
+        gaps = near.groupBy("id", "pivot").agg(F.min("gap").alias("gap"), F.max(F.greatest("m", "n")).alias("size"))
+        known = stored(gaps if known is None else known.unionAll(gaps), "known")
 
-        # The rest of each region: Voronoi cells of its pivots with their windows, in rings.
+        # The rest of each region: Voronoi cells of its pivots with their windows, in rings
+        # as wide as the most differences that linked sets of the region can have.
         rest = (met.join(pivots.select("region", F.col("pivot").alias("id")), ["region", "id"], "left_anti")
-                .join(distances.select("id", "pivot", "d"), ["id", "pivot"]))
-        nearest = rest.groupBy("region", "id").agg(F.min(F.struct("d", "pivot")).alias("best"))
-        ring = F.floor(F.col("d") / (far * 1.000001))
-        regions = (rest.join(nearest, ["region", "id"]).where(F.col("d") <= F.col("best.d") + 2 * far + 1e-9)
-                   .withColumn("ring", F.explode(F.array(ring, ring + 1)))
-                   .select(F.xxhash64("region", "pivot", "ring").alias("region"), "id",
-                           (F.col("home") & (F.col("pivot") == F.col("best.pivot"))).alias("home")))
-        regions = regions.groupBy("region", "id").agg(F.max("home").alias("home"))
+                .join(known, ["id", "pivot"]))
+        nearest = rest.groupBy("region", "id").agg(F.min(F.struct("gap", "pivot")).alias("best"))
+        width = rest.groupBy("region").agg(
+            (F.floor(F.max("size") * F.lit(2 * (den - num)) / F.lit(den + num)) + 1).alias("width"))
+        ring = F.floor(F.col("gap") / F.col("width"))
+        cells = stored(
+            rest.join(nearest, ["region", "id"]).join(width, "region")
+            .where(F.col("gap") <= F.col("best.gap") + 2 * F.col("width"))
+            .withColumn("ring", F.explode(F.array(ring, ring + 1)))
+            .withColumn("cell", F.xxhash64("region", "pivot", "ring"))
+            .groupBy("region", "cell", "id").agg(F.max(F.col("home") & (F.col("pivot") == F.col("best.pivot"))).alias("in"),
+                                                 F.max("home").alias("home")), "cells")
+        # A region whose windows would copy most of it into several cells stays whole.
+        parted = (cells.groupBy("region").agg(F.count("*").alias("copies")).join(
+            nearest.groupBy("region").agg(F.count("*").alias("n")), "region")
+            .select("region", (F.col("copies") <= 1.5 * F.col("n")).alias("parts")))
+        marked = cells.join(parted, "region")
+        regions = (marked.where("parts").select(F.col("cell").alias("region"), "id", F.col("in").alias("home"))
+                   .unionAll(marked.where("not parts").select("region", "id", "home").distinct()))
         pivots_per_region *= 4
 
     found = (named.join(components, named["node"] == components["node"], "left")

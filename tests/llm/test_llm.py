@@ -194,16 +194,31 @@ def test_jaccard_recursion_in_a_crowded_family(spark):
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(0)
     for num, den in ((85, 100), (80, 100), (75, 100)):
-        classes = jaccard.Classes(num, den)
-        for _ in range(400):
+        classes, linked = jaccard.Classes(num, den), 0
+        for _ in range(600):
             n = int(rng.integers(1, 90))
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
             most = (den - num) * n // den
             drop, add = int(rng.integers(0, most + 1)), int(rng.integers(0, most + 1))
             b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if den * both >= num * (len(a) + len(b) - both):
-                assert len(np.intersect1d(classes.signatures(a), classes.signatures(b)))
+            if den * both < num * (len(a) + len(b) - both):
+                continue
+            linked += 1
+            kept = []
+            order = {}  # any order of the signatures that both sets follow
+            for s in (a, b):
+                signs, cuts = classes.signatures(s)
+                for x in signs.tolist():
+                    order.setdefault(x, rng.random())
+                stay = dict(zip(cuts[::3], cuts[2::3]))
+                by = defaultdict(list)
+                for x in signs.tolist():
+                    by[x & 1023].append(x)
+                assert {t: len(x) for t, x in by.items()} == dict(zip(cuts[::3], cuts[1::3]))
+                kept.append({x for t, xs in by.items() for x in sorted(xs, key=order.get)[:stay[t]]})
+            assert kept[0] & kept[1]
+        assert linked > 200
 
 
 def test_jaccard_empty(nothing):
@@ -362,11 +377,12 @@ def test_quality(spark, odd, nothing):
     held = got.where("held_out").join(labels, "doc_id")
     right, n = held.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double")), F.count("*")).first()
     assert n > 50 and right > 0.95
-    model = quality.fit_quality(odd.withColumn("y", (F.col("doc_id") % 2).cast("int")), "y")
+    fit = lambda docs: quality.fit_quality(quality.with_statistics(docs), "y")
+    model = fit(odd.withColumn("y", (F.col("doc_id") % 2).cast("int")))
     scored = quality.score_quality(odd, model).collect()
     assert len(scored) == odd.count() and all(0 <= r.score <= 1 for r in scored)
     for bad in (nothing.withColumn("y", F.lit(1)), odd.withColumn("y", F.lit(1)), odd.withColumn("y", F.lit(None))):
-        blank = quality.fit_quality(bad, "y")
+        blank = fit(bad)
         assert quality.score_quality(nothing, blank).count() == 0
         assert len({round(r.score, 2) for r in quality.score_quality(odd, blank).collect()}) == 1
 
