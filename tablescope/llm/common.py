@@ -37,3 +37,11 @@ def words(text: str | None) -> list[bytes]:
     rule ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
     """
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+class Numbering(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        return n

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import Numbering, stored, words
 
 END, RARE = 0, 1
 BITS = 13  # of a symbol in a context's key
@@ -49,7 +49,7 @@ def _chunks(chunk_words: int):
         from pyspark import TaskContext
         first = TaskContext.get().partitionId() << 32
         done = 0
-        known: dict[bytes, int] = {}
+        known = Numbering()
         doc_ids, held, docs = [], [], []
         total = 0
 
@@ -79,9 +79,6 @@ def _chunks(chunk_words: int):
                 part = batch.slice(low, 256)
                 for doc_id, text, is_held in zip(*(c.to_pylist() for c in part.columns)):
                     found = words(text)
-                    for w in found:
-                        if w not in known:
-                            known[w] = len(known)
                     docs.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
                     doc_ids.append(doc_id), held.append(is_held)
                     total += len(found) + 1

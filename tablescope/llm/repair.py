@@ -13,7 +13,9 @@ expansion lengths (u32), for each document its end in symbols and in ids
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Numbering, stored
 
 MAGIC = b"RPR1"
 SYMBOLS = 1 << 16
@@ -42,51 +44,99 @@ class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, each distinct word once.
 
     The tokenizer's normaliser and splitter never look across ASCII white
-    space, so a text's ids are its words' ids in a row.
+    space, so a text's ids are its words' ids in a row.  Nor do they look
+    across the end of a run of letters that a run of marks follows, and they
+    lower-case; so a plain word is its lower-case letters and its marks, each
+    encoded once, many at a time: a piece's last token tells where it ends.
     """
 
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%*#$&|]*)")
+
     def __init__(self, path: str, max_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 3, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.max_words = max_words
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbering()  # word as bytes -> number
+        self.first: list[int] = []  # number of the word's letters, or of the word itself
+        self.second: list[int] = []  # number of its marks, maybe none
+        self.pieces = Numbering()  # (plain, text) -> number
+        self.pieces[True, ""]
         self.flat = np.zeros(0, np.uint16)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.start = np.zeros(1, np.int64)
+        self.count = np.zeros(1, np.int64)
+
+    def _one_by_one(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, pieces: list[tuple[bool, str]]) -> list[list[int]]:
+        plain = [t for is_plain, t in pieces if is_plain]
+        found: list[list[int]] = []
+        for low in range(0, len(plain), 1000):
+            part = plain[low:low + 1000]
+            ids = self._one_by_one([" ".join(part)])[0]
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            found += ([ids[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(part)
+                      else self._one_by_one(part))
+        of_plain, of_rest = iter(found), iter(self._one_by_one([t for is_plain, t in pieces if not is_plain]))
+        return [next(of_plain if is_plain else of_rest) for is_plain, _ in pieces]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        for word in fresh:
+            text = word.decode("utf-8", "surrogatepass")
+            m = self.PLAIN.fullmatch(text)
+            self.first.append(self.pieces[(True, m[1].lower()) if m else (False, text)])
+            self.second.append(self.pieces[True, m[2]] if m else 0)
+        got = self._encoded(list(itertools.islice(self.pieces, len(self.count), None)))
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint16, int(counts.sum()))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
+        self.flat = np.concatenate([self.flat, flat])
+        self.count = np.concatenate([self.count, counts])
+        self.parts = np.array([self.first, self.second], np.int32).T
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
         if len(self.index) > self.max_words:
             self._clear()
-        known, docs = self.index, []
+        docs = []
         for text in texts:
             words = text.encode("utf-8", "surrogatepass").split()
-            for w in words:
-                if w not in known:
-                    known[w] = len(known)
-            docs.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        fresh = [w.decode("utf-8", "surrogatepass") for w in list(known)[len(self.count):]]
+            docs.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
+        fresh = list(itertools.islice(self.index, len(self.first), None))
         if fresh:
-            got = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.uint16, int(counts.sum()))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
-            self.flat = np.concatenate([self.flat, flat])
-            self.count = np.concatenate([self.count, counts])
-        which = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+            self._learn(fresh)
+        ends = np.cumsum([len(d) for d in docs], dtype=np.int64)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, np.uint16), np.zeros(len(docs), np.int64)
+        which = self.parts[np.concatenate(docs)].ravel()
         lengths = self.count[which]
-        ids = ragged(self.flat, self.start[which], lengths)
         bounds = np.concatenate([[0], np.cumsum(lengths)])
-        ends = np.cumsum([len(d) for d in docs], dtype=np.int64)
-        return ids, np.diff(np.concatenate([[0], bounds[ends]])) if docs else np.zeros(0, np.int64)
+        return ragged(self.flat, self.start[which], lengths), np.diff(np.concatenate([[0], bounds[2 * ends]]))
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which Spark uses for one task after another.
+
+    It is kept beside the library it wraps, as functions sent by value have no
+    module of their own to keep it in.  It is only a cache: its content does
+    not change any result.
+    """
+    import tokenizers
+    kept = tokenizers.__dict__.setdefault("_word_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def compress(ids: np.ndarray, n_tokens: np.ndarray, base: int, min_count: int = 8,
-             rounds: int = 8, pairs: int = 2048) -> bytes:
+             rounds: int = 6, pairs: int = 2048) -> bytes:
     """Re-Pair of one shard; ``base`` is the first id that is no token.
 
     Each round counts all adjacent pairs within documents and replaces up to
@@ -222,10 +272,11 @@ def write_token_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, shard = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         held_ids: list = []
         held: list[np.ndarray] = []
         sizes: list[int] = []
+        total = 0
 
         def close() -> pa.RecordBatch:
             nonlocal shard
@@ -249,8 +300,10 @@ def write_token_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
                     held.append(np.append(ids[at:at + n], np.uint16(end_id)))
                     sizes.append(n + 1)
                     at += n
-                    if sum(sizes) >= shard_tokens if len(sizes) < 64 else len(sizes) % 16 == 0 and sum(sizes) >= shard_tokens:
+                    total += n + 1
+                    if total >= shard_tokens:
                         yield close()
+                        total = 0
         if sizes:
             yield close()
 
