@@ -95,25 +95,29 @@ class QualityModel:
         return np.clip(0.998 * level + 0.002 / (1 + np.exp(-4 * (s - 0.5))), 0.0, 1.0)
 
 
-def _statistics_of(texts: pd.Series) -> np.ndarray:
-    return np.array([statistics(t) for t in texts], float).reshape(-1, N_STATS)
+def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
+    """``docs`` with an array column of the statistics of every whole text."""
+    def measure(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([statistics(t) for t in texts], index=texts.index, dtype=object)
+
+    return docs.withColumn(name, F.pandas_udf(measure, "array<double>")(F.col(f"`{text_col}`")))
 
 
-def fit_quality(docs: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text",
+def fit_quality(measured: DataFrame, label: str, id_col: str = "doc_id", stats: str = "stats",
                 n_features: int = 256, width: float = 6.0, ridge: float = 1e-3,
                 max_rows: int = 200_000, seed: int = 7) -> QualityModel:
-    """Model of a 0/1 ``label`` column, fitted on at most about ``max_rows`` rows.
+    """Model of a 0/1 ``label`` column, fitted on at most about ``max_rows`` rows with statistics.
 
     Larger training sets are sampled by a hash of the id.  One third of the
     rows, again by hash, fits the isotonic steps; the rest fits ridge weights
     through normal equations summed within each partition, then over them.
-    Rows without label do not take part; null texts count as empty.  With no
-    row at all, or one class only, every score is that class's rate (0.5).
+    Rows without label do not take part; null texts count as empty.  With
+    fewer than 20 rows, or one class only, every score is that class's rate
+    (0.5 without rows).
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
-                       F.col(f"`{label}`").cast("double").alias("y"),
-                       F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("h")).where(F.col("y").isin(0.0, 1.0))
+    rows = measured.select(F.col(f"`{stats}`").alias("x"), F.col(f"`{label}`").cast("double").alias("y"),
+                           F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("h")).where(F.col("y").isin(0.0, 1.0))
     n, rate = rows.agg(F.count("*"), F.coalesce(F.avg("y"), F.lit(0.5))).first()
     if n > max_rows:
         rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1e6 * max_rows / n))
@@ -121,12 +125,7 @@ def fit_quality(docs: DataFrame, label: str, id_col: str = "doc_id", text_col: s
                          np.zeros(N_STATS + 2), np.array([0.0]), np.array([float(rate)]))
     if rate in (0.0, 1.0) or n < 20:
         return blank
-
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"x": list(_statistics_of(f["text"])), "y": f["y"], "h": f["h"]})
-
-    measured = stored(rows.mapInPandas(measure, "x array<double>, y double, h long"), "quality")
+    measured = stored(rows, "quality")
     moments = measured.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v"), F.stddev_pop("v")).collect()
     mean, scale = np.zeros(N_STATS), np.ones(N_STATS)
     for i, m, s in moments:
@@ -153,7 +152,8 @@ def fit_quality(docs: DataFrame, label: str, id_col: str = "doc_id", text_col: s
         for f in frames:
             for row, v in zip(f["row"], f["v"]):
                 total[row] = total[row] + v if row in total else np.array(v)
-        yield pd.DataFrame({"row": list(total), "v": list(total.values())})
+        if total:
+            yield pd.DataFrame({"row": list(total), "v": list(total.values())})
 
     sums = (measured.where(~for_steps).mapInPandas(normal_equations, "row int, v array<double>")
             .repartition("row").mapInPandas(add, "row int, v array<double>").collect())
@@ -173,16 +173,21 @@ def fit_quality(docs: DataFrame, label: str, id_col: str = "doc_id", text_col: s
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a ``score`` column in 0..1; null and empty texts get a score too."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+def score_statistics(measured: DataFrame, model: QualityModel, stats: str = "stats", score: str = "score") -> DataFrame:
+    """``measured`` with a ``score`` column in 0..1 from the statistics."""
+    shared = measured.sparkSession.sparkContext.broadcast(vars(model))
 
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = QualityModel(**shared.value)
-        for texts in parts:
-            yield pd.Series(model.score(_statistics_of(texts)), index=texts.index, dtype=float)
+        for x in parts:
+            yield pd.Series(model.score(np.array(x.tolist(), float).reshape(-1, N_STATS)), index=x.index, dtype=float)
+
+    return measured.withColumn(score, F.pandas_udf(scored, "double")(F.col(f"`{stats}`")))
 
-    return docs.withColumn(score, F.pandas_udf(scored, "double")(F.col(f"`{text_col}`")))
+
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score: str = "score") -> DataFrame:
+    """``docs`` with a ``score`` column in 0..1; null and empty texts get a score too."""
+    return score_statistics(with_statistics(docs, text_col, "_stats"), model, "_stats", score).drop("_stats")
 
 
 def fold(id_col: Column, n: int) -> Column:

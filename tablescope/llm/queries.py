@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, guesscost, jaccard, linededup, mix, postings, pst, quality, repair, urltrie
-from .common import table
+from .common import stored, table
 
 
 def tokenizer_file() -> str:
@@ -57,11 +57,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(
-        F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    learn = docs.join(labels, "doc_id").where(quality.fold(F.col("doc_id"), 3) != 1)
-    model = quality.fit_quality(learn, "quality")
-    scored = quality.score_quality(docs, model)
+    measured = stored(quality.with_statistics(docs).drop("text"), "statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").dropna()
+    learn = measured.join(labels, "doc_id").where(quality.fold(F.col("doc_id"), 3) != 1)
+    scored = quality.score_statistics(measured, quality.fit_quality(learn, "quality"))
     return scored.select("doc_id", (quality.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
