@@ -209,6 +209,20 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.ones(len(region), bool))
 
 
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (a, b); nodes without links need no row."""
+    label_of = components.select(F.col("node").alias("n"), "component")
+    fresh = links
+    for side in ("a", "b"):
+        fresh = (fresh.join(label_of, F.col(side) == F.col("n"), "left")
+                 .withColumn(side, F.coalesce("component", side)).drop("n", "component"))
+    merged = connected_components(fresh, "a", "b")
+    moved = components.join(merged.select(F.col("component").alias("c"), F.col("node").alias("component")),
+                            "component", "left")
+    renamed = moved.select("node", F.coalesce("c", "component").alias("component"))
+    return stored(renamed.unionAll(merged.join(renamed.select("node"), "node", "left_anti")), "components")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) for every row of ``docs``.
@@ -262,7 +276,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                                    "sketch": pa.array([sketch(s) for s in sets], pa.binary())}),
         "id long, n long, s array<bigint>, sketch binary").distinct(), "sets")
 
-    components = stored(connected_components(links, "a", "b"), "components")
+    links = stored(links, "links")
+    components = (docs.sparkSession.createDataFrame([], "node long, component long") if links.isEmpty()
+                  else connected_components(links, "a", "b"))
     label = F.coalesce(F.col("component"), F.col("id"))
     known = None  # distances of the pairs compared so far
     pivots_per_region = 1
@@ -305,19 +321,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                       .join(label_of.withColumnsRenamed({"node": "pivot", "component": "r"}), "pivot", "left")
                       .where(F.coalesce("l", "id") != F.coalesce("r", "pivot")).select("id", "pivot").distinct())
         both = F.size(F.array_intersect("x", "y"))
-        linked = (open_pairs.join(sets.select("id", F.col("s").alias("x")), "id")
+        linked = stored(open_pairs.join(sets.select("id", F.col("s").alias("x")), "id")
                   .join(sets.select(F.col("id").alias("pivot"), F.col("s").alias("y")), "pivot")
                   .select("id", "pivot", (F.size("x") + F.size("y")).alias("sum"), both.alias("both"))
-                  .where(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("sum") - F.col("both"))))
-        fresh = linked.select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        for side in ("a", "b"):
-            fresh = (fresh.join(label_of, F.col(side) == F.col("node"), "left")
-                     .withColumn(side, F.coalesce("component", side)).drop("node", "component"))
-        merged = connected_components(fresh, "a", "b")
-        moved = components.join(merged.select(F.col("component").alias("c"), F.col("node").alias("component")),
-                                "component", "left")
-        renamed = moved.select("node", F.coalesce("c", "component").alias("component"))
-        components = stored(renamed.unionAll(merged.join(renamed.select("node"), "node", "left_anti")), "components")
+                  .where(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("sum") - F.col("both")))
+                  .select(F.col("id").alias("a"), F.col("pivot").alias("b")), "linked")
+        if not linked.isEmpty():
+            components = _joined(components, linked)
         gaps = near.groupBy("id", "pivot").agg(F.min("gap").alias("gap"), F.max(F.greatest("m", "n")).alias("size"))
         known = stored(gaps if known is None else known.unionAll(gaps), "known")
 
