@@ -68,9 +68,10 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ranged = stored(keyed.repartitionByRange(*order).sortWithinPartitions(*order), "lines")
     # One row per key and document first, so a line that fills the corpus is combined
     # before it is shuffled by key.
-    common = (ranged.groupBy("h1", "h2").agg(
+    # Written, so that both sides of the join below are plain reads and a hot key can be split.
+    common = stored(ranged.groupBy("h1", "h2").agg(
         F.count_distinct("id").alias("_docs"), F.max("id").alias("_owner"))
-        .where(F.col("_docs") >= min_docs).drop("_docs"))
+        .where(F.col("_docs") >= min_docs).drop("_docs"), "common-lines")
     lost = ranged.join(common, ["h1", "h2"]).where(F.col("id") != F.col("_owner"))
     return (lost.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("_lost"))
             .select("id", "text_key", _word_of(F.col("_lost")).alias("keep")))
