@@ -132,6 +132,17 @@ def _numpy_bin(v, lo, hi, nbins: int):
             .when((v >= e_k1) & (k0 < nbins - 1), k0 + 1).otherwise(k0))
 
 
+def _ranges(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(column_name, n, min, max)``, one row per column, without higher moments."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    values = [as_double(c, types[c]) for c in cols]
+    wide = df.agg(*[f(v).alias(f"{name}{i}") for i, v in enumerate(values)
+                    for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))])
+    return wide.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias(KEY), F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("min"),
+        F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)])))
+
+
 def histogram(df: DataFrame, columns: Sequence[str] | str | None = None,
               bins: int = 10) -> DataFrame:
     """Numpy-compatible equal-width histogram per numeric column.
@@ -141,7 +152,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | str | None = None,
     one, give one bin [0, 1] with count 0.
     """
     cols = resolve_columns(df, columns)
-    summ = column_summary(df, cols, {})
+    summ = _ranges(df, cols)
     none = (F.col("n") == 0) | (F.abs("min") == float("inf")) | (F.abs("max") == float("inf"))
     rng = summ.select(
         KEY,
