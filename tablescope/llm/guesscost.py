@@ -101,7 +101,7 @@ def guess_cost(value: str, ranks: dict[str, int], longest_word: int = 20, longes
     where it ends.  The empty value costs 0.
     """
     n = len(value)
-    low = value.lower()
+    low = value.replace("\u0130", "i").lower()  # the one letter whose lower case is longer
     plain = low.translate(SWAPS)
     best = [0.0] + [math.inf] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)

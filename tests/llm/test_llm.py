@@ -136,6 +136,16 @@ def test_secrets_base_and_guesses(spark, odd):
     assert cost("a" * 20000) < 8
 
 
+def test_a_letter_with_a_longer_lower_case_keeps_positions(spark):
+    ranks = guesscost.ranked_words(queries.tokenizer_file())
+    for v in ("\u0130stanbul1234", "\u0130\u0130qwerty", "x\u0130password"):
+        cost, cuts = guesscost.guess_cost(v, ranks)
+        assert cuts[0][1] == 0 and cuts[-1][2] == len(v) and all(a[2] == b[1] for a, b in zip(cuts, cuts[1:]))
+    assert guesscost.guess_cost("x\u0130password", ranks)[1][-1] == ("word", 2, 10)
+    docs = spark.createDataFrame([(1, "password: \u0130stanbul1234")], "doc_id long, text string")
+    assert guesscost.find_secrets(docs, queries.tokenizer_file()).count() == 1
+
+
 def test_guess_cost_is_the_least_over_all_cuts():
     ranks = {"pass": 3, "word": 9, "password": 1, "dog": 40}
     rng = random.Random(3)
