@@ -135,14 +135,14 @@ def worker_encoder(path: str) -> WordEncoder:
     return kept[path]
 
 
-def compress(ids: np.ndarray, n_tokens: np.ndarray, base: int, min_count: int = 8,
-             rounds: int = 6, pairs: int = 2048) -> bytes:
+def compress(ids: np.ndarray, n_tokens: np.ndarray, base: int, min_count: int = 3, share: int = 4) -> bytes:
     """Re-Pair of one shard; ``base`` is the first id that is no token.
 
-    Each round counts all adjacent pairs within documents and replaces up to
-    ``pairs`` of the most frequent ones from left to right.  It ends when no
-    pair occurs ``min_count`` times, after ``rounds``, or when 16-bit symbols
-    run out.
+    Each round counts all adjacent pairs within documents and replaces the most
+    frequent ones from left to right, as many as 1/``share`` of the 16-bit
+    symbols that are left (64 at least), so that pairs of pairs still find
+    symbols.  It ends only when no pair occurs ``min_count`` times or the
+    symbols have run out.
     """
     seq = ids.astype(np.uint16)
     last = np.zeros(len(seq), bool)  # symbol ends its document
@@ -150,10 +150,7 @@ def compress(ids: np.ndarray, n_tokens: np.ndarray, base: int, min_count: int =
     last[token_ends[n_tokens > 0] - 1] = True
     left, right = np.zeros(0, np.uint16), np.zeros(0, np.uint16)
     length = np.ones(SYMBOLS, np.uint32)
-    for _ in range(rounds):
-        room = SYMBOLS - base - len(left)
-        if room <= 0 or len(seq) < 2:
-            break
+    while (room := SYMBOLS - base - len(left)) > 0 and len(seq) > 1:
         code = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
         inside = ~last[:-1]
         ordered = np.sort(code[inside])
@@ -164,7 +161,7 @@ def compress(ids: np.ndarray, n_tokens: np.ndarray, base: int, min_count: int =
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
             break
-        best = often[np.argsort(-counts[often], kind="stable")[:min(room, pairs)]]
+        best = often[np.argsort(-counts[often], kind="stable")[:min(room, max(64, room // share))]]
         chosen = ordered[cut[best]]
         slot = (chosen * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)
         _, first = np.unique(slot, return_index=True)  # of pairs that share a slot, the more frequent

@@ -88,6 +88,21 @@ def test_repair_round_trip():
     assert all(shard.rule_length[i] == shard.length[a] + shard.length[b] for i, (a, b) in enumerate(shard.rules))
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    passages = [(rng.integers(0, 40000, 5000), 12), (rng.integers(0, 40000, 900), 3)]
+    docs = [np.concatenate([p, [40000 + i]]) for p, times in passages for i in range(times)]
+    docs.append(np.tile([5, 6, 7, 8], 5000))
+    n = np.array([len(d) for d in docs])
+    payload = repair.compress(np.concatenate(docs), n, 49408)
+    shard = repair.Shard(payload)
+    assert (shard.all_ids() == np.concatenate(docs)).all()
+    assert np.diff(np.concatenate([[0], shard.symbol_ends])).max() <= 8 and shard.rule_length.max() >= 4096
+    ends = set((shard.symbol_ends - 1).tolist())
+    pairs = Counter(tuple(shard.symbols[i:i + 2].tolist()) for i in range(len(shard.symbols) - 1) if i not in ends)
+    assert max(pairs.values(), default=0) < 3
+
+
 def test_token_documents_match_the_tokenizer(spark, odd):
     got = repair.read_token_documents(repair.write_token_shards(odd, queries.tokenizer_file(), shard_tokens=500)).collect()
     want = sorted((-1 if r.doc_id is None else r.doc_id, zlib.crc32(np.array(whole_ids(r.text), "<u4").tobytes()),
