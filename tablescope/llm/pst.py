@@ -1,7 +1,7 @@
 """Scoring texts with a probabilistic suffix tree, and with a unigram base.
 
-The tree's symbols are the frequent words, one symbol for every rarer word and
-the end of a text.  A context of up to ``depth`` symbols becomes a state if it
+The tree's symbols are the words seen ``min_count`` times, one symbol for every
+rarer word and the end of a text.  A context of up to ``depth`` symbols becomes a state if it
 is frequent and its next-symbol distribution diverges from its suffix's; a
 symbol is predicted by the longest suffix of what precedes it that is a state.
 Rare words share their symbol's probability by their counts, and words never
@@ -20,13 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Numbering, stored, words
 
 END, RARE = 0, 1
-BITS = 13  # of a symbol in a context's key
 
 CHUNK_SCHEMA = ("chunk long, doc_ids array<bigint>, held array<boolean>, n_words array<int>, ids binary, "
                 "vocab array<binary>, train array<bigint>")
@@ -89,10 +88,6 @@ def _chunks(chunk_words: int):
     return run
 
 
-def _symbols(vocab: pa.Array, symbol: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter((symbol.get(w, RARE) for w in vocab.to_pylist()), np.int64, len(vocab))
-
-
 def _stream(ids: np.ndarray, n_words: np.ndarray, of_word: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the documents in a row, each followed by its end, after ``depth`` ends; and where the ends are."""
     stop = np.cumsum(n_words + 1)
@@ -153,61 +148,133 @@ def build_tree(counts: dict[tuple[int, ...], np.ndarray], n_symbols: int, depth:
     return SuffixTree(child, log_prob, depth)
 
 
-def _key(ctx: tuple[int, ...]) -> int:
-    key = 0
-    for symbol in ctx:
-        key = key << BITS | symbol
-    return key
+def _numbered(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, where each first occurs, and each value's number."""
+    found, first, number = np.unique(c, return_index=True, return_inverse=True)
+    return found, first, number
+
+
+class Level:
+    """One level of a chunk's contexts: which positions have one, and their grams' numbers in the chunk."""
+
+    def __init__(self, at: np.ndarray, context: np.ndarray, stream: np.ndarray, depth: int):
+        self.at, width = at, int(stream.max(initial=0)) + 1
+        _, self.first, self.number = _numbered(context * width + stream[depth + at])
 
 
-def _learn(chunks: DataFrame, symbol: dict[bytes, int], root: np.ndarray, depth: int,
-           min_share: float) -> dict[tuple[int, ...], np.ndarray]:
-    """Next-symbol counts of every context with ``min_share`` of all symbols, level by level.
+def _walk(row: dict, levels: list[str], depth: int, min_count: int, root: np.ndarray | None = None):
+    """Positions of a chunk level by level, as far as ``levels`` give global counts and probabilities.
 
-    A context can only be frequent if it is without its last symbol, so each
-    level counts the extensions of the one before.  At most 1/min_share
-    contexts per level are frequent, whatever the input.
+    Returns the stream, the base probability of each position, its context's
+    count, and the next level's grams.  A position stays in the walk while its
+    context occurs ``min_count`` times in the training texts; a context is a
+    gram of the level before, one position earlier, and reaches back over no end.
     """
-    spark = chunks.sparkSession
-    shared = spark.sparkContext.broadcast(symbol)
-    total, width = root.sum(), len(root)
-    counts: dict[tuple[int, ...], np.ndarray] = {(): root}
-    level = [(int(s),) for s in np.flatnonzero(root >= max(2.0, min_share * total))]
-    for d in range(1, depth + 1):
-        if not level:
-            break
-        wanted = spark.sparkContext.broadcast(np.array(sorted(_key(c) for c in level), np.int64))
-
-        def count(batches: Iterator[pa.RecordBatch], d=d, wanted=wanted) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    held, n_words, ids, vocab = (batch.column(c)[i] for c in range(4))
-                    learns = ~np.array(held.as_py(), bool)
-                    n_words = n_words.values.to_numpy().astype(np.int64)
-                    ids = _unpacked(ids.as_py())[np.repeat(learns, n_words)]
-                    stream, _ = _stream(ids, n_words[learns], _symbols(vocab.values, shared.value), d)
-                    n = len(stream) - d
-                    key = np.zeros(n, np.int64)
-                    for j in range(d):
-                        key = key << BITS | stream[j:j + n]
-                    at = np.minimum(np.searchsorted(wanted.value, key), len(wanted.value) - 1)
-                    hit = wanted.value[at] == key
-                    keys, c = np.unique(key[hit] << BITS | stream[d:][hit], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], names=["key", "c"])
-
-        found = (chunks.select("held", "n_words", "ids", "vocab").mapInArrow(count, "key long, c long")
-                 .groupBy("key").agg(F.sum("c").alias("c")).collect())
-        level, mask = [], (1 << BITS) - 1
-        for key, c in found:
-            gram = tuple(key >> BITS * j & mask for j in range(d, -1, -1))
-            counts.setdefault(gram[:-1], np.zeros(width))[gram[-1]] = c
-            if c >= min_share * total and END not in gram[1:]:  # no context reaches back over an end
-                level.append(gram)
-    return counts
+    n_words = row["n_words"].values.to_numpy().astype(np.int64)
+    vocab_symbol, vocab_prob, vocab_count = (np.zeros(len(row["vocab"].values), k) for k in (np.int64, float, np.int64))
+    vocab_symbol[:] = RARE
+    vocab_prob[:] = root[2]
+    vocab_count[:] = root[3]
+    if row["spos"].is_valid:
+        pos = row["spos"].values.to_numpy()
+        vocab_symbol[pos] = row["symbol"].values.to_numpy()
+        vocab_count[pos] = row["scount"].values.to_numpy()
+        vocab_prob[pos] = (vocab_count[pos] + 0.5) / root[4]
+    ids = _unpacked(row["ids"].as_py())
+    stream, word = _stream(ids, n_words, vocab_symbol, depth)
+    n = len(stream) - depth
+    prob, count = np.full(n, root[0]), np.full(n, root[1], np.int64)
+    prob[word], count[word] = vocab_prob[ids], vocab_count[ids]
+    # The context of one symbol: what comes before, an end at first.
+    before = np.concatenate([[int(root[1])], count[:-1]])
+    live = np.flatnonzero(before >= min_count)
+    context, total = stream[depth - 1 + live], before[live]
+    for name in levels:
+        level = Level(live, context, stream, depth)
+        c, q = np.zeros(len(level.first), np.int64), np.zeros(len(level.first))
+        if row[name].is_valid:
+            found = row[name].values.flatten()
+            c[found[0].to_numpy()], q[found[0].to_numpy()] = found[1].to_numpy(), found[2].to_numpy()
+        prob[live] = q[level.number]
+        gram, times = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        gram[live], times[live] = level.number, c[level.number]
+        follows = live[(times[live] >= min_count) & (stream[depth + live] != END)] + 1
+        live, context, total = follows, gram[follows - 1], times[follows - 1]
+    return stream, word, prob, live, context, total
+
+
+CHUNK_COLUMNS = ["chunk", "doc_ids", "held", "n_words", "ids", "vocab", "spos", "symbol", "scount"]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i] for name in batch.schema.names}
+
+
+def _grams(levels: list[str], depth: int, min_count: int, root: np.ndarray):
+    """(chunk, number, gram, c, parent, total) of a chunk's distinct grams of the next level.
+
+    A gram is its symbols as four bytes each, oldest first, the predicted one
+    last; ``parent`` is its probability after the suffix of its context.
+    """
+    d = len(levels) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            stream, _, prob, live, context, total = _walk(row, levels, depth, min_count, root)
+            level = Level(live, context, stream, depth)
+            learns = np.repeat(~np.array(row["held"].as_py(), bool), row["n_words"].values.to_numpy().astype(np.int64) + 1)
+            times = np.bincount(level.number, learns[live], len(level.first)).astype(np.int64)
+            first = live[level.first]
+            symbols = np.stack([stream[depth - d + j + first] for j in range(d + 1)], axis=1).astype(">u4")
+            for low in range(0, len(first), 1 << 16):
+                part = slice(low, low + (1 << 16))
+                m = len(first[part])
+                gram = pa.Array.from_buffers(pa.binary(), m, [
+                    None, pa.py_buffer((np.arange(m + 1) * 4 * (d + 1)).astype(np.int32).tobytes()),
+                    pa.py_buffer(symbols[part].tobytes())])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(m, row["chunk"].as_py(), np.int64)), pa.array(np.arange(low, low + m)), gram,
+                    pa.array(times[part]), pa.array(prob[first[part]]), pa.array(total[level.first[part]])],
+                    names=["chunk", "number", "gram", "c", "parent", "total"])
+    return run
+
+
+def _next_level(chunks: DataFrame, levels: list[str], depth: int, min_count: int, min_divergence: float,
+                weight: float, root: np.ndarray) -> DataFrame:
+    """(chunk, found): the global count and probability of each chunk's grams of the next level.
+
+    A context's state is decided by its grams' rows; the probability of a gram
+    whose context is no state is that after its suffix.
+    """
+    d = len(levels) + 1
+    rows = stored(chunks.mapInArrow(_grams(levels, depth, min_count, root),
+                                    "chunk long, number long, gram binary, c long, parent double, total long"), "grams")
+    grams = (rows.groupBy("gram").agg(F.sum("c").alias("c"), F.max("parent").alias("parent"), F.max("total").alias("total"))
+             .withColumn("context", F.substring("gram", 1, 4 * d)))
+    share = F.col("c") / F.col("total")
+    states = grams.where("c > 0").groupBy("context").agg(
+        (F.sum(share * F.log(share / F.col("parent"))) >= min_divergence).alias("state"))
+    smooth = (F.col("c") + weight * F.col("parent")) / (F.col("total") + weight)
+    told = grams.join(states, "context").select("gram", "c", F.when(F.col("state"), smooth).otherwise(F.col("parent")).alias("q"))
+    return stored(rows.select("chunk", "number", "gram").join(told, "gram").groupBy("chunk")
+                  .agg(F.collect_list(F.struct("number", "c", "q")).alias(f"level{d}")), "level")
+
+
+def _with_symbols(spark, totals: DataFrame, min_count: int) -> DataFrame:
+    """The frequent words, numbered from 2 on by partition and row, whatever their number."""
+    frequent = stored(totals.where(F.col("c") >= min_count).withColumn("row", F.monotonically_increasing_id()), "symbols")
+    part = F.shiftright("row", 33)
+    sizes = frequent.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return (frequent.withColumn("part", part).join(F.broadcast(starts), "part")
+            .select("word", "c", (F.col("row") - F.shiftleft("part", 33) + F.col("start") + 2).alias("symbol")))
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
-                chunk_words: int = 1 << 22, depth: int = 3, symbol_share: float = 5e-4, min_share: float = 1e-3,
+                chunk_words: int = 1 << 20, depth: int = 3, min_count: int = 50,
                 min_divergence: float = 0.01, weight: float = 8.0) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -218,10 +285,11 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     under the suffix tree, where as in the base all words that are not in the
     training texts are one word.
 
-    Words with at least ``symbol_share`` of all tokens are symbols of their
-    own, so there are at most 1/symbol_share of them, and at most
-    ``depth``/min_share states, whatever the input; that bounds what is
-    broadcast.  Counts of words are joined to each chunk's own word list.
+    Words and contexts that occur ``min_count`` times in the training texts are
+    symbols and contexts of their own, so the tree grows with the input.  It is
+    a table of (context, next symbol) rows, counted by groupBy level by level;
+    each chunk gets the rows of its own grams by a join.  Nothing of it is
+    collected or broadcast.
 
     Null and empty texts are the end alone.  Every row is scored once, repeated
     rows and null ids too; without training rows the base is 0 and the tree
@@ -237,47 +305,49 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
     train_docs = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     n, v = train_words + train_docs, distinct + (train_docs > 0)
-    frequent = totals.where(F.col("c") >= max(2.0, max(symbol_share, 2.0 ** (1 - BITS)) * n)).orderBy(F.desc("c"), "word").collect()
-    symbol = {bytes(w): i for i, (w, _) in enumerate(frequent, 2)}
-    rare = train_words - sum(c for _, c in frequent)
-    root = np.array([train_docs, rare, *(c for _, c in frequent)], float)
-    unseen = max(1, single)
-    tree = build_tree(_learn(chunks, symbol, root, depth, min_share), len(root), depth, min_divergence, weight)
-    shared = docs.sparkSession.sparkContext.broadcast((tree.child, tree.log_prob, tree.depth, symbol))
-    known = (entries.drop("c").join(totals, "word").groupBy("chunk")
-             .agg(F.collect_list(F.struct("pos", "c")).alias("known"))
-             .select("chunk", F.col("known.pos").alias("pos"), F.col("known.c").alias("c")))
+    min_count = max(2, min_count)
+    symbols = stored(_with_symbols(docs.sparkSession, totals, min_count), "symbols")
+    frequent, n_frequent = symbols.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    rare, unseen = train_words - frequent, max(1, single)
+    mass = n + 0.5 * (n_frequent + 2)
+    root = np.array([(train_docs + 0.5) / mass, train_docs, (rare + 0.5) / mass, rare, mass])
+    known = (entries.drop("c").join(totals, "word").join(symbols.select("word", "symbol"), "word", "left").groupBy("chunk")
+             .agg(F.collect_list(F.struct("pos", "c")).alias("known"),
+                  F.collect_list(F.when(F.col("symbol").isNotNull(), F.struct("pos", "symbol", "c"))).alias("symbols"))
+             .select("chunk", F.col("known.pos").alias("pos"), F.col("known.c").alias("c"), F.col("symbols.pos").alias("spos"),
+                     F.col("symbols.symbol").alias("symbol"), F.col("symbols.c").alias("scount")))
     # A chunk of empty documents has no words, so it is not among the known.
-    joined = chunks.select("chunk", "doc_ids", "held", "n_words", "ids", "vocab").join(known, "chunk", "left").drop("chunk")
+    joined = chunks.select("chunk", "doc_ids", "held", "n_words", "ids", "vocab").join(stored(known, "known"), "chunk", "left")
+    levels: list[str] = []
+    for d in range(1, depth + 1):
+        found = _next_level(joined.select(*CHUNK_COLUMNS, *levels), levels, depth, min_count, min_divergence, weight, root)
+        joined = joined.join(found, "chunk", "left")
+        levels.append(f"level{d}")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *parts, symbol = shared.value
-        tree = SuffixTree(*parts)
         norm = n + 0.5 * (v + 1)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in batch.schema.names}
-                n_words = row["n_words"].values.to_numpy().astype(np.int64)
-                ids = _unpacked(row["ids"].as_py())
-                vocab = row["vocab"].values
-                count = np.zeros(len(vocab), np.int64)
-                if row["pos"].is_valid:
-                    count[row["pos"].values.to_numpy()] = row["c"].values.to_numpy()
-                doc = np.repeat(np.arange(len(n_words)), n_words)
-                base = (np.bincount(doc, np.log10((count + 0.5) / norm)[ids], len(n_words))
-                        + math.log10((train_docs + 0.5) / norm))
-                known_words = np.bincount(doc, (count > 0)[ids], len(n_words)).astype(np.int64)
-                of_word = _symbols(vocab, symbol)
-                inside = np.where(of_word == RARE, np.log10(np.where(count > 0, count, unseen) / (rare + unseen)), 0.0)
-                stream, word = _stream(ids, n_words, of_word, tree.depth)
-                logs = tree.score(stream)
-                logs[word] += inside[ids]
-                score = np.add.reduceat(logs, np.cumsum(n_words + 1) - n_words - 1)
-                yield pa.RecordBatch.from_arrays([
-                    row["doc_ids"].values, row["held"].values, pa.array(n_words + 1),
-                    pa.array(known_words + (train_docs > 0)), pa.array(np.full(len(n_words), n, np.int64)),
-                    pa.array(base), pa.array(score)],
-                    names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in _rows(batches):
+            n_words = row["n_words"].values.to_numpy().astype(np.int64)
+            ids = _unpacked(row["ids"].as_py())
+            vocab = row["vocab"].values
+            count = np.zeros(len(vocab), np.int64)
+            if row["pos"].is_valid:
+                count[row["pos"].values.to_numpy()] = row["c"].values.to_numpy()
+            doc = np.repeat(np.arange(len(n_words)), n_words)
+            base = (np.bincount(doc, np.log10((count + 0.5) / norm)[ids], len(n_words))
+                    + math.log10((train_docs + 0.5) / norm))
+            known_words = np.bincount(doc, (count > 0)[ids], len(n_words)).astype(np.int64)
+            stream, word, prob, *_ = _walk(row, levels, depth, min_count, root)
+            is_rare = stream[depth:][word] == RARE
+            inside = np.where(count > 0, count, unseen) / (rare + unseen)
+            logs = np.log10(prob)
+            logs[word] += np.where(is_rare, np.log10(inside)[ids], 0.0)
+            score = np.add.reduceat(logs, np.cumsum(n_words + 1) - n_words - 1)
+            yield pa.RecordBatch.from_arrays([
+                row["doc_ids"].values, row["held"].values, pa.array(n_words + 1),
+                pa.array(known_words + (train_docs > 0)), pa.array(np.full(len(n_words), n, np.int64)),
+                pa.array(base), pa.array(score)],
+                names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return joined.mapInArrow(scored, "id long, held_out boolean, n_tokens long, n_known long, "
                                      "train_tokens long, base_score double, score double")

@@ -295,6 +295,41 @@ def test_suffix_tree_matches_a_plain_walk():
     assert got.mean() > -0.55 > math.log10(1 / 4)
 
 
+def test_words_and_contexts_seen_often_enough_are_kept_in_any_share(spark):
+    rng = random.Random(2)
+    common = [" ".join(rng.choices("abcdefghij", k=100)) for _ in range(1400)]
+    texts = [t + " zig zag" if i < 55 else t + " zog" if i < 110 else t for i, t in enumerate(common)]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(2001, "a zig zag", True), (2002, "a zig zog", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    score = {r.id: r.score for r in pst.score_texts(docs, F.col("held")).where("held_out").collect()}
+    assert score[2001] > score[2002] + 1
+
+
+def test_scores_match_a_tree_built_at_once(spark):
+    rng = random.Random(8)
+    vocab = ["w%d" % i for i in range(9)] + ["r%d" % i for i in range(60)]
+    texts = [" ".join(rng.choices(vocab, [60 - 5 * i for i in range(9)] + [1] * 60, k=rng.randint(0, 40))) for _ in range(90)]
+    texts += ["w1 w2 w3 w4 w5"] * 12
+    rows = [(i, t, i % 4 == 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.id: r.score for r in pst.score_texts(docs, F.col("held"), chunk_words=200, min_count=6).collect()}
+    words = Counter(w for _, t, held in rows if not held for w in t.split())
+    symbol = {w: i for i, w in enumerate((w for w in sorted(words) if words[w] >= 6), 2)}
+    rare, unseen = sum(c for w, c in words.items() if w not in symbol), max(1, sum(c == 1 for c in words.values()))
+    stream = lambda t: [0] + [symbol.get(w, 1) for w in t.split()] + [0]
+    counts = defaultdict(lambda: np.zeros(len(symbol) + 2))
+    for _, t, held in rows:
+        s = stream(t)
+        for i in range(1, 0 if held else len(s)):
+            for d in range(min(i, 3) + 1):
+                counts[tuple(s[i - d:i])][s[i]] += 1
+    tree = pst.build_tree({c: v for c, v in counts.items() if not c or v.sum() >= 6}, len(symbol) + 2, 3, 0.01, 8.0)
+    for i, t, _ in rows:
+        want = tree.score(np.array([0, 0, *stream(t)])).sum()
+        want += sum(math.log10(max(words[w], 0 if words[w] else unseen) / (rare + unseen)) for w in t.split() if w not in symbol)
+        assert abs(got[i] - want) < 1e-3
+
+
 def test_scores_beat_the_base_on_held_out_texts(spark):
     got = queries.op4_suffix_tree(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
