@@ -146,7 +146,7 @@ def _verified(c: np.ndarray, passages: Passages, bands: list[tuple[int, int, int
         if edits <= k:
             found.append((edits, passages.ids[p], start, end))
     kept: list[tuple[int, int, int, int]] = []
-    for edits, item, start, end in sorted(found):
+    for edits, item, start, end in sorted(found, key=lambda f: (f[0], f[1] is not None, f[1] or 0, *f[2:])):
         if not any(item == i and start < e and s < end for i, s, e, _ in kept):
             kept.append((item, start, end, edits))
     return kept
@@ -165,8 +165,8 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     The benchmark is searched in blocks of at most ``block_chars`` characters,
     one broadcast index and one pass each, so its size is not bounded.  Items
     that are null or shorter than ``min_chars`` would match by chance and are
-    not searched; equal items are found each under its own id.  Null and empty
-    texts hold nothing; repeated rows report each its own spans; an empty table
+    not searched; equal items are found each under its own id, which may be
+    null.  Null and empty texts hold nothing; repeated rows report each its own spans; an empty table
     or benchmark gives no rows.
     """
     spark = docs.sparkSession
@@ -179,18 +179,19 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     out = None
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(sorted(tuple(r) for r in part.collect()))
+        shared = spark.sparkContext.broadcast(
+            sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             passages = Passages(shared.value, rate, min_chars)
             for frame in frames:
                 got = []
                 for doc_id, text in zip(frame["id"].tolist(), frame["text"].tolist()):
-                    got += [(doc_id, *x) for x in find_passages(text, passages)]
+                    got += [(doc_id, None if item is None else str(item), *x) for item, *x in find_passages(text, passages)]
                 yield pd.DataFrame(got, columns=["id", "item_id", "start", "end", "edits"])
 
         # Ids pass as text: pandas would turn a column of long with nulls into doubles.
-        found = rows.mapInPandas(search, "id string, item_id long, start long, end long, edits long")
-        found = found.withColumn("id", F.col("id").cast("long"))
+        found = rows.mapInPandas(search, "id string, item_id string, start long, end long, edits long")
+        found = found.withColumns({c: F.col(c).cast("long") for c in ("id", "item_id")})
         out = found if out is None else out.unionAll(found)
     return out

@@ -524,6 +524,16 @@ def test_leaks_match_brute_force(spark, odd, nothing):
     assert decontam.leaked_passages(odd, bench).count() == 0
 
 
+def test_benchmark_items_may_have_null_ids(spark):
+    texts = ["the quick brown fox jumps over the lazy dog", "pack my box with five dozen liquor jugs now",
+             "how vexingly quick daft zebras jump at night"]
+    big = (1 << 60) + 1
+    bench = spark.createDataFrame(list(zip([None, big, None], texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(1, " - ".join(texts)), (2, texts[2])], "doc_id long, text string")
+    got = decontam.leaked_passages(docs, bench).collect()
+    assert sorted((r.id, r.item_id or 0, r.edits) for r in got) == [(1, 0, 0), (1, 0, 0), (1, big, 0), (2, 0, 0)]
+
+
 # -- pipeline
 
 def test_pipeline_stages(spark, odd, tmp_path):
