@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, guesscost, jaccard, linededup, mix, postings, pst, quality, repair, urltrie
+from . import decontam, guesscost, jaccard, linededup, mix, postings, pst, quality, repair, resample, urltrie
 from .common import stored, table
 
 
@@ -77,11 +77,61 @@ def op10_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "end", "edits")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_repair_tokens, op2_guess_cost, op3_voronoi_join, op4_suffix_tree, op5_posting_lists, op6_url_trie, op7_mix_sources,
-    op8_fourier_quality, op9_line_bitmaps, op10_qgram_lemma)}
+    op8_fourier_quality, op9_line_bitmaps, op10_qgram_lemma, op11_importance_resample)}
+
+# DuckDB has no crc32: the table of the polynomial's remainders, and one step per byte.
+CRC_TABLE = """
+crc_table AS (
+  SELECT list(c ORDER BY b) AS t
+  FROM (SELECT b, reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, b::BIGINT) AS c
+        FROM range(256) r(b)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes; ``t`` is the column of crc_table."""
+    byte = ("(strpos('0123456789ABCDEF', substr(hex({0}), 2 * i - 1, 1)) - 1) * 16"
+            " + strpos('0123456789ABCDEF', substr(hex({0}), 2 * i, 1)) - 1").format(text)
+    return (f"xor(reduce(list_transform(range(1, strlen({text}) + 1), lambda i: ({byte})::BIGINT),"
+            " lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)")
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance_resample": rf"""
+WITH {CRC_TABLE},
+texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'b', 0, NULL, coalesce(text, '') FROM benchmark),
+w AS (
+  SELECT kind, r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+b AS (
+  SELECT word, {crc32_sql("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), crc_table),
+n AS (
+  SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM w JOIN b USING (word) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+                                 / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+f AS (
+  SELECT r, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight
+  FROM w JOIN b USING (word) JOIN g USING (bucket) WHERE kind = 'd' GROUP BY r),
+c AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM texts LEFT JOIN f USING (r) WHERE kind = 'd'),
+v AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM c),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+         count(*) FILTER (n_features >= 20) OVER () AS able FROM v)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM o""",
     "op6_url_trie": r"""
 WITH parts AS (
   SELECT page_id,
