@@ -329,8 +329,8 @@ class Repaired:
     rows: DataFrame
 
 
-WORDLESS = r"^[\x20\x09-\x0D]*$"
-CUT_OFF = r"[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*$"
+INK = r"[^\x20\x09-\x0D]"
+CUT_OFF = r"[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*\z"
 
 
 def damage(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
@@ -388,7 +388,7 @@ def repair_conversations(rows: DataFrame, conv_col: str = "conv", turn_col: str
         "conv", "turn", "rid", F.substring("role", 1, 1).alias("initial"), F.substring("role", 1, 64).alias("role_start"),
         F.substring("text", 1, 64).alias("text_start"),
         F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)).alias("digest"),
-        F.col("text").rlike(WORDLESS).alias("blank"), F.col("text").rlike(CUT_OFF).alias("truncated"))
+        (~F.col("text").rlike(INK)).alias("blank"), F.col("text").rlike(CUT_OFF).alias("truncated"))
     # Rows of one digest differ in turn and row id only, so these give the order among them.
     repeated = (narrow.groupBy("conv", "digest").agg(F.min(F.struct("turn", "rid")).alias("first"), F.count("*").alias("n"))
                 .where("n > 1").select(F.col("conv").alias("c"), F.col("digest").alias("d"), "first"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, guesscost, jaccard, linededup, mix, postings, pst, quality, repair, resample, urltrie
+from tablescope.session import scratch_folder
+
+from . import (
+    decontam, dialogue, guesscost, jaccard, linededup, mix, postings, pst, quality, repair, resample, urltrie, warc)
 from .common import stored, table
 
 
@@ -82,9 +85,23 @@ def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumnRenamed("id", "doc_id")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    repaired = dialogue.repair_conversations(dialogue.damage(conversations))
+    found = dialogue.with_lost_conversations(repaired.conversations, conversations)
+    return found.withColumnRenamed("conv", "conv_id").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(table(spark, sf_dir, "pages"), scratch_folder(spark, "archives"))
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_repair_tokens, op2_guess_cost, op3_voronoi_join, op4_suffix_tree, op5_posting_lists, op6_url_trie, op7_mix_sources,
-    op8_fourier_quality, op9_line_bitmaps, op10_qgram_lemma, op11_importance_resample)}
+    op8_fourier_quality, op9_line_bitmaps, op10_qgram_lemma, op11_importance_resample,
+    op12_conversation_repair, op13_arc_to_warc)}
 
 # DuckDB has no crc32: the table of the polynomial's remainders, and one step per byte.
 CRC_TABLE = """
@@ -103,6 +120,79 @@ def crc32_sql(text: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE {CRC_TABLE},
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT *, {crc32_sql("k")} % 20 AS kind FROM src, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, (VALUES (1), (2)) copies(n) WHERE kind <> 0 AND (n = 1 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen,
+         left(role, 1) AS ini, rtrim(text, E' \t\n\x0b\x0c\r') AS body
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)),
+rows_ AS (
+  SELECT *, body = '' AS blank, body <> '' AND seen > 1 AS dup,
+         body <> '' AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+         lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM placed),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (dup)::BIGINT AS duplicate,
+         count(*) FILTER (cut AND NOT dup)::BIGINT AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS n
+  FROM rows_ GROUP BY conv_id),
+-- One struct of cost and audit per state; the least struct is the cheapest, ties ASCII-least.
+steps AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': ''}} AS e, {{'c': 1000000, 'a': ''}} AS s, {{'c': 3, 'a': 'I'}} AS u, {{'c': 6, 'a': 'II'}} AS v
+  FROM sums
+  UNION ALL
+  SELECT conv_id, i, e, s,
+         list_min([u, {{'c': e.c + 3, 'a': e.a || 'I'}}, {{'c': s.c + 3, 'a': s.a || 'I'}}, {{'c': v.c + 3, 'a': v.a || 'I'}}]),
+         list_min([v, {{'c': u.c + 3, 'a': u.a || 'I'}}, {{'c': e.c + 6, 'a': e.a || 'II'}}, {{'c': s.c + 6, 'a': s.a || 'II'}}])
+  FROM (
+    SELECT t.conv_id, t.i + 1 AS i, {{'c': e.c + 4, 'a': e.a || 'D'}} AS e,
+           list_min([{{'c': s.c + 4, 'a': s.a || 'D'}}, {{'c': CASE WHEN ini = 's' THEN e.c + stay ELSE 1000000 END, 'a': e.a || 'K'}}]) AS s,
+           list_min([{{'c': u.c + 4, 'a': u.a || 'D'}}, {{'c': e.c + stay + to_u, 'a': e.a || by_u}},
+                     {{'c': s.c + stay + to_u, 'a': s.a || by_u}}, {{'c': v.c + stay + to_u, 'a': v.a || by_u}}]) AS u,
+           list_min([{{'c': v.c + 4, 'a': v.a || 'D'}}, {{'c': u.c + stay + to_a, 'a': u.a || by_a}}]) AS v
+    FROM steps t JOIN (
+      SELECT conv_id, i, ini, CASE WHEN blank OR dup THEN 1000000 WHEN cut THEN 3 ELSE 0 END AS stay,
+             CASE WHEN ini = 'u' THEN 0 ELSE 3 END AS to_u, CASE WHEN ini = 'u' THEN 'K' ELSE 'R' END AS by_u,
+             CASE WHEN ini = 'a' THEN 0 ELSE 3 END AS to_a, CASE WHEN ini = 'a' THEN 'K' ELSE 'R' END AS by_a
+      FROM rows_) r ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = t.i + 1)),
+best AS (
+  SELECT t.conv_id, list_min([e, v]) AS b FROM steps t JOIN sums ON t.conv_id IS NOT DISTINCT FROM sums.conv_id AND t.i = sums.n),
+edits AS (
+  SELECT conv_id, j, b.a[j] AS edit, length(translate(b.a[:j], 'I', '')) AS i,
+         count(*) FILTER (b.a[j] <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS place
+  FROM (SELECT conv_id, b, unnest(range(1, length(b.a) + 1)) AS j FROM best)),
+kept AS (
+  SELECT x.conv_id, x.j, x.edit, x.place, CASE WHEN x.edit <> 'I' THEN r.text ELSE '' END AS text, r.role,
+         max((x.edit = 'K' AND r.ini = 's')::INT) OVER (PARTITION BY x.conv_id) AS has_s
+  FROM edits x LEFT JOIN rows_ r ON x.conv_id IS NOT DISTINCT FROM r.conv_id AND x.i = r.i WHERE x.edit <> 'D'),
+text_ AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                             || ':' || text, E'\n' ORDER BY j) AS whole FROM kept GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+       coalesce(b.a, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums ON c.conv_id IS NOT DISTINCT FROM sums.conv_id
+LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id
+LEFT JOIN text_ ON c.conv_id IS NOT DISTINCT FROM text_.conv_id""",
+    "op13_arc_to_warc": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+f AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper,
+         row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS place FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN keeper END AS refers_to
+FROM f""",
     "op11_importance_resample": rf"""
 WITH {CRC_TABLE},
 texts AS (
