@@ -370,7 +370,8 @@ def repair_conversations(rows: DataFrame, conv_col: str = "conv", turn_col: str
     user or assistant row (3); a truncated row that stays adds 3.  Of equally
     cheap edits the ASCII-least initials win.
 
-    Null roles and texts are one space, rows with a null conversation are one
+    Null roles and texts are one space, an empty role has no initial and cannot
+    be kept, rows with a null conversation are one
     conversation of their own, repeated rows are duplicates.  An empty table
     gives empty tables; other columns, whatever their names, are not read.
     Only flags, ids and at most 128 characters of a row are sorted; whole texts
