@@ -55,6 +55,14 @@ def _neighbours() -> dict[str, set[str]]:
 
 
 NEAR = _neighbours()
+PLACE = {key: (r, c) for r, row in enumerate(KEY_ROWS) for c, key in enumerate(row)}
+
+
+def _step(a: str, b: str) -> tuple[int, int] | None:
+    """How far the second key lies from the first, in rows and columns."""
+    if a not in PLACE or b not in PLACE:
+        return None
+    return PLACE[b][0] - PLACE[a][0], PLACE[b][1] - PLACE[a][1]
 
 
 def _class_size(ch: str) -> int:
@@ -81,26 +89,34 @@ def _walks(low: str) -> tuple[list[int], list[int]]:
         if low[i] != low[i + 1] and low[i + 1] in NEAR.get(low[i], ()):
             ends[i] = ends[i + 1]
     for i in range(2, n):
-        turns[i] = turns[i - 1] + (ord(low[i]) - ord(low[i - 1]) != ord(low[i - 1]) - ord(low[i - 2]))
+        turns[i] = turns[i - 1] + (_step(low[i - 1], low[i]) != _step(low[i - 2], low[i - 1]))
     return ends, turns
 
 
-def _stops(least: int, end: int, most: int) -> list[int]:
+def _stops(least: int, end: int, most: int, last: int) -> list[int]:
+    """Ends from ``least`` to ``most``, and from ``last`` characters before ``end``."""
     if end < least:
         return []
-    return [*range(least, min(end, most) + 1), *([end] if end > most else [])]
+    return [*range(least, min(end, most) + 1), *range(max(least, most + 1, end - last), end + 1)]
 
 
-def guess_cost(value: str, ranks: dict[str, int], longest_word: int = 20, longest_run: int = 32) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, ranks: dict[str, int], longest_word: int | None = None,
+               longest_run: int = 64) -> tuple[float, list[tuple[str, int, int]]]:
     """Least log10 guesses for ``value`` and the segments (kind, start, end) that give it.
 
     Dynamic programming over prefixes.  Words of up to ``longest_word``
-    characters are looked up directly and with substitutions.  Repeats and
-    walks end anywhere up to ``longest_run`` characters and beyond that where
-    they break off, so the work is linear in the length.  Each segment costs one bit more, for
-    where it ends.  The empty value costs 0.
+    characters (the longest of ``ranks`` unless given) are looked up directly
+    and with substitutions.  Repeats and walks end anywhere up to
+    ``longest_run`` characters, and beyond that within a word's or date's
+    length of where they break off: only a segment that leaves the run gains
+    by starting inside it.  So the work is linear in the length.  A walk turns
+    where the step between two keys, in rows and columns, changes.  Each
+    segment costs one bit more, for where it ends.  The empty value costs 0.
     """
     n = len(value)
+    if longest_word is None:
+        longest_word = max(map(len, ranks), default=0)
+    last = max(longest_word, 10)
     low = value.replace("\u0130", "i").lower()  # the one letter whose lower case is longer
     plain = low.translate(SWAPS)
     best = [0.0] + [math.inf] * n
@@ -132,9 +148,9 @@ def guess_cost(value: str, ranks: dict[str, int], longest_word: int = 20, longes
                 offer("date", i, found.end(), cost)
         for period, ends in enumerate(repeats, 1):
             block = sum(math.log10(_class_size(ch)) for ch in value[i:i + period])
-            for j in _stops(i + max(3, 2 * period), ends[i], i + longest_run):
+            for j in _stops(i + max(3, 2 * period), ends[i], i + longest_run, last):
                 offer("repeat", i, j, block + math.log10((j - i) / period))
-        for j in _stops(i + 4, walks[i], i + longest_run):
+        for j in _stops(i + 4, walks[i], i + longest_run, last):
             offer("walk", i, j, math.log10(47 * (j - i)) + math.log10(4) * (turns[j - 1] - turns[i + 1]))
     cuts: list[tuple[str, int, int]] = []
     j = n
@@ -160,14 +176,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def guessed_spans(text: str, ranks: dict[str, int], min_cost: float) -> list[tuple[str, int, int, float]]:
+def guessed_spans(text: str, ranks: dict[str, int], min_cost: float, longest_word: int | None = None) -> list[tuple[str, int, int, float]]:
     """("guess", start, end, cost) of credential values that cost at least 10**min_cost guesses."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
     out = []
     for m in CONTEXT.finditer(text):
-        cost, _ = guess_cost(m[1], ranks)
+        cost, _ = guess_cost(m[1], ranks, longest_word)
         if cost >= min_cost:
             out.append(("guess", *m.span(1), cost))
     return out
@@ -190,10 +206,13 @@ def find_secrets(docs: DataFrame, vocabulary: str, text_col: str = "text", min_c
     costs at least ``10**min_cost`` guesses.  Spans are ``kind:start:end`` in
     code points, end exclusive, by start and kind.  ``max_cost`` is the largest
     cost of a guess span, null without one.  Null and empty texts have no spans;
-    every row stays, repeated rows too; an empty table gives an empty table.
+    every row stays, repeated rows too; an empty table gives an empty table;
+    a column ``secrets`` of the input is replaced.  Very long texts are searched whole.
     ``vocabulary`` is a tokenizer file whose whole words rank the word list.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(ranked_words(vocabulary))
+    words = ranked_words(vocabulary)
+    longest = max(map(len, words), default=0)
+    ranks = docs.sparkSession.sparkContext.broadcast(words)
 
     def scan(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
@@ -201,7 +220,7 @@ def find_secrets(docs: DataFrame, vocabulary: str, text_col: str = "text", min_c
             for text in texts:
                 text = text or ""
                 base = base_spans(text)
-                guesses = guessed_spans(text, ranks.value, min_cost)
+                guesses = guessed_spans(text, ranks.value, min_cost, longest)
                 kinds = [k for k, _, _ in base]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
                 rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), len(guesses), digest,
