@@ -161,6 +161,68 @@ def test_a_letter_with_a_longer_lower_case_keeps_positions(spark):
     assert guesscost.find_secrets(docs, queries.tokenizer_file()).count() == 1
 
 
+KEY_GRID = {k: (r, c) for r, keys in enumerate(["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]) for c, k in enumerate(keys)}
+
+
+def segment_costs(part, ranks):
+    """All the ways in which one piece of a value may be guessed at one go."""
+    size = lambda ch: 100 if ord(ch) > 127 else 10 if ch.isdigit() else 26 if ch.isalpha() else 33
+    low, n = part.lower(), len(part)
+    out = [] if n > 1 else [("brute", math.log10(size(part)))]
+    swapped = "".join({"@": "a", "4": "a", "3": "e", "1": "i", "0": "o", "5": "s", "$": "s", "7": "t"}.get(c, c) for c in low)
+    word = low if low in ranks else swapped if swapped in ranks else None
+    if n >= 3 and word:
+        caps, cost = sum(c.isupper() for c in part), math.log10(ranks[word])
+        cost += math.log10(2) * sum(a != b for a, b in zip(low, word))
+        if caps:
+            cost += math.log10(2) if caps == n or (caps == 1 and part[0].isupper()) else math.log10(math.comb(n, caps) + 1)
+        out.append(("word", cost))
+    if re.fullmatch(r"(19|20)\d\d", part, re.A):
+        out.append(("date", math.log10(119)))
+    m = re.fullmatch(r"(19|20)\d\d(?P<s>[-/._]?)(\d\d)(?P=s)(\d\d)", part, re.A) or re.fullmatch(r"(\d\d)(?P<s>[-/._]?)(\d\d)(?P=s)(19|20)\d\d", part, re.A)
+    if m:
+        day, month = (int(m[4]), int(m[3])) if part[:2] in ("19", "20") and m.re.pattern.startswith("(19") else (int(m[1]), int(m[3]))
+        if 1 <= day <= 31 and 1 <= month <= 12:
+            out.append(("date", math.log10(119 * 365)))
+    for period in range(1, 5):
+        if n >= max(3, 2 * period) and all(part[i] == part[i + period] for i in range(n - period)):
+            out.append(("repeat", sum(math.log10(size(c)) for c in part[:period]) + math.log10(n / period)))
+    if n >= 4 and all(c in KEY_GRID for c in low):
+        steps = [(KEY_GRID[b][0] - KEY_GRID[a][0], KEY_GRID[b][1] - KEY_GRID[a][1]) for a, b in zip(low, low[1:])]
+        if all(s != (0, 0) and max(abs(s[0]), abs(s[1])) <= 1 for s in steps):
+            out.append(("walk", math.log10(47 * n) + math.log10(4) * sum(a != b for a, b in zip(steps, steps[1:]))))
+    return out
+
+
+def test_guess_cost_against_every_segmentation():
+    rng = random.Random(12)
+    ranks = {"pass": 3, "word": 9, "password": 1, "sun": 20, "east": 31, "qwe": 200, "seas": 44}
+    pieces = ["pass", "p4ss", "WORD", "Sun", "e4st", "qwerty", "asdf", "zxcv", "poiu", "1qaz", "aaaa", "abab", "1999", "19991231", "x", "9", "$", "é", "reds"]
+    for _ in range(150):
+        value = "".join(rng.choices(pieces, k=rng.randint(1, 3)))[:11]
+        best = math.inf
+        for cuts in range(1 << (len(value) - 1)):
+            ends = [i + 1 for i in range(len(value) - 1) if cuts >> i & 1] + [len(value)]
+            spans = list(zip([0, *ends[:-1]], ends))
+            options = [segment_costs(value[a:b], ranks) for a, b in spans]
+            if not all(options):
+                continue
+            # A row of brute-forced characters is one segment.
+            states = {"": 0.0}
+            for ways in options:
+                new = {}
+                for kind, cost in ways:
+                    total = min(c + cost + (0 if kind == last == "brute" else math.log10(2)) for last, c in states.items())
+                    new[kind] = min(new.get(kind, math.inf), total)
+                states = new
+            best = min(best, *states.values())
+        cost, spans = guesscost.guess_cost(value, ranks)
+        assert abs(cost - best) < 1e-9, (value, cost, best, spans)
+        assert "".join(value[a:b] for _, a, b in spans) == value
+    assert guesscost.guess_cost("qwertyuiopasdfgh", ranks)[0] < 9 and guesscost.guess_cost("qwertyuiop[]", ranks)[0] < 5
+    assert guesscost.guess_cost("a" * 300 + "east", ranks)[1][0] in (("repeat", 0, 300), ("repeat", 0, 301))
+
+
 def test_guess_cost_is_the_least_over_all_cuts():
     ranks = {"pass": 3, "word": 9, "password": 1, "dog": 40}
     rng = random.Random(3)
@@ -351,7 +413,7 @@ def test_neighbours(spark):
     rows += [(None, [1.0] * 16, 1), (700, None, 1), (720, [0.0] * 16, 1), (740, [float("nan")] * 16, 1), (760, [], 1),
              (780, [1.0, None] * 8, 1), (800, [2.0, 1.0], 1), rows[20]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ids int")
-    got = postings.nearest_neighbours(df, F.col("vec_id") % 20 == 0, n_lists=32, block_rows=64).collect()
+    got = postings.nearest_neighbours(df, F.col("vec_id") % 20 == 0, list_rows=20, block_rows=8).collect()
     by = defaultdict(list)
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         by[r.query_id].append((r.vec_id, r.score))
@@ -374,6 +436,37 @@ def test_few_vectors_come_back_whole(spark):
     assert postings.nearest_neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [120, 500, 2000, 10_000])
+def test_recall_at_every_size(spark, n):
+    """The query's own parameters on vectors without any clusters, the hardest kind."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in postings.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    asked = range(0, n, 20)
+    assert all(len(found[q]) == 20 and q not in found[q] for q in asked)
+    best = {q: set([i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20]) for q in asked}
+    assert sum(len(best[q] & found[q]) for q in asked) >= 0.9 * 20 * len(asked)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_on_the_given_vectors(spark, sf):
+    df = table(spark, "embeddings", f"/root/testdata/{sf}")
+    rows = df.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = defaultdict(set)
+    for r in queries.op5_posting_lists(spark, f"/root/testdata/{sf}").collect():
+        found[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        best = [j for j in np.lexsort((ids, -np.cumsum(x * x[i], axis=1)[:, -1])) if j != i][:20]
+        hits, total = hits + len({ids[j] for j in best} & found[ids[i]]), total + len(best)
+    assert hits >= 0.9 * total
+
+
 # -- URL rules
 
 def test_urls_match_brute_force(spark):
