@@ -386,26 +386,25 @@ def q_scan_json(spark, sf):
 
 
 def q_scan_json_array(spark, sf):
-    """Eight documents, each one array of records."""
+    """Documents of a bounded number of orders, each one array of records."""
     folder = api.scratch_folder(spark, "io-json-array")
-    rows = _t(spark, sf, "orders")
-    text = api.result_json(rows).select("json", F.pmod(F.xxhash64("json"), F.lit(8)).alias("doc"))
+    text = api.result_json(_t(spark, sf, "orders")).select(
+        "json", F.floor(F.get_json_object("json", "$.o_orderkey").cast("long") / 5000).alias("doc"))
     (text.groupBy("doc").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("json")), F.lit("]")).alias("value"))
-     .write.partitionBy("doc").text(folder))
+     .select("value").write.option("maxRecordsPerFile", 1).text(folder))
     return api.read_table(spark, folder, "json")
 
 
 def q_scan_json_columns(spark, sf):
     """Documents of the form {column: {index: value}}, as pandas writes them."""
     folder = api.scratch_folder(spark, "io-json-columns")
-    rows = _t(spark, sf, "orders").withColumn("doc", F.pmod("o_orderkey", F.lit(8)))
+    rows = _t(spark, sf, "orders").withColumn("doc", F.floor(F.col("o_orderkey") / 5000))
     cells = [F.map_from_entries(F.collect_list(F.struct(
         F.col("o_orderkey").cast("string"), F.col(c)))).alias(c)
         for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")]
     (rows.groupBy("doc").agg(*cells)
-     .select("doc", F.to_json(F.struct("o_orderkey", "o_custkey", "o_totalprice",
-                                          "o_orderpriority")).alias("value"))
-     .write.partitionBy("doc").text(folder))
+     .select(F.to_json(F.struct("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")).alias("value"))
+     .write.option("maxRecordsPerFile", 1).text(folder))
     return api.read_table(spark, folder, "json")
 
 

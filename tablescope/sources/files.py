@@ -3,19 +3,24 @@
 CSV follows pandas' reading rules: header row, a fixed set of NULL markers,
 type inference (long -> double -> boolean -> string) decided by ONE
 aggregate over the string-typed scan.  Which files are Latin-1, and which hold
-quoted line breaks and so cannot be split, is decided per file by an aggregate
-over the raw lines.
+quoted line breaks, is decided per file by an aggregate over the raw lines.
+Files with quoted line breaks and JSON documents are cut into records by byte
+ranges (``ranges``), so one large file is read by many tasks.
 """
 
 from __future__ import annotations
 
+import csv
+import io
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import normalize_missing, numeric_text
+from ..session import cut_lineage, scratch_folder
+from . import ranges
 
 # Extension -> format (the reference's detection table).
 EXTENSIONS = {
@@ -88,13 +93,15 @@ def _csv_groups(spark: SparkSession, path: str) -> dict[tuple[str, bool], list[s
     """Files by (encoding, holds quoted line breaks), from one pass over their lines.
 
     A file is Latin-1 when some line is no valid UTF-8.  A line with an odd
-    number of quotes opens or closes a field that goes on over the line's end.
-    One small row per file comes back.
+    number of quotes opens or closes a field that goes on over the line's end;
+    one with a quote amid a field may, whatever the number.  One small row per
+    file comes back.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         (~F.is_valid_utf8("value")).alias("latin"),
-        (F.regexp_count(F.make_valid_utf8("value"), F.lit('"')) % 2 == 1).alias("open"))
+        ((F.regexp_count(F.make_valid_utf8("value"), F.lit('"')) % 2 == 1)
+         | F.make_valid_utf8("value").rlike('[^,"]"[^,"]')).alias("open"))
     groups: dict[tuple[str, bool], list[str]] = {}
     for r in lines.groupBy("file").agg(F.max("latin").alias("latin"), F.max("open").alias("open")
                                        ).orderBy("file").collect():
@@ -102,11 +109,41 @@ def _csv_groups(spark: SparkSession, path: str) -> dict[tuple[str, bool], list[s
     return groups
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+CSV_OPTIONS = {"escape": '"', "emptyValue": ""}
+
+
+def _quoted_csv(spark: SparkSession, files: list[str], encoding: str) -> list[DataFrame]:
+    """Files with quoted line breaks, cut into records by range; one frame per header."""
+    lines = ranges.text_ranges(spark, files, "\n")
+    states = cut_lineage(ranges.csv_entry_states(lines))
+    records = ranges.joined_pieces(_written(ranges.csv_pieces(lines, states, encoding), "csv-records"))
+    headers: dict[tuple[str, ...], list[int]] = {}
+    for r in records.where("first").select("file", "text").orderBy("file").collect():  # one row per file
+        names = next(csv.reader(io.StringIO(r["text"].removeprefix("\ufeff"), newline="")))
+        headers.setdefault(tuple(names), []).append(r["file"])
+    out = []
+    for names, numbers in headers.items():
+        schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+        row = F.from_csv("text", schema.simpleString()[len("struct<"):-1].replace(":", " "), {**CSV_OPTIONS, "multiLine": "true"})
+        out.append(records.where(F.col("file").isin(numbers) & ~F.col("first")).select(row.alias("r"))
+                   .select(*[F.col(f"r._{i}").alias(n) for i, n in enumerate(names)]))
+    return out
+
+
 def _csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    parts = [spark.read.option("header", True).option("encoding", encoding)
-             .option("inferSchema", False).option("multiLine", whole).option("escape", '"')
-             .option("nullValue", None).option("emptyValue", "").csv(files)
-             for (encoding, whole), files in _csv_groups(spark, path).items()]
+    parts = []
+    for (encoding, quoted), files in _csv_groups(spark, path).items():
+        if quoted:
+            parts += _quoted_csv(spark, files, encoding)
+        else:
+            parts.append(spark.read.option("header", True).option("encoding", encoding)
+                         .option("inferSchema", False).options(**CSV_OPTIONS).option("nullValue", None).csv(files))
     if not parts:
         return spark.read.option("header", True).csv(path)
     raw = parts[0]
@@ -120,8 +157,8 @@ def _csv_strings(spark: SparkSession, path: str) -> DataFrame:
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     """S1 + C2: CSV with pandas-style NULL markers and type inference.
 
-    Files are split among tasks, but for those with quoted line breaks; each
-    file is read in its own encoding.
+    Files are split among tasks, those with quoted line breaks too; each file
+    is read in its own encoding.
     """
     df = _csv_strings(spark, path)
     return _apply_inference(df, df.columns, _infer(df))
@@ -159,58 +196,61 @@ def _apply_inference(df: DataFrame, cols: list[str], stats) -> DataFrame:
     return df.select(*out)
 
 
-def _json_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Files by layout: ``lines``, ``document`` or ``columns``.
+def _json_groups(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], DataFrame, DataFrame | None]:
+    """Files by layout, the entry states of their byte ranges, and the counts of ranges of objects.
 
-    Decided on the executors: the first character that is not blank, how many
-    lines there are, how many of them are JSON objects by themselves, and
-    whether those hold nothing but objects.  One small row per file comes back.
+    ``lines``: one object per line; ``array``: one array of records; ``objects``:
+    objects over several lines; ``columns``: one object whose values are all
+    objects; ``other``: none of these.  One small row per file comes back.
     """
-    text = F.trim("value")
-    keys = F.json_object_keys(text)
-    inner = F.from_json(text, "map<string, string>")
-    nested = (F.size(keys) > 0) & F.forall(F.map_values(inner), lambda v: F.ltrim(v).startswith("{"))
-    lines = spark.read.text(path).where(text != "").select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
-        F.substring(text, 1, 1).alias("head"), keys.isNotNull().alias("object"), nested.alias("nested"))
+    files = spark.read.text(path).inputFiles()
+    if not files:
+        return {}, None, None
+    cut = ranges.text_ranges(spark, files, ",")
+    states = cut_lineage(ranges.json_entry_states(cut))
+    paths = {r["file"]: r["path"] for r in ranges.file_numbers(spark, files).collect()}
+    heads = {r["file"]: r["head"] for r in states.where("head IS NOT NULL").groupBy("file").agg(
+        F.min_by("head", "start").alias("head")).collect()}
     groups: dict[str, list[str]] = {}
-    for r in lines.groupBy("file").agg(
-            F.min_by("head", "at").alias("head"), F.count("*").alias("n"),
-            F.count_if("object").alias("objects"), F.count_if(F.coalesce("nested", F.lit(False))).alias("nested")
-            ).orderBy("file").collect():
-        if r["objects"] == r["n"]:
-            layout = "columns" if r["n"] == r["nested"] == 1 else "lines"
+    objects = []
+    for number, head in sorted(heads.items(), key=lambda x: paths[x[0]]):
+        if head == "{":
+            objects.append(paths[number])
         else:
-            layout = "document" if r["head"] == "[" else "open"
-        groups.setdefault(layout, []).append(r["file"])
-    if "open" in groups:  # one object over several lines: its own values tell
-        files = groups.pop("open")
-        whole = spark.read.text(files, wholetext=True)
-        text, inner = F.trim("value"), F.from_json("value", "map<string, string>")
-        for r in whole.select(F.col("_metadata.file_path").alias("file"), F.forall(
-                F.map_values(inner), lambda v: F.ltrim(v).startswith("{")).alias("nested")
-                ).orderBy("file").collect():
-            groups.setdefault("columns" if r["nested"] else "document", []).append(r["file"])
-    return groups
+            groups.setdefault("array" if head == "[" else "other", []).append(paths[number])
+    counts = None
+    if objects:
+        counts = cut_lineage(ranges.json_layouts(ranges.text_ranges(spark, objects, ","), states))
+        per = {paths[r["file"]]: r for r in counts.groupBy("file").agg(
+            *[F.sum(c).alias(c) for c in ("tops", "keys", "opens", "breaks")]).collect()}
+        for file in objects:
+            r = per[file]
+            layout = ("columns" if r["tops"] == 1 and r["keys"] == r["opens"] > 0 else "lines" if not r["breaks"] else "objects")
+            groups.setdefault(layout, []).append(file)
+    return groups, states, counts
 
 
 def scan_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON as pandas reads it; the layout is found per file.
 
     * newline-delimited records -> line reader (splits across tasks);
-    * an array of records or one record (one document) -> ``multiLine`` read;
-    * a column-oriented object ``{column: {index: value}}`` -> exploded to
+    * an array of records, or records over several lines -> cut into one
+      record per line by all ranges of the file, then the line reader;
+    * a column-oriented object ``{column: {index: value}}`` -> cut into cells
       ``(file, column, index, value)``, pivoted back to one row per file and
       index, then typed by the same inference pass as CSV.
     """
-    groups = _json_groups(spark, path)
+    groups, states, counts = _json_groups(spark, path)
     parts = []
     if "lines" in groups:
         parts.append(spark.read.json(groups["lines"]))
-    if "document" in groups:
-        parts.append(spark.read.json(groups["document"], multiLine=True))
+    for layout in ("array", "objects"):
+        if layout in groups:
+            parts.append(_record_json(spark, groups[layout], states, layout))
+    if "other" in groups:
+        parts.append(spark.read.json(groups["other"], multiLine=True))
     if "columns" in groups:
-        parts.append(_columns_json(spark, groups["columns"]))
+        parts.append(_columns_json(spark, groups["columns"], states, counts))
     if not parts:
         return spark.read.json(path)
     out = parts[0]
@@ -219,18 +259,34 @@ def scan_json(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def _columns_json(spark: SparkSession, files: list[str]) -> DataFrame:
+def _record_json(spark: SparkSession, files: list[str], states: DataFrame, layout: str) -> DataFrame:
+    pieces = ranges.json_pieces(ranges.text_ranges(spark, files, ","), states.withColumn("opens", F.lit(0).cast("long")), layout)
+    records = ranges.joined_pieces(_written(pieces, "json-pieces")).where(~F.col("text").rlike(r"^[\s,]*$"))
+    # A line break between tokens is a blank; inside a JSON text none may stand.
+    folder = scratch_folder(spark, "json-records")
+    records.select(F.translate("text", "\r\n", "  ").alias("value")).write.text(folder)
+    return spark.read.json(folder)
+
+
+def _columns_json(spark: SparkSession, files: list[str], states: DataFrame, counts: DataFrame) -> DataFrame:
     """``{column: {index: value}}`` -> rows ordered by file and index, typed by inference."""
-    doc = spark.read.text(files, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    m = F.from_json("value", "map<string, map<string, string>>")
-    cells = (doc.select("file", F.explode(m).alias("column", "vals"))
-             .select("file", "column", F.explode("vals").alias("idx", "val")))
-    keys = doc.select("file", F.posexplode(F.map_keys(m)).alias("pos", "column"))
-    names = [r["column"] for r in keys.groupBy("column").agg(F.min(F.struct("file", "pos")).alias("at"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    opens = counts.select("file", "start", F.coalesce(F.sum("opens").over(before), F.lit(0)).alias("opens"))
+    pieces = ranges.json_pieces(ranges.text_ranges(spark, files, ","), states.join(opens, ["file", "start"]), "columns")
+    pieces = ranges.joined_pieces(_written(pieces, "json-cells"))
+    object_of = lambda *parts: F.from_json(F.concat(F.lit("{"), *parts, F.lit("}")), "map<string, string>")
+    # One row per column and file.
+    keys = cut_lineage(pieces.where("level = 1").select("file", F.col("column").alias("pos"), F.element_at(
+        F.map_keys(object_of("text", F.lit("0"))), 1).alias("column")).where("column IS NOT NULL")
+        .join(ranges.file_numbers(spark, files), "file"))
+    names = [r["column"] for r in keys.groupBy("column").agg(F.min(F.struct("path", "pos")).alias("at"))
              .orderBy("at").collect()]
-    wide = cells.groupBy("file", "idx").pivot("column", names).agg(F.first("val"))
+    # A cell counts the columns opened before it, its own too.
+    cells = (pieces.where("level = 2").select("file", (F.col("column") - 1).alias("pos"), F.explode(object_of("text")).alias("idx", "val"))
+             .join(F.broadcast(keys), ["file", "pos"]))
+    wide = cells.groupBy("path", "idx").pivot("column", names).agg(F.first("val"))
     # Row order follows the index (numeric when it is numeric, as pandas does).
-    wide = wide.orderBy("file", F.col("idx").try_cast("long"), "idx").drop("file", "idx")
+    wide = wide.orderBy("path", F.col("idx").try_cast("long"), "idx").drop("path", "idx")
     return _apply_inference(wide, names, _infer(wide))
 
 
