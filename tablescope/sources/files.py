@@ -196,6 +196,26 @@ def _apply_inference(df: DataFrame, cols: list[str], stats) -> DataFrame:
     return df.select(*out)
 
 
+def _object_lines(spark: SparkSession, path: str, longest: int = 1 << 20) -> tuple[list[str], list[str]]:
+    """Files that hold one JSON object per line, and the other files that hold anything.
+
+    When all lines start with ``{`` and end with ``}`` and there are several, an
+    object ends with every line, since no comma parts them.  The reader passes
+    over lines of more than ``longest`` bytes without holding them; a file's
+    size tells that it did, and such a file is not judged by its lines.
+    """
+    text = F.trim(F.translate("value", "\t\r", "  "))
+    lines = spark.read.option("lineSep", "\n").option("mapreduce.input.linerecordreader.line.maxlength", longest).text(path)
+    found = lines.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(
+        F.sum(F.octet_length("value") + 1).alias("read"), F.count_if(text != "").alias("n"),
+        F.count_if(text.startswith("{") & text.endswith("}")).alias("objects")).collect()
+    # A file whose only line was passed over has no row.
+    every = {r["file"]: None for r in ranges.file_numbers(spark, path).select(F.col("path").alias("file")).collect()}
+    every |= {r["file"]: r for r in found}
+    plain = {f for f, r in every.items() if r and r["n"] == r["objects"] > 1 and r["read"] - r["size"] in (0, 1)}
+    return sorted(plain), sorted(f for f, r in every.items() if f not in plain and (r is None or r["n"] or r["read"] < r["size"]))
+
+
 def _json_groups(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], DataFrame, DataFrame | None]:
     """Files by layout, the entry states of their byte ranges, and the counts of ranges of objects.
 
@@ -203,15 +223,15 @@ def _json_groups(spark: SparkSession, path: str) -> tuple[dict[str, list[str]],
     objects over several lines; ``columns``: one object whose values are all
     objects; ``other``: none of these.  One small row per file comes back.
     """
-    files = spark.read.text(path).inputFiles()
+    plain, files = _object_lines(spark, path)
     if not files:
-        return {}, None, None
+        return ({"lines": plain} if plain else {}), None, None
     cut = ranges.text_ranges(spark, files, ",")
     states = cut_lineage(ranges.json_entry_states(cut))
     paths = {r["file"]: r["path"] for r in ranges.file_numbers(spark, files).collect()}
     heads = {r["file"]: r["head"] for r in states.where("head IS NOT NULL").groupBy("file").agg(
         F.min_by("head", "start").alias("head")).collect()}
-    groups: dict[str, list[str]] = {}
+    groups: dict[str, list[str]] = {"lines": plain} if plain else {}
     objects = []
     for number, head in sorted(heads.items(), key=lambda x: paths[x[0]]):
         if head == "{":

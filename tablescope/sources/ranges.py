@@ -44,9 +44,9 @@ def text_ranges(spark: SparkSession, files: list[str], sep: str) -> DataFrame:
         F.col("value").cast("binary").alias("value"))
 
 
-def file_numbers(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(file, path) of the numbers that stand for files in ``text_ranges``."""
-    return spark.read.text(files).select(F.col("_metadata.file_path").alias("path")).distinct().select(
+def file_numbers(spark: SparkSession, files: str | list[str]) -> DataFrame:
+    """(file, path) of the numbers that stand for files in ``text_ranges``; the files are listed, not read."""
+    return spark.read.format("binaryFile").load(files).select(F.col("_metadata.file_path").alias("path")).select(
         F.xxhash64("path").alias("file"), "path")
 
 

@@ -74,6 +74,10 @@ def test_objects_over_lines_and_single_record(spark, tmp_path, small_ranges):
     same(spark, written(tmp_path, "one", json.dumps(values(rng), indent=1)))
     assert api.scan_json(spark, written(tmp_path, "lines", "\n".join(json.dumps(r) for r in rows) + "\n")).count() == 20
     assert api.scan_json(spark, written(tmp_path, "none", "[ ]")).count() == 0
+    # One line beyond what the first look reads, alone and among others.
+    long = json.dumps({"k": 1, "s": "x" * 1_200_000})
+    assert api.scan_json(spark, written(tmp_path, "long", long + '\n{"k": 2}\n{"k": 3}')).count() == 3
+    assert api.scan_json(spark, written(tmp_path, "alone", long)).count() == 1
 
 
 def test_column_document(spark, tmp_path, small_ranges):
