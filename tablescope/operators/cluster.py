@@ -64,8 +64,11 @@ def kmeans(df: DataFrame, features: Sequence[str] | None = None, k: int = 3, see
            keep: Sequence[str] = (), max_iter: int = 300) -> Clustering:
     """M2: k-means (k-means||, seed 42) on standard-scaled features.
 
-    The scaled rows are kept (memory and disk) while the model is fitted; the
-    result tells the iterations and whether they ended before ``max_iter``.
+    The model is fitted on the distinct scaled points, weighted by how many rows
+    each stands for: repeated rows cost one point, and the points are dealt over
+    all tasks whatever the splits of the input.  They are kept (memory and disk)
+    while the model is fitted; the result tells the iterations and whether they
+    ended before ``max_iter``.
 
     Cluster ids are renumbered by (size desc, first centre coordinate) so
     reports are stable.
@@ -77,15 +80,15 @@ def kmeans(df: DataFrame, features: Sequence[str] | None = None, k: int = 3, see
     zcols = [f"_z{i}" for i in range(len(feats))]
     scaled = clean.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *feats])],
                           *[_z(c, *st[c], types[c]).alias(z) for c, z in zip(feats, zcols)])
-    vec = VectorAssembler(inputCols=zcols, outputCol="_vec").transform(scaled).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    model = KMeans(k=k, seed=seed, featuresCol="_vec", predictionCol="_raw",
-                   maxIter=max_iter).fit(vec)
+    points = VectorAssembler(inputCols=zcols, outputCol="_vec").transform(
+        scaled.groupBy(*zcols).agg(F.count(F.lit(1)).cast("double").alias("_w"))).persist(StorageLevel.MEMORY_AND_DISK)
+    model = KMeans(k=k, seed=seed, featuresCol="_vec", predictionCol="_raw", weightCol="_w",
+                   maxIter=max_iter).fit(points)
     centers = [list(map(float, c)) for c in model.clusterCenters()]
-    pred = model.transform(vec)
-    sizes = dict(enumerate(model.summary.clusterSizes))
+    sizes = {r["_raw"]: r["n"] for r in model.transform(points).groupBy("_raw").agg(F.sum("_w").alias("n")).collect()}
     steps = model.summary.numIter
-    vec.unpersist()
+    points.unpersist()
+    pred = model.transform(VectorAssembler(inputCols=zcols, outputCol="_vec").transform(scaled))
     order = sorted(range(len(centers)), key=lambda i: (-sizes.get(i, 0), centers[i][0]))
     relabel = {old: new for new, old in enumerate(order)}
     mapping = F.create_map(*[x for o, n in relabel.items() for x in (F.lit(o), F.lit(n))])

@@ -195,27 +195,52 @@ def histogram_label(lo, hi):
             .otherwise(F.format_string("%.2f - %.2f", lo, hi)))
 
 
+def _few_values(values: DataFrame, most: int) -> tuple[list[float] | None, float | None, float | None]:
+    """The distinct values of a column when there are at most ``most``, else None; least and greatest value.
+
+    One pass: a task stops gathering beyond ``most`` values and sends one row.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def look(batches):
+        seen, low, high = set(), None, None
+        for batch in batches:
+            a = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(a):
+                continue
+            low = float(a.min()) if low is None else min(low, float(a.min()))
+            high = float(a.max()) if high is None else max(high, float(a.max()))
+            if len(seen) <= most:
+                seen.update(np.unique(a)[:most + 1].tolist())
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(seen)[:most + 1]], pa.list_(pa.float64())), pa.array([low]), pa.array([high])],
+                                             names=["seen", "low", "high"])
+
+    rows = values.mapInArrow(look, "seen array<double>, low double, high double").collect()
+    if not rows:
+        return [], None, None
+    every = set().union(*[r["seen"] for r in rows])
+    return (sorted(every) if len(every) <= most else None), min(r["low"] for r in rows), max(r["high"] for r in rows)
+
+
 def value_counts_binned(df: DataFrame, column: str, max_distinct: int = 15,
                         bins: int = 10) -> DataFrame:
     """Plain value counts if <= 15 distinct values, else pandas ``cut`` into 10
     right-closed equal-width bins (first edge lowered by 0.1 % of the range).
 
     ``(bin, lower, upper, count, label)``; for plain counts lower = upper = value.
+    Two passes: few values and range, then counts by value or bin, combined map-side.
     """
     cols = resolve_columns(df, [column])
-    lf = long_form(df, cols).where(F.col(VALUE).isNotNull())
-    dc = distinct_counts(lf)
-    ndistinct = dc.agg(F.count(F.lit(1))).collect()[0][0]
-    if ndistinct <= max_distinct:
+    lf = long_form(df, cols).where(F.col(VALUE).isNotNull()).select((F.col(VALUE) + 0.0).alias(VALUE))
+    values, mn, mx = _few_values(lf, max_distinct)
+    if values is not None:
         # At most ``max_distinct`` rows: the global window is bounded.
-        return dc.select(
+        return lf.groupBy(VALUE).agg(F.count(F.lit(1)).alias("cnt")).select(
             (F.dense_rank().over(Window.orderBy(VALUE)) - 1).cast("int").alias("bin"),
             F.col(VALUE).alias("lower"), F.col(VALUE).alias("upper"),
             F.col("cnt").alias("count"), F.col(VALUE).cast("string").alias("label"))
-    s = column_summary(df, cols, {}).collect()[0]
-    mn, mx = s["min"], s["max"]
-    if mn == mx:  # cannot happen with > 15 distinct values; kept for clarity
-        raise ValueError("constant column")
     step = (mx - mn) / bins
     adj = (mx - mn) * 0.001
     v = F.col(VALUE)
@@ -227,8 +252,7 @@ def value_counts_binned(df: DataFrame, column: str, max_distinct: int = 15,
     m0 = F.least(m0, F.lit(bins - 1))
     m = (F.when(v > edge(m0 + 1), m0 + 1)
          .when((v <= edge(m0)) & (m0 > 0), m0 - 1).otherwise(m0))
-    # Summing dc counts per bin: distinct values were already combined.
-    counted = dc.select(m.alias("bin"), "cnt").groupBy("bin").agg(F.sum("cnt").alias("count"))
+    counted = lf.groupBy(m.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spark = df.sparkSession
     all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = all_bins.join(counted, "bin", "left").select(

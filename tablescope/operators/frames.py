@@ -5,10 +5,8 @@ Scale notes
 * Per-column statistics are computed on the *long form* ``(column, v)`` so
   that one ``groupBy`` handles every column instead of one job per column.
 * Nothing here gathers a whole column into one task.  Exact order statistics
-  use distinct-value counts (a hot value collapses in the map-side combine),
-  a range partitioning (balanced by sampling) that is checkpointed to the
-  shared checkpoint folder, and per-partition offsets.  Only partitions that
-  actually contain a requested rank are re-read for the running sums.
+  come from radix selection: counts of leading bits, refined only where a
+  wanted rank lies, so nothing is sorted and only counts are shuffled.
 """
 
 from __future__ import annotations
@@ -107,46 +105,72 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], name: str =
             .drop("_pid", "_pos", "_off"))
 
 
-def _ranked_slices(long_df: DataFrame, key: str, value: str, partitions: int | None):
-    counts = distinct_counts(long_df, key, value)
-    p = _partitions(long_df, partitions)
-    ordered = cut_lineage(counts.repartitionByRange(p, key, value)
-                          .sortWithinPartitions(key, value))
-    ranked = ordered.withColumn("_pid", F.spark_partition_id())
-    totals = ranked.groupBy("_pid", key).agg(F.sum("cnt").alias("_tot"))
-    # At most (#partitions x #columns) rows; each window group is one column.
-    totals = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(
-        Window.partitionBy(key).orderBy("_pid")
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked, totals
+#: Sub-buckets into which a pass cuts the range of a bucket that holds a wanted rank.
+SPLIT = 4096
+
+
+def _leading(v: Column) -> Column:
+    """Bucket of a double by its leading bits: sign, exponent, and half of it.
+
+    Never falls as the value rises; zero has its own bucket, and values of one
+    bucket differ by less than a factor of 1.5, so equal steps part them well.
+    """
+    size = F.floor(F.least(F.log2(F.abs(v)), F.lit(1100.0)) * 2.0 + 2200.0).cast("int")
+    return F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
 
 
 def values_at_ranks(long_df: DataFrame, ranks: DataFrame, key: str = KEY,
-                    value: str = VALUE, partitions: int | None = None) -> DataFrame:
+                    value: str = VALUE) -> DataFrame:
     """Value at 0-based rank ``_r`` (ascending, nulls excluded) per key.
 
-    ``ranks`` has columns ``(key, _r)`` and must be small (a few ranks per key).
-    Returns ``(key, _r, value)``.
+    Radix selection: one pass counts the buckets of leading bits, each further
+    pass only rows in buckets that hold a wanted rank, cut by equal steps
+    between their least and greatest value, until such a bucket holds one
+    value.  Nothing is sorted, and only bucket counts are shuffled (combined
+    map-side, at most a few thousand per key, task and wanted bucket).
+
+    ``ranks`` has columns ``(key, _r)`` and must be small (a few ranks per key);
+    so is what the driver holds: one bucket per wanted rank.  Returns
+    ``(key, _r, value)``.
     """
-    ranked, totals = _ranked_slices(long_df, key, value, partitions)
-    need = (ranks.join(F.broadcast(totals), key)
-            .where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_tot")))
-            .select(key, "_r", "_pid", "_off"))
-    slices = need.select("_pid", key, "_off").distinct()
-    # Only partitions holding a requested rank are re-read; each window group
-    # is one column's share of one range partition (bounded by partition size).
-    local = (ranked.join(F.broadcast(slices), ["_pid", key])
-             .withColumn("_end", F.col("_off") + F.sum("cnt").over(
-                 Window.partitionBy("_pid", key).orderBy(value)
-                 .rowsBetween(Window.unboundedPreceding, 0))))
-    hit = local.join(F.broadcast(need.select("_pid", key, "_r")), ["_pid", key]).where(
-        (F.col("_r") >= F.col("_end") - F.col("cnt")) & (F.col("_r") < F.col("_end")))
-    return hit.select(key, "_r", value)
+    spark = long_df.sparkSession
+    kind = long_df.schema[key].dataType.simpleString()
+    wanted = [(r[0], r[1]) for r in ranks.select(key, "_r").distinct().collect()]
+    v = F.col(value) + 0.0                                   # one zero
+    rows = long_df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), v.alias("_v"))
+    found: list[tuple] = []
+    counts = rows.withColumn("_n", F.lit(0)).groupBy("_k", "_n", _leading(F.col("_v")).alias("_b"))
+    # Buckets of the last pass that hold wanted ranks: (key, number) -> [(rank, rank within)].
+    open_ranks = {}
+    for k, r in wanted:
+        open_ranks.setdefault((k, 0), []).append((r, r))
+    while open_ranks:
+        held = spark.createDataFrame([(k, n, r, at) for (k, n), rs in open_ranks.items() for r, at in rs],
+                                     f"_k {kind}, _n int, _r long, _at long")
+        upto = Window.partitionBy("_k", "_n").orderBy("_b")
+        per = (counts.agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+               .withColumn("_end", F.sum("_c").over(upto)))
+        hits = per.join(F.broadcast(held), ["_k", "_n"]).where(
+            (F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_c"))).select(
+            "_k", "_r", (F.col("_at") - F.col("_end") + F.col("_c")).alias("_at"), "_lo", "_hi").collect()
+        spans: dict[tuple, list] = {}
+        for h in hits:
+            if h["_lo"] == h["_hi"]:
+                found.append((h["_k"], h["_r"], h["_lo"]))
+            else:
+                spans.setdefault((h["_k"], h["_lo"], h["_hi"]), []).append((h["_r"], h["_at"]))
+        open_ranks = {(k, n): rs for n, ((k, _, _), rs) in enumerate(spans.items())}
+        if spans:
+            cuts = spark.createDataFrame([(k, n, lo, hi) for n, (k, lo, hi) in enumerate(spans)],
+                                         f"_k {kind}, _n int, _lo double, _hi double")
+            step = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPLIT), F.lit(SPLIT - 1))
+            counts = (rows.join(F.broadcast(cuts), "_k").where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+                      .select("_k", "_n", "_v", step.cast("int").alias("_b")).groupBy("_k", "_n", "_b"))
+    return spark.createDataFrame(found, f"`{key}` {kind}, _r long, `{value}` double")
 
 
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float], key: str = KEY,
-                    value: str = VALUE, partitions: int | None = None,
-                    counts: DataFrame | None = None) -> DataFrame:
+                    value: str = VALUE, counts: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per key -> ``(key, p, q)``.
 
     Same definition as Spark ``percentile``, DuckDB ``quantile_cont`` and
@@ -161,7 +185,7 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], key: str = KEY,
                .withColumn("_lo", F.floor("_pos").cast("long"))
                .withColumn("_hi", F.ceil("_pos").cast("long")))
     ranks = targets.select(key, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    found = values_at_ranks(long_df, ranks, key, value, partitions)
+    found = values_at_ranks(long_df, ranks, key, value)
     lo = found.select(key, F.col("_r").alias("_lo"), F.col(value).alias("_vlo"))
     hi = found.select(key, F.col("_r").alias("_hi"), F.col(value).alias("_vhi"))
     return (targets.join(lo, [key, "_lo"]).join(hi, [key, "_hi"])
