@@ -51,7 +51,7 @@ class WordHashes(dict):
     """xxh3 hash of each word, computed once per task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -663,3 +663,20 @@ def test_pipeline_stages_take_odd_rows(spark, odd, nothing):
             assert out.count() <= 2 * docs.count()
             if name == "near_duplicates":
                 assert out.where("doc_id is null").count() == docs.where("doc_id is null").count()
+
+
+def test_pipeline_stages_by_rows_not_ids(spark):
+    """Null and shared ids, and columns named like the stages' own."""
+    passage = table(spark, "benchmark").where(F.length("text") > 100).first().text
+    rng = random.Random(3)
+    clean = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(3)]
+    rows = [(None, f"x {passage} y"), (1, f"see {passage}"), (1, clean[0]), (2, clean[1]), (3, clean[1]), (2, clean[2]), (None, clean[2]), (2, clean[2]), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7, 8, 9) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _key int, _size int, _n int")
+    key = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    out = corpus_pipeline.decontaminate_stage(spark, docs, SF)
+    assert out.columns == docs.columns and key(out) == sorted([r for r in rows if r[1] is None or passage not in r[1]], key=str)
+    out = corpus_pipeline.near_duplicate_stage(spark, out, SF)
+    assert out.columns == docs.columns and key(out) == sorted([(1, clean[0]), (2, clean[1]), (2, clean[2]), (4, None)], key=str)
+    out = corpus_pipeline.mix_stage(spark, out, SF)
+    assert out.columns == docs.columns and {r._size for r in out.collect()} == {8}
