@@ -52,7 +52,7 @@ class WordEncoder:
 
     PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%*#$&|]*)")
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,8 +64,8 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.index = Numbering()  # word as bytes -> number
-        self.first: list[int] = []  # number of the word's letters, or of the word itself
-        self.second: list[int] = []  # number of its marks, maybe none
+        # Per word: number of its letters, or of the word itself; number of its marks, maybe none.
+        self.parts = np.zeros((0, 2), np.int32)
         self.pieces = Numbering()  # (plain, text) -> number
         self.pieces[True, ""]
         self.flat = np.zeros(0, np.uint16)
@@ -87,19 +87,24 @@ class WordEncoder:
         of_plain, of_rest = iter(found), iter(self._one_by_one([t for is_plain, t in pieces if not is_plain]))
         return [next(of_plain if is_plain else of_rest) for is_plain, _ in pieces]
 
+    @staticmethod
+    def _newest(numbering: dict, known: int) -> list:
+        """Keys numbered from ``known`` on, without a walk over those before."""
+        return list(itertools.islice(reversed(numbering), len(numbering) - known))[::-1]
+
     def _learn(self, fresh: list[bytes]) -> None:
+        parts = []
         for word in fresh:
             text = word.decode("utf-8", "surrogatepass")
             m = self.PLAIN.fullmatch(text)
-            self.first.append(self.pieces[(True, m[1].lower()) if m else (False, text)])
-            self.second.append(self.pieces[True, m[2]] if m else 0)
-        got = self._encoded(list(itertools.islice(self.pieces, len(self.count), None)))
+            parts.append((self.pieces[(True, m[1].lower()) if m else (False, text)], self.pieces[True, m[2]] if m else 0))
+        got = self._encoded(self._newest(self.pieces, len(self.count)))
         counts = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(itertools.chain.from_iterable(got), np.uint16, int(counts.sum()))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
         self.flat = np.concatenate([self.flat, flat])
         self.count = np.concatenate([self.count, counts])
-        self.parts = np.array([self.first, self.second], np.int32).T
+        self.parts = np.concatenate([self.parts, np.array(parts, np.int32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
@@ -109,7 +114,7 @@ class WordEncoder:
         for text in texts:
             words = text.encode("utf-8", "surrogatepass").split()
             docs.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
-        fresh = list(itertools.islice(self.index, len(self.first), None))
+        fresh = self._newest(self.index, len(self.parts))
         if fresh:
             self._learn(fresh)
         ends = np.cumsum([len(d) for d in docs], dtype=np.int64)
