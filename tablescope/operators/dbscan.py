@@ -11,9 +11,11 @@ Plan
 1. Cells of side ``eps / sqrt(d)``: two points of one cell are always within
    eps, so intra-cell neighbours are *counted*, never paired.  A cell holding
    ``>= min_samples`` points is entirely core.
-2. Neighbouring cells are found by a cell-level equi-join on a coarse key
-   (blocks of ceil(sqrt(d)) cells on up to three dimensions) plus an exact
-   cell-box distance test.
+2. Neighbouring cells are found down a trie of their coordinates: pairs of
+   three-dimensional prefixes by an equi-join on a coarse key (blocks of
+   ceil(sqrt(d)) cells), then one more dimension at a time, children of a pair
+   meeting by prefix and coarse coordinate.  Pairs whose boxes are farther
+   apart than eps in the dimensions so far go no deeper.
 3. Points of *sparse* cells (fewer than ``min_samples`` points) meet the points
    of neighbouring cells.  Against a dense cell only the number of neighbours
    per (point, cell) is kept, and the dense cell's points are dealt over salts;
@@ -21,8 +23,10 @@ Plan
 4. Two dense neighbour cells are linked when some pair of their points is
    within eps.  A linear witness stage decides most pairs: the point of each
    cell nearest to the other cell's box is tested against all points of the
-   other cell.  Only pairs without a witness hit run the exact pairwise test,
-   restricted to points within eps of the other cell's box.
+   other cell.  Pairs without a witness hit go through a dual-tree search: both
+   cells are cut into sub-boxes level by level, box pairs farther apart than
+   eps are dropped, a pair of boxes wholly within eps links its cells, and
+   points are compared only where two boxes hold few of them.
 5. Components of the cell graph by alternating stars (:mod:`graph`), a
    logarithmic number of rounds however long a cluster is.
 """
@@ -44,6 +48,9 @@ from .graph import connected_components
 from .schema import dropna_features
 
 SALT_ROWS = 4096  # points of a dense cell in one salt
+LEAF_PAIRS = 4096  # point pairs of two sub-boxes that are compared one by one
+SPLIT_BITS = 4  # halvings of a sub-box per level, over all its dimensions
+DEEPEST = 40  # halvings of one dimension; boxes as small as that are compared
 
 
 def _sqdist(a: Column, b: Column) -> Column:
@@ -66,6 +73,107 @@ def _point_box_gap2(z: Column, cell: Column, side: float) -> Column:
     return F.aggregate(F.zip_with(z, cell, gap), F.lit(0.0), lambda acc, g: acc + g * g)
 
 
+def _gap2(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+    """Squared least distance of two boxes; for two points their distance, bit for bit."""
+    gaps = F.zip_with(F.zip_with(lo1, hi2, lambda a, b: a - b), F.zip_with(lo2, hi1, lambda a, b: a - b),
+                      lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g)
+
+
+def _reach2(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+    """Squared greatest distance between points of two boxes."""
+    ends = F.zip_with(F.zip_with(hi1, lo2, lambda a, b: a - b), F.zip_with(hi2, lo1, lambda a, b: a - b),
+                      lambda a, b: F.greatest(a, b))
+    return F.aggregate(ends, F.lit(0.0), lambda acc, g: acc + g * g)
+
+
+def neighbour_cells(cells: DataFrame, dims: Sequence[int], side: float, eps: float) -> DataFrame:
+    """Ordered pairs ``(c1, n1, c2, n2)`` of different cells whose boxes lie within ``eps``.
+
+    ``cells`` has ``cell`` and ``cnt``; ``dims`` are the dimensions in which cells
+    differ.  The pairs kept at a level are those of prefixes within eps of each
+    other, so their number follows the true neighbours, not the cells that happen
+    to agree in three dimensions.
+    """
+    d = len(dims)
+    # Cells within eps differ by at most m in a dimension, so their blocks by at most 1.
+    m = math.ceil(round(eps / side, 9))
+    first = min(3, d)
+    at = lambda c, i: F.col(c)[i]
+    # A cell's path: its coordinates in the order of dims.
+    paths = cells.select("cell", "cnt", F.array(*[at("cell", i) for i in dims]).alias("path"))
+    heads = paths.select(F.slice("path", 1, first).alias("p")).distinct()
+    key = lambda off: F.array(*[F.floor(at("p", j) / m) + off[j] for j in range(first)])
+    offs = itertools.product((-1, 0, 1), repeat=first)
+    pairs = (heads.select(F.col("p").alias("p1"), F.explode(F.array(*[key(o) for o in offs])).alias("k"))
+             .join(heads.select(F.col("p").alias("p2"), key([0] * first).alias("k")), "k")
+             .where(_box_gap2(F.col("p1"), F.col("p2"), side) <= eps * eps).select("p1", "p2"))
+    for depth in range(first + 1, d + 1):
+        kids = paths.select(F.slice("path", 1, depth - 1).alias("p"), at("path", depth - 1).alias("x")).distinct()
+        block = F.floor(F.col("x") / m)
+        one = kids.select(F.col("p").alias("p1"), F.col("x").alias("x1"),
+                          F.explode(F.array(*[block + o for o in (-1, 0, 1)])).alias("k"))
+        two = kids.select(F.col("p").alias("p2"), F.col("x").alias("x2"), block.alias("k"))
+        pairs = (cut_lineage(pairs).join(one, "p1").join(two, ["p2", "k"])
+                 .select(F.concat("p1", F.array("x1")).alias("p1"), F.concat("p2", F.array("x2")).alias("p2"))
+                 .where(_box_gap2(F.col("p1"), F.col("p2"), side) <= eps * eps))
+    ends = lambda n: paths.select(F.col("path").alias(f"p{n}"), F.col("cell").alias(f"c{n}"),
+                                  F.col("cnt").alias(f"n{n}"))
+    return (pairs.where(F.col("p1") != F.col("p2")).join(ends(1), "p1").join(ends(2), "p2")
+            .select("c1", "n1", "c2", "n2"))
+
+
+def linked_cells(pairs: DataFrame, pts: DataFrame, d: int, side: float, eps: float) -> DataFrame:
+    """The pairs ``(c1, c2)`` of cells that hold two points within ``eps`` of each other.
+
+    ``pts`` has ``z`` and ``cell``, which is ``floor(z / side)``.  Sub-boxes are tight around their points, so
+    equal points are a box without extent and decided at once; comparing boxes
+    rounds as comparing points does, so the answer equals that over all pairs.
+    """
+    asked = pairs.select(F.col("c1").alias("cell")).unionByName(pairs.select(F.col("c2").alias("cell"))).distinct()
+    points = cut_lineage(pts.join(asked, "cell", "left_semi").select("cell", "z").distinct()
+                         .select(F.col("cell").alias("up"), "z", F.col("cell").alias("node")))
+    live = pairs.select("c1", "c2", F.col("c1").alias("a"), F.col("c2").alias("b"))
+    levels, done, turn = [0] * d, None, 0
+    while True:
+        # One row per sub-box; its points are counted map-side.
+        boxes = cut_lineage(points.groupBy("up", "node").agg(
+            F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.col("z")[i]) for i in range(d)]).alias("lo"),
+            F.array(*[F.max(F.col("z")[i]) for i in range(d)]).alias("hi")))
+        half = lambda parent, s: boxes.select(F.col("up").alias(parent), F.col("node").alias(f"to_{parent}"),
+                                              F.col("n").alias(f"n{s}"), F.col("lo").alias(f"lo{s}"),
+                                              F.col("hi").alias(f"hi{s}"))
+        span = [F.col(c) for c in ("lo1", "hi1", "lo2", "hi2")]
+        near = cut_lineage(live.join(half("a", 1), "a").join(half("b", 2), "b")
+                           .where(_gap2(*span) <= eps * eps)
+                           .select("c1", "c2", F.col("to_a").alias("a"), F.col("to_b").alias("b"),
+                                   (F.col("n1") * F.col("n2")).alias("work"),
+                                   (_reach2(*span) <= eps * eps).alias("all_near")))
+        found = near.where("all_near").select("c1", "c2").distinct()
+        todo = near.where(~F.col("all_near")).join(found, ["c1", "c2"], "left_anti")
+        last = all(n >= DEEPEST for n in levels)
+        few = todo if last else todo.where(F.col("work") <= LEAF_PAIRS)
+        hits = (few.join(points.select(F.col("node").alias("a"), F.col("z").alias("z1")), "a")
+                .join(points.select(F.col("node").alias("b"), F.col("z").alias("z2")), "b")
+                .where(_sqdist(F.col("z1"), F.col("z2")) <= eps * eps).select("c1", "c2"))
+        found = cut_lineage(found.unionByName(hits).distinct())
+        done = found if done is None else done.unionByName(found)
+        if last:
+            return done
+        live = cut_lineage(todo.where(F.col("work") > LEAF_PAIRS).join(found, ["c1", "c2"], "left_anti")
+                           .select("c1", "c2", "a", "b"))
+        if live.isEmpty():
+            return done
+        # The next dimensions in turn are halved, the others keep their coordinate.
+        for _ in range(SPLIT_BITS):
+            levels[turn % d] += 1
+            turn += 1
+        kept = live.select(F.col("a").alias("node")).unionByName(live.select(F.col("b").alias("node"))).distinct()
+        finer = F.array(*[F.floor(F.col("z")[i] / side * float(2 ** n)) for i, n in enumerate(levels)])
+        points = cut_lineage(points.join(kept, "node", "left_semi")
+                             .select(F.col("node").alias("up"), "z", finer.alias("node")))
+
+
 def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.5,
            min_samples: int = 5, id_cols: Sequence[str] | None = None) -> Clustering:
     """Cluster rows of ``df``; ``id_cols`` give the row order that fixes labels.
@@ -94,28 +202,12 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
     else:
         pts = with_row_index(base, order, "_rid")
     side = eps / math.sqrt(d)
-    coarse_dims = [i for i, c in enumerate(feats) if st[c][1]][:3] or [0]
-    # A coarse key groups m = ceil(sqrt(d)) fine cells per dimension; fine cells
-    # within eps differ by at most m, so their coarse keys differ by at most 1.
-    m = math.ceil(math.sqrt(d))
-    pts = pts.withColumn("cell", F.transform("z", lambda x: F.floor(x / side)))
-    pts = pts.withColumn("ck", F.array(*[F.floor(F.col("cell")[i] / m) for i in coarse_dims]))
-    pts = cut_lineage(pts)
-
-    cells = pts.groupBy("cell", "ck").agg(F.count(F.lit(1)).alias("cnt"),
-                                          F.min("_rid").alias("min_rid"))
-    cells = cut_lineage(cells)
-    offs = [list(o) for o in itertools.product((-1, 0, 1), repeat=len(coarse_dims))]
-    nbr_keys = F.explode(F.array(*[
-        F.array(*[F.col("ck")[j] + o[j] for j in range(len(coarse_dims))]) for o in offs]))
-    left = cells.select(F.col("cell").alias("c1"), F.col("cnt").alias("n1"),
-                        nbr_keys.alias("nk"))
-    right = cells.select(F.col("cell").alias("c2"), F.col("cnt").alias("n2"),
-                         F.col("ck").alias("nk"))
-    cell_pairs = (left.join(right, "nk").where(F.col("c1") != F.col("c2"))
-                  .where(_box_gap2(F.col("c1"), F.col("c2"), side) <= eps * eps)
-                  .select("c1", "n1", "c2", "n2").distinct())
-    cell_pairs = cut_lineage(cell_pairs)
+    # Dimensions in which rows differ; constant ones hold one cell coordinate.
+    dims = [i for i, c in enumerate(feats) if st[c][1]] or [0]
+    pts = cut_lineage(pts.withColumn("cell", F.transform("z", lambda x: F.floor(x / side))))
+
+    cells = cut_lineage(pts.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt")))
+    cell_pairs = cut_lineage(neighbour_cells(cells, dims, side, eps))
 
     p1 = pts.select(F.col("_rid").alias("r1"), F.col("z").alias("z1"), F.col("cell").alias("c1"))
     p2 = pts.select(F.col("_rid").alias("r2"), F.col("z").alias("z2"), F.col("cell").alias("c2"))
@@ -166,17 +258,11 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
     hit_a = (wit.join(p1, "c1").where(_sqdist(F.col("wb"), F.col("z1")) <= eps * eps)
              .select("c1", "c2"))
     linked = cut_lineage(hit_a.unionByName(hit_b).distinct())
-    # (4b) Pairs still undecided: only points within eps of the other cell's
-    # box take part in the exact pairwise test.
-    open_pairs = dense_pairs.join(linked, ["c1", "c2"], "left_anti")
-    da = (open_pairs.join(p1, "c1")
-          .where(_point_box_gap2(F.col("z1"), F.col("c2"), side) <= eps * eps))
-    db = p2.join(open_pairs, "c2").where(
-        _point_box_gap2(F.col("z2"), F.col("c1"), side) <= eps * eps)
-    e_dense = (da.join(db.select("c1", "c2", "z2"), ["c1", "c2"])
-               .where(_sqdist(F.col("z1"), F.col("z2")) <= eps * eps)
-               .select("c1", "c2").distinct().unionByName(linked)
-               .select(F.col("c1").alias("a"), F.col("c2").alias("b")))
+    # (4b) Pairs still undecided, by sub-boxes.
+    open_pairs = cut_lineage(dense_pairs.join(linked, ["c1", "c2"], "left_anti"))
+    if not open_pairs.isEmpty():
+        linked = linked.unionByName(linked_cells(open_pairs, pts, d, side, eps))
+    e_dense = linked.select(F.col("c1").alias("a"), F.col("c2").alias("b"))
     # A cell is named by its smallest core row id; a component by its smallest.
     names = cut_lineage(core_rids.groupBy("cell").agg(F.min("r").alias("name")))
     edges = (e_sparse.unionByName(e_dense).distinct()
