@@ -1,13 +1,15 @@
 """Line de-duplication with DataFrame operations only.
 
-Hashes of long lines are range-partitioned and sorted by document; a line key
-found in enough documents stays in the largest of them.  What comes back per
-document is a compressed keep bitmap, not text.
+Hashes of long lines are range-partitioned with document and position as
+secondary sort keys, and streamed in that order, largest document first: the
+first occurrence of a key found in enough documents stays.  Keys that go on
+over a range's border, at most two per range, are counted over all ranges.
+What comes back per document is a compressed keep bitmap, not text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, stored
@@ -54,6 +56,8 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Null and empty texts are one empty line and lose nothing; rows with a null
     id neither count nor lose lines.  Repeated rows of one id are one document.
+    Texts are split whole, however long; an empty table gives no rows, and other
+    columns of ``docs`` are not read, whatever their names.
     Keys are told apart by 128 hash bits.
     """
     seeded = lambda c, s: F.xxhash64(F.lit(s), c)
@@ -64,15 +68,28 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
              .withColumn("col", line_key(F.col("col"))).where(F.length("col") >= min_chars)
              .select(seeded(F.col("col"), 1).alias("h1"), seeded(F.col("col"), 2).alias("h2"),
                      "id", "text_key", F.col("pos").alias("pos")))
-    order = ["h1", "h2", "id", "pos"]
-    ranged = stored(keyed.repartitionByRange(*order).sortWithinPartitions(*order), "lines")
-    # One row per key and document first, so a line that fills the corpus is combined
-    # before it is shuffled by key.
-    # Written, so that both sides of the join below are plain reads and a hot key can be split.
-    common = stored(ranged.groupBy("h1", "h2").agg(
-        F.count_distinct("id").alias("_docs"), F.max("id").alias("_owner"))
-        .where(F.col("_docs") >= min_docs).drop("_docs"), "common-lines")
-    lost = ranged.join(common, ["h1", "h2"]).where(F.col("id") != F.col("_owner"))
+    # Hashes are written before they are ranged: the sampling of the ranges reads them, not texts.
+    # Ranges are cut by key, document and position, so a line that fills the corpus spans many.
+    keyed = stored(keyed, "line-hashes")
+    order = [F.col("h1"), F.col("h2"), F.col("id").desc(), F.col("pos")]
+    ranged = stored(keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+                    .withColumn("part", F.spark_partition_id()), "lines")
+    # One stream per range and key, largest document first: the first occurrence stays.
+    run = Window.partitionBy("part", "h1", "h2")
+    stream = run.orderBy(F.col("id").desc())
+    seen = (ranged.withColumn("_nth", F.dense_rank().over(stream))
+            .withColumn("_owner", F.first("id").over(stream))
+            .withColumn("_docs", F.max("_nth").over(run)))
+    # Only the first and the last key of a range can go on in another: at most two rows a range.
+    key = F.struct("h1", "h2")
+    ends = ranged.groupBy("part").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).select(
+        "part", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("k"))
+    crossing = ends.groupBy("k.h1", "k.h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    whole = stored(ranged.join(F.broadcast(crossing), ["h1", "h2"]).groupBy("h1", "h2", "id").agg(F.lit(1))
+                   .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_all_docs"), F.max("id").alias("_all_owner")),
+                   "border-lines")
+    lost = seen.join(F.broadcast(whole), ["h1", "h2"], "left").where(
+        (F.coalesce("_all_docs", "_docs") >= min_docs) & (F.col("id") != F.coalesce("_all_owner", "_owner")))
     return (lost.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("_lost"))
             .select("id", "text_key", _word_of(F.col("_lost")).alias("keep")))
 

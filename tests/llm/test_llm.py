@@ -680,3 +680,25 @@ def test_pipeline_stages_by_rows_not_ids(spark):
     assert out.columns == docs.columns and key(out) == sorted([(1, clean[0]), (2, clean[1]), (2, clean[2]), (4, None)], key=str)
     out = corpus_pipeline.mix_stage(spark, out, SF)
     assert out.columns == docs.columns and {r._size for r in out.collect()} == {8}
+
+
+def test_lines_that_cross_ranges(spark):
+    """A line of most documents and many rarer ones, over ranges that cut their keys."""
+    hot, texts = "the same long line stands in nearly every one of these documents", {}
+    for i in range(240):
+        lines = [f"line number {j} is shared by the documents whose ids it divides evenly" for j in range(2, 60) if i % j == 0]
+        twice = ["a line that stands twice in each of only four documents"] * 2 if i % 60 == 0 else []
+        texts[i] = "\n".join(([hot] * (1 + i % 3) if i % 7 else []) + lines + twice + [f"own {i}"])
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    holders = {}
+    for i, t in texts.items():
+        for line in t.split("\n"):
+            holders.setdefault(line, set()).add(i)
+    want = {i: [x for x in t.split("\n") if len(x) < 40 or len(holders[x]) < 5 or max(holders[x]) == i] for i, t in texts.items()}
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        got = {r.id: list(r.kept) for r in linededup.dedup_lines(docs).collect()}
+    finally:
+        spark.conf.unset(setting)
+    assert got == want
