@@ -485,6 +485,11 @@ def q_ts_trend_forecast(spark, sf):
                   2)
 
 
+def q_ts_seasonal_forecast(spark, sf):
+    return _round(api.ts_seasonal_forecast(_t(spark, sf, "orders"), "o_orderdate", "o_totalprice",
+                                           ["o_orderpriority"]), 2)
+
+
 def q_revenue_growth(spark, sf):
     return _round(api.revenue_growth(_t(spark, sf, "orders"), "o_orderdate", "o_totalprice"),
                   overrides={"revenue": 2})
@@ -937,6 +942,29 @@ def _oracles() -> dict[str, str]:
         "SELECT CAST(s.step AS INTEGER) AS step, last_period + to_months(CAST(s.step AS INTEGER)) "
         "AS period, round(intercept + slope * (last_t + s.step), 2) AS forecast "
         "FROM f, (SELECT range AS step FROM range(1, 4)) s")
+    o["ts_seasonal_forecast"] = (
+        "WITH RECURSIVE p AS (SELECT o_orderpriority AS k, date_trunc('month', o_orderdate) AS "
+        "period, sum(o_totalprice) AS y FROM orders GROUP BY 1, 2), "
+        "c AS (SELECT k, unnest(generate_series(min(period)::TIMESTAMP, max(period)::TIMESTAMP, "
+        "INTERVAL 1 MONTH)) AS period FROM p GROUP BY k), "
+        "s AS (SELECT c.k, c.period, p.y, row_number() OVER (PARTITION BY c.k ORDER BY c.period) "
+        "AS t FROM c LEFT JOIN p ON p.k = c.k AND p.period = c.period), "
+        "i AS (SELECT k, avg(y) FILTER (t <= 12) AS m1, avg(y) FILTER (t BETWEEN 13 AND 24) AS m2, "
+        "avg(y) AS m, max(period) AS hi FROM s GROUP BY k), "
+        "h AS (SELECT s.k, list(coalesce(s.y - coalesce(i.m1, i.m), 0) ORDER BY s.t) AS terms "
+        "FROM s JOIN i ON i.k = s.k WHERE s.t <= 12 GROUP BY s.k), "
+        "r AS (SELECT i.k, CAST(12 AS BIGINT) AS t, coalesce(m1, m) AS level, "
+        "coalesce((m2 - m1) / 12, 0) AS trend, h.terms FROM i JOIN h ON h.k = i.k UNION ALL "
+        "SELECT k, t, lv, CASE WHEN y IS NULL THEN trend ELSE 0.1 * (lv - level) + 0.9 * trend END, "
+        "list_append(terms[2:12], CASE WHEN y IS NULL THEN terms[1] ELSE 0.2 * (y - lv) + "
+        "0.8 * terms[1] END) FROM (SELECT r.k, s.t, s.y, r.level, r.trend, r.terms, "
+        "CASE WHEN s.y IS NULL THEN r.level + r.trend ELSE 0.3 * (s.y - r.terms[1]) + "
+        "0.7 * (r.level + r.trend) END AS lv FROM r JOIN s ON s.k = r.k AND s.t = r.t + 1)) "
+        "SELECT i.k AS o_orderpriority, CAST(g.step AS INTEGER) AS step, "
+        "i.hi + to_months(CAST(g.step AS INTEGER)) AS period, "
+        "round(r.level + g.step * r.trend + r.terms[g.step], 2) AS forecast FROM r "
+        "JOIN (SELECT k, max(t) AS t FROM r GROUP BY k) z ON z.k = r.k AND z.t = r.t "
+        "JOIN i ON i.k = r.k, (SELECT range AS step FROM range(1, 7)) g")
     o["revenue_growth"] = (
         f"WITH {per} SELECT period, round(total, 2) AS revenue, round(CASE WHEN lag(total) OVER "
         "(ORDER BY period) <> 0 THEN (total - lag(total) OVER (ORDER BY period)) / "

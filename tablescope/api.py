@@ -26,7 +26,8 @@ from .operators.cluster import (cluster_insights, cluster_sizes, clustering_repo
 from .operators.dbscan import dbscan  # noqa: F401
 from .operators.extras import (avg_transaction, classification, clean_table,  # noqa: F401
                                linear_fit, regression, retention, revenue_growth, top_segments,
-                               ts_moving_avg, ts_periodic, ts_trend_forecast, year_over_year)
+                               ts_moving_avg, ts_periodic, ts_seasonal_forecast, ts_trend_forecast,
+                               year_over_year)
 from .plans.analyze import analyze, column_charts, run_analysis, statistical, table_context  # noqa: F401
 from .plans.sql import run_sql  # noqa: F401
 from .session import cut_lineage, get_spark, scratch_folder  # noqa: F401

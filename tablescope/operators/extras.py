@@ -153,6 +153,71 @@ def ts_trend_forecast(df: DataFrame, ts: str, value: str, period: str = "month",
                 .alias("forecast"))
 
 
+def _mean(values: Column) -> Column:
+    """Mean of an array's non-null values, NULL if there is none."""
+    known = F.filter(values, lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(F.size(known) > 0, total / F.size(known))
+
+
+def ts_seasonal_forecast(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (),
+                         period: str = "month", season: int = 12, horizon: int = 6,
+                         alpha: float = 0.3, beta: float = 0.1, gamma: float = 0.2) -> DataFrame:
+    """Additive seasonal smoothing of period totals per key: ``(*keys, step, period, forecast)``.
+
+    Level, trend and one seasonal term per position start from the first two
+    seasons and follow the recurrence over all later periods of the key's
+    calendar.  A period without a total moves the level by the trend and
+    changes nothing else.  A key with fewer than two seasons starts at its mean
+    with no trend and no seasonal terms.  Rows without a timestamp belong to no
+    period; a key without any total has NULL forecasts.  Rows are summed per key
+    and period before anything is gathered, so an array holds one number per
+    calendar period however many rows a key has.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    v = clean_value(value, {f.name: f.dataType for f in df.schema.fields}[value])
+    per = (df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)],
+                     _period(df, ts, period).alias("_p"), v.cast("double").alias("_v"))
+           .where(F.col("_p").isNotNull()).groupBy(*names, "_p").agg(F.sum("_v").alias("_y")))
+    every = F.expr(f"sequence(min(_p), max(_p), interval {STEPS[period]})")
+    blank = per.groupBy(*names).agg(every.alias("_every")).select(
+        *names, F.explode("_every").alias("_p"), F.lit(None).cast("double").alias("_y"))
+    total = per.unionByName(blank).groupBy(*names, "_p").agg(F.max("_y").alias("_y"))
+    series = total.groupBy(*names).agg(
+        F.sort_array(F.collect_list(F.struct("_p", "_y")))["_y"].alias("_all"), F.max("_p").alias("_hi")
+    ).where(F.col("_hi").isNotNull())
+    ys, n = F.col("_all"), F.size("_all")
+    first, second = _mean(F.slice(ys, 1, season)), _mean(F.slice(ys, season + 1, season))
+    whole = n >= 2 * season
+    base = F.coalesce(F.when(whole, first), _mean(ys))
+    none = F.array_repeat(F.lit(0.0), season)
+    terms = F.when(whole, F.transform(F.slice(ys, 1, season), lambda y: F.coalesce(y - base, F.lit(0.0))))
+    start = F.struct(base.alias("level"),
+                     F.coalesce(F.when(whole, (second - first) / season), F.lit(0.0)).alias("trend"),
+                     F.coalesce(terms, none).alias("terms"))
+    weight = F.when(whole, F.lit(gamma)).otherwise(F.lit(0.0))
+
+    def move(state: Column, y: Column) -> Column:
+        # The next period's seasonal term comes first; its new value goes to the end.
+        term, ahead = state["terms"][0], state["level"] + state["trend"]
+        level = F.coalesce(alpha * (y - term) + (1 - alpha) * ahead, ahead)
+        trend = F.when(y.isNull(), state["trend"]).otherwise(
+            beta * (level - state["level"]) + (1 - beta) * state["trend"])
+        fresh = F.coalesce(weight * (y - level) + (1 - weight) * term, term)
+        return F.struct(level.alias("level"), trend.alias("trend"),
+                        F.concat(F.slice(state["terms"], 2, season - 1), F.array(fresh)).alias("terms"))
+
+    rest = F.when(whole, F.slice(ys, season + 1, F.greatest(n - season, F.lit(1)))).otherwise(ys)
+    fitted = series.select(*names, "_hi", F.aggregate(rest, start, move).alias("_s"))
+    unit = {"month": "MONTH", "year": "YEAR", "week": "WEEK", "day": "DAY", "quarter": "QUARTER"}[period]
+    ahead = fitted.select(*names, "_hi", "_s", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    return ahead.select(
+        *[F.col(c).alias(k) for k, c in zip(keys, names)], "step",
+        F.expr(f"timestampadd({unit}, step, _hi)").alias("period"),
+        (F.col("_s.level") + F.col("step") * F.col("_s.trend")
+         + F.element_at("_s.terms", F.pmod(F.col("step") - 1, F.lit(season)) + 1)).alias("forecast"))
+
+
 def revenue_growth(df: DataFrame, ts: str, value: str, period: str = "month") -> DataFrame:
     """Revenue per period and growth rate (%) against the calendar period before."""
     per = _calendar(ts_periodic(df, ts, value, period), period)
