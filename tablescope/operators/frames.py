@@ -105,6 +105,65 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], name: str =
             .drop("_pid", "_pos", "_off"))
 
 
+#: Buckets between sampled splitters, as FAN groups of FAN; keys sampled per round; rows sorted at once.
+FAN = 32
+SAMPLED_KEYS = 16 * FAN * FAN
+SORTED_ROWS = 1_000_000
+
+
+def _bucket(key: Column, groups: Column) -> Column:
+    """Number of splitters not above ``key``: first among the groups' heads, then in one group."""
+    group = F.size(F.filter(groups, lambda g: g[0] <= key))
+    inside = F.size(F.filter(F.try_element_at(groups, group), lambda x: x <= key))
+    return F.when(group == 0, 0).otherwise((group - 1) * FAN + inside)
+
+
+def rows_at_steps(df: DataFrame, order_by: Sequence[str], step: int, m: int, n: int,
+                  name: str = "idx") -> DataFrame:
+    """Rows at positions 0, step, 2 * step, ... (first ``m``) of ``n`` rows in ``order_by`` order.
+
+    Multi-rank selection: splitters from a bounded sample of keys cut the order
+    into buckets, one pass counts them, and only buckets that hold a wanted
+    position stay; again until few rows are left, which alone are sorted.  The
+    sample decides only where buckets end, never which rows come back.  As for
+    :func:`with_row_index` the order must be total; rows of equal keys share a
+    bucket and take its positions in any order.
+    """
+    key = F.struct(*[F.col(f"`{c}`") for c in order_by])
+    # A bucket is named by the position of its first row.
+    kept, left = df.withColumn("_at", F.lit(0).cast("long")), n
+    while left > SORTED_ROWS:
+        sample = kept.sample(min(1.0, SAMPLED_KEYS / left), seed=7).agg(F.sort_array(F.collect_list(key)).alias("_s"))
+        cut = F.transform(F.sequence(F.lit(1), F.lit(FAN * FAN - 1)), lambda i: F.element_at(
+            "_s", F.floor(i * F.size("_s") / (FAN * FAN)).cast("int") + 1))
+        # One row: the splitters, the same for the counting and the choosing pass.
+        splitters = cut_lineage(sample.where(F.size("_s") > 0).select(cut.alias("_c")).select(F.transform(
+            F.sequence(F.lit(0), F.lit(FAN - 1)), lambda g: F.slice("_c", g * FAN + 1, FAN)).alias("_groups")))
+        marked = kept.join(F.broadcast(splitters), how="left").withColumn(
+            "_b", F.coalesce(_bucket(key, F.col("_groups")), F.lit(0))).drop("_groups")
+        # At most FAN * FAN buckets in each of the at most m kept ones.
+        counts = cut_lineage(marked.groupBy("_at", "_b").agg(F.count(F.lit(1)).alias("_n")))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy("_at").orderBy("_b").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.withColumn("_to", F.col("_at") + before)
+        wanted = F.ceil(F.col("_to") / step) * step
+        chosen = cut_lineage(placed.where((wanted < F.col("_to") + F.col("_n")) & (wanted < step * m))
+                             .select("_at", "_b", "_n", "_to"))
+        now = chosen.agg(F.sum("_n")).first()[0]
+        kept = (marked.join(F.broadcast(chosen.drop("_n")), ["_at", "_b"])
+                .drop("_at", "_b").withColumnRenamed("_to", "_at"))
+        stuck, left = now > left // 2, now
+        if stuck:
+            break
+    # Kept buckets follow each other in key order, so a bucket's rows are one run of positions.
+    sorted_rows = with_row_index(kept, order_by, "_pos_kept")
+    firsts = sorted_rows.groupBy("_at").agg(F.min("_pos_kept").alias("_first"))
+    position = F.col("_at") + F.col("_pos_kept") - F.col("_first")
+    return (sorted_rows.join(F.broadcast(firsts), "_at").withColumn(name, position)
+            .where((F.col(name) % step == 0) & (F.col(name) < step * m))
+            .drop("_at", "_pos_kept", "_first"))
+
+
 #: Sub-buckets into which a pass cuts the range of a bucket that holds a wanted rank.
 SPLIT = 4096
 

@@ -1,8 +1,8 @@
 """Preview, top-N, systematic sample and the keyword question rules.
 
 Top-N and preview are ``TakeOrderedAndProject`` (bounded per task).  The
-systematic sample needs a global row position, computed by the checkpointed
-range-partitioned index of :func:`frames.with_row_index`.
+systematic sample selects its ranks by :func:`frames.rows_at_steps`, which sorts
+only the buckets that hold one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import clean_value
-from .frames import numeric_columns, with_row_index
+from .frames import numeric_columns, rows_at_steps, with_row_index
 from .stats import question_stats
 
 
@@ -55,12 +55,9 @@ def systematic_samples(df: DataFrame, columns: Sequence[str], order_by: Sequence
     keep = [F.col(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(columns)]
     keep += [F.col(f"`{label_col}`").cast("string").alias("_label")] if label_col else []
     order = _cols(order_by)
-    indexed = with_row_index(df.select(*keep, *[c.alias(f"_o{i}") for i, c in enumerate(order)]),
-                             [f"_o{i}" for i in range(len(order))], "idx")
-    n = df.count()
-    step = max(n // m, 1)
-    picked = indexed if n <= m else indexed.where(
-        (F.col("idx") % step == 0) & (F.col("idx") < step * m))
+    rows = df.select(*keep, *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    names, n = [f"_o{i}" for i in range(len(order))], df.count()
+    picked = with_row_index(rows, names, "idx") if n <= m else rows_at_steps(rows, names, n // m, m, n)
     values = F.explode(F.array(*[F.struct(
         F.lit(c).alias("column_name"), F.coalesce(clean_value(f"_v{i}", types[c]).cast("double")).alias("value"))
         for i, c in enumerate(columns)])).alias("_s")
