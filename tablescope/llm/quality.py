@@ -96,7 +96,11 @@ class QualityModel:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
-    """``docs`` with an array column of the statistics of every whole text."""
+    """``docs`` with an array column of the statistics of every whole text, however long.
+
+    One row comes back per row, repeated ones too; none for an empty table.  A
+    column of that ``name`` in the input is replaced.
+    """
     def measure(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([statistics(t) for t in texts], index=texts.index, dtype=object)
@@ -186,8 +190,16 @@ def score_statistics(measured: DataFrame, model: QualityModel, stats: str = "sta
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a ``score`` column in 0..1; null and empty texts get a score too."""
-    return score_statistics(with_statistics(docs, text_col, "_stats"), model, "_stats", score).drop("_stats")
+    """``docs`` with a ``score`` column in 0..1; null, empty and very long texts get a score too.
+
+    Equal texts score equally; every row, repeated ones too, comes back once, and
+    none of an empty table.  An input column named as ``score`` is replaced; all
+    others are kept as they are.
+    """
+    stats = "_stats"
+    while stats in docs.columns or stats == score:
+        stats += "_"
+    return score_statistics(with_statistics(docs, text_col, stats), model, stats, score).drop(stats)
 
 
 def fold(id_col: Column, n: int) -> Column:

@@ -540,6 +540,42 @@ def test_quality(spark, odd, nothing):
         assert len({round(r.score, 2) for r in quality.score_quality(odd, blank).collect()}) == 1
 
 
+def pooled(y):
+    """Non-decreasing least-squares fit by pooling adjacent violators."""
+    blocks = []
+    for v in y:
+        blocks.append([v, 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            (a, m), (b, n) = blocks[-2:]
+            blocks[-2:] = [[(a * m + b * n) / (m + n), m + n]]
+    return np.array([v for v, n in blocks for _ in range(n)])
+
+
+def test_quality_model_equals_plain_least_squares(spark):
+    docs = table(spark, "documents", "/root/testdata/sf0.01").select("doc_id", "text")
+    rows = (docs.join(table(spark, "labels", "/root/testdata/sf0.01"), "doc_id").where(F.col("quality").isNotNull())
+            .select("doc_id", "text", "quality", (F.pmod(F.xxhash64(F.xxhash64("doc_id", F.lit(7))), F.lit(3)) == 0).alias("steps")))
+    frame = rows.toPandas()
+    model = quality.fit_quality(quality.with_statistics(rows, "text"), "quality")
+    x, y, steps = np.array([quality.statistics(t) for t in frame["text"]]), frame["quality"].to_numpy(float), frame["steps"].to_numpy()
+    scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
+    z = np.clip((x - x.mean(axis=0)) / scale, -6, 6)
+    rng = np.random.default_rng(7)
+    omega, phase = rng.normal(0, 1 / 6, (x.shape[1], 256)), rng.uniform(0, 2 * math.pi, 256)
+    a = np.hstack([np.sqrt(2 / 256) * np.cos(z @ omega + phase), z, np.ones((len(z), 1))])
+    # Ridge as least squares over added rows, not by normal equations.
+    penalty = np.sqrt(1e-3 * (~steps).sum() * np.array([1.0] * 256 + [0.01] * x.shape[1] + [1e-9]))
+    w = np.linalg.lstsq(np.vstack([a[~steps], np.diag(penalty)]), np.r_[y[~steps], np.zeros(len(penalty))], rcond=None)[0]
+    raw = a @ w
+    assert np.abs(model.raw(x) - raw).max() < 1e-5
+    order = np.argsort(raw[steps])
+    level = np.interp(raw, raw[steps][order], pooled(y[steps][order]))
+    want = np.clip(0.998 * level + 0.002 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1)
+    clash = rows.withColumns({"_stats": F.lit(3), "score": F.lit("x")})
+    got = quality.score_quality(clash, model).toPandas().set_index("doc_id").loc[frame["doc_id"]]
+    assert (got["_stats"] == 3).all() and np.mean(np.abs(got["score"].to_numpy() - want) < 1e-3) > 0.995
+
+
 # -- lines
 
 def brute_lines(rows, min_chars=40, min_docs=5):
