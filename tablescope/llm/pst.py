@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +30,17 @@ CHUNK_SCHEMA = ("chunk long, doc_ids array<bigint>, held array<boolean>, n_words
                 "vocab array<binary>, train array<bigint>")
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    """Word numbers as four byte planes; the frequent words come first, so the high planes are near empty."""
+def _packed(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as byte planes; where they are small or sorted, the high planes are near empty."""
     import zstandard
-    return zstandard.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    planes = values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
+def _unpacked(packed: bytes, kind: str = "<u4") -> np.ndarray:
     import zstandard
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _chunks(chunk_words: int):
@@ -98,112 +98,102 @@ def _stream(ids: np.ndarray, n_words: np.ndarray, of_word: np.ndarray, depth: in
     return stream, word
 
 
-@dataclass
-class SuffixTree:
-    """States with log10 next-symbol probabilities; ``child`` walks back through the context."""
-
-    child: np.ndarray  # node 0 is the root, the last node is dead
-    log_prob: np.ndarray
-    depth: int
-
-    def score(self, stream: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after the first ``depth``, given what precedes it."""
-        n, width = len(stream) - self.depth, self.child.shape[1]
-        dead = len(self.child) - 1
-        node, state = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for d in range(1, self.depth + 1):
-            node = self.child.ravel()[node * width + stream[self.depth - d:self.depth - d + n]].astype(np.int64)
-            state = np.where(node != dead, node, state)
-        return self.log_prob.ravel()[state * width + stream[self.depth:]].astype(float)
-
-
-def build_tree(counts: dict[tuple[int, ...], np.ndarray], n_symbols: int, depth: int,
-               min_divergence: float, weight: float) -> SuffixTree:
-    """Tree from the next-symbol counts of the frequent contexts (oldest symbol first).
-
-    A context is a state if the divergence of its next symbols from those of
-    its longest suffix that is a state reaches ``min_divergence`` nats; the
-    suffixes of a state are states too.  Distributions are smoothed towards
-    the suffix's with ``weight`` symbols' worth, the root's towards a uniform one.
-    """
-    root = counts.get((), np.zeros(n_symbols))
-    probs = {(): (root + 0.5) / (root.sum() + 0.5 * n_symbols)}
-    kept: set[tuple[int, ...]] = {()}
-    for ctx in sorted(counts, key=lambda c: (len(c), c)):
-        if not ctx:
-            continue
-        c = counts[ctx]
-        parent = next(probs[ctx[i:]] for i in range(1, len(ctx) + 1) if ctx[i:] in probs)
-        seen = c > 0
-        if float((c[seen] / c.sum() * np.log(c[seen] / c.sum() / parent[seen])).sum()) >= min_divergence:
-            probs[ctx] = (c + weight * parent) / (c.sum() + weight)
-            kept |= {ctx[i:] for i in range(len(ctx))}
-    nodes = {s: i for i, s in enumerate(sorted(kept, key=lambda c: (len(c), c)))}
-    child = np.full((len(nodes) + 1, n_symbols), len(nodes), np.int32)
-    log_prob = np.zeros((len(nodes) + 1, n_symbols), np.float32)
-    for ctx, i in nodes.items():
-        if ctx:
-            child[nodes[ctx[1:]], ctx[0]] = i
-        log_prob[i] = np.log10(next(probs[ctx[j:]] for j in range(len(ctx) + 1) if ctx[j:] in probs))
-    return SuffixTree(child, log_prob, depth)
-
-
 def _numbered(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values, where each first occurs, and each value's number."""
     found, first, number = np.unique(c, return_index=True, return_inverse=True)
     return found, first, number
 
 
-class Level:
-    """One level of a chunk's contexts: which positions have one, and their grams' numbers in the chunk."""
+READY_SCHEMA = "chunk long, doc_ids array<bigint>, held array<boolean>, n_words array<int>, ids binary, symbols binary, counts binary"
 
-    def __init__(self, at: np.ndarray, context: np.ndarray, stream: np.ndarray, depth: int):
-        self.at, width = at, int(stream.max(initial=0)) + 1
-        _, self.first, self.number = _numbered(context * width + stream[depth + at])
 
+def _ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with the symbol and the training count of each of their words in place of the words."""
+    for row in _rows(batches):
+        size = row["size"].as_py()
+        symbol, count = np.full(size, RARE, np.int64), np.zeros(size, np.int64)
+        if row["pos"].is_valid:
+            count[row["pos"].values.to_numpy()] = row["c"].values.to_numpy()
+            symbol[row["spos"].values.to_numpy()] = row["symbol"].values.to_numpy()
+        names = ["chunk", "doc_ids", "held", "n_words", "ids"]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([row[c].as_py()], row[c].type) for c in names), pa.array([_packed(symbol)]),
+             pa.array([_packed(count, "<u8")])], names=[*names, "symbols", "counts"])
 
-def _walk(row: dict, levels: list[str], depth: int, min_count: int, root: np.ndarray | None = None):
-    """Positions of a chunk level by level, as far as ``levels`` give global counts and probabilities.
 
-    Returns the stream, the base probability of each position, its context's
-    count, and the next level's grams.  A position stays in the walk while its
-    context occurs ``min_count`` times in the training texts; a context is a
-    gram of the level before, one position earlier, and reaches back over no end.
+class Level:
+    """A chunk's grams of one level: a context of ``d`` symbols and the symbol after it.
+
+    Grams are dealt over buckets by hash.  Within a bucket they are in ascending
+    order, so that counts sent for a bucket need not name their grams.
     """
-    n_words = row["n_words"].values.to_numpy().astype(np.int64)
-    vocab_symbol, vocab_prob, vocab_count = (np.zeros(len(row["vocab"].values), k) for k in (np.int64, float, np.int64))
-    vocab_symbol[:] = RARE
-    vocab_prob[:] = root[2]
-    vocab_count[:] = root[3]
-    if row["spos"].is_valid:
-        pos = row["spos"].values.to_numpy()
-        vocab_symbol[pos] = row["symbol"].values.to_numpy()
-        vocab_count[pos] = row["scount"].values.to_numpy()
-        vocab_prob[pos] = (vocab_count[pos] + 0.5) / root[4]
-    ids = _unpacked(row["ids"].as_py())
-    stream, word = _stream(ids, n_words, vocab_symbol, depth)
-    n = len(stream) - depth
-    prob, count = np.full(n, root[0]), np.full(n, root[1], np.int64)
-    prob[word], count[word] = vocab_prob[ids], vocab_count[ids]
-    # The context of one symbol: what comes before, an end at first.
-    before = np.concatenate([[int(root[1])], count[:-1]])
-    live = np.flatnonzero(before >= min_count)
-    context, total = stream[depth - 1 + live], before[live]
-    for name in levels:
-        level = Level(live, context, stream, depth)
-        c, q = np.zeros(len(level.first), np.int64), np.zeros(len(level.first))
-        if row[name].is_valid:
-            found = row[name].values.flatten()
-            c[found[0].to_numpy()], q[found[0].to_numpy()] = found[1].to_numpy(), found[2].to_numpy()
-        prob[live] = q[level.number]
-        gram, times = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        gram[live], times[live] = level.number, c[level.number]
-        follows = live[(times[live] >= min_count) & (stream[depth + live] != END)] + 1
-        live, context, total = follows, gram[follows - 1], times[follows - 1]
-    return stream, word, prob, live, context, total
-
-
-CHUNK_COLUMNS = ["chunk", "doc_ids", "held", "n_words", "ids", "vocab", "spos", "symbol", "scount"]
+
+    def __init__(self, d: int, depth: int, live: np.ndarray, context: np.ndarray, stream: np.ndarray,
+                 learns: np.ndarray, n_buckets: int):
+        width = int(stream.max(initial=0)) + 1
+        _, self.first, self.number = _numbered(context * width + stream[depth + live])
+        _, self.context_first, self.context = _numbered(context)
+        first = live[self.first]
+        self.keys = np.stack([stream[depth - d + j + first] for j in range(d + 1)])
+        self.times = np.bincount(self.number, learns[live], len(self.first)).astype(np.int64)
+        h = np.zeros(len(first), np.uint64)
+        for symbols in self.keys:
+            h = (h ^ symbols.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        bucket = (h % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, starts = np.unique(bucket[order], return_index=True)
+        self.parts = dict(zip(found.tolist(), np.split(order, starts[1:]))) if len(found) else {}
+
+    def counts(self, answers: pa.ListScalar) -> np.ndarray:
+        """Training counts over all chunks; an answer tells what the others add to a bucket's grams."""
+        c = self.times.copy()
+        if answers.is_valid:
+            buckets, more = answers.values.flatten()
+            for bucket, added in zip(buckets.to_pylist(), more.to_pylist()):
+                c[self.parts[bucket]] += _unpacked(added, "<i8")
+        return c
+
+
+class Walk:
+    """The positions of a chunk, taken level by level as far as there are answers.
+
+    ``prob`` is the probability of each position after the longest state so far.
+    A position stays in the walk while its context occurs ``min_count`` times in
+    the training texts; a context is a gram of the level before, one position
+    earlier, and reaches back over no end.
+    """
+
+    def __init__(self, row: dict, depth: int, min_count: int, weight: float, root: np.ndarray, n_buckets: int, levels: int):
+        self.n_words = row["n_words"].values.to_numpy().astype(np.int64)
+        self.symbol, self.known = _unpacked(row["symbols"].as_py()).astype(np.int64), _unpacked(row["counts"].as_py(), "<i8")
+        self.ids = _unpacked(row["ids"].as_py())
+        is_rare = self.symbol == RARE
+        self.stream, self.word = _stream(self.ids, self.n_words, self.symbol, depth)
+        self.learns = np.repeat(~row["held"].values.to_numpy(zero_copy_only=False), self.n_words + 1)
+        n = len(self.stream) - depth
+        self.prob, count = np.full(n, root[0]), np.full(n, root[1], np.int64)
+        self.prob[self.word] = np.where(is_rare, root[2], (self.known + 0.5) / root[4])[self.ids]
+        count[self.word] = np.where(is_rare, int(root[3]), self.known)[self.ids]
+        # The context of one symbol: what comes before, an end at first.
+        before = np.concatenate([[int(root[1])], count[:-1]])
+        self.live = np.flatnonzero(before >= min_count)
+        context, self.total = self.stream[depth - 1 + self.live], before[self.live]
+        for d in range(1, levels + 2):
+            level = self.level = Level(d, depth, self.live, context, self.stream, self.learns, n_buckets) if d <= depth else None
+            if d > levels:
+                break
+            c = level.counts(row[f"level{d}"])[level.number]
+            state = np.zeros(len(level.context_first), bool)
+            if row[f"state{d}"].is_valid:
+                state[row[f"state{d}"].values.to_numpy()] = True
+            parent = self.prob[self.live]
+            self.prob[self.live] = np.where(state[level.context], (c + weight * parent) / (self.total + weight), parent)
+            gram, times = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+            gram[self.live], times[self.live] = level.number, c
+            goes_on = (c >= min_count) & (self.stream[depth + self.live] != END)
+            self.live = self.live[goes_on] + 1
+            context, self.total = gram[self.live - 1], times[self.live - 1]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -212,54 +202,92 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i] for name in batch.schema.names}
 
 
-def _grams(levels: list[str], depth: int, min_count: int, root: np.ndarray):
-    """(chunk, number, gram, c, parent, total) of a chunk's distinct grams of the next level.
+def _binary(symbols: np.ndarray) -> pa.Array:
+    """One value per column of ``symbols``: four bytes each, oldest first."""
+    d, m = symbols.shape
+    return pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * 4 * d).astype(np.int32).tobytes()),
+                                                  pa.py_buffer(np.ascontiguousarray(symbols.T.astype(">u4")).tobytes())])
 
-    A gram is its symbols as four bytes each, oldest first, the predicted one
-    last; ``parent`` is its probability after the suffix of its context.
-    """
-    d = len(levels) + 1
 
+GRAMS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("c", pa.binary()),
+                   ("context", pa.binary()), ("number", pa.int32()), ("logs", pa.float64()), ("total", pa.int64())])
+COUNTED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("more", pa.binary()), ("context", pa.binary()),
+                     ("part", pa.float64())])
+
+
+def _batch(schema: pa.Schema, size: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in schema], schema=schema)
+
+
+def _grams(d: int, *settings):
+    """A chunk's next level: a row per bucket with its grams and their counts, and a row per
+    context with the sum of its grams' log probabilities after its suffix, and its count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            stream, _, prob, live, context, total = _walk(row, levels, depth, min_count, root)
-            level = Level(live, context, stream, depth)
-            learns = np.repeat(~np.array(row["held"].as_py(), bool), row["n_words"].values.to_numpy().astype(np.int64) + 1)
-            times = np.bincount(level.number, learns[live], len(level.first)).astype(np.int64)
-            first = live[level.first]
-            symbols = np.stack([stream[depth - d + j + first] for j in range(d + 1)], axis=1).astype(">u4")
-            for low in range(0, len(first), 1 << 16):
-                part = slice(low, low + (1 << 16))
-                m = len(first[part])
-                gram = pa.Array.from_buffers(pa.binary(), m, [
-                    None, pa.py_buffer((np.arange(m + 1) * 4 * (d + 1)).astype(np.int32).tobytes()),
-                    pa.py_buffer(symbols[part].tobytes())])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(m, row["chunk"].as_py(), np.int64)), pa.array(np.arange(low, low + m)), gram,
-                    pa.array(times[part]), pa.array(prob[first[part]]), pa.array(total[level.first[part]])],
-                    names=["chunk", "number", "gram", "c", "parent", "total"])
+            walk = Walk(row, *settings, d - 1)
+            level, chunk = walk.level, row["chunk"].as_py()
+            for bucket, part in level.parts.items():
+                yield _batch(GRAMS, 1, chunk=pa.array([chunk]), bucket=pa.array([bucket]),
+                             keys=pa.array([_packed(level.keys[:, part].ravel())]), c=pa.array([_packed(level.times[part])]))
+            m = len(level.context_first)
+            logs = np.bincount(level.context, np.log(walk.prob[walk.live]) * walk.learns[walk.live], m)
+            place = level.number[level.context_first]
+            for low in range(0, m, 1 << 16):
+                cut = slice(low, low + (1 << 16))
+                size = len(place[cut])
+                yield _batch(GRAMS, size, chunk=pa.array(np.full(size, chunk)), context=_binary(level.keys[:-1, place[cut]]),
+                             number=pa.array(np.arange(low, low + size)), logs=pa.array(logs[cut]),
+                             total=pa.array(walk.total[level.context_first[cut]]))
     return run
 
 
-def _next_level(chunks: DataFrame, levels: list[str], depth: int, min_count: int, min_divergence: float,
-                weight: float, root: np.ndarray) -> DataFrame:
-    """(chunk, found): the global count and probability of each chunk's grams of the next level.
+def _counted(d: int):
+    """Of a bucket's grams: what the other chunks add to each chunk's counts, and the sum of c log c per context."""
+    def run(bucket: pa.Table) -> pa.Table:
+        keys = np.concatenate([_unpacked(k).reshape(d + 1, -1) for k in bucket["keys"].to_pylist()], axis=1)
+        own = [_unpacked(c).astype(np.int64) for c in bucket["c"].to_pylist()]
+        c = np.concatenate(own)
+        order = np.lexsort(keys[::-1])
+        differs = keys[:, order[1:]] != keys[:, order[:-1]]
+        new = np.concatenate([[True], differs.any(axis=0)])
+        starts = np.flatnonzero(new)
+        total = np.add.reduceat(c[order], starts)
+        more = np.empty(len(c), np.int64)
+        more[order] = total[np.cumsum(new) - 1] - c[order]
+        added = np.split(more, np.cumsum([len(x) for x in own])[:-1])
+        told = [i for i, x in enumerate(added) if x.any()]
+        answers = _batch(COUNTED, len(told), chunk=bucket["chunk"].combine_chunks().take(pa.array(told, pa.int64())),
+                         bucket=bucket["bucket"].combine_chunks().take(pa.array(told, pa.int64())),
+                         more=pa.array([_packed(added[i], "<i8") for i in told], pa.binary()))
+        opens = np.concatenate([[True], differs[:-1].any(axis=0)])[starts]
+        at = np.flatnonzero(opens)
+        part = np.add.reduceat(total * np.log(np.maximum(total, 1)), at)
+        sums = _batch(COUNTED, len(at), context=_binary(keys[:-1, order[starts[at]]]), part=pa.array(part))
+        return pa.Table.from_batches([answers, sums], COUNTED)
+    return run
+
 
-    A context's state is decided by its grams' rows; the probability of a gram
-    whose context is no state is that after its suffix.
+def _next_level(chunks: DataFrame, d: int, min_divergence: float, *settings) -> DataFrame:
+    """(chunk, level, state): the counts of each chunk's grams of the next level in the other chunks,
+    and which of its contexts are states.
+
+    The divergence of a context of count t is (sum of c log c - sum of c log q) / t - log t over its
+    grams, where q is a gram's probability after the suffix of its context.
     """
-    d = len(levels) + 1
-    rows = stored(chunks.mapInArrow(_grams(levels, depth, min_count, root),
-                                    "chunk long, number long, gram binary, c long, parent double, total long"), "grams")
-    grams = (rows.groupBy("gram").agg(F.sum("c").alias("c"), F.max("parent").alias("parent"), F.max("total").alias("total"))
-             .withColumn("context", F.substring("gram", 1, 4 * d)))
-    share = F.col("c") / F.col("total")
-    states = grams.where("c > 0").groupBy("context").agg(
-        (F.sum(share * F.log(share / F.col("parent"))) >= min_divergence).alias("state"))
-    smooth = (F.col("c") + weight * F.col("parent")) / (F.col("total") + weight)
-    told = grams.join(states, "context").select("gram", "c", F.when(F.col("state"), smooth).otherwise(F.col("parent")).alias("q"))
-    return stored(rows.select("chunk", "number", "gram").join(told, "gram").groupBy("chunk")
-                  .agg(F.collect_list(F.struct("number", "c", "q")).alias(f"level{d}")), "level")
+    schema = ("chunk long, bucket long, keys binary, c binary, context binary, number int, logs double, total long")
+    rows = stored(chunks.mapInArrow(_grams(d, *settings), schema), "grams")
+    counted = stored(rows.where("bucket IS NOT NULL").select("chunk", "bucket", "keys", "c").groupBy("bucket").applyInArrow(
+        _counted(d), "chunk long, bucket long, more binary, context binary, part double"), "counted")
+    contexts = rows.where("context IS NOT NULL")
+    parts = counted.where("context IS NOT NULL").groupBy("context").agg(F.sum("part").alias("part"))
+    states = (contexts.groupBy("context").agg(F.sum("logs").alias("logs"), F.max("total").alias("total")).join(parts, "context")
+              .where((F.col("part") - F.col("logs")) / F.col("total") - F.log("total") >= min_divergence).select("context"))
+    answer = F.struct("bucket", "more")
+    told = (counted.where("chunk IS NOT NULL").select("chunk", answer.alias("answer"), F.lit(None).cast("int").alias("number"))
+            .unionByName(contexts.select("context", "chunk", "number").join(states, "context").select("chunk", "number"),
+                         allowMissingColumns=True))
+    return stored(told.groupBy("chunk").agg(F.collect_list("answer").alias(f"level{d}"),
+                                            F.collect_list("number").alias(f"state{d}")), "level")
 
 
 def _with_symbols(spark, totals: DataFrame, min_count: int) -> DataFrame:
@@ -275,7 +303,7 @@ def _with_symbols(spark, totals: DataFrame, min_count: int) -> DataFrame:
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
                 chunk_words: int = 1 << 20, depth: int = 3, min_count: int = 50,
-                min_divergence: float = 0.01, weight: float = 8.0) -> DataFrame:
+                min_divergence: float = 0.01, weight: float = 8.0, bucket_grams: int = 1 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Learns from the rows that are not ``held_out`` (a null counts as held out).
@@ -286,10 +314,14 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     training texts are one word.
 
     Words and contexts that occur ``min_count`` times in the training texts are
-    symbols and contexts of their own, so the tree grows with the input.  It is
-    a table of (context, next symbol) rows, counted by groupBy level by level;
-    each chunk gets the rows of its own grams by a join.  Nothing of it is
-    collected or broadcast.
+    symbols and contexts of their own, so the tree grows with the input.  Each
+    level's grams (context, next symbol) are dealt over buckets by hash, about
+    ``bucket_grams`` tokens each, and counted there.  A chunk sends the distinct
+    grams of a bucket as one packed row, so a frequent gram is one entry per
+    chunk; what comes back is only what other chunks add to its counts, and
+    which contexts are states.  Nothing of the tree is collected or broadcast.
+
+    A very long text is one chunk by itself, never cut.
 
     Null and empty texts are the end alone.  Every row is scored once, repeated
     rows and null ids too; without training rows the base is 0 and the tree
@@ -303,7 +335,9 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     totals = stored(entries.groupBy("word").agg(F.sum("c").alias("c")), "words")
     train_words, distinct, single = totals.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
-    train_docs = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
+    train_docs, n_tokens = chunks.agg(
+        F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)),
+        F.coalesce(F.sum(F.size("n_words") + F.aggregate("n_words", F.lit(0).cast("long"), lambda t, x: t + x)), F.lit(0))).first()
     n, v = train_words + train_docs, distinct + (train_docs > 0)
     min_count = max(2, min_count)
     symbols = stored(_with_symbols(docs.sparkSession, totals, min_count), "symbols")
@@ -313,35 +347,28 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     root = np.array([(train_docs + 0.5) / mass, train_docs, (rare + 0.5) / mass, rare, mass])
     known = (entries.drop("c").join(totals, "word").join(symbols.select("word", "symbol"), "word", "left").groupBy("chunk")
              .agg(F.collect_list(F.struct("pos", "c")).alias("known"),
-                  F.collect_list(F.when(F.col("symbol").isNotNull(), F.struct("pos", "symbol", "c"))).alias("symbols"))
+                  F.collect_list(F.when(F.col("symbol").isNotNull(), F.struct("pos", "symbol"))).alias("symbols"))
              .select("chunk", F.col("known.pos").alias("pos"), F.col("known.c").alias("c"), F.col("symbols.pos").alias("spos"),
-                     F.col("symbols.symbol").alias("symbol"), F.col("symbols.c").alias("scount")))
+                     F.col("symbols.symbol").alias("symbol")))
     # A chunk of empty documents has no words, so it is not among the known.
-    joined = chunks.select("chunk", "doc_ids", "held", "n_words", "ids", "vocab").join(stored(known, "known"), "chunk", "left")
-    levels: list[str] = []
+    joined = stored(chunks.select("chunk", "doc_ids", "held", "n_words", "ids", F.size("vocab").alias("size"))
+                    .join(known, "chunk", "left").mapInArrow(_ready, READY_SCHEMA), "ready")
+    settings = depth, min_count, weight, root, max(1, math.ceil(n_tokens / bucket_grams))
     for d in range(1, depth + 1):
-        found = _next_level(joined.select(*CHUNK_COLUMNS, *levels), levels, depth, min_count, min_divergence, weight, root)
-        joined = joined.join(found, "chunk", "left")
-        levels.append(f"level{d}")
+        joined = joined.join(_next_level(joined, d, min_divergence, *settings), "chunk", "left")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norm = n + 0.5 * (v + 1)
         for row in _rows(batches):
-            n_words = row["n_words"].values.to_numpy().astype(np.int64)
-            ids = _unpacked(row["ids"].as_py())
-            vocab = row["vocab"].values
-            count = np.zeros(len(vocab), np.int64)
-            if row["pos"].is_valid:
-                count[row["pos"].values.to_numpy()] = row["c"].values.to_numpy()
+            walk = Walk(row, *settings, depth)
+            n_words, ids, count = walk.n_words, walk.ids, walk.known
             doc = np.repeat(np.arange(len(n_words)), n_words)
             base = (np.bincount(doc, np.log10((count + 0.5) / norm)[ids], len(n_words))
                     + math.log10((train_docs + 0.5) / norm))
             known_words = np.bincount(doc, (count > 0)[ids], len(n_words)).astype(np.int64)
-            stream, word, prob, *_ = _walk(row, levels, depth, min_count, root)
-            is_rare = stream[depth:][word] == RARE
-            inside = np.where(count > 0, count, unseen) / (rare + unseen)
-            logs = np.log10(prob)
-            logs[word] += np.where(is_rare, np.log10(inside)[ids], 0.0)
+            inside = np.where(walk.symbol == RARE, np.where(count > 0, count, unseen) / (rare + unseen), 1.0)
+            logs = np.log10(walk.prob)
+            logs[walk.word] += np.log10(inside)[ids]
             score = np.add.reduceat(logs, np.cumsum(n_words + 1) - n_words - 1)
             yield pa.RecordBatch.from_arrays([
                 row["doc_ids"].values, row["held"].values, pa.array(n_words + 1),

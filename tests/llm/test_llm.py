@@ -334,27 +334,40 @@ def test_scores(spark, odd):
     assert all(abs(s - again[k]) < 1e-6 for k, s in one(rows).items())
 
 
-def test_suffix_tree_matches_a_plain_walk():
+def plain_tree(streams, n_symbols, min_count, min_divergence, weight, depth=3):
+    """log10 probability of symbol ``s[i]`` under the longest suffix that is a state, all in one dictionary."""
+    counts = defaultdict(Counter)
+    for s in streams:
+        for i in range(1, len(s)):
+            for d in range(min(i, depth) + 1):
+                counts[tuple(s[i - d:i])][s[i]] += 1
+    total = sum(counts[()].values())
+    tree = {(): [(counts[()][x] + 0.5) / (total + 0.5 * n_symbols) for x in range(n_symbols)]}
+    suffix = lambda c: next(tree[c[j:]] for j in range(len(c) + 1) if c[j:] in tree)
+    for context in sorted(counts, key=len):
+        t, q = sum(counts[context].values()), suffix(context)
+        if context and t >= min_count and sum(c / t * math.log(c / t / q[x]) for x, c in counts[context].items()) >= min_divergence:
+            tree[context] = [(counts[context][x] + weight * q[x]) / (t + weight) for x in range(n_symbols)]
+    return lambda s, i: math.log10(suffix(tuple(s[max(0, i - depth):i]))[s[i]])
+
+
+@pytest.mark.parametrize("bucket_grams", [7, 1 << 20])
+def test_a_sequence_of_third_order_scores_as_under_a_plain_tree(spark, bucket_grams):
     rng = np.random.default_rng(4)
-    seq = rng.integers(0, 4, 3999)
-    seq[2::3] = (seq[0::3] + seq[1::3]) % 4
-    counts = defaultdict(lambda: np.zeros(4))
-    for i in range(3, len(seq)):
-        for d in range(4):
-            counts[tuple(seq[i - d:i].tolist())][seq[i]] += 1
-    tree = pst.build_tree(dict(counts), 4, 3, 0.05, 2.0)
-    got = tree.score(seq)
-    nodes = len(tree.child) - 1
-    for i in range(3, 300):
-        node = state = 0
-        for d in range(1, 4):
-            node = tree.child[node, seq[i - d]]
-            if node == nodes:
-                break
-            state = node
-        assert abs(got[i - 3] - tree.log_prob[state, seq[i]]) < 1e-6
-    assert np.allclose((10.0 ** tree.log_prob[:nodes].astype(float)).sum(1), 1, atol=1e-4)
-    assert got.mean() > -0.55 > math.log10(1 / 4)
+    streams = []
+    for _ in range(40):
+        seq = rng.integers(2, 6, 99)
+        seq[2::3] = (seq[0::3] + seq[1::3]) % 4 + 2
+        streams.append([0, *seq.tolist(), 0])
+    docs = spark.createDataFrame([(i, " ".join("abcd"[x - 2] for x in s[1:-1])) for i, s in enumerate(streams)], "doc_id long, text string")
+    symbol = {w: i for i, w in enumerate("abcd", 2)}
+    assert all([symbol[w] for w in t.split()] == streams[i][1:-1] for i, t in docs.collect())
+    logs = plain_tree(streams, 6, 5, 0.05, 2.0)
+    got = pst.score_texts(docs, F.lit(False), chunk_words=500, min_count=5, min_divergence=0.05, weight=2.0, bucket_grams=bucket_grams)
+    for r in got.collect():
+        s = streams[r.id]
+        assert abs(r.score - sum(logs(s, i) for i in range(1, len(s)))) < 1e-6
+        assert r.score / (len(s) - 1) > -0.6
 
 
 def test_words_and_contexts_seen_often_enough_are_kept_in_any_share(spark):
@@ -379,17 +392,12 @@ def test_scores_match_a_tree_built_at_once(spark):
     symbol = {w: i for i, w in enumerate((w for w in sorted(words) if words[w] >= 6), 2)}
     rare, unseen = sum(c for w, c in words.items() if w not in symbol), max(1, sum(c == 1 for c in words.values()))
     stream = lambda t: [0] + [symbol.get(w, 1) for w in t.split()] + [0]
-    counts = defaultdict(lambda: np.zeros(len(symbol) + 2))
-    for _, t, held in rows:
-        s = stream(t)
-        for i in range(1, 0 if held else len(s)):
-            for d in range(min(i, 3) + 1):
-                counts[tuple(s[i - d:i])][s[i]] += 1
-    tree = pst.build_tree({c: v for c, v in counts.items() if not c or v.sum() >= 6}, len(symbol) + 2, 3, 0.01, 8.0)
+    logs = plain_tree([stream(t) for _, t, held in rows if not held], len(symbol) + 2, 6, 0.01, 8.0)
     for i, t, _ in rows:
-        want = tree.score(np.array([0, 0, *stream(t)])).sum()
+        s = stream(t)
+        want = sum(logs(s, j) for j in range(1, len(s)))
         want += sum(math.log10(max(words[w], 0 if words[w] else unseen) / (rare + unseen)) for w in t.split() if w not in symbol)
-        assert abs(got[i] - want) < 1e-3
+        assert abs(got[i] - want) < 1e-6
 
 
 def test_scores_beat_the_base_on_held_out_texts(spark):
