@@ -8,8 +8,8 @@ Rare words share their symbol's probability by their counts, and words never
 seen together get the weight of the words seen once.
 
 Documents are cut into chunks of a bounded number of words.  A chunk keeps its
-documents as numbers of its own word list, so word lists and symbol counts are
-shuffled for counting, never the texts.
+documents as numbers of its own word list.  Word lists and grams are dealt over
+buckets by hash, packed, and counted bucket by bucket; the texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from .common import Numbering, stored, words
 END, RARE = 0, 1
 
 CHUNK_SCHEMA = ("chunk long, doc_ids array<bigint>, held array<boolean>, n_words array<int>, ids binary, "
-                "vocab array<binary>, train array<bigint>")
+                "vocab binary, train binary")
 
 
 def _packed(values: np.ndarray, kind: str = "<u4") -> bytes:
@@ -43,6 +44,31 @@ def _unpacked(packed: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _joined(vocab: list[bytes]) -> bytes:
+    """Words hold no white space, so a line end can part them."""
+    import zstandard
+    return zstandard.compress(b"\n".join(vocab), 1)
+
+
+def _split(joined: bytes) -> list[bytes]:
+    import zstandard
+    return zstandard.decompress(joined).split()
+
+
+def _dealt(bucket: np.ndarray) -> dict[int, np.ndarray]:
+    """The places of each bucket's members, ascending."""
+    if not len(bucket):
+        return {}
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(order, starts[1:])))
+
+
+def _word_buckets(vocab: list[bytes], n_buckets: int) -> dict[int, np.ndarray]:
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab))
+    return _dealt((h % np.uint64(n_buckets)).astype(np.int64))
+
+
 def _chunks(chunk_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -66,8 +92,8 @@ def _chunks(chunk_words: int):
                 "chunk": pa.array([first + done], pa.int64()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
                 "held": pa.array([held], pa.list_(pa.bool_())), "n_words": pa.array([n_words], pa.list_(pa.int32())),
                 "ids": pa.array([_packed(ids)], pa.binary()),
-                "vocab": pa.array([[vocab[i] for i in order]], pa.list_(pa.binary())),
-                "train": pa.array([np.bincount(ids[learns], minlength=len(known)).astype(np.int64)], pa.list_(pa.int64()))}
+                "vocab": pa.array([_joined([vocab[i] for i in order])]),
+                "train": pa.array([_packed(np.bincount(ids[learns], minlength=len(known)))])}
             done += 1
             known.clear(), doc_ids.clear(), held.clear(), docs.clear()
             total = 0
@@ -98,27 +124,74 @@ def _stream(ids: np.ndarray, n_words: np.ndarray, of_word: np.ndarray, depth: in
     return stream, word
 
 
-def _numbered(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values, where each first occurs, and each value's number."""
-    found, first, number = np.unique(c, return_index=True, return_inverse=True)
-    return found, first, number
+def _numbered(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, in the order of the values, and each value's number."""
+    order = np.argsort(c)
+    new = np.concatenate([[True], c[order[1:]] != c[order[:-1]]])[:len(c)]
+    number = np.empty(len(c), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 READY_SCHEMA = "chunk long, doc_ids array<bigint>, held array<boolean>, n_words array<int>, ids binary, symbols binary, counts binary"
 
 
-def _ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+WORDS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("more", pa.binary()), ("ranks", pa.binary()),
+                   ("words", pa.int64()), ("known", pa.int64()), ("single", pa.int64()), ("frequent", pa.int64()),
+                   ("symbols", pa.int64())])
+
+
+def _word_parts(n_buckets: int):
+    """A row per chunk and bucket: the chunk's words that fall there, and their training counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            vocab, train = _split(row["vocab"].as_py()), _unpacked(row["train"].as_py())
+            for bucket, part in _word_buckets(vocab, n_buckets).items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["chunk"].as_py()]), pa.array([bucket]), pa.array([_joined([vocab[i] for i in part])]),
+                     pa.array([_packed(train[part])])], names=["chunk", "bucket", "vocab", "train"])
+    return run
+
+
+def _counted_words(min_count: int):
+    """What the other chunks add to each chunk's counts of a bucket's words, the ranks (from 1) of
+    the bucket's frequent words, and the bucket's sums in a row without a chunk."""
+    def run(bucket: pa.Table) -> pa.Table:
+        parts = [_split(v) for v in bucket["vocab"].to_pylist()]
+        c = np.concatenate([_unpacked(t).astype(np.int64) for t in bucket["train"].to_pylist()])
+        place = pa.array([w for part in parts for w in part], pa.binary()).dictionary_encode().indices.to_numpy()
+        total = np.zeros(int(place.max()) + 1, np.int64)
+        np.add.at(total, place, c)
+        often = total >= min_count
+        rank = np.where(often, np.cumsum(often), 0)
+        cuts = np.cumsum([len(part) for part in parts])[:-1]
+        answers = _batch(WORDS, len(parts), chunk=bucket["chunk"].combine_chunks(), bucket=bucket["bucket"].combine_chunks(),
+                         more=pa.array([_packed(x, "<i8") for x in np.split(total[place] - c, cuts)]),
+                         ranks=pa.array([_packed(x) for x in np.split(rank[place], cuts)]))
+        sums = {"words": total.sum(), "known": (total > 0).sum(), "single": (total == 1).sum(),
+                "frequent": total[often].sum(), "symbols": often.sum()}
+        return pa.Table.from_batches([answers, _batch(WORDS, 1, bucket=bucket["bucket"].combine_chunks()[:1],
+                                                      **{k: pa.array([int(v)]) for k, v in sums.items()})], WORDS)
+    return run
+
+
+def _ready(n_buckets: int):
     """Chunks with the symbol and the training count of each of their words in place of the words."""
-    for row in _rows(batches):
-        size = row["size"].as_py()
-        symbol, count = np.full(size, RARE, np.int64), np.zeros(size, np.int64)
-        if row["pos"].is_valid:
-            count[row["pos"].values.to_numpy()] = row["c"].values.to_numpy()
-            symbol[row["spos"].values.to_numpy()] = row["symbol"].values.to_numpy()
-        names = ["chunk", "doc_ids", "held", "n_words", "ids"]
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array([row[c].as_py()], row[c].type) for c in names), pa.array([_packed(symbol)]),
-             pa.array([_packed(count, "<u8")])], names=[*names, "symbols", "counts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            vocab, count = _split(row["vocab"].as_py()), _unpacked(row["train"].as_py()).astype(np.int64)
+            symbol = np.full(len(vocab), RARE, np.int64)
+            parts = _word_buckets(vocab, n_buckets)
+            if row["told"].is_valid:
+                for bucket, start, more, ranks in zip(*(f.to_pylist() for f in row["told"].values.flatten())):
+                    part, rank = parts[bucket], _unpacked(ranks).astype(np.int64)
+                    count[part] += _unpacked(more, "<i8")
+                    symbol[part] = np.where(rank > 0, start + rank, RARE)
+            names = ["chunk", "doc_ids", "held", "n_words", "ids"]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([row[c].as_py()], row[c].type) for c in names), pa.array([_packed(symbol)]),
+                 pa.array([_packed(count, "<i8")])], names=[*names, "symbols", "counts"])
+    return run
 
 
 class Level:
@@ -131,8 +204,8 @@ class Level:
     def __init__(self, d: int, depth: int, live: np.ndarray, context: np.ndarray, stream: np.ndarray,
                  learns: np.ndarray, n_buckets: int):
         width = int(stream.max(initial=0)) + 1
-        _, self.first, self.number = _numbered(context * width + stream[depth + live])
-        _, self.context_first, self.context = _numbered(context)
+        self.first, self.number = _numbered(context * width + stream[depth + live])
+        self.context_first, self.context = _numbered(context)
         first = live[self.first]
         self.keys = np.stack([stream[depth - d + j + first] for j in range(d + 1)])
         self.times = np.bincount(self.number, learns[live], len(self.first)).astype(np.int64)
@@ -140,10 +213,7 @@ class Level:
         for symbols in self.keys:
             h = (h ^ symbols.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        bucket = (h % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        found, starts = np.unique(bucket[order], return_index=True)
-        self.parts = dict(zip(found.tolist(), np.split(order, starts[1:]))) if len(found) else {}
+        self.parts = _dealt((h % np.uint64(n_buckets)).astype(np.int64))
 
     def counts(self, answers: pa.ListScalar) -> np.ndarray:
         """Training counts over all chunks; an answer tells what the others add to a bucket's grams."""
@@ -290,17 +360,6 @@ def _next_level(chunks: DataFrame, d: int, min_divergence: float, *settings) ->
                                             F.collect_list("number").alias(f"state{d}")), "level")
 
 
-def _with_symbols(spark, totals: DataFrame, min_count: int) -> DataFrame:
-    """The frequent words, numbered from 2 on by partition and row, whatever their number."""
-    frequent = stored(totals.where(F.col("c") >= min_count).withColumn("row", F.monotonically_increasing_id()), "symbols")
-    part = F.shiftright("row", 33)
-    sizes = frequent.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return (frequent.withColumn("part", part).join(F.broadcast(starts), "part")
-            .select("word", "c", (F.col("row") - F.shiftleft("part", 33) + F.col("start") + 2).alias("symbol")))
-
-
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
                 chunk_words: int = 1 << 20, depth: int = 3, min_count: int = 50,
                 min_divergence: float = 0.01, weight: float = 8.0, bucket_grams: int = 1 << 20) -> DataFrame:
@@ -315,7 +374,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     Words and contexts that occur ``min_count`` times in the training texts are
     symbols and contexts of their own, so the tree grows with the input.  Each
-    level's grams (context, next symbol) are dealt over buckets by hash, about
+    level's grams (context, next symbol), as the words, are dealt over buckets by hash, about
     ``bucket_grams`` tokens each, and counted there.  A chunk sends the distinct
     grams of a bucket as one packed row, so a frequent gram is one entry per
     chunk; what comes back is only what other chunks add to its counts, and
@@ -330,30 +389,30 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.coalesce(held_out, F.lit(True)).alias("held"))
     chunks = stored(rows.mapInArrow(_chunks(chunk_words), CHUNK_SCHEMA), "chunks")
-    entries = chunks.select("chunk", F.posexplode(F.arrays_zip("vocab", "train"))).select(
-        "chunk", "pos", F.col("col.vocab").alias("word"), F.col("col.train").alias("c"))
-    totals = stored(entries.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    train_words, distinct, single = totals.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
     train_docs, n_tokens = chunks.agg(
         F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)),
         F.coalesce(F.sum(F.size("n_words") + F.aggregate("n_words", F.lit(0).cast("long"), lambda t, x: t + x)), F.lit(0))).first()
-    n, v = train_words + train_docs, distinct + (train_docs > 0)
+    n_buckets = max(1, math.ceil(n_tokens / bucket_grams))
     min_count = max(2, min_count)
-    symbols = stored(_with_symbols(docs.sparkSession, totals, min_count), "symbols")
-    frequent, n_frequent = symbols.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    found = stored(chunks.mapInArrow(_word_parts(n_buckets), "chunk long, bucket long, vocab binary, train binary")
+                   .groupBy("bucket").applyInArrow(_counted_words(min_count), (
+                       "chunk long, bucket long, more binary, ranks binary, words long, known long, single long, "
+                       "frequent long, symbols long")), "words")
+    sums = found.where("chunk IS NULL")
+    train_words, distinct, single, frequent, n_frequent = sums.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "known", "single", "frequent", "symbols"))).first()
+    n, v = train_words + train_docs, distinct + (train_docs > 0)
+    # Symbols are numbered from 2 on, bucket by bucket; the window runs over one row per bucket.
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("bucket", (F.coalesce(F.sum("symbols").over(before), F.lit(0)) + 1).alias("start"))
+    told = (found.where("chunk IS NOT NULL").select("chunk", "bucket", "more", "ranks").join(starts, "bucket")
+            .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "start", "more", "ranks")).alias("told")))
     rare, unseen = train_words - frequent, max(1, single)
     mass = n + 0.5 * (n_frequent + 2)
     root = np.array([(train_docs + 0.5) / mass, train_docs, (rare + 0.5) / mass, rare, mass])
-    known = (entries.drop("c").join(totals, "word").join(symbols.select("word", "symbol"), "word", "left").groupBy("chunk")
-             .agg(F.collect_list(F.struct("pos", "c")).alias("known"),
-                  F.collect_list(F.when(F.col("symbol").isNotNull(), F.struct("pos", "symbol"))).alias("symbols"))
-             .select("chunk", F.col("known.pos").alias("pos"), F.col("known.c").alias("c"), F.col("symbols.pos").alias("spos"),
-                     F.col("symbols.symbol").alias("symbol")))
-    # A chunk of empty documents has no words, so it is not among the known.
-    joined = stored(chunks.select("chunk", "doc_ids", "held", "n_words", "ids", F.size("vocab").alias("size"))
-                    .join(known, "chunk", "left").mapInArrow(_ready, READY_SCHEMA), "ready")
-    settings = depth, min_count, weight, root, max(1, math.ceil(n_tokens / bucket_grams))
+    # A chunk of empty documents has no words, so nothing is told about it.
+    joined = stored(chunks.join(told, "chunk", "left").mapInArrow(_ready(n_buckets), READY_SCHEMA), "ready")
+    settings = depth, min_count, weight, root, n_buckets
     for d in range(1, depth + 1):
         joined = joined.join(_next_level(joined, d, min_divergence, *settings), "chunk", "left")
 
