@@ -194,6 +194,15 @@ def _ready(n_buckets: int):
     return run
 
 
+def _bucket(symbols: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket of each column of symbols."""
+    h = np.zeros(symbols.shape[1], np.uint64)
+    for row in symbols:
+        h = (h ^ row.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(n_buckets)).astype(np.int64)
+
+
 class Level:
     """A chunk's grams of one level: a context of ``d`` symbols and the symbol after it.
 
@@ -209,11 +218,9 @@ class Level:
         first = live[self.first]
         self.keys = np.stack([stream[depth - d + j + first] for j in range(d + 1)])
         self.times = np.bincount(self.number, learns[live], len(self.first)).astype(np.int64)
-        h = np.zeros(len(first), np.uint64)
-        for symbols in self.keys:
-            h = (h ^ symbols.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        self.parts = _dealt((h % np.uint64(n_buckets)).astype(np.int64))
+        self.parts = _dealt(_bucket(self.keys, n_buckets))
+        self.contexts = self.keys[:-1, self.number[self.context_first]]
+        self.context_parts = _dealt(_bucket(self.contexts, n_buckets))
 
     def counts(self, answers: pa.ListScalar) -> np.ndarray:
         """Training counts over all chunks; an answer tells what the others add to a bucket's grams."""
@@ -256,7 +263,9 @@ class Walk:
             c = level.counts(row[f"level{d}"])[level.number]
             state = np.zeros(len(level.context_first), bool)
             if row[f"state{d}"].is_valid:
-                state[row[f"state{d}"].values.to_numpy()] = True
+                for bucket, bits in zip(*(f.to_pylist() for f in row[f"state{d}"].values.flatten())):
+                    part = level.context_parts[bucket]
+                    state[part] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(part))
             parent = self.prob[self.live]
             self.prob[self.live] = np.where(state[level.context], (c + weight * parent) / (self.total + weight), parent)
             gram, times = np.full(n, -1, np.int64), np.zeros(n, np.int64)
@@ -272,17 +281,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i] for name in batch.schema.names}
 
 
-def _binary(symbols: np.ndarray) -> pa.Array:
-    """One value per column of ``symbols``: four bytes each, oldest first."""
-    d, m = symbols.shape
-    return pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * 4 * d).astype(np.int32).tobytes()),
-                                                  pa.py_buffer(np.ascontiguousarray(symbols.T.astype(">u4")).tobytes())])
-
-
-GRAMS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("c", pa.binary()),
-                   ("context", pa.binary()), ("number", pa.int32()), ("logs", pa.float64()), ("total", pa.int64())])
-COUNTED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("more", pa.binary()), ("context", pa.binary()),
-                     ("part", pa.float64())])
+GRAMS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("c", pa.binary()), ("logs", pa.binary())])
+COUNTED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("more", pa.binary()), ("keys", pa.binary()), ("logs", pa.binary())])
 
 
 def _batch(schema: pa.Schema, size: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -290,8 +290,8 @@ def _batch(schema: pa.Schema, size: int, **columns: pa.Array) -> pa.RecordBatch:
 
 
 def _grams(d: int, *settings):
-    """A chunk's next level: a row per bucket with its grams and their counts, and a row per
-    context with the sum of its grams' log probabilities after its suffix, and its count."""
+    """A chunk's next level: a row per bucket with its grams and their counts, and a row per bucket with
+    its contexts, their counts and the (negative) sums of their grams' log probabilities after the suffix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             walk = Walk(row, *settings, d - 1)
@@ -299,20 +299,18 @@ def _grams(d: int, *settings):
             for bucket, part in level.parts.items():
                 yield _batch(GRAMS, 1, chunk=pa.array([chunk]), bucket=pa.array([bucket]),
                              keys=pa.array([_packed(level.keys[:, part].ravel())]), c=pa.array([_packed(level.times[part])]))
-            m = len(level.context_first)
-            logs = np.bincount(level.context, np.log(walk.prob[walk.live]) * walk.learns[walk.live], m)
-            place = level.number[level.context_first]
-            for low in range(0, m, 1 << 16):
-                cut = slice(low, low + (1 << 16))
-                size = len(place[cut])
-                yield _batch(GRAMS, size, chunk=pa.array(np.full(size, chunk)), context=_binary(level.keys[:-1, place[cut]]),
-                             number=pa.array(np.arange(low, low + size)), logs=pa.array(logs[cut]),
-                             total=pa.array(walk.total[level.context_first[cut]]))
+            logs = np.bincount(level.context, np.log(walk.prob[walk.live]) * walk.learns[walk.live], len(level.context_first))
+            total = walk.total[level.context_first]
+            for bucket, part in level.context_parts.items():
+                yield _batch(GRAMS, 1, chunk=pa.array([chunk]), bucket=pa.array([bucket]),
+                             keys=pa.array([_packed(level.contexts[:, part].ravel())]), c=pa.array([_packed(total[part], "<i8")]),
+                             logs=pa.array([_packed(-logs[part], "<f8")]))
     return run
 
 
-def _counted(d: int):
-    """Of a bucket's grams: what the other chunks add to each chunk's counts, and the sum of c log c per context."""
+def _counted(d: int, n_buckets: int):
+    """Of a bucket's grams: what the other chunks add to each chunk's counts, and the sums of c log c of
+    their contexts, in a row per bucket of contexts."""
     def run(bucket: pa.Table) -> pa.Table:
         keys = np.concatenate([_unpacked(k).reshape(d + 1, -1) for k in bucket["keys"].to_pylist()], axis=1)
         own = [_unpacked(c).astype(np.int64) for c in bucket["c"].to_pylist()]
@@ -332,32 +330,54 @@ def _counted(d: int):
         opens = np.concatenate([[True], differs[:-1].any(axis=0)])[starts]
         at = np.flatnonzero(opens)
         part = np.add.reduceat(total * np.log(np.maximum(total, 1)), at)
-        sums = _batch(COUNTED, len(at), context=_binary(keys[:-1, order[starts[at]]]), part=pa.array(part))
-        return pa.Table.from_batches([answers, sums], COUNTED)
+        contexts = keys[:-1, order[starts[at]]]
+        sums = [_batch(COUNTED, 1, bucket=pa.array([b]), keys=pa.array([_packed(contexts[:, of].ravel())]),
+                       logs=pa.array([_packed(part[of], "<f8")]))
+                for b, of in _dealt(_bucket(contexts, n_buckets)).items()]
+        return pa.Table.from_batches([answers, *sums], COUNTED)
     return run
 
 
-def _next_level(chunks: DataFrame, d: int, min_divergence: float, *settings) -> DataFrame:
-    """(chunk, level, state): the counts of each chunk's grams of the next level in the other chunks,
-    and which of its contexts are states.
+def _states(d: int, min_divergence: float):
+    """(chunk, bucket, bits): which of a bucket's contexts diverge, as a bit per context of each chunk.
 
     The divergence of a context of count t is (sum of c log c - sum of c log q) / t - log t over its
     grams, where q is a gram's probability after the suffix of its context.
     """
-    schema = ("chunk long, bucket long, keys binary, c binary, context binary, number int, logs double, total long")
-    rows = stored(chunks.mapInArrow(_grams(d, *settings), schema), "grams")
-    counted = stored(rows.where("bucket IS NOT NULL").select("chunk", "bucket", "keys", "c").groupBy("bucket").applyInArrow(
-        _counted(d), "chunk long, bucket long, more binary, context binary, part double"), "counted")
-    contexts = rows.where("context IS NOT NULL")
-    parts = counted.where("context IS NOT NULL").groupBy("context").agg(F.sum("part").alias("part"))
-    states = (contexts.groupBy("context").agg(F.sum("logs").alias("logs"), F.max("total").alias("total")).join(parts, "context")
-              .where((F.col("part") - F.col("logs")) / F.col("total") - F.log("total") >= min_divergence).select("context"))
-    answer = F.struct("bucket", "more")
-    told = (counted.where("chunk IS NOT NULL").select("chunk", answer.alias("answer"), F.lit(None).cast("int").alias("number"))
-            .unionByName(contexts.select("context", "chunk", "number").join(states, "context").select("chunk", "number"),
-                         allowMissingColumns=True))
+    def run(bucket: pa.Table) -> pa.Table:
+        keys = [_unpacked(k).reshape(d, -1) for k in bucket["keys"].to_pylist()]
+        chunks = bucket["chunk"].to_pylist()
+        every = np.concatenate(keys, axis=1)
+        sums = np.concatenate([_unpacked(x, "<f8") for x in bucket["logs"].to_pylist()])
+        total = np.concatenate([np.zeros(k.shape[1], np.int64) if c is None else _unpacked(c, "<i8")
+                                for c, k in zip(bucket["c"].to_pylist(), keys)])
+        order = np.lexsort(every[::-1])
+        new = np.concatenate([[True], (every[:, order[1:]] != every[:, order[:-1]]).any(axis=0)])
+        starts = np.flatnonzero(new)
+        t = np.maximum.reduceat(total[order], starts)
+        is_state = np.add.reduceat(sums[order], starts) / t - np.log(t) >= min_divergence
+        state = np.empty(len(order), bool)
+        state[order] = is_state[np.cumsum(new) - 1]
+        told = [(c, np.packbits(x).tobytes()) for c, x in zip(chunks, np.split(state, np.cumsum([k.shape[1] for k in keys])[:-1]))
+                if c is not None and x.any()]
+        return pa.table({"chunk": pa.array([c for c, _ in told], pa.int64()), "bucket": pa.array(
+            [bucket["bucket"][0].as_py()] * len(told), pa.int64()), "bits": pa.array([b for _, b in told], pa.binary())})
+    return run
+
+
+def _next_level(chunks: DataFrame, d: int, min_divergence: float, *settings) -> DataFrame:
+    """(chunk, level, state): the counts of each chunk's grams of the next level in the other chunks,
+    and which of its contexts are states."""
+    rows = stored(chunks.mapInArrow(_grams(d, *settings), "chunk long, bucket long, keys binary, c binary, logs binary"), "grams")
+    counted = stored(rows.where("logs IS NULL").groupBy("bucket").applyInArrow(
+        _counted(d, settings[-1]), "chunk long, bucket long, more binary, keys binary, logs binary"), "counted")
+    states = (rows.where("logs IS NOT NULL")
+              .unionByName(counted.where("chunk IS NULL").drop("more"), allowMissingColumns=True)
+              .groupBy("bucket").applyInArrow(_states(d, min_divergence), "chunk long, bucket long, bits binary"))
+    told = (counted.where("chunk IS NOT NULL").select("chunk", F.struct("bucket", "more").alias("answer"))
+            .unionByName(states.select("chunk", F.struct("bucket", "bits").alias("state")), allowMissingColumns=True))
     return stored(told.groupBy("chunk").agg(F.collect_list("answer").alias(f"level{d}"),
-                                            F.collect_list("number").alias(f"state{d}")), "level")
+                                            F.collect_list("state").alias(f"state{d}")), "level")
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
