@@ -15,14 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """``df`` written to the shared scratch folder and read back.
 
     The written table cuts the lineage: a lost executor costs a re-read, and
-    every later step sees the same rows and partition numbers.
+    every later step sees the same rows and partition numbers.  With ``release``
+    the shuffle files of the write go as soon as the table is written.
     """
     path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    if release:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release and before is None:
+            conf.unset(CLEANUP)
+        elif release:
+            conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

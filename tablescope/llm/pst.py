@@ -368,16 +368,16 @@ def _states(d: int, min_divergence: float):
 def _next_level(chunks: DataFrame, d: int, min_divergence: float, *settings) -> DataFrame:
     """(chunk, level, state): the counts of each chunk's grams of the next level in the other chunks,
     and which of its contexts are states."""
-    rows = stored(chunks.mapInArrow(_grams(d, *settings), "chunk long, bucket long, keys binary, c binary, logs binary"), "grams")
+    rows = stored(chunks.mapInArrow(_grams(d, *settings), "chunk long, bucket long, keys binary, c binary, logs binary"), "grams", release=True)
     counted = stored(rows.where("logs IS NULL").groupBy("bucket").applyInArrow(
-        _counted(d, settings[-1]), "chunk long, bucket long, more binary, keys binary, logs binary"), "counted")
+        _counted(d, settings[-1]), "chunk long, bucket long, more binary, keys binary, logs binary"), "counted", release=True)
     states = (rows.where("logs IS NOT NULL")
               .unionByName(counted.where("chunk IS NULL").drop("more"), allowMissingColumns=True)
               .groupBy("bucket").applyInArrow(_states(d, min_divergence), "chunk long, bucket long, bits binary"))
     told = (counted.where("chunk IS NOT NULL").select("chunk", F.struct("bucket", "more").alias("answer"))
             .unionByName(states.select("chunk", F.struct("bucket", "bits").alias("state")), allowMissingColumns=True))
     return stored(told.groupBy("chunk").agg(F.collect_list("answer").alias(f"level{d}"),
-                                            F.collect_list("state").alias(f"state{d}")), "level")
+                                            F.collect_list("state").alias(f"state{d}")), "level", release=True)
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -417,7 +417,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     found = stored(chunks.mapInArrow(_word_parts(n_buckets), "chunk long, bucket long, vocab binary, train binary")
                    .groupBy("bucket").applyInArrow(_counted_words(min_count), (
                        "chunk long, bucket long, more binary, ranks binary, words long, known long, single long, "
-                       "frequent long, symbols long")), "words")
+                       "frequent long, symbols long")), "words", release=True)
     sums = found.where("chunk IS NULL")
     train_words, distinct, single, frequent, n_frequent = sums.agg(
         *(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "known", "single", "frequent", "symbols"))).first()
@@ -431,7 +431,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     mass = n + 0.5 * (n_frequent + 2)
     root = np.array([(train_docs + 0.5) / mass, train_docs, (rare + 0.5) / mass, rare, mass])
     # A chunk of empty documents has no words, so nothing is told about it.
-    joined = stored(chunks.join(told, "chunk", "left").mapInArrow(_ready(n_buckets), READY_SCHEMA), "ready")
+    joined = stored(chunks.join(told, "chunk", "left").mapInArrow(_ready(n_buckets), READY_SCHEMA), "ready", release=True)
     settings = depth, min_count, weight, root, n_buckets
     for d in range(1, depth + 1):
         joined = joined.join(_next_level(joined, d, min_divergence, *settings), "chunk", "left")
