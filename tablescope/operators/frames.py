@@ -105,17 +105,24 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], name: str =
             .drop("_pid", "_pos", "_off"))
 
 
-#: Buckets between sampled splitters, as FAN groups of FAN; keys sampled per round; rows sorted at once.
+#: FAN * FAN buckets between sampled splitters; keys sampled per round; rows sorted at once.
 FAN = 32
 SAMPLED_KEYS = 16 * FAN * FAN
 SORTED_ROWS = 1_000_000
 
 
-def _bucket(key: Column, groups: Column) -> Column:
-    """Number of splitters not above ``key``: first among the groups' heads, then in one group."""
-    group = F.size(F.filter(groups, lambda g: g[0] <= key))
-    inside = F.size(F.filter(F.try_element_at(groups, group), lambda x: x <= key))
-    return F.when(group == 0, 0).otherwise((group - 1) * FAN + inside)
+def _bucketed(df: DataFrame, key: Column, splitters: str, most: int) -> DataFrame:
+    """Add ``_b``, how many of at most ``most`` splitters are not above ``key``, by binary search.
+
+    One column per halving: plain compiled comparisons, no function over the
+    whole array of splitters for every row.
+    """
+    df = df.withColumn("_b", F.lit(0))
+    for step in (1 << i for i in reversed(range(most.bit_length()))):
+        # Beyond the last splitter there is none (null), so the step is not taken.
+        up = F.get(F.col(splitters), F.col("_b") + (step - 1)) <= key
+        df = df.withColumn("_b", F.col("_b") + F.when(up, step).otherwise(0))
+    return df
 
 
 def rows_at_steps(df: DataFrame, order_by: Sequence[str], step: int, m: int, n: int,
@@ -137,10 +144,8 @@ def rows_at_steps(df: DataFrame, order_by: Sequence[str], step: int, m: int, n:
         cut = F.transform(F.sequence(F.lit(1), F.lit(FAN * FAN - 1)), lambda i: F.element_at(
             "_s", F.floor(i * F.size("_s") / (FAN * FAN)).cast("int") + 1))
         # One row: the splitters, the same for the counting and the choosing pass.
-        splitters = cut_lineage(sample.where(F.size("_s") > 0).select(cut.alias("_c")).select(F.transform(
-            F.sequence(F.lit(0), F.lit(FAN - 1)), lambda g: F.slice("_c", g * FAN + 1, FAN)).alias("_groups")))
-        marked = kept.join(F.broadcast(splitters), how="left").withColumn(
-            "_b", F.coalesce(_bucket(key, F.col("_groups")), F.lit(0))).drop("_groups")
+        splitters = cut_lineage(sample.where(F.size("_s") > 0).select(cut.alias("_c")))
+        marked = _bucketed(kept.join(F.broadcast(splitters), how="left"), key, "_c", FAN * FAN - 1).drop("_c")
         # At most FAN * FAN buckets in each of the at most m kept ones.
         counts = cut_lineage(marked.groupBy("_at", "_b").agg(F.count(F.lit(1)).alias("_n")))
         before = F.coalesce(F.sum("_n").over(Window.partitionBy("_at").orderBy("_b").rowsBetween(
@@ -150,8 +155,9 @@ def rows_at_steps(df: DataFrame, order_by: Sequence[str], step: int, m: int, n:
         chosen = cut_lineage(placed.where((wanted < F.col("_to") + F.col("_n")) & (wanted < step * m))
                              .select("_at", "_b", "_n", "_to"))
         now = chosen.agg(F.sum("_n")).first()[0]
-        kept = (marked.join(F.broadcast(chosen.drop("_n")), ["_at", "_b"])
-                .drop("_at", "_b").withColumnRenamed("_to", "_at"))
+        # Written once, so later rounds and the sort read the kept rows only.
+        kept = cut_lineage(marked.join(F.broadcast(chosen.drop("_n")), ["_at", "_b"])
+                           .drop("_at", "_b").withColumnRenamed("_to", "_at"))
         stuck, left = now > left // 2, now
         if stuck:
             break

@@ -30,3 +30,19 @@ def test_equal_keys_end_the_rounds(spark, monkeypatch):
     df = spark.range(200).selectExpr("1 as k", "id as v")
     got = frames.rows_at_steps(df, ["k"], 20, 10, 200).collect()
     assert sorted(r["idx"] for r in got) == list(range(0, 200, 20)) and len({r["v"] for r in got}) == 10
+
+
+def test_rows_are_marked_without_a_function_over_all_splitters(spark, monkeypatch, capsys):
+    """Per row a few comparisons, none of them interpreted; the kept rows are written once a round."""
+    monkeypatch.setattr(frames, "SORTED_ROWS", 100)
+    plans, cut = [], frames.cut_lineage
+    monkeypatch.setattr(frames, "cut_lineage", lambda df: (plans.append(df), cut(df))[1])
+    df = spark.range(2000).selectExpr("id", "(id * 7919) % 2000 as k")
+    got = frames.rows_at_steps(df, ["k"], 40, 50, 2000).collect()
+    assert sorted((r["idx"], r["k"]) for r in got) == [(i, i) for i in range(0, 2000, 40)]
+    kept = [p for p in plans if {"id", "k", "_at"} == set(p.columns)]
+    assert kept
+    for plan in plans:
+        if "_n" in plan.columns or plan in kept:
+            plan.explain(True)
+            assert "lambda" not in capsys.readouterr().out
