@@ -21,14 +21,16 @@ Plan
    per (point, cell) is kept, and the dense cell's points are dealt over salts;
    between two sparse cells, which hold few points each, the pairs are kept.
 4. Two dense neighbour cells are linked when some pair of their points is
-   within eps.  A linear witness stage decides most pairs: the point of each
-   cell nearest to the other cell's box is tested against all points of the
-   other cell.  Pairs without a witness hit go through a dual-tree search: both
-   cells are cut into sub-boxes level by level, box pairs farther apart than
-   eps are dropped, a pair of boxes wholly within eps links its cells, and
-   points are compared only where two boxes hold few of them.
+   within eps.  One point of each cell is tested against one of the other,
+   which decides most pairs whatever the cells hold.  The cells so linked are
+   components already; only pairs of cells in different components can still
+   change a label.  These go through a dual-tree search: both cells are cut
+   into sub-boxes level by level, box pairs farther apart than eps are dropped,
+   a pair of boxes wholly within eps links its cells, and points are compared
+   only where two boxes hold few of them.
 5. Components of the cell graph by alternating stars (:mod:`graph`), a
-   logarithmic number of rounds however long a cluster is.
+   logarithmic number of rounds however long a cluster is: once over cells,
+   once over the components that step 4 links.
 """
 
 from __future__ import annotations
@@ -64,15 +66,6 @@ def _box_gap2(c1: Column, c2: Column, side: float) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g)
 
 
-def _point_box_gap2(z: Column, cell: Column, side: float) -> Column:
-    """Squared distance from a point to a cell's box."""
-    def gap(x, c):
-        lo = c * side
-        hi = (c + 1) * side
-        return F.greatest(lo - x, x - hi, F.lit(0.0))
-    return F.aggregate(F.zip_with(z, cell, gap), F.lit(0.0), lambda acc, g: acc + g * g)
-
-
 def _gap2(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
     """Squared least distance of two boxes; for two points their distance, bit for bit."""
     gaps = F.zip_with(F.zip_with(lo1, hi2, lambda a, b: a - b), F.zip_with(lo2, hi1, lambda a, b: a - b),
@@ -174,6 +167,19 @@ def linked_cells(pairs: DataFrame, pts: DataFrame, d: int, side: float, eps: flo
                              .select(F.col("node").alias("up"), "z", finer.alias("node")))
 
 
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cell pairs ``(c1, c2)`` with labels ``(x, y)`` that differ."""
+    of = lambda cell, to: labels.select(F.col("cell").alias(cell), F.col("label").alias(to))
+    return pairs.join(of("c1", "x"), "c1").join(of("c2", "y"), "c2").where("x != y")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``(cell, label)`` with the least label that the linked cell pairs reach."""
+    merged = connected_components(_labelled(links, labels).select("x", "y").distinct(), "x", "y")
+    return cut_lineage(labels.join(merged, labels["label"] == merged["node"], "left").select(
+        "cell", F.coalesce("component", "label").alias("label")))
+
+
 def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.5,
            min_samples: int = 5, id_cols: Sequence[str] | None = None) -> Clustering:
     """Cluster rows of ``df``; ``id_cols`` give the row order that fixes labels.
@@ -206,7 +212,7 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
     dims = [i for i, c in enumerate(feats) if st[c][1]] or [0]
     pts = cut_lineage(pts.withColumn("cell", F.transform("z", lambda x: F.floor(x / side))))
 
-    cells = cut_lineage(pts.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt")))
+    cells = cut_lineage(pts.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"), F.min("_rid").alias("head")))
     cell_pairs = cut_lineage(neighbour_cells(cells, dims, side, eps))
 
     p1 = pts.select(F.col("_rid").alias("r1"), F.col("z").alias("z1"), F.col("cell").alias("c1"))
@@ -238,39 +244,22 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
 
     # Edges of the cell graph between cells that hold core points.
     e_sparse = (sparse_pairs.join(core_rids.select(F.col("r").alias("r1")), "r1")
-                .join(core_rids.select(F.col("r").alias("r2")), "r2")
-                .select(F.col("c1").alias("a"), F.col("c2").alias("b"))
-                .unionByName(to_dense.join(core_rids.select(F.col("r").alias("r1")), "r1")
-                             .select(F.col("c1").alias("a"), F.col("c2").alias("b"))))
+                .join(core_rids.select(F.col("r").alias("r2")), "r2").select("c1", "c2")
+                .unionByName(to_dense.join(core_rids.select(F.col("r").alias("r1")), "r1").select("c1", "c2")))
     dense_pairs = cell_pairs.where((F.col("n1") >= min_samples) & (F.col("n2") >= min_samples)
                                    & (F.col("c1") < F.col("c2"))).select("c1", "c2")
-    # (4a) Witness stage, linear in cell sizes: the point of each cell nearest
-    # to the other cell's box is tested against every point of the other cell.
-    wa = (dense_pairs.join(p1, "c1")
-          .groupBy("c1", "c2").agg(F.min_by("z1", _point_box_gap2(F.col("z1"), F.col("c2"),
-                                                                  side)).alias("wa")))
-    wb = (dense_pairs.join(p2, "c2")
-          .groupBy("c1", "c2").agg(F.min_by("z2", _point_box_gap2(F.col("z2"), F.col("c1"),
-                                                                  side)).alias("wb")))
-    wit = cut_lineage(wa.join(wb, ["c1", "c2"]))
-    hit_b = (wit.join(p2, "c2").where(_sqdist(F.col("wa"), F.col("z2")) <= eps * eps)
-             .select("c1", "c2"))
-    hit_a = (wit.join(p1, "c1").where(_sqdist(F.col("wb"), F.col("z1")) <= eps * eps)
-             .select("c1", "c2"))
-    linked = cut_lineage(hit_a.unionByName(hit_b).distinct())
-    # (4b) Pairs still undecided, by sub-boxes.
-    open_pairs = cut_lineage(dense_pairs.join(linked, ["c1", "c2"], "left_anti"))
-    if not open_pairs.isEmpty():
-        linked = linked.unionByName(linked_cells(open_pairs, pts, d, side, eps))
-    e_dense = linked.select(F.col("c1").alias("a"), F.col("c2").alias("b"))
+    # (4a) One point of each cell, its smallest row id, against one of the other cell.
+    heads = cut_lineage(pts.select("_rid", "z").join(
+        cells.where(F.col("cnt") >= min_samples).select("cell", F.col("head").alias("_rid")), "_rid"))
+    linked = (dense_pairs.join(heads.select(F.col("cell").alias("c1"), F.col("z").alias("z1")), "c1")
+              .join(heads.select(F.col("cell").alias("c2"), F.col("z").alias("z2")), "c2").where(near))
     # A cell is named by its smallest core row id; a component by its smallest.
-    names = cut_lineage(core_rids.groupBy("cell").agg(F.min("r").alias("name")))
-    edges = (e_sparse.unionByName(e_dense).distinct()
-             .join(names.select(F.col("cell").alias("a"), F.col("name").alias("x")), "a")
-             .join(names.select(F.col("cell").alias("b"), F.col("name").alias("y")), "b"))
-    merged = connected_components(edges, "x", "y")
-    labels = cut_lineage(names.join(merged, names["name"] == merged["node"], "left").select(
-        "cell", F.coalesce("component", "name").alias("label")))
+    labels = cut_lineage(core_rids.groupBy("cell").agg(F.min("r").alias("label")))
+    labels = _merged(labels, e_sparse.unionByName(linked.select("c1", "c2")).distinct())
+    # (4b) Pairs between different components, by sub-boxes.
+    open_pairs = cut_lineage(_labelled(dense_pairs, labels).select("c1", "c2"))
+    if not open_pairs.isEmpty():
+        labels = _merged(labels, linked_cells(open_pairs, pts, d, side, eps))
 
     comp = with_row_index(labels.select("label").distinct(), ["label"], "cluster")
     cell_cluster = labels.join(comp, "label").select("cell", F.col("cluster").cast("int"))

@@ -117,3 +117,24 @@ def test_neighbour_cells_are_all_near_pairs_and_no_others(spark):
 
 def gap2_of(a, b):
     return sum(max(abs(x - y) - 1, 0) ** 2 for x, y in zip(a, b))
+
+
+def test_dense_cells_are_linked_without_meeting_all_their_points(spark, monkeypatch):
+    """Repeated rows in neighbouring cells: no row is paired with every neighbouring cell for a witness."""
+    from tablescope.operators import dbscan as module
+    plans, cut = [], module.cut_lineage
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(module, "cut_lineage", kept)
+    rng = np.random.default_rng(5)
+    # Two bands far from each other.
+    spots = [*zip(rng.uniform(0, 4, 150), rng.uniform(0, 0.2, 150)), *zip(rng.uniform(0, 4, 150), rng.uniform(3, 3.2, 150))]
+    pts = [p for p in spots for _ in range(6)]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, x double, y double")
+    res = api.dbscan(df, ["x", "y"], eps=0.2, min_samples=5, id_cols=["id"])
+    got = [r["cluster"] for r in res.assignments.orderBy("id").collect()]
+    assert got == dbscan_reference(scale(np.array(pts, float)), 0.2, 5)
+    assert not any("min_by" in p for p in plans)
