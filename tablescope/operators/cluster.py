@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,14 @@ class Clustering:
     converged: bool | None = None
 
 
+def _nearest(df: DataFrame, zcols: Sequence[str], centers: Sequence[Sequence[float]], name: str) -> DataFrame:
+    """Append the number of the nearest centre (the first of equally near ones), as plain columns."""
+    far = {f"_far{n}": sum(((F.col(z) - F.lit(x)) ** 2 for z, x in zip(zcols, c)), F.lit(0.0)) for n, c in enumerate(centers)}
+    df = df.withColumns(far).withColumn("_least", F.array_min(F.array(*far)))
+    best = F.coalesce(*[F.when(F.col(f) == F.col("_least"), n) for n, f in enumerate(far)])
+    return df.withColumn(name, best).drop("_least", *far)
+
+
 def kmeans(df: DataFrame, features: Sequence[str] | None = None, k: int = 3, seed: int = 42,
            keep: Sequence[str] = (), max_iter: int = 300) -> Clustering:
     """M2: k-means (k-means||, seed 42) on standard-scaled features.
@@ -85,10 +94,10 @@ def kmeans(df: DataFrame, features: Sequence[str] | None = None, k: int = 3, see
     model = KMeans(k=k, seed=seed, featuresCol="_vec", predictionCol="_raw", weightCol="_w",
                    maxIter=max_iter).fit(points)
     centers = [list(map(float, c)) for c in model.clusterCenters()]
-    sizes = {r["_raw"]: r["n"] for r in model.transform(points).groupBy("_raw").agg(F.sum("_w").alias("n")).collect()}
+    sizes = {r["_raw"]: r["n"] for r in _nearest(points, zcols, centers, "_raw").groupBy("_raw").agg(F.sum("_w").alias("n")).collect()}
     steps = model.summary.numIter
     points.unpersist()
-    pred = model.transform(VectorAssembler(inputCols=zcols, outputCol="_vec").transform(scaled))
+    pred = _nearest(scaled, zcols, centers, "_raw")
     order = sorted(range(len(centers)), key=lambda i: (-sizes.get(i, 0), centers[i][0]))
     relabel = {old: new for new, old in enumerate(order)}
     mapping = F.create_map(*[x for o, n in relabel.items() for x in (F.lit(o), F.lit(n))])
@@ -119,15 +128,23 @@ def feature_importance(result: Clustering, top: int = 3) -> DataFrame:
 def pca_scaled(df: DataFrame, zcols: Sequence[str]) -> tuple[DataFrame, list[list[float]]]:
     """Append ``pca_x, pca_y``: 2-D PCA of already standard-scaled columns.
 
-    The covariance (d x d) is accumulated by Spark ML; the projection is a
-    column expression.  The sign of each component is fixed so that its
-    largest-magnitude loading is positive (MLlib leaves it free).
+    The covariance (d x d) is one aggregate over the columns; the driver turns
+    its few numbers into loadings, and the projection is a column expression.
+    The sign of each component is fixed so that its largest-magnitude loading
+    is positive (the decomposition leaves it free).
     """
-    vec = VectorAssembler(inputCols=list(zcols), outputCol="_vec").transform(df)
-    pc = PCA(k=2, inputCol="_vec").fit(vec).pc.toArray()          # d x 2
+    d = len(zcols)
+    at = [(i, j) for i in range(d) for j in range(i, d)]
+    row = df.agg(F.count(F.lit(1)), *[F.covar_samp(F.col(f"`{zcols[i]}`"), F.col(f"`{zcols[j]}`")) for i, j in at]).first()
+    if row[0] < 2:
+        raise ValueError("principal components need two rows or more")
+    cov = np.zeros((d, d))
+    for (i, j), v in zip(at, row[1:]):
+        cov[i, j] = cov[j, i] = v
+    pc = np.linalg.svd(cov)[0]                                     # d x d, largest first
     loadings = []
     for j in range(2):
-        col = [float(pc[i, j]) for i in range(len(zcols))]
+        col = [float(pc[i, j]) for i in range(d)]
         big = max(col, key=abs)
         loadings.append([-x for x in col] if big < 0 else col)
     proj = [sum(F.col(f"`{z}`") * F.lit(w) for z, w in zip(zcols, ld)) for ld in loadings]

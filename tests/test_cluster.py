@@ -74,3 +74,20 @@ def test_components_of_a_long_chain(spark):
         spark.createDataFrame([(900, 901), (901, 901), (None, 3)], "a long, b long"))
     got = {r["node"]: r["component"] for r in api.connected_components(edges, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(600)}, 900: 900, 901: 900}
+
+
+def test_rows_are_assigned_and_projected_by_plain_columns(spark):
+    """No row becomes a vector after the fit; the projection is that of the covariance's eigenvectors."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    rows = np.vstack([rng.normal(c, 0.5, (60, 3)) * [1.0, 2.0, 0.3] for c in (0.0, 4.0, 9.0)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "id long, a double, b double, c double")
+    rep = api.clustering_report(df, ["a", "b", "c"], num_clusters=3, keep=["id"])
+    assert "UDF" not in rep["points"]._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r for r in rep["points"].collect()}
+    z = (rows - rows.mean(0)) / rows.std(0)
+    vec = np.linalg.eigh(np.cov(z.T))[1][:, ::-1][:, :2]
+    vec = vec * np.sign(vec[np.abs(vec).argmax(0), [0, 1]])
+    assert np.allclose([[got[i]["pca_x"], got[i]["pca_y"]] for i in range(len(rows))], z @ vec, atol=1e-9)
+    groups = [{got[i]["cluster"] for i in range(n, n + 60)} for n in (0, 60, 120)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
