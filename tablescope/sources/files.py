@@ -304,10 +304,11 @@ def _columns_json(spark: SparkSession, files: list[str], states: DataFrame, coun
     # A cell counts the columns opened before it, its own too.
     cells = (pieces.where("level = 2").select("file", (F.col("column") - 1).alias("pos"), F.explode(object_of("text")).alias("idx", "val"))
              .join(F.broadcast(keys), ["file", "pos"]))
-    wide = cells.groupBy("path", "idx").pivot("column", names).agg(F.first("val"))
+    # Written once: the inference, the order's range sample and the result all read it.
+    wide = cut_lineage(cells.groupBy("path", "idx").pivot("column", names).agg(F.first("val")))
     # Row order follows the index (numeric when it is numeric, as pandas does).
-    wide = wide.orderBy("path", F.col("idx").try_cast("long"), "idx").drop("path", "idx")
-    return _apply_inference(wide, names, _infer(wide))
+    ordered = wide.orderBy("path", F.col("idx").try_cast("long"), "idx").drop("path", "idx")
+    return _apply_inference(ordered, names, _infer(wide.drop("path", "idx")))
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -169,3 +169,12 @@ def test_filters_reach_the_scan(spark):
     df = api.read_table(spark, "/root/testdata/sf0.001/events.parquet").where("value > 100").select("value")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value,100.0)" in plan and "ReadSchema: struct<value:double>" in plan
+
+
+def test_column_documents_are_pivoted_once(spark, tmp_path):
+    """The cells are put together once, not again for the inference, the order and the result."""
+    for n in range(3):
+        (tmp_path / f"{n}.json").write_text('{"a": {"10": %d, "9": 2}, "b": {"10": "x", "9": null}}' % n)
+    df = api.read_table(spark, str(tmp_path), "json")
+    assert [tuple(r) for r in df.collect()] == [(2, None), (0, "x"), (2, None), (1, "x"), (2, None), (2, "x")]
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
