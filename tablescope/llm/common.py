@@ -16,27 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = False, batch: int | None = None) -> DataFrame:
     """``df`` written to the shared scratch folder and read back.
 
     The written table cuts the lineage: a lost executor costs a re-read, and
     every later step sees the same rows and partition numbers.  With ``release``
-    the shuffle files of the write go as soon as the table is written.
+    the shuffle files of the write go as soon as the table is written; with
+    ``batch`` Python gets that many rows at a time, for rows that are long.
     """
     path = scratch_folder(df.sparkSession, name)
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    if release:
-        conf.set(CLEANUP, "true")
+    settings = ({CLEANUP: "true"} if release else {}) | ({BATCH: str(batch)} if batch else {})
+    before = {key: conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        if release and before is None:
-            conf.unset(CLEANUP)
-        elif release:
-            conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                conf.unset(key)
+            else:
+                conf.set(key, value)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -138,11 +138,13 @@ class Classes:
 
 
 def _firsts(num: int, den: int):
-    """What is learnt of every text first: size, digest and cuts of its set."""
+    """What is learnt of every text first: size, digest, cuts and signatures of its set."""
+    classes = Classes(num, den)
+
     def columns(sets: list[np.ndarray]) -> dict[str, pa.Array]:
-        classes = Classes(num, den)
+        signs, cuts = zip(*map(classes.signatures, sets))
         return {"n": pa.array([len(s) for s in sets], pa.int64()), **dict(zip(("d1", "d2"), _digests(sets))),
-                "cuts": _lists([np.array(classes.signatures(s)[1], np.int64) for s in sets])}
+                "cuts": _lists([np.array(c, np.int64) for c in cuts]), "signs": _lists(signs)}
     return columns
 
 
@@ -188,7 +190,7 @@ def _per_text(k: int, columns):
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (region, id) sorted by region, those whose region has another row."""
+    """Of rows (region, id) sorted by both, the distinct ones whose region has another id."""
     region, ids, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the row held back
 
     def out(mask: np.ndarray) -> pa.RecordBatch:
@@ -197,6 +199,8 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         region = np.concatenate([region, batch.column(0).to_numpy()])
         ids = np.concatenate([ids, batch.column(1).to_numpy()])
+        fresh = np.concatenate([[True], (region[1:] != region[:-1]) | (ids[1:] != ids[:-1])])[:len(ids)]
+        region, ids = region[fresh], ids[fresh]
         if len(region) < 2:
             continue
         same = region[1:] == region[:-1]
@@ -209,22 +213,24 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.ones(len(region), bool))
 
 
-def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) after further links (a, b); nodes without links need no row."""
-    label_of = components.select(F.col("node").alias("n"), "component")
-    fresh = links
-    for side in ("a", "b"):
-        fresh = (fresh.join(label_of, F.col(side) == F.col("n"), "left")
-                 .withColumn(side, F.coalesce("component", side)).drop("n", "component"))
-    merged = connected_components(fresh, "a", "b")
-    moved = components.join(merged.select(F.col("component").alias("c"), F.col("node").alias("component")),
-                            "component", "left")
-    renamed = moved.select("node", F.coalesce("c", "component").alias("component"))
-    return stored(renamed.unionAll(merged.join(renamed.select("node"), "node", "left_anti")), "components")
-
-
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
-                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _open(regions: DataFrame, components: DataFrame) -> DataFrame:
+    """(region, id, home, label, members, outside) of the regions that still hold sets of several components;
+    of regions with the same members one.  ``outside`` counts the sets that are not in its largest component."""
+    placed = (regions.join(components.withColumnRenamed("node", "id"), "id", "left")
+              .select("region", "id", "home", F.coalesce("component", "id").alias("label")))
+    groups = placed.groupBy("region", "label").agg(
+        F.count("*").alias("n"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("id", "home")).alias("x"),
+        F.sum(F.xxhash64("home", "id").cast("decimal(38,0)")).alias("s"))
+    per = groups.groupBy("region").agg(
+        F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max("home").alias("home"), F.bit_xor("x").alias("x"),
+        F.sum("s").alias("s")).where("labels > 1 and home")
+    chosen = (per.groupBy(F.col("n").alias("members"), "x", "s").agg(F.min(F.struct("region", "most")).alias("of"))
+              .select("of.region", "members", (F.col("members") - F.col("of.most")).alias("outside")))
+    return stored(placed.join(chosen, "region"), "open", release=True)
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
+                       text_col: str = "text", small_region: int = 32, centres: int = 2) -> DataFrame:
     """(id, n_shingles, component) for every row of ``docs``.
 
     Two documents link when ``den * intersection >= num * union`` of their sets
@@ -239,7 +245,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     profiles = stored(rows.mapInArrow(
-        _per_text(k, _firsts(num, den)), "id long, n long, d1 long, d2 long, cuts array<bigint>"), "profiles")
+        _per_text(k, _firsts(num, den)), "id long, n long, d1 long, d2 long, cuts array<bigint>, signs array<bigint>"),
+        "profiles", batch=1000)
     nodes = profiles.where(F.col("id").isNotNull() & (F.col("n") > 0))
     firsts = nodes.groupBy("d1", "d2").agg(F.min("id").alias("node"))
     named = stored(nodes.select("id", "d1", "d2").join(firsts, ["d1", "d2"]).select("id", "node"), "nodes")
@@ -248,15 +255,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     # Regions of the first kind: a class content shared by sets that differ elsewhere.
     # Equal sets are one before their signatures are shuffled.
-    classes = Classes(num, den)
-    signed = rows.where(F.col("id").isNotNull()).mapInArrow(
-        _per_text(k, lambda sets: {**dict(zip(("d1", "d2"), _digests(sets))),
-                                   "signs": _lists([classes.signatures(s)[0] for s in sets])}),
-        "id long, d1 long, d2 long, signs array<bigint>")
-    single = signed.join(firsts.select(F.col("node").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi")
+    single = nodes.select("id", "d1", "d2", "signs").join(
+        firsts.select(F.col("node").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi")
     crowded = stored(single.select(F.explode("signs").alias("region"), "id").repartition("region")
-                     .sortWithinPartitions("region").mapInArrow(_crowded, "region long, id long").distinct(),
-                     "crowded")
+                     .sortWithinPartitions("region", "id").mapInArrow(_crowded, "region long, id long"),
+                     "crowded", release=True)
     crowd = crowded.groupBy("region").agg(F.count("*").alias("size"))
     # Of a set's classes those without company come first, then the smallest regions.
     tag = F.col("region").bitwiseAND(F.lit(int(TAG)))
@@ -268,51 +271,43 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
               .withColumn("at", F.row_number().over(own.orderBy("size", "region")))
               .withColumn("all", F.count("*").over(own)))
     regions = stored(placed.join(cuts, ["id", "tag"]).where(F.col("c") - F.col("all") + F.col("at") <= F.col("stay"))
-                     .select("region", "id").withColumn("home", F.lit(True)), "regions")
+                     .select("region", "id").withColumn("home", F.lit(True)), "regions", release=True)
     crowd = regions.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
     central = stored(regions.join(crowd, "region").groupBy("id").agg(F.sum("size").alias("rank")), "central")
     sets = stored(rows.join(central.select("id"), "id", "left_semi").mapInArrow(
         _per_text(k, lambda sets: {"n": pa.array([len(s) for s in sets], pa.int64()), "s": _lists(sets),
                                    "sketch": pa.array([sketch(s) for s in sets], pa.binary())}),
-        "id long, n long, s array<bigint>, sketch binary").distinct(), "sets")
+        "id long, n long, s array<bigint>, sketch binary").distinct(), "sets", release=True, batch=1000)
 
     links = stored(links, "links")
     components = (docs.sparkSession.createDataFrame([], "node long, component long") if links.isEmpty()
                   else connected_components(links, "a", "b"))
-    label = F.coalesce(F.col("component"), F.col("id"))
     known = None  # distances of the pairs compared so far
-    pivots_per_region = 1
+    pivots_per_region = 4
     while True:
-        placed = (regions.join(components.withColumnRenamed("node", "id"), "id", "left")
-                  .select("region", "id", "home", label.alias("label")))
-        groups = placed.groupBy("region", "label").agg(
-            F.count("*").alias("n"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("id", "home")).alias("x"),
-            F.sum(F.xxhash64("home", "id").cast("decimal(38,0)")).alias("s"))
-        per = groups.groupBy("region").agg(
-            F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("home").alias("home"), F.bit_xor("x").alias("x"),
-            F.sum("s").alias("s")).where("labels > 1 and home")
-        # Regions of the same members are one.
-        open_regions = per.groupBy("n", "x", "s").agg(F.min("region").alias("region")).select("region")
-        regions = stored(placed.join(open_regions, "region"), "open")
+        regions = _open(regions, components)
         if regions.isEmpty():
             break
-        # Pivots from the smallest component of a region first: once one component
-        # is left, the region is done.  Then the most central sets.
+        # Pivots from the smallest components of a region first: once all but its largest
+        # component are pivots, the region is done.  Then the most central sets.
         alone = regions.groupBy("region", "label").agg(F.count("*").alias("n"))
-        top = Window.partitionBy("region").orderBy("n", F.desc("rank"), "id")
+        top = Window.partitionBy("region").orderBy("n", F.when(F.col("n") > 1, F.col("label")), F.desc("rank"), "id")
+        wanted = F.when(F.col("members") <= small_region, small_region).otherwise(pivots_per_region)
         pivots = stored(regions.join(alone, ["region", "label"]).join(central, "id")
-                        .withColumn("at", F.row_number().over(top))
-                        .where(F.col("at") <= pivots_per_region).select("region", F.col("id").alias("pivot")), "pivots")
-        regions = regions.drop("label")
-        met = regions.join(pivots, "region").where("id != pivot")
-        pairs = met.select("id", "pivot").distinct()
+                        .withColumn("at", F.row_number().over(top)).where(F.col("at") <= max(small_region, pivots_per_region))
+                        .where(F.col("at") <= F.least("outside", wanted))
+                        .select("region", F.col("id").alias("pivot"), "at"), "pivots", release=True)
+        regions = regions.select("region", "id", "home")
+        pair = F.least("id", "pivot").alias("id"), F.greatest("id", "pivot").alias("pivot")
+        pairs = regions.join(pivots, "region").where("id != pivot").select(*pair).distinct()
         if known is not None:
             pairs = pairs.join(known.select("id", "pivot"), ["id", "pivot"], "left_anti")
         near = stored(
             pairs.join(sets.select("id", F.col("n").alias("m"), F.col("sketch").alias("x")), "id")
             .join(sets.select(F.col("id").alias("pivot"), "n", F.col("sketch").alias("y")), "pivot")
             .select("id", "pivot", "m", "n", "x", "y").mapInArrow(
-                _gaps, "id long, pivot long, m long, n long, gap long"), "gaps")
+                _gaps, "id long, pivot long, m long, n long, gap long"), "gaps", release=True, batch=2000)
+        known = near if known is None else known.unionAll(near)
         # Linked sets differ in no more elements than this.
         most = F.floor((F.col("m") + F.col("n")) * F.lit(den - num) / F.lit(den + num))
         label_of = components.select(F.col("node"), "component")
@@ -325,16 +320,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                   .join(sets.select(F.col("id").alias("pivot"), F.col("s").alias("y")), "pivot")
                   .select("id", "pivot", (F.size("x") + F.size("y")).alias("sum"), both.alias("both"))
                   .where(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("sum") - F.col("both")))
-                  .select(F.col("id").alias("a"), F.col("pivot").alias("b")), "linked")
+                  .select(F.col("id").alias("node"), F.col("pivot").alias("component")), "linked", release=True)
         if not linked.isEmpty():
-            components = _joined(components, linked)
-        gaps = near.groupBy("id", "pivot").agg(F.min("gap").alias("gap"), F.max(F.greatest("m", "n")).alias("size"))
-        known = stored(gaps if known is None else known.unionAll(gaps), "known")
+            # What is connected already is a star of its component's least node.
+            components = stored(connected_components(components.unionAll(linked), "node", "component"), "components", release=True)
 
-        # The rest of each region: Voronoi cells of its pivots with their windows, in rings
+        # The rest of each region that is still open: Voronoi cells of its pivots with their windows, in rings
         # as wide as the most differences that linked sets of the region can have.
-        rest = (met.join(pivots.select("region", F.col("pivot").alias("id")), ["region", "id"], "left_anti")
-                .join(known, ["id", "pivot"]))
+        regions = regions.join(pivots.select("region", F.col("pivot").alias("id")), ["region", "id"], "left_anti")
+        regions = _open(regions, components)
+        if regions.isEmpty():
+            break
+        pivots_per_region *= 8
+        # Where few sets are left outside the largest component, these are the next pivots.
+        few = regions.where(F.col("outside") <= pivots_per_region).select("region", "id", "home")
+        regions = regions.where(F.col("outside") > pivots_per_region).select("region", "id", "home")
+        if regions.isEmpty():
+            regions = few
+            continue
+        gaps = known.groupBy("id", "pivot").agg(F.min("gap").alias("gap"), F.max(F.greatest("m", "n")).alias("size"))
+        rest = (regions.join(pivots.where(F.col("at") <= centres), "region")
+                .withColumns({"low": F.least("id", "pivot"), "high": F.greatest("id", "pivot")})
+                .join(gaps.withColumnsRenamed({"id": "low", "pivot": "high"}), ["low", "high"]).drop("low", "high", "at"))
         nearest = rest.groupBy("region", "id").agg(F.min(F.struct("gap", "pivot")).alias("best"))
         width = rest.groupBy("region").agg(
             (F.floor(F.max("size") * F.lit(2 * (den - num)) / F.lit(den + num)) + 1).alias("width"))
@@ -345,15 +352,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             .withColumn("ring", F.explode(F.array(ring, ring + 1)))
             .withColumn("cell", F.xxhash64("region", "pivot", "ring"))
             .groupBy("region", "cell", "id").agg(F.max(F.col("home") & (F.col("pivot") == F.col("best.pivot"))).alias("in"),
-                                                 F.max("home").alias("home")), "cells")
+                                                 F.max("home").alias("home")), "cells", release=True)
         # A region whose windows would copy most of it into several cells stays whole.
-        parted = (cells.groupBy("region").agg(F.count("*").alias("copies")).join(
-            nearest.groupBy("region").agg(F.count("*").alias("n")), "region")
-            .select("region", (F.col("copies") <= 1.5 * F.col("n")).alias("parts")))
+        parted = (cells.groupBy("region").agg(F.count("*").alias("copies"), F.count_distinct("id").alias("n"))
+                  .select("region", (F.col("copies") <= 1.5 * F.col("n")).alias("parts")))
         marked = cells.join(parted, "region")
         regions = (marked.where("parts").select(F.col("cell").alias("region"), "id", F.col("in").alias("home"))
-                   .unionAll(marked.where("not parts").select("region", "id", "home").distinct()))
-        pivots_per_region *= 4
+                   .unionAll(marked.where("not parts").select("region", "id", "home").distinct()).unionAll(few))
 
     found = (named.join(components, named["node"] == components["node"], "left")
              .select("id", F.coalesce(components["component"], named["node"]).alias("component")).distinct())

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +309,33 @@ def test_linked_sets_share_a_signature():
         assert linked > 200
 
 
+def test_jaccard_regions_larger_than_their_pivots(spark):
+    """Voronoi cells and regions whose pivots are all sets outside the largest component, in few jobs."""
+    rng = random.Random(8)
+    core = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        w = list(core)
+        for j in rng.sample(range(40), rng.choice((1, 2, 8, 9))):
+            w[j] = f"v{rng.randint(0, 40)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 1, 85, 100)
+    assert 1 < len({c for _, _, c in want}) < 150
+    for small, centres in ((2, 1), (2, 3), (32, 2)):
+        got = jaccard.jaccard_components(docs, 1, 85, 100, small_region=small, centres=centres).collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
+def test_distinct_rows_of_shared_regions():
+    """Copies of a row are one, in and across batches; a region of one id goes."""
+    rows = [(1, 5), (1, 5), (2, 3), (2, 3), (2, 4), (3, 1), (4, 1), (4, 1), (4, 2), (4, 2), (4, 9)]
+    for size in (1, 2, 3, 20):
+        batches = [pa.RecordBatch.from_pylist([{"region": r, "id": i} for r, i in rows[low:low + size]]) for low in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in jaccard._crowded(iter(batches)) for r in b.to_pylist()]
+        assert got == [(2, 3), (2, 4), (4, 1), (4, 2), (4, 9)]
+
+
 def test_jaccard_empty(nothing):
     assert jaccard.jaccard_components(nothing).count() == 0
 
