@@ -41,16 +41,18 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space, each distinct word once.
+    """Encodes texts with a tokenizer that drops white space, each distinct piece once.
 
     The tokenizer's normaliser and splitter never look across ASCII white
     space, so a text's ids are its words' ids in a row.  Nor do they look
-    across the end of a run of letters that a run of marks follows, and they
-    lower-case; so a plain word is its lower-case letters and its marks, each
-    encoded once, many at a time: a piece's last token tells where it ends.
+    across the end of a run of letters that a mark follows, so words are cut
+    there; and they lower-case, so ASCII texts are lower-cased first.  A text
+    that may hold an added token is left as it is.  Pieces of letters alone are
+    encoded many at a time: a piece's last token tells where it ends.
     """
 
-    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%*#$&|]*)")
+    CUT = re.compile(rb"[.,;:!?%*#$&|](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
+    PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str, max_words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,33 +61,32 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 3, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.added = {t.content[:2].encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.max_words = max_words
         self._clear()
 
     def _clear(self) -> None:
-        self.index = Numbering()  # word as bytes -> number
-        # Per word: number of its letters, or of the word itself; number of its marks, maybe none.
-        self.parts = np.zeros((0, 2), np.int32)
-        self.pieces = Numbering()  # (plain, text) -> number
-        self.pieces[True, ""]
+        self.index = Numbering()  # piece as bytes -> number
         self.flat = np.zeros(0, np.uint16)
-        self.start = np.zeros(1, np.int64)
-        self.count = np.zeros(1, np.int64)
+        self.start = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
 
     def _one_by_one(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, pieces: list[tuple[bool, str]]) -> list[list[int]]:
-        plain = [t for is_plain, t in pieces if is_plain]
-        found: list[list[int]] = []
+    def _encoded(self, plain: list[str]) -> list[np.ndarray]:
+        """Ids of pieces of letters, and how many each has, in turn."""
+        out = []
         for low in range(0, len(plain), 1000):
             part = plain[low:low + 1000]
-            ids = self._one_by_one([" ".join(part)])[0]
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            found += ([ids[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(part)
-                      else self._one_by_one(part))
-        of_plain, of_rest = iter(found), iter(self._one_by_one([t for is_plain, t in pieces if not is_plain]))
-        return [next(of_plain if is_plain else of_rest) for is_plain, _ in pieces]
+            ids = np.array(self._one_by_one([" ".join(part)])[0], np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                each = self._one_by_one(part)
+                ids = np.fromiter(itertools.chain.from_iterable(each), np.int64)
+                ends = np.cumsum([len(e) for e in each])
+            out += [ids, np.diff(ends, prepend=0)]
+        return out
 
     @staticmethod
     def _newest(numbering: dict, known: int) -> list:
@@ -93,18 +94,32 @@ class WordEncoder:
         return list(itertools.islice(reversed(numbering), len(numbering) - known))[::-1]
 
     def _learn(self, fresh: list[bytes]) -> None:
-        parts = []
-        for word in fresh:
-            text = word.decode("utf-8", "surrogatepass")
-            m = self.PLAIN.fullmatch(text)
-            parts.append((self.pieces[(True, m[1].lower()) if m else (False, text)], self.pieces[True, m[2]] if m else 0))
-        got = self._encoded(self._newest(self.pieces, len(self.count)))
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint16, int(counts.sum()))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
+        is_plain = np.fromiter(map(bytes.isalpha, fresh), bool, len(fresh))  # ASCII letters alone
+        other = np.flatnonzero(~is_plain)
+        texts = [fresh[i].decode("utf-8", "surrogatepass") for i in other.tolist()]
+        is_plain[other] = [self.PLAIN.fullmatch(t) is not None for t in texts]
+        plain = list(map(bytes.decode, itertools.compress(fresh, is_plain.tolist())))
+        found = self._encoded(plain)
+        rest = self._one_by_one([t for t, p in zip(texts, is_plain[other].tolist()) if not p])
+        counts = np.zeros(len(fresh), np.int64)
+        counts[is_plain] = np.concatenate([np.zeros(0, np.int64), *found[1::2]])
+        counts[~is_plain] = [len(ids) for ids in rest]
+        flat = np.concatenate([*found[::2], np.fromiter(itertools.chain.from_iterable(rest), np.int64)]).astype(np.uint16)
+        # The plain pieces' ids lie before those of the rest.
+        start = np.zeros(len(fresh), np.int64)
+        order = np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])
+        start[order] = len(self.flat) + np.cumsum(counts[order]) - counts[order]
+        self.start = np.concatenate([self.start, start])
         self.flat = np.concatenate([self.flat, flat])
         self.count = np.concatenate([self.count, counts])
-        self.parts = np.concatenate([self.parts, np.array(parts, np.int32)])
+
+    def _pieces(self, text: str) -> list[bytes]:
+        data = text.encode("utf-8", "surrogatepass")
+        lower = data.lower()
+        if any(added in lower for added in self.added):
+            return data.split()
+        # Outside ASCII, lower-casing before the normaliser composes letters could change what they compose to.
+        return self.CUT.sub(rb" \g<0>", lower if data.isascii() else data).split()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
@@ -112,18 +127,18 @@ class WordEncoder:
             self._clear()
         docs = []
         for text in texts:
-            words = text.encode("utf-8", "surrogatepass").split()
-            docs.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
-        fresh = self._newest(self.index, len(self.parts))
+            pieces = self._pieces(text)
+            docs.append(np.fromiter(map(self.index.__getitem__, pieces), np.int32, len(pieces)))
+        fresh = self._newest(self.index, len(self.count))
         if fresh:
             self._learn(fresh)
         ends = np.cumsum([len(d) for d in docs], dtype=np.int64)
         if not len(ends) or not ends[-1]:
             return np.zeros(0, np.uint16), np.zeros(len(docs), np.int64)
-        which = self.parts[np.concatenate(docs)].ravel()
+        which = np.concatenate(docs)
         lengths = self.count[which]
         bounds = np.concatenate([[0], np.cumsum(lengths)])
-        return ragged(self.flat, self.start[which], lengths), np.diff(np.concatenate([[0], bounds[2 * ends]]))
+        return ragged(self.flat, self.start[which], lengths), np.diff(np.concatenate([[0], bounds[ends]]))
 
 
 def worker_encoder(path: str) -> WordEncoder:
@@ -147,7 +162,9 @@ def compress(ids: np.ndarray, n_tokens: np.ndarray, base: int, min_count: int =
     frequent ones from left to right, as many as 1/``share`` of the 16-bit
     symbols that are left (64 at least), so that pairs of pairs still find
     symbols.  It ends only when no pair occurs ``min_count`` times or the
-    symbols have run out.
+    symbols have run out.  A pair that is rare once stays rare, as what comes to
+    lie side by side later holds a new symbol; so only the other positions,
+    ``live``, are counted again.
     """
     seq = ids.astype(np.uint16)
     last = np.zeros(len(seq), bool)  # symbol ends its document
@@ -155,10 +172,12 @@ def compress(ids: np.ndarray, n_tokens: np.ndarray, base: int, min_count: int =
     last[token_ends[n_tokens > 0] - 1] = True
     left, right = np.zeros(0, np.uint16), np.zeros(0, np.uint16)
     length = np.ones(SYMBOLS, np.uint32)
+    live = np.ones(len(seq), bool)
     while (room := SYMBOLS - base - len(left)) > 0 and len(seq) > 1:
         code = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        inside = ~last[:-1]
-        ordered = np.sort(code[inside])
+        place = np.flatnonzero(live[:-1] & ~last[:-1])
+        code = code[place]
+        ordered = np.sort(code)
         if not len(ordered):
             break
         cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -175,16 +194,25 @@ def compress(ids: np.ndarray, n_tokens: np.ndarray, base: int, min_count: int =
         held, symbol = np.zeros(1 << SLOTS, np.uint32), np.zeros(1 << SLOTS, np.uint16)
         held[slot] = chosen
         symbol[slot] = base + len(left) + np.arange(len(chosen))
-        at = (code * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)
-        hit = np.flatnonzero((held[at] == code) & inside & (symbol[at] > 0))
+        hashed = code * np.uint32(2654435761)
+        at = hashed >> np.uint32(32 - SLOTS)
+        found = (held[at] == code) & (symbol[at] > 0)
+        hit, at = place[found], at[found]
+        # Rare pairs that share a place of this table with a frequent one are just counted again.
+        frequent = np.zeros(1 << 22, bool)
+        frequent[(ordered[cut[often]] * np.uint32(2654435761)) >> np.uint32(10)] = True
+        live = np.zeros(len(seq), bool)
+        live[place] = frequent[hashed >> np.uint32(10)]
         new_run = np.concatenate([[True], np.diff(hit) > 1])
         run_start = hit[new_run][np.cumsum(new_run) - 1]
-        hit = hit[(hit - run_start) % 2 == 0]  # overlapping occurrences: every other one
-        seq[hit] = symbol[at[hit]]
+        other = (hit - run_start) % 2 == 0  # overlapping occurrences: every other one
+        hit, at = hit[other], at[other]
+        seq[hit] = symbol[at]
+        live[hit] = live[np.maximum(hit - 1, 0)] = True
         last[hit] = last[hit + 1]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq, last, live = seq[keep], last[keep], live[keep]
         a, b = (chosen >> np.uint32(16)).astype(np.uint16), chosen.astype(np.uint16)
         length[base + len(left):base + len(left) + len(a)] = length[a] + length[b]
         left, right = np.concatenate([left, a]), np.concatenate([right, b])

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle_check import TABLES, _digest
+from tablescope.session import ensure_checkpoint_dir
 from tablescope.llm import decontam, guesscost, jaccard, linededup, mix, postings, pst, quality, queries, repair, urltrie
 
 SF = "/root/testdata/sf0.001"
@@ -115,6 +117,35 @@ def test_token_documents_match_the_tokenizer(spark, odd):
     assert ids == sorted(ids)
 
 
+def test_pieces_are_learnt_once_and_encoded_like_the_library():
+    encoder = repair.WordEncoder(queries.tokenizer_file())
+    encoder.encode(["Foo foo. FOO, (foo) foo.Bar"])
+    assert set(encoder.index) == {b"foo", b".", b",", b"(foo)", b".bar"}
+    odd = ["<|endoftext|> Foo. bar|x <|STARTOFTEXT|> <| A. B, end|>", "H\u0331. T\u0308, \u00e9. \u00c9! \u00d7. a\u00d7. \u00f7, \ufb01. \u0130. a.b,c|d",
+           "don't, it's. I'LL we've.'s x.'s o'S", "\u03a3\u03b1\u03c2. \u03a3\u0391\u03a3, \u6771. a\u0301. b.\u0301 c,\u0338 \u00e9,", "", " ", "4.0. %a %b# $x a$ b& c*"]
+    ids, counts = encoder.encode(odd)
+    want = [e.ids for e in encoder.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_repair_counts_rare_pairs_only_once(monkeypatch):
+    """Positions of rare pairs are not sorted again, and the grammar is that of counting all pairs each round."""
+    rng = np.random.default_rng(4)
+    n_tokens = np.full(40, 250)
+    ids = (rng.zipf(1.3, 10_000) % 900).astype(np.uint16)
+    sorted_pairs = []
+    real = np.sort
+    monkeypatch.setattr(repair.np, "sort", lambda x: (sorted_pairs.append(len(x)), real(x))[1])
+    payload = repair.compress(ids, n_tokens, 1000)
+    monkeypatch.undo()
+    shard = repair.Shard(payload)
+    assert (shard.all_ids() == ids).all()
+    assert sorted_pairs[1] < 0.7 * sorted_pairs[0]
+    ends = set((shard.symbol_ends - 1).tolist())
+    left = Counter((int(a), int(b)) for i, (a, b) in enumerate(zip(shard.symbols[:-1], shard.symbols[1:])) if i not in ends)
+    assert max(left.values()) < 3
+
+
 def test_special_token_text_is_encoded_like_the_library(spark):
     text = "a <|endoftext|>b it's 12 don't\u2003x <|start oftext|> e\u0301 \u0301x Σας"
     encoder = repair.WordEncoder(queries.tokenizer_file())
@@ -408,6 +439,16 @@ def test_words_and_contexts_seen_often_enough_are_kept_in_any_share(spark):
     assert score[2001] > score[2002] + 1
 
 
+def test_scoring_leaves_only_the_tables_that_the_result_reads(spark):
+    docs = spark.createDataFrame([(i, "a b c d e " * 40) for i in range(30)], "doc_id long, text string")
+    folder = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "tablescope-scratch")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    scored = pst.score_texts(docs, F.col("doc_id") % 5 == 1, chunk_words=500, bucket_grams=1000)
+    left = Counter(name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before)
+    assert left == {"ready": 1, "level": 3}
+    assert scored.count() == 30
+
+
 def test_scores_match_a_tree_built_at_once(spark):
     rng = random.Random(8)
     vocab = ["w%d" % i for i in range(9)] + ["r%d" % i for i in range(60)]
