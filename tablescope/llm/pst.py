@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Numbering, stored, words
+from .common import Numbering, discard, stored, words
 
 END, RARE = 0, 1
 
@@ -376,8 +376,10 @@ def _next_level(chunks: DataFrame, d: int, min_divergence: float, *settings) ->
               .groupBy("bucket").applyInArrow(_states(d, min_divergence), "chunk long, bucket long, bits binary"))
     told = (counted.where("chunk IS NOT NULL").select("chunk", F.struct("bucket", "more").alias("answer"))
             .unionByName(states.select("chunk", F.struct("bucket", "bits").alias("state")), allowMissingColumns=True))
-    return stored(told.groupBy("chunk").agg(F.collect_list("answer").alias(f"level{d}"),
-                                            F.collect_list("state").alias(f"state{d}")), "level", release=True)
+    level = stored(told.groupBy("chunk").agg(F.collect_list("answer").alias(f"level{d}"),
+                                             F.collect_list("state").alias(f"state{d}")), "level", release=True)
+    discard(rows, counted)
+    return level
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -399,6 +401,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     grams of a bucket as one packed row, so a frequent gram is one entry per
     chunk; what comes back is only what other chunks add to its counts, and
     which contexts are states.  Nothing of the tree is collected or broadcast.
+    Tables of grams and words go once their answers are written.
 
     A very long text is one chunk by itself, never cut.
 
@@ -432,6 +435,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     root = np.array([(train_docs + 0.5) / mass, train_docs, (rare + 0.5) / mass, rare, mass])
     # A chunk of empty documents has no words, so nothing is told about it.
     joined = stored(chunks.join(told, "chunk", "left").mapInArrow(_ready(n_buckets), READY_SCHEMA), "ready", release=True)
+    discard(chunks, found)
     settings = depth, min_count, weight, root, n_buckets
     for d in range(1, depth + 1):
         joined = joined.join(_next_level(joined, d, min_divergence, *settings), "chunk", "left")
